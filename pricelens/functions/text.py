@@ -40,6 +40,12 @@ SUMMARY_MAX_LEN = 120
 ELLIPSIS = "…"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``),
+    so a sub-expression used several times is not recomputed per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lit_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 

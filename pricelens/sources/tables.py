@@ -31,6 +31,9 @@ SHAPES: dict[str, str] = {
     # scraped listing rows, store-style columns
     "listing": (
         "SELECT l_orderkey, l_linenumber, l_partkey, "
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), "
+        "CAST(l_suppkey AS STRING), CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS STRING), "
+        "CAST(CAST(floor(l_quantity) AS INT) AS STRING)) AS row_key, "
         "CASE WHEN l_linenumber = 1 THEN concat('P', lpad(CAST(l_partkey AS STRING), 8, '0'), 'x', "
         "CAST(CAST(floor(l_quantity) AS INT) AS STRING)) ELSE concat('P', lpad(CAST(l_partkey AS STRING), 8, '0')) END AS part_no, "
         "concat(p_name, ' (', p_brand, ')') AS official_name, "
