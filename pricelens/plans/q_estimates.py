@@ -1 +1,288 @@
-"""Queries: estimates."""
+"""Estimate-diagnosis queries over all estimates (orders as estimates, line items as
+parts and labor, see the fixture shapes)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pricelens.functions.text import verdict_from_text, verdict_strict
+from pricelens.operators import estimates as E
+from pricelens.plans.registry import register
+from pricelens.sources.tables import shape, shape_cte
+
+
+def _s(spark, sf, *names):
+    cache: dict = {}
+    return [shape(spark, sf, n, cache) for n in names]
+
+
+def _ds(c):
+    return F.col(c).cast("string").alias(c)
+
+
+CTE = shape_cte("estimates", "est_parts", "est_labor", "labor_master", "parts_master")
+
+# --- oracle building blocks (DuckDB) -------------------------------------------------
+PRICED_SQL = (
+    "priced AS (SELECT p.estimate_id, p.no, p.part_official_name, p.unit_price, e.car_type, e.customer_id, "
+    "e.car_mileage, e.service_finish_at, pm.min_price, pm.max_price FROM est_parts p JOIN estimates e ON p.estimate_id = e.id "
+    "LEFT JOIN LATERAL (SELECT min_price, max_price FROM parts_master pm WHERE pm.part_official_name = p.part_official_name "
+    "AND (pm.car_type = e.car_type OR pm.car_type = 'all' OR pm.car_type = 'unknown') AND pm.extracted_at = e.service_finish_at "
+    "ORDER BY CASE WHEN pm.car_type = e.car_type THEN 1 WHEN pm.car_type = 'ALL' THEN 2 WHEN pm.car_type = 'unknown' THEN 3 ELSE 4 END, "
+    "min_price, max_price LIMIT 1) pm ON TRUE)"
+)
+LABSTD_SQL = (
+    "labstd AS (SELECT l.estimate_id, l.no, l.repair_content, l.tech_fee, e.customer_id, e.car_type, e.car_mileage, "
+    "e.service_finish_at, lm.standard_repair_time, lm.hour_labor_rate, lm.change_cycle FROM est_labor l "
+    "JOIN estimates e ON l.estimate_id = e.id LEFT JOIN labor_master lm ON lm.repair_content = l.repair_content "
+    "AND lm.car_type = e.car_type AND e.service_finish_at BETWEEN lm.start_date AND lm.end_date)"
+)
+VISITS_SQL = (
+    "visits AS (SELECT DISTINCT e.customer_id, l.repair_content, e.id, e.service_finish_at, e.car_mileage "
+    "FROM est_labor l JOIN estimates e ON l.estimate_id = e.id), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY customer_id, repair_content "
+    "ORDER BY service_finish_at DESC NULLS FIRST, id DESC) AS rk FROM visits), "
+    "top2 AS (SELECT customer_id, repair_content, max(CASE WHEN rk = 1 THEN id END) AS id1, "
+    "max(CASE WHEN rk = 1 THEN car_mileage END) AS m1, max(CASE WHEN rk = 2 THEN car_mileage END) AS m2 "
+    "FROM ranked WHERE rk <= 2 GROUP BY customer_id, repair_content)"
+)
+CHECKED_SQL = (
+    "checked AS (SELECT s.*, CASE WHEN t.id1 <> s.estimate_id THEN t.m1 ELSE t.m2 END AS prev_mileage "
+    "FROM labstd s LEFT JOIN top2 t ON s.customer_id = t.customer_id AND s.repair_content = t.repair_content)"
+)
+CYCLES_SQL = (
+    "cycles AS (SELECT estimate_id, no, repair_content, car_mileage AS current_mileage, prev_mileage, "
+    "coalesce(car_mileage - prev_mileage, 0) AS usage, change_cycle AS cycle, "
+    "CASE WHEN prev_mileage IS NULL THEN '첫 교체' WHEN car_mileage - prev_mileage >= change_cycle THEN '교체 적절' "
+    "WHEN car_mileage - prev_mileage >= change_cycle * 0.8 THEN '권장 시기' ELSE '조기 교체' END AS verdict "
+    "FROM checked WHERE change_cycle IS NOT NULL)"
+)
+ALL_SQL = CTE + ", " + ", ".join([PRICED_SQL, LABSTD_SQL, VISITS_SQL, CHECKED_SQL, CYCLES_SQL]) + " "
+
+
+def _priced(spark, sf):
+    est, parts, pm = _s(spark, sf, "estimates", "est_parts", "parts_master")
+    return E.price_at_service(parts, est, pm)
+
+
+def _checked(spark, sf):
+    est, labor, lm = _s(spark, sf, "estimates", "est_labor", "labor_master")
+    return E.labor_checks(labor, est, lm)
+
+
+@register(
+    "load_estimate",
+    CTE + "SELECT l.estimate_id, l.no, l.repair_content, l.tech_fee, e.car_type, e.car_mileage, "
+    "CAST(e.service_finish_at AS VARCHAR) AS service_finish_at FROM est_labor l JOIN estimates e ON l.estimate_id = e.id",
+)
+def q_load_estimate(spark, sf):
+    est, labor = _s(spark, sf, "estimates", "est_labor")
+    return E.load_estimate(labor, est).select(
+        "estimate_id", "no", "repair_content", "tech_fee", "car_type", "car_mileage", _ds("service_finish_at")
+    )
+
+
+@register(
+    "price_at_service",
+    ALL_SQL + "SELECT estimate_id, no, part_official_name, unit_price, car_type, min_price, max_price FROM priced",
+)
+def q_price_at_service(spark, sf):
+    return _priced(spark, sf).select("estimate_id", "no", "part_official_name", "unit_price", "car_type", "min_price", "max_price")
+
+
+@register(
+    "labor_at_service",
+    ALL_SQL + "SELECT estimate_id, no, repair_content, tech_fee, car_type, standard_repair_time, hour_labor_rate, change_cycle FROM labstd",
+)
+def q_labor_at_service(spark, sf):
+    est, labor, lm = _s(spark, sf, "estimates", "est_labor", "labor_master")
+    return E.labor_at_service(labor, est, lm).select(
+        "estimate_id", "no", "repair_content", "tech_fee", "car_type", "standard_repair_time", "hour_labor_rate", "change_cycle"
+    )
+
+
+@register(
+    "previous_service",
+    CTE + ", v AS (SELECT DISTINCT e.customer_id, l.repair_content, e.id, e.service_finish_at, e.car_mileage "
+    "FROM est_labor l JOIN estimates e ON l.estimate_id = e.id) "
+    "SELECT l.estimate_id, l.no, l.repair_content, (SELECT v.car_mileage FROM v WHERE v.customer_id = e.customer_id "
+    "AND v.repair_content = l.repair_content AND v.id <> e.id ORDER BY v.service_finish_at DESC NULLS FIRST, v.id DESC LIMIT 1) "
+    "AS prev_mileage FROM est_labor l JOIN estimates e ON l.estimate_id = e.id",
+)
+def q_previous_service(spark, sf):
+    est, labor = _s(spark, sf, "estimates", "est_labor")
+    return E.previous_service(labor, est).select("estimate_id", "no", "repair_content", "prev_mileage")
+
+
+@register(
+    "classify_part_price",
+    ALL_SQL + "SELECT estimate_id, no, CASE WHEN min_price IS NULL OR max_price IS NULL OR min_price = 0 OR max_price = 0 THEN 'no_data' "
+    "WHEN unit_price > max_price THEN 'over' WHEN unit_price < min_price THEN 'low' ELSE 'ok' END AS status, "
+    "CASE WHEN min_price IS NULL OR max_price IS NULL OR min_price = 0 OR max_price = 0 THEN NULL ELSE round(greatest(5.0, least(95.0, "
+    "CASE WHEN unit_price < min_price THEN 20 - ((min_price - unit_price) / min_price) * 50 "
+    "WHEN unit_price > max_price THEN 80 + ((unit_price - max_price) / max_price) * 50 "
+    "ELSE 20 + (CASE WHEN max_price <> min_price THEN (unit_price - min_price) / (max_price - min_price) ELSE 0.5 END) * 60 END)), 6) END AS bar_pos "
+    "FROM priced",
+)
+def q_classify_part_price(spark, sf):
+    st, pos = E.classify_part_price(F.col("unit_price"), F.col("min_price"), F.col("max_price"))
+    return _priced(spark, sf).select("estimate_id", "no", st.alias("status"), F.round(pos, 6).alias("bar_pos"))
+
+
+@register(
+    "labor_deviation",
+    ALL_SQL + "SELECT estimate_id, no, round(standard_repair_time * hour_labor_rate, 6) AS expected, "
+    "round(tech_fee - standard_repair_time * hour_labor_rate, 6) AS diff, "
+    "round(CASE WHEN standard_repair_time IS NULL OR hour_labor_rate IS NULL THEN NULL WHEN standard_repair_time * hour_labor_rate > 0 "
+    "THEN (tech_fee - standard_repair_time * hour_labor_rate) / (standard_repair_time * hour_labor_rate) * 100 ELSE 0 END, 6) AS pct FROM labstd",
+)
+def q_labor_deviation(spark, sf):
+    est, labor, lm = _s(spark, sf, "estimates", "est_labor", "labor_master")
+    exp, diff, pct = E.labor_deviation(F.col("tech_fee"), F.col("standard_repair_time"), F.col("hour_labor_rate"))
+    return E.labor_at_service(labor, est, lm).select(
+        "estimate_id", "no", F.round(exp, 6).alias("expected"), F.round(diff, 6).alias("diff"), F.round(pct, 6).alias("pct")
+    )
+
+
+@register(
+    "cycle_verdict",
+    ALL_SQL + "SELECT estimate_id, no, repair_content, current_mileage, prev_mileage, usage, cycle, verdict FROM cycles",
+)
+def q_cycle_verdict(spark, sf):
+    return E.cycle_issues(_checked(spark, sf)).select(
+        "estimate_id", "no", "repair_content", "current_mileage", "prev_mileage", "usage", "cycle", "verdict"
+    )
+
+
+VERDICT_SQL = (
+    "pv AS (SELECT estimate_id, bool_or(unit_price > max_price) AS p FROM priced GROUP BY estimate_id), "
+    "lv AS (SELECT estimate_id, bool_or(tech_fee > standard_repair_time * hour_labor_rate) AS l, "
+    "bool_or(change_cycle IS NOT NULL AND prev_mileage IS NOT NULL AND car_mileage - prev_mileage < change_cycle * 0.8) AS c "
+    "FROM checked GROUP BY estimate_id), "
+    "verdict AS (SELECT e.id AS estimate_id, coalesce(pv.p, false) AS p_issue, coalesce(lv.l, false) AS l_issue, "
+    "coalesce(lv.c, false) AS c_issue FROM estimates e LEFT JOIN pv ON pv.estimate_id = e.id LEFT JOIN lv ON lv.estimate_id = e.id) "
+)
+
+
+@register(
+    "estimate_verdict",
+    ALL_SQL + ", " + VERDICT_SQL + "SELECT estimate_id, p_issue, l_issue, c_issue, "
+    "CAST(p_issue AS INTEGER) + CAST(l_issue AS INTEGER) + CAST(c_issue AS INTEGER) AS issue_count, "
+    "CAST(p_issue AS INTEGER) + CAST(l_issue AS INTEGER) + CAST(c_issue AS INTEGER) >= 2 AS is_over FROM verdict",
+)
+def q_estimate_verdict(spark, sf):
+    est = shape(spark, sf, "estimates")
+    return E.estimate_verdict(est, _priced(spark, sf), _checked(spark, sf))
+
+
+# diagnosis text per estimate (stands in for the generated text): tagged over / normal / negated / empty
+_DIAG = (
+    "CASE id % 4 WHEN 0 THEN '[근거: common_only] 견적서는 다음 이유로 과잉정비입니다. 확인 바랍니다.' "
+    "WHEN 1 THEN '[근거: hyundai_model_pdf_only] 견적서는 현재 근거 기준 표준 범위입니다.' "
+    "WHEN 2 THEN '견적서는 과잉정비가 아닙니다.' ELSE '' END"
+)
+
+
+@register(
+    "effective_verdict",
+    ALL_SQL + ", " + VERDICT_SQL + f", diag AS (SELECT id AS estimate_id, {_DIAG} AS txt FROM estimates), "
+    "flags AS (SELECT estimate_id, CASE WHEN length(regexp_replace(trim(txt), '^\\[[^\\]]+\\]\\s*', '')) = 0 THEN false "
+    "WHEN contains(txt, '과잉정비가 아닙니다') OR contains(txt, '과잉정비 아님') THEN false "
+    "WHEN contains(txt, '표준 범위') OR contains(txt, '표준정비') OR contains(txt, '이상 없음') THEN false "
+    "WHEN contains(txt, '과잉정비') THEN true ELSE false END AS symptom_flag, "
+    "starts_with(regexp_replace(trim(txt), '^\\[[^\\]]+\\]\\s*', ''), '견적서는 다음 이유로 과잉정비입니다.') AS strict_over FROM diag), "
+    "early AS (SELECT estimate_id, true AS has_early FROM cycles WHERE verdict = '조기 교체' GROUP BY estimate_id) "
+    "SELECT v.estimate_id, v.p_issue, v.l_issue, v.c_issue, f.symptom_flag, "
+    "CAST(v.p_issue AS INTEGER) + CAST(v.l_issue AS INTEGER) + CAST(v.c_issue AS INTEGER) + CAST(f.symptom_flag AS INTEGER) AS page_issue_count, "
+    "(CAST(v.p_issue AS INTEGER) + CAST(v.l_issue AS INTEGER) + CAST(v.c_issue AS INTEGER) >= 2) OR f.symptom_flag AS page_is_over, "
+    "CAST(f.strict_over AS INTEGER) + CAST(v.p_issue AS INTEGER) + CAST(v.l_issue AS INTEGER) + CAST(coalesce(x.has_early, false) AS INTEGER) AS report_issue_count, "
+    "CAST(f.strict_over AS INTEGER) + CAST(v.p_issue AS INTEGER) + CAST(v.l_issue AS INTEGER) + CAST(coalesce(x.has_early, false) AS INTEGER) > 0 AS report_is_over "
+    "FROM verdict v JOIN flags f ON f.estimate_id = v.estimate_id LEFT JOIN early x ON x.estimate_id = v.estimate_id",
+)
+def q_effective_verdict(spark, sf):
+    est = shape(spark, sf, "estimates")
+    priced, checked = _priced(spark, sf), _checked(spark, sf)
+    verdict = E.estimate_verdict(est, priced, checked)
+    diag = est.select(F.col("id").alias("estimate_id"), F.expr(_DIAG).alias("txt"))
+    flags = diag.select("estimate_id", verdict_from_text(F.col("txt")).alias("symptom_flag"))
+    strict = diag.select("estimate_id", F.coalesce(verdict_strict(F.col("txt")), F.lit(False)).alias("strict_over"))
+    early = E.cycle_issues(checked).where(F.col("verdict") == E.CYCLE_EARLY).select("estimate_id").distinct().withColumn("has_early", F.lit(True))
+    report = (
+        verdict.join(strict, "estimate_id").join(early, "estimate_id", "left")
+        .select(
+            "estimate_id",
+            (F.col("strict_over").cast("int") + F.col("p_issue").cast("int") + F.col("l_issue").cast("int")
+             + F.coalesce(F.col("has_early"), F.lit(False)).cast("int")).alias("report_issue_count"),
+        )
+    )
+    return E.effective_verdict(verdict, flags, report).select(
+        "estimate_id", "p_issue", "l_issue", "c_issue", "symptom_flag", "page_issue_count", "page_is_over",
+        "report_issue_count", "report_is_over",
+    )
+
+
+@register(
+    "overcharge_report",
+    ALL_SQL + "SELECT estimate_id, 'line' AS row_kind, no, part_official_name, CAST(unit_price AS BIGINT) AS charged, "
+    "CAST(max_price AS BIGINT) AS max_price, CAST(unit_price - max_price AS BIGINT) AS diff, "
+    "round((unit_price - max_price) / max_price * 100, 6) AS pct, CAST(NULL AS BIGINT) AS ok_count FROM priced "
+    "WHERE max_price IS NOT NULL AND unit_price > max_price UNION ALL "
+    "SELECT estimate_id, 'total', NULL, NULL, CAST(sum(unit_price) FILTER (WHERE unit_price > max_price) AS BIGINT), "
+    "CAST(sum(max_price) FILTER (WHERE unit_price > max_price) AS BIGINT), "
+    "CAST(sum(unit_price - max_price) FILTER (WHERE unit_price > max_price) AS BIGINT), NULL, "
+    "count(*) - count(*) FILTER (WHERE unit_price > max_price) FROM priced GROUP BY estimate_id "
+    "HAVING count(*) FILTER (WHERE unit_price > max_price) > 0",
+)
+def q_overcharge_report(spark, sf):
+    return E.overcharge_report(_priced(spark, sf)).withColumn("pct", F.round("pct", 6))
+
+
+@register(
+    "labor_overcharge_report",
+    ALL_SQL + "SELECT estimate_id, 'line' AS row_kind, no, repair_content, CAST(tech_fee AS DOUBLE) AS charged, "
+    "round(standard_repair_time * hour_labor_rate, 6) AS expected, round(tech_fee - standard_repair_time * hour_labor_rate, 6) AS diff, "
+    "round((tech_fee - standard_repair_time * hour_labor_rate) / (standard_repair_time * hour_labor_rate) * 100, 6) AS pct, "
+    "CAST(NULL AS BIGINT) AS ok_count FROM checked WHERE tech_fee > standard_repair_time * hour_labor_rate UNION ALL "
+    "SELECT estimate_id, 'total', NULL, NULL, NULL, NULL, round(sum(tech_fee - standard_repair_time * hour_labor_rate) "
+    "FILTER (WHERE tech_fee > standard_repair_time * hour_labor_rate), 6), NULL, "
+    "count(*) - count(*) FILTER (WHERE tech_fee > standard_repair_time * hour_labor_rate) FROM checked GROUP BY estimate_id "
+    "HAVING count(*) FILTER (WHERE tech_fee > standard_repair_time * hour_labor_rate) > 0",
+)
+def q_labor_overcharge_report(spark, sf):
+    out = E.labor_overcharge_report(_checked(spark, sf))
+    return out.select(*[F.round(c, 6).alias(c) if c in ("expected", "diff", "pct") else F.col(c) for c in out.columns])
+
+
+@register(
+    "early_cycle_report",
+    ALL_SQL + ", okc AS (SELECT estimate_id, count(*) - count(*) FILTER (WHERE verdict = '조기 교체') AS ok_count FROM cycles GROUP BY estimate_id) "
+    "SELECT c.estimate_id, c.no, c.repair_content, c.cycle, c.usage, CASE WHEN c.cycle <> 0 THEN CAST(trunc(c.usage / c.cycle * 100) AS INTEGER) "
+    "ELSE 0 END AS achieved_pct, c.prev_mileage, o.ok_count FROM cycles c JOIN okc o ON o.estimate_id = c.estimate_id WHERE c.verdict = '조기 교체'",
+)
+def q_early_cycle_report(spark, sf):
+    return E.early_cycle_report(E.cycle_issues(_checked(spark, sf)))
+
+
+@register(
+    "inquiry_text",
+    ALL_SQL
+    + "SELECT estimate_id, 1 AS section, no AS item_no, concat('\"', part_official_name, '\" 부품이 시장 최고 기준가 (', "
+    "format('{:,}', max_price), '원) 대비 ', format('{:,}', unit_price - max_price), '원 초과 청구된 근거를 제시해 주십시오.') AS question "
+    "FROM priced WHERE max_price IS NOT NULL AND unit_price > max_price UNION ALL "
+    "SELECT DISTINCT estimate_id, 1, NULL, '사용된 부품의 등급(정품 / OEM / 재제조)과 구매 단가 영수증을 확인할 수 있습니까?' "
+    "FROM priced WHERE max_price IS NOT NULL AND unit_price > max_price UNION ALL "
+    "SELECT estimate_id, 2, no, concat('\"', repair_content, '\" 작업의 표준 작업시간 ', CAST(standard_repair_time AS VARCHAR), "
+    "'h 기준 공임은 ', format('{:,.0f}', standard_repair_time * hour_labor_rate), '원이나, ', format('{:,}', tech_fee), "
+    "'원이 청구되었습니다. 초과 청구 (', format('{:,.0f}', tech_fee - standard_repair_time * hour_labor_rate), "
+    "'원)의 사유를 제시해 주십시오.') FROM checked WHERE tech_fee > standard_repair_time * hour_labor_rate UNION ALL "
+    "SELECT DISTINCT estimate_id, 2, NULL, '실제 작업시간 기록(작업지시서)을 확인할 수 있습니까?' FROM checked "
+    "WHERE tech_fee > standard_repair_time * hour_labor_rate UNION ALL "
+    "SELECT estimate_id, 3, no, concat('\"', repair_content, '\"은 권장 주기 ', format('{:,}', cycle), 'km 대비 ', "
+    "format('{:,}', cycle - usage), 'km 조기인 ', format('{:,}', usage), 'km 시점에 교체되었습니다. "
+    "조기 교체가 필요했던 기술적 사유와 소모품 상태 점검 기록을 제시해 주십시오.') FROM cycles WHERE verdict = '조기 교체' UNION ALL "
+    "SELECT DISTINCT estimate_id, 3, NULL, '소모품 상태 점검 기록(사진 또는 측정값 포함)을 제공해 주실 수 있습니까?' "
+    "FROM cycles WHERE verdict = '조기 교체'",
+)
+def q_inquiry_text(spark, sf):
+    checked = _checked(spark, sf)
+    return E.inquiry_text(_priced(spark, sf), checked, E.cycle_issues(checked))

@@ -92,7 +92,7 @@ SHAPES: dict[str, str] = {
     ),
     # price mart with vehicle-specific rows partly missing and 'all'/'unknown' fallbacks
     "parts_master": (
-        "SELECT part_official_name, car_type, extracted_at, min_price, max_price FROM {price_mart} "
+        "SELECT part_official_name, car_type, extracted_at, min_price, max_price - 25 AS max_price FROM {price_mart} "
         "WHERE min_price % 3 <> 0 "
         "UNION ALL "
         "SELECT part_official_name, CASE length(part_official_name) % 4 WHEN 0 THEN 'all' ELSE 'unknown' END AS car_type, "
