@@ -102,14 +102,25 @@ SHAPES: dict[str, str] = {
     ),
     # free-text vehicle cells to conform: decorated part names, one per line item
     "vehicle_cells": (
-        "SELECT l_orderkey, l_linenumber, "
+        "SELECT l_orderkey, l_linenumber, p_name AS intended, "
         "CASE l_linenumber WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) WHEN 3 THEN concat(p_name, ' (', p_brand, ')') "
         "WHEN 4 THEN replace(p_name, ' ', '') WHEN 5 THEN concat(' ', p_type, ' ') WHEN 6 THEN 'All' ELSE concat(p_name, ' ', p_size) END AS car_type "
         "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
     ),
-    # canonical vehicle dimension: distinct part names with a stable list order
+    # canonical vehicle dimension: one name per distinct part name, decorated with a
+    # trailing paren code, a variant marker or a leading model code; idx = list order
     "canonical_vehicles": (
-        "SELECT p_name AS canonical_name, CAST(min(p_partkey) AS BIGINT) AS idx FROM {part} GROUP BY p_name"
+        "SELECT CASE m % 4 WHEN 0 THEN concat(p_name, ' (K', CAST(m % 9 + 1 AS STRING), ')') "
+        "WHEN 1 THEN concat(p_name, ' hybrid') "
+        "WHEN 2 THEN concat(upper(substr(p_name, 1, 1)), CAST(m % 80 AS STRING), ' ', p_name) "
+        "ELSE p_name END AS canonical_name, m AS idx, p_name AS source_name "
+        "FROM (SELECT p_name, CAST(min(p_partkey) AS BIGINT) AS m FROM {part} GROUP BY p_name) t"
+    ),
+    # a supplied mapping: raw spellings equal (any case) to a source name
+    "vehicle_map": (
+        "SELECT DISTINCT v.raw, c.canonical_name AS canonical FROM "
+        "(SELECT DISTINCT trim(car_type) AS raw FROM {vehicle_cells}) v "
+        "JOIN {canonical_vehicles} c ON lower(v.raw) = lower(c.source_name)"
     ),
 }
 
