@@ -78,7 +78,7 @@ SHAPES: dict[str, str] = {
     ),
     "ledger": (
         "SELECT concat('src', CAST(user_id % 3 AS STRING)) AS source, CAST(ts AS DATE) AS dt, "
-        "sha1(concat('u', CAST(user_id AS STRING))) AS sk, "
+        "sha1(concat('u', CAST(user_id AS STRING))) AS sk, concat('u', CAST(user_id AS STRING)) AS url, "
         "CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, "
         "CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'not_found' ELSE '' END END AS reason, "
         "CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(1 + event_id % 3 AS INT) END AS attempt, "
@@ -100,6 +100,14 @@ SHAPES: dict[str, str] = {
         "WHERE length(part_official_name) % 4 IN (0, 1) "
         "GROUP BY part_official_name, CASE length(part_official_name) % 4 WHEN 0 THEN 'all' ELSE 'unknown' END, extracted_at"
     ),
+    # staged mart rows of one load: one row per priced part line, several per key
+    "staged_mart": (
+        "SELECT ep.part_official_name, e.car_type, e.service_finish_at AS extracted_at, "
+        "ep.unit_price AS min_price, ep.unit_price + ep.no AS max_price, "
+        "ep.estimate_id AS seq1, ep.no AS seq2 "
+        "FROM {est_parts} ep JOIN {estimates} e ON ep.estimate_id = e.id "
+        "WHERE e.service_finish_at >= DATE '1999-06-01'"
+    ),
     # free-text vehicle cells to conform: decorated part names, one per line item
     "vehicle_cells": (
         "SELECT l_orderkey, l_linenumber, p_name AS intended, "
