@@ -108,6 +108,30 @@ SHAPES: dict[str, str] = {
         "FROM {est_parts} ep JOIN {estimates} e ON ep.estimate_id = e.id "
         "WHERE e.service_finish_at >= DATE '1999-06-01'"
     ),
+    # repair documents: prose documents with a model, a system, expected parts and a vector
+    "repair_doc": (
+        "SELECT d.doc_id AS id, CASE d.doc_id % 3 WHEN 0 THEN 'hyundai_model_pdf' WHEN 1 THEN 'common' ELSE 'common_guideline' END AS document_source, "
+        "CASE WHEN d.doc_id % 4 = 0 THEN 'common' ELSE concat('M', CAST(d.doc_id % 5 AS STRING)) END AS vehicle_model, "
+        "split_part(d.text, '.', 1) AS symptom_text, "
+        "CASE d.doc_id % 13 WHEN 0 THEN '엔진' WHEN 1 THEN '점화' WHEN 2 THEN '연료' WHEN 3 THEN '냉각' WHEN 4 THEN '배기' "
+        "WHEN 5 THEN '제동' WHEN 6 THEN '공조' WHEN 7 THEN '변속기' WHEN 8 THEN '전기충전' WHEN 9 THEN '조향현가' "
+        "WHEN 10 THEN '시동 시스템' WHEN 11 THEN '바디전장' ELSE '' END AS system_category, "
+        "concat(split_part(d.text, ' ', 2), ', ', split_part(d.text, ' ', 3), '/', split_part(d.text, ' ', 4), ' | ', split_part(d.text, ' ', 2)) AS repair_parts, "
+        "'' AS pre_replace_check_rule, d.text AS evidence_text, e.embedding AS symptom_embedding "
+        "FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id"
+    ),
+    # symptom text per estimate (several symptoms split by newlines) and its vehicle model
+    "symptom_inputs": (
+        "SELECT item_id AS estimate_id, CASE WHEN item_id % 7 = 6 THEN 'M9' ELSE concat('M', CAST(item_id % 5 AS STRING)) END AS vehicle_model, "
+        "concat(text, CASE item_id % 6 WHEN 0 THEN ' 엔진 소음' WHEN 1 THEN ' 브레이크 패드 마모' WHEN 2 THEN ' 배터리 방전' "
+        "WHEN 3 THEN '' WHEN 4 THEN ' 시동모터 소음' ELSE ' 에어컨 송풍' END) AS symptom_text_raw FROM {benchmark}"
+    ),
+    # quoted parts of the estimates that carry symptoms (consumables and plain names)
+    "quote_parts": (
+        "SELECT l_orderkey AS estimate_id, l_linenumber AS no, CASE l_linenumber % 4 WHEN 0 THEN concat('엔진오일 ', p_name) "
+        "WHEN 1 THEN concat(p_name, ' (', p_brand, ')') ELSE p_name END AS part_official_name "
+        "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+    ),
     # free-text vehicle cells to conform: decorated part names, one per line item
     "vehicle_cells": (
         "SELECT l_orderkey, l_linenumber, p_name AS intended, "
