@@ -272,9 +272,11 @@ def consumable_flag(part: Column) -> Column:
 
 
 def flat_text(c: Column) -> Column:
-    """P20: nbsp -> space, drop CR, collapse newline runs, collapse space runs, trim."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), " ", " ")
-    t = F.regexp_replace(t, "\r", "")
-    t = F.regexp_replace(t, r"\n\s*\n+", "\n")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    """P20: nbsp -> space, CR dropped, 3+ newlines -> 2, trim; then every newline with its
+    surrounding whitespace -> one space, whitespace runs of 2+ -> one space, trim."""
+    t = F.replace(F.coalesce(c, F.lit("")), F.lit("\u00a0"), F.lit(" "))
+    t = F.replace(t, F.lit("\r"), F.lit(""))
+    t = py_strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    t = F.regexp_replace(t, r"(?U)\s*\n\s*", " ")
+    t = F.regexp_replace(t, r"(?U)\s{2,}", " ")
     return py_strip(t)

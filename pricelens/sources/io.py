@@ -137,3 +137,68 @@ def coerce_mart_rows(raw: DataFrame, run_date: str) -> DataFrame:
         col("max_price").try_cast("int").alias("max_price"),
         F.coalesce(col("car_type"), F.lit("")).alias("car_type"),
     )
+
+
+# --- manifests and batches ---------------------------------------------------------------------
+
+BATCH_SIZE = 100
+
+
+def explode_manifest(df: DataFrame, col: str) -> DataFrame:
+    """A JSON string array per row -> one (pos, url) row per element (pos from 0)."""
+    arr = F.from_json(F.col(col), T.ArrayType(T.StringType()))
+    return df.select("*", F.posexplode(arr).alias("pos", "url"))
+
+
+def assign_batches(items: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """Batches of ``size`` consecutive items; the batch id is the index of its first item."""
+    return items.withColumn("batch_id", (F.floor(F.col("pos") / size) * size).cast("int"))
+
+
+def flatten_batch_items(df: DataFrame, col: str) -> DataFrame:
+    """Batch payloads whose items carry ``urls`` (list or string) or ``url`` ->
+    trimmed non-empty URL rows.  ``urls`` wins when truthy (a non-empty list or string)."""
+    # key lookups are case-sensitive here ("Items" before "items"), as in a dict lookup
+    arr_of = lambda key: F.from_json(F.get_json_object(F.col(col), f"$.{key}"), T.ArrayType(T.StringType()))
+    top_items = F.coalesce(
+        F.when(F.size(arr_of("Items")) > 0, arr_of("Items")), F.when(F.size(arr_of("items")) > 0, arr_of("items"))
+    )
+    items = F.coalesce(top_items, F.array(F.col(col)))
+
+    def urls_of(item):
+        j = F.from_json(item, "urls string, url string")
+        raw = j["urls"]
+        is_arr = F.ltrim(raw).startswith("[")
+        arr = F.from_json(raw, T.ArrayType(T.StringType()))
+        truthy = raw.isNotNull() & F.when(is_arr, F.size(arr) > 0).otherwise(F.length(raw) > 0)
+        listed = F.when(is_arr, arr).otherwise(F.array(raw))
+        chosen = F.when(truthy, listed).when(j["url"].isNotNull(), F.array(j["url"])).otherwise(F.array().cast("array<string>"))
+        return F.when(F.ltrim(item).startswith("{"), chosen).otherwise(F.array().cast("array<string>"))
+
+    urls = F.flatten(F.transform(items, urls_of))
+    cleaned = F.filter(F.transform(urls, lambda u: F.trim(u)), lambda u: F.length(u) > 0)
+    return df.select("*", F.explode(cleaned).alias("url"))
+
+
+def write_url_manifest(urls: DataFrame, path: str, partition_by=("source", "dt")) -> None:
+    """Manifest of retry URLs as JSON lines, one folder per (source, dt) - written by the
+    executors, never assembled on the driver."""
+    urls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).json(path)
+
+
+# --- file-level gates --------------------------------------------------------------------------------
+
+
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """Rows per input file (S9's data check)."""
+    return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def compact_parts(spark: SparkSession, parts_dir: str, out_dir: str, columns: Sequence[str], n_files: int = 1) -> DataFrame:
+    """Headerless CSV parts of one run (``.csv`` only) -> ``n_files`` headered file(s).
+    No part at all is an error."""
+    df = read_headerless_parts(spark, parts_dir, columns)
+    if df.isEmpty():
+        raise FileNotFoundError(f"no .csv parts under {parts_dir}")
+    df.coalesce(n_files).write.mode("overwrite").option("header", "true").option("escape", '"').csv(out_dir)
+    return spark.read.option("header", "true").option("escape", '"').schema(all_string_schema(columns)).csv(out_dir)
