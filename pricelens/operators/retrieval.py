@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import lexical as LX
 from pricelens.functions.text import compact_query, consumable_flag, extract_keywords, norm_part, norm_space, split_parts
 from pricelens.operators.topk import blocked_topk
+from pricelens.session import cut_lineage
 
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -311,6 +312,11 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
     queries = pass_queries(symptoms, passes)
     fetch_k = max(TOP_K * FETCH_FACTOR, TOP_K)
     vec, lex = hybrid_lists(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
+    # the scored lists feed several consumers (fusion, fallback, counters): score once and
+    # cut the lineage into the shared checkpoint folder instead of re-running the scorers
+    lists = cut_lineage(vec.withColumn("list", F.lit("v")).unionByName(lex.withColumn("list", F.lit("l"))))
+    vec = lists.where(F.col("list") == "v").drop("list")
+    lex = lists.where(F.col("list") == "l").drop("list")
     cands = fuse_rankings(vec, lex, TOP_K, fetch_k)
     validation = None if validation_fn is None else validation_fn(cands)
     stats, kept = select_pass(cands, queries, validation)
@@ -419,3 +425,114 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
     # containment join keyed by estimate: expected keys of one estimate are few (<= match docs x parts)
     hit = q.join(expected, "estimate_id").where((F.instr(F.col("qk"), F.col("ek")) > 0) | (F.instr(F.col("ek"), F.col("qk")) > 0))
     return q.join(hit.select("estimate_id", "part").distinct(), ["estimate_id", "part"], "left_anti").select("estimate_id", "part", "first_no")
+
+
+# --- evidence texts ------------------------------------------------------------------------------
+
+# Explanation and prompt wording.
+EVIDENCE_TAG = "증상{s}-근거{e}"
+WHY_USED = "{symptom} 증상 판단에 참고한 {label}{hint} 문서 근거입니다."
+NO_SUMMARY = "관련 근거 문구 요약 없음"
+EXPECTED_PARTS = " (예상 정비항목: {parts})"
+PROMPT_HEAD = "증상{s}: {symptom}\n직접매칭수: {direct}\n근거:\n"
+PROMPT_EMPTY = "(없음)"
+PROMPT_LINE = "[{i}] source={src} ({label}) score={score} | system={system} | expected={parts} | evidence={evidence}"
+
+
+def _fill(template: str, **cols: Column) -> Column:
+    import re
+
+    parts: list[Column] = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos : m.start()]))
+        parts.append(cols[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
+def evidence_rows(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
+    """One numbered explanation row per (symptom i, evidence j)."""
+    from pricelens.functions.text import source_label, summarize_text
+
+    e = evidence.join(per_symptom.select("estimate_id", "symptom_no", F.col("symptom_text").alias("related_symptom")), ["estimate_id", "symptom_no"])
+    code = norm_space(F.col("document_source"))
+    label = source_label(F.col("document_source"))
+    cat = norm_space(F.col("system_category"))
+    parts = norm_space(F.col("repair_parts"))
+    excerpt = summarize_text(F.col("evidence_text"))
+    hint = F.when(F.length(cat) > 0, F.concat(F.lit(" ("), cat, F.lit(")"))).otherwise(F.lit(""))
+    desc = F.concat(
+        F.when(F.length(excerpt) > 0, excerpt).otherwise(F.lit(NO_SUMMARY)),
+        F.when(F.length(parts) > 0, _fill(EXPECTED_PARTS, parts=parts)).otherwise(F.lit("")),
+    )
+    return e.select(
+        "estimate_id", "symptom_no", "evidence_no",
+        _fill(EVIDENCE_TAG, s=F.col("symptom_no").cast("string"), e=F.col("evidence_no").cast("string")).alias("tag"),
+        norm_space(F.col("related_symptom")).alias("related_symptom"),
+        code.alias("source_code"), label.alias("source_label"), cat.alias("system_category"),
+        F.col("doc_id"), norm_space(F.col("doc_symptom_text")).alias("document_symptom_text"),
+        parts.alias("repair_parts"), excerpt.alias("evidence_excerpt"), desc.alias("description"),
+        _fill(WHY_USED, symptom=norm_space(F.col("related_symptom")), label=label, hint=hint).alias("why_used"),
+    )
+
+
+def report_evidence_rows(evidence: DataFrame, per_symptom: DataFrame, n_docs: int = REPORT_EVIDENCE_DOCS,
+                         max_len: int = REPORT_EXCERPT_LEN) -> DataFrame:
+    """The first ``n_docs`` evidence documents per symptom, evidence cut to ``max_len`` chars + '…'."""
+    ev = F.coalesce(F.col("evidence_text"), F.lit(""))
+    short = F.when(F.length(ev) > max_len, F.concat(F.substring(ev, 1, max_len), F.lit("…"))).otherwise(ev)
+    return (
+        evidence.where(F.col("evidence_no") <= n_docs)
+        .join(per_symptom.select("estimate_id", "symptom_no", "symptom_text"), ["estimate_id", "symptom_no"])
+        .select("estimate_id", "symptom_no", "evidence_no", "symptom_text",
+                F.coalesce("document_source", F.lit("")).alias("document_source"), short.alias("evidence_short"))
+    )
+
+
+def evidence_prompt(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
+    """One prompt text per estimate: per symptom its direct-match count and numbered
+    evidence lines (text only; nothing is sent anywhere).  Bounded groups: a symptom has
+    at most three evidence lines and an estimate a handful of symptoms."""
+    from pricelens.functions.text import source_label
+
+    line = _fill(
+        PROMPT_LINE, i=F.col("evidence_no").cast("string"), src=F.coalesce("document_source", F.lit("")),
+        label=source_label(F.col("document_source")), score=F.format_string("%.4f", F.col("score")),
+        system=F.coalesce("system_category", F.lit("")), parts=F.coalesce("repair_parts", F.lit("")),
+        evidence=F.coalesce("evidence_text", F.lit("")),
+    )
+    lines = evidence.groupBy("estimate_id", "symptom_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines")
+    )
+    blocks = per_symptom.join(lines, ["estimate_id", "symptom_no"], "left").select(
+        "estimate_id", "symptom_no",
+        F.concat(
+            _fill(PROMPT_HEAD, s=F.col("symptom_no").cast("string"), symptom=F.col("symptom_text"), direct=F.col("direct_match_count").cast("string")),
+            F.coalesce(F.col("lines"), F.lit(PROMPT_EMPTY)),
+        ).alias("block"),
+    )
+    return blocks.groupBy("estimate_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symptom_no", "block"))), lambda x: x["block"]), "\n\n").alias("prompt")
+    )
+
+
+def validation_request(cands: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per query, the JSON array of normalized candidate fields in candidate order."""
+    d = docs.select(
+        F.col("id").cast("long").alias("doc_id"),
+        norm_space(F.col("symptom_text")).alias("candidate_symptom_text"),
+        norm_space(F.col("evidence_text")).alias("evidence_text"),
+        norm_space(F.col("system_category")).alias("system_category"),
+        norm_space(F.col("document_source")).alias("document_source"),
+    )
+    items = cands.join(d, "doc_id").select(
+        "qid", "fused_rank",
+        F.struct(F.col("doc_id").alias("id"), "candidate_symptom_text", "evidence_text", "system_category", "document_source").alias("item"),
+    )
+    return items.groupBy("qid").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("fused_rank", "item"))), lambda x: x["item"])).alias("request")
+    )

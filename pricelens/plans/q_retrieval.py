@@ -658,3 +658,72 @@ def q_unrelated_parts(spark, sf):
     out, cache = _diagnosis(spark, sf)
     qp = R.quote_part_list(shape(spark, sf, "quote_parts", cache))
     return R.unrelated_parts(qp, out["symptoms"], out["match_docs"])
+
+
+# --- evidence texts -------------------------------------------------------------------------------------
+
+SRC_LABEL_SQL = (
+    "CASE " + NS.format(x="coalesce({c}, '')") + " WHEN 'hyundai_model_pdf' THEN '현대 차종 정비지침' WHEN 'common' THEN '일반 정비 지침' "
+    "ELSE CASE WHEN length(" + NS.format(x="coalesce({c}, '')") + ") > 0 THEN " + NS.format(x="coalesce({c}, '')") + " ELSE '문서 근거' END END"
+)
+EVJ_SQL = ", evd AS (SELECT ev.*, d.document_source, d.system_category, d.repair_parts, d.evidence_text, d.symptom_text AS doc_symptom_text FROM ev JOIN repair_doc d ON d.id = ev.doc_id) "
+
+
+@register(
+    "evidence_rows",
+    retrieval_sql() + ", " + VAL_SQL + DIAG_SQL + EVJ_SQL
+    + ", x AS (SELECT e.*, s.symptom_text AS rs, " + SRC_LABEL_SQL.format(c="e.document_source") + " AS lbl, "
+    + NS.format(x="coalesce(e.system_category, '')") + " AS cat, " + NS.format(x="coalesce(e.repair_parts, '')") + " AS rp, "
+    + "CASE WHEN length(" + NS.format(x="coalesce(e.evidence_text, '')") + ") <= 120 THEN " + NS.format(x="coalesce(e.evidence_text, '')")
+    + " ELSE concat(rtrim(substr(" + NS.format(x="coalesce(e.evidence_text, '')") + ", 1, 119)), '…') END AS ex "
+    "FROM evd e JOIN symv s ON s.estimate_id = e.estimate_id AND s.symptom_no = e.symptom_no) "
+    "SELECT estimate_id, symptom_no, evidence_no, concat('증상', CAST(symptom_no AS VARCHAR), '-근거', CAST(evidence_no AS VARCHAR)) AS tag, "
+    + NS.format(x="rs") + " AS related_symptom, " + NS.format(x="coalesce(document_source, '')") + " AS source_code, lbl AS source_label, "
+    "cat AS system_category, doc_id, " + NS.format(x="coalesce(doc_symptom_text, '')") + " AS document_symptom_text, rp AS repair_parts, ex AS evidence_excerpt, "
+    "concat(CASE WHEN length(ex) > 0 THEN ex ELSE '관련 근거 문구 요약 없음' END, CASE WHEN length(rp) > 0 THEN concat(' (예상 정비항목: ', rp, ')') ELSE '' END) AS description, "
+    "concat(" + NS.format(x="rs") + ", ' 증상 판단에 참고한 ', lbl, CASE WHEN length(cat) > 0 THEN concat(' (', cat, ')') ELSE '' END, ' 문서 근거입니다.') AS why_used FROM x",
+)
+def q_evidence_rows(spark, sf):
+    out, _ = _diagnosis(spark, sf)
+    return R.evidence_rows(out["evidence"], out["symptoms"])
+
+
+@register(
+    "report_evidence_rows",
+    retrieval_sql() + ", " + VAL_SQL + DIAG_SQL + EVJ_SQL
+    + "SELECT e.estimate_id, e.symptom_no, e.evidence_no, s.symptom_text, coalesce(e.document_source, '') AS document_source, "
+    "CASE WHEN length(coalesce(e.evidence_text, '')) > 70 THEN concat(substr(e.evidence_text, 1, 70), '…') ELSE coalesce(e.evidence_text, '') END AS evidence_short "
+    "FROM evd e JOIN symv s ON s.estimate_id = e.estimate_id AND s.symptom_no = e.symptom_no WHERE e.evidence_no <= 2",
+)
+def q_report_evidence_rows(spark, sf):
+    out, _ = _diagnosis(spark, sf)
+    return R.report_evidence_rows(out["evidence"], out["symptoms"])
+
+
+@register(
+    "evidence_prompt",
+    retrieval_sql() + ", " + VAL_SQL + DIAG_SQL + EVJ_SQL
+    + ", ln AS (SELECT estimate_id, symptom_no, string_agg(concat('[', CAST(evidence_no AS VARCHAR), '] source=', coalesce(document_source, ''), ' (', "
+    + SRC_LABEL_SQL.format(c="document_source") + ", ') score=', printf('%.4f', score), ' | system=', coalesce(system_category, ''), "
+    "' | expected=', coalesce(repair_parts, ''), ' | evidence=', coalesce(evidence_text, '')), chr(10) ORDER BY evidence_no) AS lines FROM evd GROUP BY 1, 2), "
+    "bl AS (SELECT p.estimate_id, p.symptom_no, concat('증상', CAST(p.symptom_no AS VARCHAR), ': ', p.symptom_text, chr(10), '직접매칭수: ', "
+    "CAST(p.direct_match_count AS VARCHAR), chr(10), '근거:', chr(10), coalesce(ln.lines, '(없음)')) AS block FROM ps p "
+    "LEFT JOIN ln ON ln.estimate_id = p.estimate_id AND ln.symptom_no = p.symptom_no) "
+    "SELECT estimate_id, string_agg(block, chr(10) || chr(10) ORDER BY symptom_no) AS prompt FROM bl GROUP BY estimate_id",
+)
+def q_evidence_prompt(spark, sf):
+    out, _ = _diagnosis(spark, sf)
+    return R.evidence_prompt(out["evidence"], out["symptoms"])
+
+
+@register(
+    "validation_request",
+    retrieval_sql((1,))
+    + "SELECT f.qid, CAST(to_json(list({'id': d.id, 'candidate_symptom_text': " + NS.format(x="coalesce(d.symptom_text, '')")
+    + ", 'evidence_text': " + NS.format(x="coalesce(d.evidence_text, '')") + ", 'system_category': " + NS.format(x="coalesce(d.system_category, '')")
+    + ", 'document_source': " + NS.format(x="coalesce(d.document_source, '')") + "} ORDER BY f.fused_rank)) AS VARCHAR) AS request "
+    "FROM fu f JOIN repair_doc d ON d.id = f.doc_id GROUP BY f.qid",
+)
+def q_validation_request(spark, sf):
+    queries, vec, lex, fused = _trigram_pipeline(spark, sf, (1,))
+    return R.validation_request(fused, _docs(spark, sf, {}))
