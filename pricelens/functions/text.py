@@ -103,16 +103,19 @@ def _nonempty(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
-def part_no_cascade(raw: Column) -> Column:
+def part_no_cascade(raw: Column, pack: Column | None = None) -> Column:
     """P5: pack pattern, paren code, discontinued-replacement, whole code, first run >= 5."""
     t = F.trim(raw)
-    return F.coalesce(
-        _nonempty(pack_part(t)),
-        _nonempty(F.regexp_extract(t, r"\(([A-Za-z0-9]+)\)", 1)),
-        _nonempty(F.regexp_extract(t, r"단종되어\s*([A-Za-z0-9]+)\s*로", 1)),
-        F.when(t.rlike(r"^[A-Za-z0-9]+$"), t),
-        _nonempty(F.regexp_extract(t, r"([A-Za-z0-9]{5,})", 1)),
+    pk = pack_part(t) if pack is None else pack
+    cands = F.array(
+        pk,
+        F.regexp_extract(t, r"\(([A-Za-z0-9]+)\)", 1),
+        F.regexp_extract(t, r"단종되어\s*([A-Za-z0-9]+)\s*로", 1),
+        F.when(t.rlike(r"^[A-Za-z0-9]+$"), t).otherwise(F.lit("")),
+        F.regexp_extract(t, r"([A-Za-z0-9]{5,})", 1),
     )
+    # first non-empty candidate; each candidate is evaluated once
+    return F.try_element_at(F.filter(cands, lambda c: F.length(c) > 0), F.lit(1))
 
 
 # --- vehicle keys (conform job) ------------------------------------------------------
