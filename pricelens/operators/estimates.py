@@ -391,3 +391,38 @@ def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: Data
     for c in closings:
         out = out.unionByName(c)
     return out
+
+
+# --- estimate JSON (P39, G4) -------------------------------------------------------------------
+
+ESTIMATE_JSON_SCHEMA = (
+    "car_type string, car_mileage string, service_finish_at string, "
+    "parts array<struct<name: string, unit_price: string>>, labor array<struct<repair_content: string, tech_fee: string>>"
+)
+
+
+def _amount(c: Column) -> Column:
+    """'12,000' -> 12000; missing -> 0; not a number -> null."""
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.replace(c, F.lit(","), F.lit("")).try_cast("int"))
+
+
+def estimate_rows(payloads: DataFrame, id_col: str, json_col: str, customer_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed estimate JSON -> (header rows, part rows, labor rows); items numbered from 1.
+
+    Rejecting ids that already exist is a ``left_anti`` join of ``payloads`` with the stored
+    estimates before this call (J7)."""
+    j = payloads.select(F.col(id_col).alias("estimate_id"), F.from_json(F.col(json_col), ESTIMATE_JSON_SCHEMA).alias("j"))
+    header = j.select(
+        F.col("estimate_id").alias("id"),
+        (customer_id if customer_id is not None else F.lit(None).cast("string")).alias("customer_id"),
+        F.col("j.car_type").alias("car_type"),
+        F.when(F.col("j.car_mileage").isNull(), F.lit(0)).otherwise(F.col("j.car_mileage").try_cast("int")).alias("car_mileage"),
+        F.col("j.service_finish_at").alias("service_finish_at"),
+    )
+    parts = j.select("estimate_id", F.posexplode(F.coalesce(F.col("j.parts"), F.array())).alias("pos", "p")).select(
+        "estimate_id", (F.col("pos") + 1).alias("no"), F.col("p.name").alias("part_official_name"), _amount(F.col("p.unit_price")).alias("unit_price")
+    )
+    labor = j.select("estimate_id", F.posexplode(F.coalesce(F.col("j.labor"), F.array())).alias("pos", "l")).select(
+        "estimate_id", (F.col("pos") + 1).alias("no"), F.col("l.repair_content").alias("repair_content"), _amount(F.col("l.tech_fee")).alias("tech_fee")
+    )
+    return header, parts, labor

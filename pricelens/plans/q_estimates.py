@@ -286,3 +286,49 @@ def q_early_cycle_report(spark, sf):
 def q_inquiry_text(spark, sf):
     checked = _checked(spark, sf)
     return E.inquiry_text(_priced(spark, sf), checked, E.cycle_issues(checked))
+
+
+# --- estimate JSON -----------------------------------------------------------------------------------------
+
+_EST_JSON = (
+    "concat('{\"car_type\":\"', event_type, '\",\"car_mileage\":', CAST(CAST(floor(value * 1000) AS BIGINT) AS STRING), "
+    "',\"service_finish_at\":\"', CAST(CAST(ts AS DATE) AS STRING), '\",\"parts\":[{\"name\":\"p', CAST(user_id AS STRING), "
+    "'\",\"unit_price\":\"1', ',', lpad(CAST(event_id % 1000 AS STRING), 3, '0'), '\"}', "
+    "CASE WHEN event_id % 2 = 0 THEN ',{\"name\":\"q\"}' ELSE '' END, '],\"labor\":[{\"repair_content\":\"oil\",\"tech_fee\":', "
+    "CAST(event_id % 50000 AS STRING), '}', CASE WHEN event_id % 3 = 0 THEN ',{\"repair_content\":\"pad\",\"tech_fee\":\"2,500\"}' ELSE '' END, ']}')"
+)
+
+
+def _payloads(spark, sf):
+    from pricelens.sources.tables import read_table
+
+    return read_table(spark, sf, "events").select("event_id", F.expr(_EST_JSON).alias("payload"))
+
+
+@register(
+    "estimate_rows",
+    "WITH p AS (SELECT event_id, CAST(" + _EST_JSON.replace("AS STRING", "AS VARCHAR") + " AS JSON) AS js FROM events) "
+    "SELECT event_id AS id, json_extract_string(js, '$.car_type') AS car_type, "
+    "CASE WHEN json_extract_string(js, '$.car_mileage') IS NULL THEN 0 ELSE TRY_CAST(json_extract_string(js, '$.car_mileage') AS INTEGER) END AS car_mileage, "
+    "json_extract_string(js, '$.service_finish_at') AS service_finish_at FROM p",
+)
+def q_estimate_rows(spark, sf):
+    header, _, _ = E.estimate_rows(_payloads(spark, sf), "event_id", "payload")
+    return header.select("id", "car_type", "car_mileage", "service_finish_at")
+
+
+@register(
+    "estimate_items",
+    "WITH p AS (SELECT event_id, CAST(" + _EST_JSON.replace("AS STRING", "AS VARCHAR") + " AS JSON) AS js FROM events), "
+    "pa AS (SELECT event_id, unnest(json_extract(js, '$.parts[*]')) AS it, generate_subscripts(json_extract(js, '$.parts[*]'), 1) AS no FROM p), "
+    "la AS (SELECT event_id, unnest(json_extract(js, '$.labor[*]')) AS it, generate_subscripts(json_extract(js, '$.labor[*]'), 1) AS no FROM p) "
+    "SELECT event_id AS estimate_id, 'part' AS kind, CAST(no AS INTEGER) AS no, json_extract_string(it, '$.name') AS item, "
+    "CASE WHEN json_extract_string(it, '$.unit_price') IS NULL THEN 0 ELSE TRY_CAST(replace(json_extract_string(it, '$.unit_price'), ',', '') AS INTEGER) END AS amount FROM pa "
+    "UNION ALL SELECT event_id, 'labor', CAST(no AS INTEGER), json_extract_string(it, '$.repair_content'), "
+    "CASE WHEN json_extract_string(it, '$.tech_fee') IS NULL THEN 0 ELSE TRY_CAST(replace(json_extract_string(it, '$.tech_fee'), ',', '') AS INTEGER) END FROM la",
+)
+def q_estimate_items(spark, sf):
+    _, parts, labor = E.estimate_rows(_payloads(spark, sf), "event_id", "payload")
+    return parts.select("estimate_id", F.lit("part").alias("kind"), "no", F.col("part_official_name").alias("item"), F.col("unit_price").alias("amount")).unionByName(
+        labor.select("estimate_id", F.lit("labor").alias("kind"), "no", F.col("repair_content").alias("item"), F.col("tech_fee").alias("amount"))
+    )

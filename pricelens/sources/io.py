@@ -202,3 +202,49 @@ def compact_parts(spark: SparkSession, parts_dir: str, out_dir: str, columns: Se
         raise FileNotFoundError(f"no .csv parts under {parts_dir}")
     df.coalesce(n_files).write.mode("overwrite").option("header", "true").option("escape", '"').csv(out_dir)
     return spark.read.option("header", "true").option("escape", '"').schema(all_string_schema(columns)).csv(out_dir)
+
+
+def resolve_run_paths(base_dir: str, base_run: str, retry_run: str | None = None) -> list[str]:
+    """The inputs of one date: the base run, plus the retry run when its id differs."""
+    paths = [f"{base_dir.rstrip('/')}/{base_run}"]
+    if retry_run and retry_run != base_run:
+        paths.append(f"{base_dir.rstrip('/')}/{retry_run}")
+    return paths
+
+
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[str]:
+    """Data files under ``root`` (recursive), by path - a metadata listing, no data read."""
+    p, fs = _hadoop_fs(spark, root)
+    out = []
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next().getPath()
+        if f.getName().lower().endswith(suffix):
+            out.append(f.toUri().getPath())
+    return out
+
+
+def gate_empty_output(spark: SparkSession, root: str) -> tuple[int, int, bool]:
+    """Files with no data row (a header alone counts as empty) are deleted; returns
+    (files_with_data, files_deleted, has_data).  Row counts per file come from one
+    distributed aggregate; only file names reach the driver."""
+    from urllib.parse import urlparse
+
+    files = list_files(spark, root)
+    if not files:
+        return 0, 0, False
+    df = spark.read.option("header", "true").option("escape", '"').csv(files)
+    with_data = {urlparse(r["file"]).path for r in rows_per_file(df).where(F.col("n_rows") > 0).select("file").collect()}
+    deleted = 0
+    for f in files:
+        if f not in with_data:
+            p, fs = _hadoop_fs(spark, f)
+            fs.delete(p, False)
+            deleted += 1
+    return len(with_data), deleted, len(with_data) > 0
