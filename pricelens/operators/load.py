@@ -51,10 +51,11 @@ def upsert_mart(existing: DataFrame, staged: DataFrame, ds: str, order: str | No
     any deterministic choice: the greatest prices).
     """
     cols = existing.columns
-    staged = staged.select(*cols)
     if order is not None:
-        staged_one = last_write_wins(staged.withColumn("_seq", F.col(order)), key, "_seq").drop("_seq").select(*cols)
+        ordered = staged.select(*cols, F.col(order).alias("_seq"))
+        staged_one = last_write_wins(ordered, key, "_seq").select(*cols)
     else:
+        staged = staged.select(*cols)
         staged_one = last_write_wins(staged, key, [c for c in cols if c not in key]).select(*cols)
     kept = retention(existing, ds).join(staged_one.select(*key), list(key), "left_anti").select(*cols)
     return kept.unionByName(staged_one)
