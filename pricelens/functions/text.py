@@ -271,7 +271,8 @@ def source_label(c: Column) -> Column:
 
 def consumable_flag(part: Column) -> Column:
     """normalized part name contains any consumable keyword."""
-    return _contains_any(norm_part(part), CONSUMABLE_PART_KEYWORDS)
+    # bound once: a pushed-down filter gets no common-subexpression elimination
+    return let(norm_part(part), lambda k: _contains_any(k, CONSUMABLE_PART_KEYWORDS))
 
 
 def flat_text(c: Column) -> Column:

@@ -317,9 +317,12 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
     lists = cut_lineage(vec.withColumn("list", F.lit("v")).unionByName(lex.withColumn("list", F.lit("l"))))
     vec = lists.where(F.col("list") == "v").drop("list")
     lex = lists.where(F.col("list") == "l").drop("list")
-    cands = fuse_rankings(vec, lex, TOP_K, fetch_k)
+    # the fused candidates, the pass statistics and the kept documents are small (<= 20,
+    # 3 and 5 rows per query) and each feeds several consumers: cut lineage once each
+    cands = cut_lineage(fuse_rankings(vec, lex, TOP_K, fetch_k))
     validation = None if validation_fn is None else validation_fn(cands)
     stats, kept = select_pass(cands, queries, validation)
+    stats, kept = cut_lineage(stats), cut_lineage(kept)
 
     doc_fields = docs.select(
         F.col("id").cast("long").alias("doc_id"), "document_source", "vehicle_model", F.col("symptom_text").alias("doc_symptom_text"),
@@ -341,7 +344,7 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
         "estimate_id", "symptom_no", "doc_id", "score", F.lit(0.0).alias("similarity_score"), F.col("fused_rank").alias("kept_rank")
     )
     match = merged.withColumn("is_fallback", F.lit(False)).unionByName(fb.withColumn("is_fallback", F.lit(True)))
-    match = match.join(doc_fields, "doc_id", "left")
+    match = cut_lineage(match.join(doc_fields, "doc_id", "left"))
     ev_w = Window.partitionBy("estimate_id", "symptom_no").orderBy("kept_rank")
     evidence = (
         match.where(F.col("score") >= MIN_EVIDENCE_SCORE)
@@ -380,6 +383,7 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
             F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"),
         )
     )
+    per_symptom = cut_lineage(per_symptom)
     return {"candidates": cands, "passes": stats, "symptoms": per_symptom, "match_docs": match, "evidence": evidence}
 
 
