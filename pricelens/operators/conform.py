@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.similarity import containment, sequence_ratio, token_jaccard
 from pricelens.functions.text import base_name, default_vehicle, norm_text, token_set
 from pricelens.operators.broadcast import checked_broadcast
+from pricelens.session import cut_lineage
 
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -100,44 +101,51 @@ def candidate_pairs(raw: DataFrame, feats: DataFrame) -> DataFrame:
 
 
 def score_pairs(raw: DataFrame, feats: DataFrame) -> DataFrame:
-    """Per candidate pair: ratio, jaccard, containment, score, keyword match length, base ratio."""
+    """Per candidate pair: ratio, jaccard, containment, score and keyword match length."""
     pairs = candidate_pairs(raw, feats).join(raw, "raw").join(checked_broadcast(feats, MAX_BROADCAST_CANONICAL_ROWS), "canonical_name")
-    ratio = sequence_ratio(F.col("r_norm"), F.col("c_norm"))
     kw_len = F.aggregate(
         F.filter(F.col("c_keywords"), lambda k: F.instr(F.col("r_norm"), k) > 0),
         F.lit(0),
         lambda acc, k: F.greatest(acc, F.length(k)),
     )
     return pairs.select(
-        "raw", "canonical_name", "idx",
-        ratio.alias("ratio"),
+        "raw", "canonical_name", "idx", "r_norm", "c_base_norm",
+        sequence_ratio(F.col("r_norm"), F.col("c_norm")).alias("ratio"),
         token_jaccard(F.col("r_tokens"), F.col("c_tokens")).alias("jaccard"),
         containment(F.col("r_norm"), F.col("c_norm")).alias("contains"),
         kw_len.alias("kw_len"),
-        F.when(kw_len > 0, sequence_ratio(F.col("r_norm"), F.col("c_base_norm"))).alias("base_ratio"),
     ).withColumn("score", W_RATIO * F.col("ratio") + W_JACCARD * F.col("jaccard") + W_CONTAINS * F.col("contains"))
 
 
 def match_vehicles(raw_values: DataFrame, canonical: DataFrame) -> DataFrame:
     """Distinct raw strings (column ``raw``) -> (raw, canonical, score, method)."""
     feats = canonical_features(canonical)
-    raw = raw_values.select("raw").distinct().select(
-        "raw",
-        special_value(F.col("raw")).alias("special"),
-        norm_text(F.col("raw")).alias("r_norm"),
-        token_set(F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "")).alias("r_tokens"),
+    # distinct spellings are few next to the rows and feed three consumers: cut lineage once
+    raw = cut_lineage(
+        raw_values.select("raw").distinct().select(
+            "raw",
+            special_value(F.col("raw")).alias("special"),
+            norm_text(F.col("raw")).alias("r_norm"),
+            token_set(F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "")).alias("r_tokens"),
+        )
     )
     to_match = raw.where(F.col("special").isNull()).select("raw", "r_norm", "r_tokens")
-    scored = score_pairs(to_match, feats)
+    scored = cut_lineage(score_pairs(to_match, feats))
     best = scored.groupBy("raw").agg(
         F.max_by(F.struct("canonical_name", "score"), F.struct(F.col("score"), (-F.col("idx")).alias("i"))).alias("b"),
-        F.max_by(
-            F.col("canonical_name"),
-            F.when(F.col("kw_len") > 0, F.struct(F.col("kw_len"), F.col("base_ratio"), (-F.col("idx")).alias("i"))),
-        ).alias("kw"),
+    )
+    # keyword fallback only for names below the acceptance score; the ratio to the base
+    # name is computed for their keyword-matching candidates alone
+    low = best.where(F.col("b.score") < ACCEPT_SCORE).select("raw")
+    kw_pairs = scored.where(F.col("kw_len") > 0).join(low, "raw", "left_semi").withColumn(
+        "base_ratio", sequence_ratio(F.col("r_norm"), F.col("c_base_norm"))
+    )
+    kw = kw_pairs.groupBy("raw").agg(
+        F.max_by(F.col("canonical_name"), F.struct(F.col("kw_len"), F.col("base_ratio"), (-F.col("idx")).alias("i"))).alias("kw")
     )
     matched = (
         raw.join(best, "raw", "left")
+        .join(kw, "raw", "left")
         .select(
             "raw",
             F.coalesce(
