@@ -58,9 +58,10 @@ def cover_density(doc_tokens: list[str], query_terms: list[str]) -> float:
     return total
 
 
-def trigram_jaccard_matrix(q_sets: list[set[str]], d_sets: list[set[str]]) -> np.ndarray:
+def trigram_jaccard_matrix(q_sets: list[set[str]], d_sets: list[set[str]], chunk: int = 512) -> np.ndarray:
     """|Q_i n D_j| / |Q_i u D_j| for all pairs of one block, via a vocabulary of the
-    query trigrams (document trigrams outside it only count towards |D_j|)."""
+    query trigrams (document trigrams outside it only count towards |D_j|).  Documents are
+    processed in chunks so the dense indicator matrix stays bounded."""
     vocab: dict[str, int] = {}
     for s in q_sets:
         for g in s:
@@ -70,15 +71,18 @@ def trigram_jaccard_matrix(q_sets: list[set[str]], d_sets: list[set[str]]) -> np
     for i, s in enumerate(q_sets):
         if s:
             qm[i, [vocab[g] for g in s]] = 1.0
-    dm = np.zeros((nd, v), dtype=np.float32)
-    for j, s in enumerate(d_sets):
-        if len(s) > len(vocab):
-            hit = [idx for g, idx in vocab.items() if g in s]
-        else:
-            hit = [vocab[g] for g in s if g in vocab]
-        if hit:
-            dm[j, hit] = 1.0
-    inter = qm @ dm.T
+    inter = np.zeros((nq, nd), dtype=np.float64)
+    for start in range(0, nd, chunk):
+        part = d_sets[start : start + chunk]
+        dm = np.zeros((len(part), v), dtype=np.float32)
+        for j, s in enumerate(part):
+            if len(s) > len(vocab):
+                hit = [idx for g, idx in vocab.items() if g in s]
+            else:
+                hit = [vocab[g] for g in s if g in vocab]
+            if hit:
+                dm[j, hit] = 1.0
+        inter[:, start : start + len(part)] = qm @ dm.T
     qs = np.array([len(s) for s in q_sets], dtype=np.float64)[:, None]
     ds = np.array([len(s) for s in d_sets], dtype=np.float64)[None, :]
     union = qs + ds - inter

@@ -169,14 +169,14 @@ def _doc_cols(docs: DataFrame, with_text: bool, with_vec: bool) -> DataFrame:
     return docs.select(*cols)
 
 
-def vector_list(queries: DataFrame, docs: DataFrame, k: int, doc_blocks: int = 8, query_blocks: int = 1) -> DataFrame:
+def vector_list(queries: DataFrame, docs: DataFrame, k: int, doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
     """K2: top-k documents by cosine similarity, null scores last, id tie-break."""
     q = queries.select("qid", "scope", "systems", "qvec")
     return blocked_topk(q, _doc_cols(docs, False, True), "scope", k, vector_scores, doc_blocks, query_blocks)
 
 
 def lexical_list(queries: DataFrame, docs: DataFrame, k: int, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM,
-                 doc_blocks: int = 8, query_blocks: int = 1) -> DataFrame:
+                 doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
     """K1: top-k documents by lexical score (zero scores admitted), id tie-break."""
     q = queries.select("qid", "scope", "systems", "query_text")
     return blocked_topk(q, _doc_cols(docs, True, False), "scope", k, lexical_scorer(w_cover, w_trigram), doc_blocks, query_blocks)
@@ -220,7 +220,7 @@ def pass_queries(symptoms: DataFrame, passes: tuple[int, ...] = (1, 2, 3)) -> Da
 
 
 def hybrid_lists(queries: DataFrame, docs: DataFrame, fetch_k: int, w_cover: float = LEX_W_COVER,
-                 w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int = 8, query_blocks: int = 1) -> tuple[DataFrame, DataFrame]:
+                 w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int | None = None, query_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The vector and lexical top-``fetch_k`` lists for every query row."""
     vec = vector_list(queries, docs, fetch_k, doc_blocks, query_blocks)
     lex = lexical_list(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
@@ -228,7 +228,7 @@ def hybrid_lists(queries: DataFrame, docs: DataFrame, fetch_k: int, w_cover: flo
 
 
 def hybrid_candidates(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K, w_cover: float = LEX_W_COVER,
-                      w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int = 8, query_blocks: int = 1) -> DataFrame:
+                      w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
     """Hybrid retrieval (vector + lexical, fused) for every query row: (qid, doc_id, score, fused_rank, ...)."""
     fetch_k = max(top_k * FETCH_FACTOR, top_k)
     vec, lex = hybrid_lists(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
@@ -299,7 +299,7 @@ def symptom_rows(inputs: DataFrame, text_col: str = "symptom_text_raw") -> DataF
     ).withColumn("symptom_no", F.col("symptom_no") + 1)
 
 
-def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, doc_blocks: int = 8, query_blocks: int = 1,
+def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, doc_blocks: int | None = None, query_blocks: int | None = None,
                       w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
     """The per-symptom retrieval diagnosis for all symptoms.
 

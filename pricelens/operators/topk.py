@@ -1,11 +1,15 @@
 """Exact per-query top-k over a scoped document set, without materializing query x doc rows.
 
-Documents are split into ``doc_blocks`` salt blocks per scope key (so a scope holding a
-third of all documents is spread over many tasks) and queries into ``query_blocks``;
+Documents are split into salt blocks per scope key and queries into blocks per scope;
 each (scope, doc block, query block) cell meets in one ``cogroup`` task, whose pandas
 function scores the cell with vectorized numpy and emits only that cell's top-k per
 query.  A final window over at most ``doc_blocks * k`` rows per query keeps the global
 top-k.  Order: score descending, null scores last, then document id ascending.
+
+Block counts are sized *per scope* from the data: a scope holding a third of all
+documents gets proportionally more blocks (``ceil(docs / docs_per_block)``), so no task
+ever holds more than about ``docs_per_block`` documents and ``queries_per_block``
+queries.  The per-scope counts are a small aggregate joined back (one row per scope).
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT_SCHEMA = "qid string, doc_id long, score double"
+DOCS_PER_BLOCK = 1000
+QUERIES_PER_BLOCK = 1000
 
 # scorer(queries_pdf, docs_pdf) -> float matrix (n_queries x n_docs), NaN = null score,
 # -inf = document out of the query's scope (never returned)
@@ -45,24 +51,47 @@ def _local_topk(scores: np.ndarray, doc_ids: np.ndarray, k: int) -> tuple[np.nda
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def _block_counts(df: DataFrame, scope: str, per_block: int, name: str) -> DataFrame:
+    return df.groupBy(scope).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_block)).cast("int").alias(name))
+
+
 def blocked_topk(
     queries: DataFrame,
     docs: DataFrame,
     scope: str,
     k: int,
     scorer: Scorer,
-    doc_blocks: int = 8,
-    query_blocks: int = 1,
+    doc_blocks: int | None = None,
+    query_blocks: int | None = None,
+    docs_per_block: int = DOCS_PER_BLOCK,
+    queries_per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
     """``queries`` needs ``qid`` (string) and ``scope``; ``docs`` needs ``doc_id`` (long) and ``scope``.
 
-    Returns (qid, doc_id, score, rank) with rank 1..k per query.
+    ``doc_blocks`` / ``query_blocks`` fix the block counts for every scope; left as None
+    they are sized per scope from the data.  Returns (qid, doc_id, score, rank), rank 1..k.
     """
-    d = docs.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    if doc_blocks is None:
+        nd = _block_counts(docs, scope, docs_per_block, "_nd")
+    else:
+        nd = docs.select(scope).distinct().withColumn("_nd", F.lit(doc_blocks))
+    if query_blocks is None:
+        nq = _block_counts(queries, scope, queries_per_block, "_nq")
+    else:
+        nq = queries.select(scope).distinct().withColumn("_nq", F.lit(query_blocks))
+    blocks = nd.join(nq, scope, "inner")  # one row per scope present on both sides
+
+    d = (
+        docs.join(blocks, scope, "inner")
+        .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")).cast("int"))
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+        .drop("_nd", "_nq")
     )
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(query_blocks))).withColumn(
-        "_db", F.explode(F.sequence(F.lit(0), F.lit(doc_blocks - 1)))
+    q = (
+        queries.join(blocks, scope, "inner")
+        .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int"))
+        .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
+        .drop("_nd", "_nq")
     )
 
     def cell(_key, qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:

@@ -134,7 +134,7 @@ def _trigram_pipeline(spark, sf, passes=(1, 2, 3), top=20):
     docs = _docs(spark, sf, cache)
     queries = R.pass_queries(_symptoms(spark, sf, cache), passes)
     fetch = max(top * 4, top)
-    vec, lex = R.hybrid_lists(queries, docs, fetch, w_cover=0.0, w_trigram=R.LEX_W_TRIGRAM, doc_blocks=4)
+    vec, lex = R.hybrid_lists(queries, docs, fetch, w_cover=0.0, w_trigram=R.LEX_W_TRIGRAM)
     return queries, vec, lex, R.fuse_rankings(vec, lex, top, fetch)
 
 
@@ -397,14 +397,14 @@ def q_retrieval_scope(spark, sf):
 def q_cosine_topk(spark, sf):
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.vector_list(queries, _docs(spark, sf, cache), 3, doc_blocks=4).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.vector_list(queries, _docs(spark, sf, cache), 3).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register("topk_vector", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM vl")
 def q_topk_vector(spark, sf):
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    v = R.vector_list(queries, _docs(spark, sf, cache), 80, doc_blocks=4)
+    v = R.vector_list(queries, _docs(spark, sf, cache), 80)
     return v.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -419,7 +419,7 @@ def q_topk_lexical(spark, sf):
     """K1 with the full lexical score (cover density + trigram); rows-only, brute-force tested."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, _docs(spark, sf, cache), 80, doc_blocks=4).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.lexical_list(queries, _docs(spark, sf, cache), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("lexical_score")
@@ -427,7 +427,7 @@ def q_lexical_score(spark, sf):
     """R2: full lexical scores of the top 5 documents per symptom (rows-only)."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, _docs(spark, sf, cache), 5, doc_blocks=4).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.lexical_list(queries, _docs(spark, sf, cache), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(
@@ -587,7 +587,7 @@ def _diagnosis(spark, sf):
     docs = _docs(spark, sf, cache)
     sym = _symptoms(spark, sf, cache)
     queries = R.pass_queries(sym, (1, 2, 3))
-    out = R.diagnose_symptoms(sym, docs, _validation(queries), doc_blocks=4, w_cover=0.0)
+    out = R.diagnose_symptoms(sym, docs, _validation(queries), w_cover=0.0)
     return out, cache
 
 

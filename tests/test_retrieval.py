@@ -117,3 +117,15 @@ def test_blocked_lexical_topk_equals_brute_force(spark):
             cand.append((-s, d[0]))
         want = [c[1] for c in sorted(cand)[:5]]
         assert [d for _, d, _ in sorted(got[qid])] == want
+
+
+def test_data_sized_blocks_equal_fixed_blocks(spark):
+    from pricelens.operators.topk import blocked_topk
+
+    docs, qs, ddf, qdf = _docs_and_queries(spark, n_docs=90, n_q=7)
+    d = ddf.select(F.col("id").alias("doc_id"), F.col("vehicle_model").alias("scope"), "system_category", F.col("symptom_embedding").alias("embedding"))
+    q = qdf.select("qid", "scope", "systems", "qvec")
+    small = blocked_topk(q, d, "scope", 6, R.vector_scores, docs_per_block=7, queries_per_block=2)
+    fixed = blocked_topk(q, d, "scope", 6, R.vector_scores, doc_blocks=1, query_blocks=1)
+    key = lambda rows: sorted((r["qid"], r["rank"], r["doc_id"]) for r in rows)
+    assert key(small.collect()) == key(fixed.collect())
