@@ -69,12 +69,14 @@ SHAPES: dict[str, str] = {
         "CAST(floor(l_extendedprice) AS INT) AS tech_fee "
         "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
     ),
+    # labor standards per (work type, vehicle, year) that occur in the line items: yearly
+    # windows, some years without a change cycle (a join, not a cross product)
     "labor_master": (
-        "SELECT p_type AS repair_content, car_type, make_date(y, 1, 1) AS start_date, "
+        "SELECT repair_content, car_type, make_date(y, 1, 1) AS start_date, "
         "make_date(y, 12, 31) AS end_date, CAST(1.0 + (y % 3) * 0.5 AS DOUBLE) AS standard_repair_time, "
         "20000 AS hour_labor_rate, CASE WHEN y % 2 = 0 THEN 20000 END AS change_cycle "
-        "FROM (SELECT DISTINCT p_type FROM {part}) t1 CROSS JOIN "
-        "(SELECT DISTINCT o_orderpriority AS car_type, CAST(year(o_orderdate) AS INT) AS y FROM {orders}) t2"
+        "FROM (SELECT DISTINCT p_type AS repair_content, o_orderpriority AS car_type, CAST(year(o_orderdate) AS INT) AS y "
+        "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey) t"
     ),
     "ledger": (
         "SELECT concat('src', CAST(user_id % 3 AS STRING)) AS source, CAST(ts AS DATE) AS dt, "
