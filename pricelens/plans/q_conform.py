@@ -100,7 +100,7 @@ def q_token_jaccard(spark, sf):
 @register(
     "token_setops",
     V + f", x AS (SELECT l_orderkey, l_linenumber, {TOKENS_SQL.format(x='car_type')} AS a, {TOKENS_SQL.format(x='intended')} AS b FROM vehicle_cells) "
-    "SELECT l_orderkey, l_linenumber, len(list_intersect(a, b)) AS n_inter, len(list_distinct(a || b)) AS n_union FROM x",
+    "SELECT l_orderkey, l_linenumber, CAST(len(list_intersect(a, b)) AS INTEGER) AS n_inter, CAST(len(list_distinct(a || b)) AS INTEGER) AS n_union FROM x",
 )
 def q_token_setops(spark, sf):
     a, b = token_set(F.col("car_type")), token_set(F.col("intended"))
@@ -112,7 +112,7 @@ def q_token_setops(spark, sf):
 @register(
     "containment",
     V + f", x AS (SELECT l_orderkey, l_linenumber, {NORM_SQL.format(x='car_type')} AS a, {NORM_SQL.format(x='intended')} AS b FROM vehicle_cells) "
-    "SELECT l_orderkey, l_linenumber, CASE WHEN contains(b, a) OR contains(a, b) THEN 1.0 ELSE 0.0 END AS contains FROM x",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN contains(b, a) OR contains(a, b) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS contains FROM x",
 )
 def q_containment(spark, sf):
     c = containment(norm_text(F.col("car_type")), norm_text(F.col("intended")))

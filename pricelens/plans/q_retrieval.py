@@ -111,13 +111,13 @@ PAIRS_SQL = (
     "AND (len(q.systems) = 0 OR list_contains(q.systems, d.system_category)))"
 )
 LISTS_SQL = (
-    "vl AS (SELECT * FROM (SELECT qid, doc_id, vscore AS score, row_number() OVER (PARTITION BY qid ORDER BY vscore DESC NULLS LAST, doc_id) AS rank FROM pairs) WHERE rank <= {fetch}), "
-    "ll AS (SELECT * FROM (SELECT qid, doc_id, lscore AS score, row_number() OVER (PARTITION BY qid ORDER BY lscore DESC, doc_id) AS rank FROM pairs) WHERE rank <= {fetch}), "
+    "vl AS (SELECT * FROM (SELECT qid, doc_id, vscore AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY vscore DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= {fetch}), "
+    "ll AS (SELECT * FROM (SELECT qid, doc_id, lscore AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY lscore DESC, doc_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= {fetch}), "
     "fu0 AS (SELECT coalesce(v.qid, l.qid) AS qid, coalesce(v.doc_id, l.doc_id) AS doc_id, v.rank AS vrank, l.rank AS lrank, "
     "CASE WHEN v.rank IS NOT NULL THEN 1.0 / (60.0 + v.rank) ELSE 0.0 END AS vector_rrf, CASE WHEN l.rank IS NOT NULL THEN 1.0 / (60.0 + l.rank) ELSE 0.0 END AS lexical_rrf "
     "FROM vl v FULL OUTER JOIN ll l ON v.qid = l.qid AND v.doc_id = l.doc_id), "
-    "fu AS (SELECT * FROM (SELECT *, vector_rrf + lexical_rrf AS score, row_number() OVER (PARTITION BY qid ORDER BY vector_rrf + lexical_rrf DESC, "
-    "coalesce(vrank, lrank + {fetch})) AS fused_rank FROM fu0) WHERE fused_rank <= {top})"
+    "fu AS (SELECT * FROM (SELECT *, vector_rrf + lexical_rrf AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY vector_rrf + lexical_rrf DESC, "
+    "coalesce(vrank, lrank + {fetch})) AS INTEGER) AS fused_rank FROM fu0) WHERE fused_rank <= {top})"
 )
 
 
@@ -336,7 +336,7 @@ def q_trigram_similarity(spark, sf):
     CTE + ", r AS (SELECT id, document_source, CASE WHEN id % 9 = 0 THEN 'common' ELSE vehicle_model END AS vehicle_model, "
     "CASE WHEN id % 9 = 0 THEN 'same' ELSE symptom_text END AS symptom_text, system_category, CASE WHEN id % 9 = 0 THEN 'p' ELSE repair_parts END AS repair_parts, "
     "CASE WHEN id % 9 = 0 THEN 'e' ELSE evidence_text END AS evidence_text FROM repair_doc) "
-    "SELECT min(id) AS id, vehicle_model, symptom_text, repair_parts, length(evidence_text) AS evidence_len FROM r "
+    "SELECT min(id) AS id, vehicle_model, symptom_text, repair_parts, CAST(length(evidence_text) AS INTEGER) AS evidence_len FROM r "
     "GROUP BY vehicle_model, symptom_text, repair_parts, evidence_text",
 )
 def q_unique_docs(spark, sf):
@@ -454,7 +454,7 @@ def q_topk_fused(spark, sf):
 @register(
     "keyword_boost",
     retrieval_sql((1,)) + ", kq AS (SELECT qid, list_distinct(" + KW.format(x="query_text") + ") AS kws FROM q) "
-    "SELECT f.qid, f.doc_id, len(list_filter(kq.kws, lambda k: contains(" + NS.format(x="coalesce(d.symptom_text, '')") + ", k))) AS keyword_hits "
+    "SELECT f.qid, f.doc_id, CAST(len(list_filter(kq.kws, lambda k: contains(" + NS.format(x="coalesce(d.symptom_text, '')") + ", k))) AS INTEGER) AS keyword_hits "
     "FROM fu f JOIN kq ON kq.qid = f.qid JOIN repair_doc d ON d.id = f.doc_id",
 )
 def q_keyword_boost(spark, sf):
@@ -473,7 +473,7 @@ VAL_SQL = (
     "CAST((q.estimate_id * 7 + q.symptom_no * 13 + f.doc_id * 31) % 100 AS DOUBLE) / 100 - CASE WHEN q.estimate_id % 4 = q.pass - 1 THEN 0.0 ELSE 0.3 END AS similarity_score, "
     "(f.doc_id % 4 <> 1) AS ext_keep FROM fu f JOIN q ON q.qid = f.qid), "
     "att AS (SELECT *, ext_keep AND similarity_score >= 0.72 AS keep FROM val), "
-    "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity_score DESC, score DESC, fused_rank) AS kept_rank "
+    "kept AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity_score DESC, score DESC, fused_rank) AS INTEGER) AS kept_rank "
     "FROM att WHERE keep) WHERE kept_rank <= 5), "
     "st AS (SELECT q.qid, q.estimate_id, q.symptom_no, q.pass, (SELECT count(*) FROM fu WHERE fu.qid = q.qid) AS candidate_count, "
     "(SELECT count(*) FROM kept WHERE kept.qid = q.qid) AS kept_count, coalesce((SELECT avg(similarity_score) FROM kept WHERE kept.qid = q.qid), 0.0) AS avg_similarity_score FROM q), "
@@ -559,10 +559,10 @@ DIAG_SQL = (
     "CASE WHEN v.rank IS NOT NULL THEN 1.0 / (60.0 + v.rank) ELSE 0.0 END + CASE WHEN l.rank IS NOT NULL THEN 1.0 / (60.0 + l.rank) ELSE 0.0 END AS score "
     "FROM vl20 v FULL OUTER JOIN ll20 l ON v.qid = l.qid AND v.doc_id = l.doc_id), "
     "fb AS (SELECT q.estimate_id, q.symptom_no, f.doc_id, f.score, 0.0 AS similarity_score, f.kept_rank, true AS is_fallback FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coalesce(vrank, lrank + 20)) AS kept_rank FROM fb0) f JOIN q ON q.qid = f.qid "
+    "(SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, coalesce(vrank, lrank + 20)) AS INTEGER) AS kept_rank FROM fb0) f JOIN q ON q.qid = f.qid "
     "WHERE f.kept_rank <= 5 AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.estimate_id = q.estimate_id AND m.symptom_no = q.symptom_no)), "
     "md AS (SELECT * FROM merged UNION ALL SELECT * FROM fb), "
-    "ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY estimate_id, symptom_no ORDER BY kept_rank) AS evidence_no FROM md WHERE score >= 0.02) WHERE evidence_no <= 3), "
+    "ev AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY estimate_id, symptom_no ORDER BY kept_rank) AS INTEGER) AS evidence_no FROM md WHERE score >= 0.02) WHERE evidence_no <= 3), "
     "cnt AS (SELECT s.estimate_id, s.symptom_no, "
     "coalesce(sum(st2.candidate_count) FILTER (WHERE st2.pass <= least(ch.chosen_pass, 2)), 0) AS used_model_docs, "
     "coalesce(sum(st2.candidate_count) FILTER (WHERE st2.pass = 3 AND ch.chosen_pass = 3), 0) AS used_common_docs "
