@@ -426,9 +426,24 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
         .withColumn("qk", norm_part(F.col("part")))
         .where(F.length("qk") > 0)
     )
-    # containment join keyed by estimate: expected keys of one estimate are few (<= match docs x parts)
-    hit = q.join(expected, "estimate_id").where((F.instr(F.col("qk"), F.col("ek")) > 0) | (F.instr(F.col("ek"), F.col("qk")) > 0))
-    return q.join(hit.select("estimate_id", "part").distinct(), ["estimate_id", "part"], "left_anti").select("estimate_id", "part", "first_no")
+    # containment either way as two equi-joins on (estimate, substring): no quoted x
+    # expected pairs per estimate, however many parts one estimate holds
+    qkeys = q.select("estimate_id", "part", F.col("qk").alias("s"))
+    ekeys = expected.select("estimate_id", F.col("ek").alias("s"))
+    ek_in_qk = _substrings_of_lengths(qkeys, ekeys).join(ekeys, ["estimate_id", "s"], "left_semi").select("estimate_id", "part")
+    qk_in_ek = qkeys.join(_substrings_of_lengths(ekeys, qkeys).select("estimate_id", "s").distinct(), ["estimate_id", "s"], "left_semi")
+    hit = ek_in_qk.unionByName(qk_in_ek.select("estimate_id", "part"))
+    return q.join(hit, ["estimate_id", "part"], "left_anti").select("estimate_id", "part", "first_no")
+
+
+def _substrings_of_lengths(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Every substring of ``rows.s`` whose length is a length of some ``other.s`` in the same
+    estimate (replacing ``s``).  The lengths of one estimate are at most the longest key, so
+    the join with them is bounded by a constant per row, never by the group size."""
+    lens = other.select("estimate_id", F.length("s").alias("_n")).distinct()
+    r = rows.join(lens, "estimate_id").where(F.col("_n") <= F.length("s"))
+    starts = F.sequence(F.lit(1), F.length("s") - F.col("_n") + 1)
+    return r.withColumn("s", F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.col("_n"))))).drop("_n")
 
 
 # --- evidence texts ------------------------------------------------------------------------------

@@ -129,3 +129,42 @@ def test_data_sized_blocks_equal_fixed_blocks(spark):
     fixed = blocked_topk(q, d, "scope", 6, R.vector_scores, doc_blocks=1, query_blocks=1)
     key = lambda rows: sorted((r["qid"], r["rank"], r["doc_id"]) for r in rows)
     assert key(small.collect()) == key(fixed.collect())
+
+
+def test_unrelated_parts_substring_join_matches_pairwise(spark):
+    """The equi-join on substrings equals the pairwise containment test (either way)."""
+    rng = random.Random(7)
+    alphabet = "abc가나"
+
+    def word():
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6)))
+
+    quote, docs, symptoms = [], [], []
+    for est in range(12):
+        n_ev = 0 if est == 11 else 1  # estimate 11 has a symptom without evidence
+        symptoms.append((est, 1, n_ev))
+        # a hot estimate: many quoted and expected parts
+        nq, nd = (40, 25) if est == 0 else (rng.randint(1, 6), rng.randint(0, 4))
+        for no in range(nq):
+            quote.append((est, word(), no + 1))
+        for _ in range(nd):
+            docs.append((est, ", ".join(word() for _ in range(rng.randint(1, 3)))))
+    qp = spark.createDataFrame(quote, "estimate_id long, part string, first_no int").groupBy("estimate_id", "part").agg(
+        F.min("first_no").alias("first_no"))
+    ps = spark.createDataFrame(symptoms, "estimate_id long, symptom_no int, n_evidence long")
+    md = spark.createDataFrame(docs, "estimate_id long, repair_parts string")
+    got = {(r.estimate_id, r.part) for r in R.unrelated_parts(qp, ps, md).collect()}
+
+    expected_keys: dict[int, set[str]] = {}
+    for est, rp in docs:
+        for p in rp.split(", "):
+            expected_keys.setdefault(est, set()).add(p.lower())
+    want = set()
+    for est, part in {(e, p) for e, p, _ in quote}:
+        if est == 11:
+            continue
+        q = part.lower()
+        eks = expected_keys.get(est, set())
+        if not any(e in q or q in e for e in eks):
+            want.add((est, part))
+    assert got == want
