@@ -18,7 +18,10 @@ CLEAN_COLUMNS = ["part_no", "name", "price", "car_type"]
 
 
 def _nonblank(c):
-    return c.isNotNull() & (F.length(c) > 0)
+    # a null length drops the row too, so no separate isNotNull: Catalyst pushes these
+    # filters below the staged projections with the expression inlined, and each extra
+    # reference re-evaluates the whole part-number cascade in the scan-side filter
+    return F.length(c) > 0
 
 
 def _market(df: DataFrame) -> DataFrame:
