@@ -420,7 +420,8 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
         .where(F.length("ek") > 0)
         .distinct()
     )
-    q = (
+    # the filtered quoted parts feed four branches below: compute them once
+    q = cut_lineage(
         quote_parts.join(have, "estimate_id", "left_semi").join(blocked, "estimate_id", "left_anti")
         .where(~consumable_flag(F.col("part")))
         .withColumn("qk", norm_part(F.col("part")))
