@@ -12,6 +12,7 @@ Definitions (ours, after the PostgreSQL documentation):
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,12 +24,16 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_trigrams(word: str) -> tuple[str, ...]:
+    p = "  " + word + " "
+    return tuple(p[i : i + 3] for i in range(len(p) - 2))
+
+
 def trigram_set(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for w in tokens(text):
-        p = "  " + w + " "
-        out.update(p[i : i + 3] for i in range(len(p) - 2))
-    return out
+    # a word's trigrams do not depend on where it occurs: each distinct word once, and
+    # words repeat across the documents of a task, so their trigrams are cached
+    return set().union(*map(_word_trigrams, set(tokens(text))))
 
 
 def cover_density(doc_tokens: list[str], query_terms: list[str]) -> float:
