@@ -13,7 +13,10 @@ Plan:
    come from an equi-join on shared characters against the broadcast character table
    of the (size-checked) canonical dimension; no cross join, exact result.
 3. Scores: ratio (Arrow UDF, M1) + native Jaccard (M2) and containment (M3);
-   ``0.7 r + 0.2 j + 0.1 c``; argmax with ties to the earliest canonical (M4).
+   ``0.7 r + 0.2 j + 0.1 c``; argmax with ties to the earliest canonical (M4).  The ratio
+   runs only for pairs whose upper bound (the quick ratio from the multiset character
+   overlap the candidate join already counts) reaches the exact score of the name's
+   best-bounded pair - exact, and most pairs never reach Python.
 4. Below 0.55: longest contained keyword, then ratio to the base name, then list order
    (M5); none -> 'unknown'.  Special values (M6) never reach the matcher.
 5. Left join of the rows with the mapping (J1); a miss -> 'unknown'.
@@ -88,33 +91,61 @@ def special_value(raw: Column) -> Column:
     )
 
 
-def _chars(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(c, ""), lambda x: F.length(x) > 0))
+def _char_counts(c: Column) -> Column:
+    """(ch, n) for every distinct character of a string (names are short)."""
+    chars = F.filter(F.split(c, ""), lambda x: F.length(x) > 0)
+    return F.transform(
+        F.array_distinct(chars), lambda ch: F.struct(ch.alias("ch"), F.size(F.filter(chars, lambda x: x == ch)).alias("n"))
+    )
 
 
 def candidate_pairs(raw: DataFrame, feats: DataFrame) -> DataFrame:
-    """Pairs (raw, canonical) sharing at least one character of their normalized forms."""
-    cchars = feats.select("canonical_name", F.explode(_chars(F.col("c_norm"))).alias("ch"))
+    """Pairs (raw, canonical) sharing at least one character of their normalized forms,
+    with ``m_ub`` = the multiset character overlap (an upper bound on matched characters)."""
+    cchars = feats.select("canonical_name", F.inline(_char_counts(F.col("c_norm")))).withColumnRenamed("n", "cn")
     cchars = checked_broadcast(cchars, MAX_BROADCAST_CANONICAL_ROWS * 64)
-    rchars = raw.select("raw", F.explode(_chars(F.col("r_norm"))).alias("ch"))
-    return rchars.join(cchars, "ch").select("raw", "canonical_name").distinct()
+    rchars = raw.select("raw", F.inline(_char_counts(F.col("r_norm")))).withColumnRenamed("n", "rn")
+    return rchars.join(cchars, "ch").groupBy("raw", "canonical_name").agg(F.sum(F.least("rn", "cn")).alias("m_ub"))
+
 
+def _score(ratio: Column) -> Column:
+    return W_RATIO * ratio + W_JACCARD * F.col("jaccard") + W_CONTAINS * F.col("contains")
 
-def score_pairs(raw: DataFrame, feats: DataFrame) -> DataFrame:
-    """Per candidate pair: ratio, jaccard, containment, score and keyword match length."""
+
+def pair_features(raw: DataFrame, feats: DataFrame) -> DataFrame:
+    """Per candidate pair, everything but the ratio (all native): jaccard, containment,
+    keyword match length and ``score_ub``, the score with the ratio replaced by its upper
+    bound 2 * m_ub / (|a| + |b|) (``difflib``'s quick ratio, never below the ratio)."""
     pairs = candidate_pairs(raw, feats).join(raw, "raw").join(checked_broadcast(feats, MAX_BROADCAST_CANONICAL_ROWS), "canonical_name")
     kw_len = F.aggregate(
         F.filter(F.col("c_keywords"), lambda k: F.instr(F.col("r_norm"), k) > 0),
         F.lit(0),
         lambda acc, k: F.greatest(acc, F.length(k)),
     )
+    quick = 2.0 * F.col("m_ub") / (F.length("r_norm") + F.length("c_norm"))
     return pairs.select(
-        "raw", "canonical_name", "idx", "r_norm", "c_base_norm",
-        sequence_ratio(F.col("r_norm"), F.col("c_norm")).alias("ratio"),
+        "raw", "canonical_name", "idx", "r_norm", "c_norm", "c_base_norm",
         token_jaccard(F.col("r_tokens"), F.col("c_tokens")).alias("jaccard"),
         containment(F.col("r_norm"), F.col("c_norm")).alias("contains"),
         kw_len.alias("kw_len"),
-    ).withColumn("score", W_RATIO * F.col("ratio") + W_JACCARD * F.col("jaccard") + W_CONTAINS * F.col("contains"))
+        quick.alias("quick_ratio"),
+    ).withColumn("score_ub", _score(F.col("quick_ratio")))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Exact ratio and score for the pairs that can still be a name's best match.
+
+    The pair with the highest upper bound per name is scored first; its exact score is a
+    floor for that name's best, so only pairs whose upper bound reaches the floor are
+    scored with the (Python) ratio.  Exact: a skipped pair scores at most its bound, below
+    a score already found, so it can neither win nor tie."""
+    ub_order = F.struct(F.col("score_ub"), (-F.col("idx")).alias("i"))
+    first = pairs.groupBy("raw").agg(F.max_by(F.struct("r_norm", "c_norm", "jaccard", "contains"), ub_order).alias("t")).select(
+        "raw", (W_RATIO * sequence_ratio(F.col("t.r_norm"), F.col("t.c_norm")) + W_JACCARD * F.col("t.jaccard")
+                + W_CONTAINS * F.col("t.contains")).alias("_floor"),
+    )
+    live = pairs.join(first, "raw").where(F.col("score_ub") >= F.col("_floor") - 1e-9).drop("_floor")
+    return live.withColumn("ratio", sequence_ratio(F.col("r_norm"), F.col("c_norm"))).withColumn("score", _score(F.col("ratio")))
 
 
 def match_vehicles(raw_values: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -130,14 +161,17 @@ def match_vehicles(raw_values: DataFrame, canonical: DataFrame) -> DataFrame:
         )
     )
     to_match = raw.where(F.col("special").isNull()).select("raw", "r_norm", "r_tokens")
-    scored = cut_lineage(score_pairs(to_match, feats))
-    best = scored.groupBy("raw").agg(
+    pairs = cut_lineage(pair_features(to_match, feats))
+    scored = score_pairs(pairs)
+    # one row per spelling, read by the fallback and the mapping: cut lineage once so the
+    # ratio UDF runs once
+    best = cut_lineage(scored.groupBy("raw").agg(
         F.max_by(F.struct("canonical_name", "score"), F.struct(F.col("score"), (-F.col("idx")).alias("i"))).alias("b"),
-    )
+    ))
     # keyword fallback only for names below the acceptance score; the ratio to the base
     # name is computed for their keyword-matching candidates alone
     low = best.where(F.col("b.score") < ACCEPT_SCORE).select("raw")
-    kw_pairs = scored.where(F.col("kw_len") > 0).join(low, "raw", "left_semi").withColumn(
+    kw_pairs = pairs.where(F.col("kw_len") > 0).join(low, "raw", "left_semi").withColumn(
         "base_ratio", sequence_ratio(F.col("r_norm"), F.col("c_base_norm"))
     )
     kw = kw_pairs.groupBy("raw").agg(
