@@ -90,3 +90,19 @@ def test_no_python_eval_outside_ratio(spark):
     plan = match_vehicles(df, _canon(spark))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
+
+
+def test_ratio_bound_pruning_is_exact_on_random_names(spark):
+    """Many near-ties over a tiny alphabet: the pruned argmax equals all-pairs argmax."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcab가") for _ in range(rng.randint(1, 5)))
+    names = list(dict.fromkeys(" ".join(word() for _ in range(rng.randint(1, 2))) for _ in range(25)))
+    raws = list(dict.fromkeys(" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)))
+    got = _match(spark, raws, names)
+    checked = 0
+    for r in raws:
+        want = _brute(r, names)
+        if want is not None:
+            assert got[r][0] == want, r
+            checked += 1
+    assert checked > 50
