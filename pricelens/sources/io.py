@@ -96,10 +96,20 @@ def write_set(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequ
         w.option("header", "true").option("escape", '"').csv(path)
 
 
-def write_mart(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = True) -> None:
-    """A small mart as one CSV file (one writer after the aggregate), else multi-file."""
-    out = df.repartition(1) if (fmt == "csv" and single_file) else df
-    write_set(out, path, fmt)
+# largest mart written through a single task as one CSV file
+SINGLE_FILE_MAX_ROWS = 2_000_000
+
+
+def write_mart(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = True,
+               max_single_file_rows: int = SINGLE_FILE_MAX_ROWS) -> bool:
+    """A small mart as one CSV file (one writer after the aggregate), else multi-file.
+
+    The single file is behind a row-count check: a mart above ``max_single_file_rows``
+    is written by every task into the same folder (same schema, same readers) instead of
+    being funnelled through one task.  Returns whether one file was written."""
+    one = fmt == "csv" and single_file and df.limit(max_single_file_rows + 1).count() <= max_single_file_rows
+    write_set(df.repartition(1) if one else df, path, fmt)
+    return one
 
 
 def read_skip_json(spark: SparkSession, path: str) -> DataFrame:

@@ -76,3 +76,24 @@ def test_min_not_above_max(spark):
     rows = _rows(spark)
     out = mart.price_range(rows, PRIO, "d")
     assert out.where(F.col("min_price") > F.col("max_price")).count() == 0
+
+
+def test_single_file_mart_is_size_checked(spark):
+    """One CSV file under the row bound; above it every task writes, nothing is lost."""
+    import uuid
+
+    from pricelens.session import ensure_checkpoint_dir
+    from pricelens.sources import io as IO
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/test-mart-" + uuid.uuid4().hex
+    df = spark.range(0, 1000, numPartitions=4).selectExpr("id", "concat('n', id) AS name")
+
+    def files_and_rows(path):
+        back = spark.read.option("header", "true").csv(path)
+        return back.select(F.input_file_name()).distinct().count(), back.count()
+
+    assert IO.write_mart(df, f"{base}/small", "csv", single_file=True) is True
+    assert files_and_rows(f"{base}/small") == (1, 1000)
+    assert IO.write_mart(df, f"{base}/big", "csv", single_file=True, max_single_file_rows=100) is False
+    n_files, n_rows = files_and_rows(f"{base}/big")
+    assert n_files > 1 and n_rows == 1000
