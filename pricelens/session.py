@@ -8,8 +8,10 @@ checkpoint directory must be a shared folder named by the cluster in
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,41 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers (Arrow UDFs, ``applyInPandas``)
+    whatever the driver's working directory: the package's sources are zipped once per
+    content and added with ``addPyFile``, Spark's own way of shipping Python code to every
+    executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pricelens_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    files = sorted(
+        os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py")
+    )
+    h = hashlib.sha1()
+    for f in files:
+        h.update(os.path.relpath(f, root).encode())
+        with open(f, "rb") as fh:
+            h.update(fh.read())
+    out = os.path.join(tempfile.gettempdir(), f"pricelens-py-{h.hexdigest()[:16]}")
+    zpath = os.path.join(out, "pricelens.zip")
+    if not os.path.exists(zpath):
+        os.makedirs(out, exist_ok=True)
+        part = f"{zpath}.{os.getpid()}.part"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, root))
+        os.replace(part, zpath)
+    sc.addPyFile(zpath)
+    sc._pricelens_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir (``spark.checkpoint.dir``).
 
