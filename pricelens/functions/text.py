@@ -118,6 +118,14 @@ def part_no_cascade(raw: Column, pack: Column | None = None) -> Column:
     return F.try_element_at(F.filter(cands, lambda c: F.length(c) > 0), F.lit(1))
 
 
+def part_no_present(raw: Column) -> Column:
+    """True exactly when ``part_no_cascade(raw)`` is non-empty, as one regex test: each
+    candidate's group is non-empty iff its pattern matches, and a pack match is a whole
+    code.  Filters use this instead of the cascade they would otherwise inline."""
+    t = F.trim(raw)
+    return t.rlike(r"^[A-Za-z0-9]+$|\([A-Za-z0-9]+\)|단종되어\s*[A-Za-z0-9]+\s*로|[A-Za-z0-9]{5,}")
+
+
 # --- vehicle keys (conform job) ------------------------------------------------------
 
 def default_vehicle(c: Column) -> Column:

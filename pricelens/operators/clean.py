@@ -48,7 +48,9 @@ def _store(df: DataFrame) -> DataFrame:
 def _partsro(df: DataFrame) -> DataFrame:
     # staged projections: every regex result is referenced by name, so Catalyst keeps it
     # computed once (CollapseProject does not inline an expensive expression used twice)
-    raw = df.where(_nonblank(F.trim(F.col("official_name")))).select(
+    # the part-number test is the cascade's one-regex twin: the filter is pushed to the
+    # scan and must not inline the five-candidate cascade
+    raw = df.where(_nonblank(F.trim(F.col("official_name"))) & T.part_no_present(F.trim(F.col("part_no")))).select(
         F.trim(F.col("official_name")).alias("official"),
         F.trim(F.col("part_no")).alias("raw_part"),
         T.price_to_int(F.col("price")).alias("base_price"),
@@ -65,7 +67,7 @@ def _partsro(df: DataFrame) -> DataFrame:
         T.unit_price_from_pack(F.col("base_price"), F.when(F.length("qty_s") > 0, F.col("qty_s").try_cast("int"))).alias("price"),
         "cell",
     )
-    return out.where(_nonblank(F.col("name")) & _nonblank(F.col("part_no")))
+    return out.where(_nonblank(F.col("name")))
 
 
 _PROJECTIONS = {"market": _market, "store": _store, "partsro": _partsro}

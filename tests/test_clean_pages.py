@@ -51,3 +51,21 @@ def test_entry_contract(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 131
+
+
+def test_part_no_present_equals_cascade_nonempty(spark):
+    """The filter's one-regex test agrees with the cascade on random part-number cells."""
+    import random
+
+    from pricelens.functions import text as T
+
+    rng = random.Random(5)
+    pieces = ["AB12", "x", "X", "3", "(", ")", " ", "단종되어 ", "로", "-", "가", "12345", "\n", "Q"]
+    vals = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(3000)] + [None, "", "  "]
+    df = spark.createDataFrame([(v,) for v in vals], "p string")
+    got = df.select(
+        (F.coalesce(F.length(T.part_no_cascade(F.trim("p"))), F.lit(0)) > 0).alias("a"),
+        F.coalesce(T.part_no_present(F.trim("p")), F.lit(False)).alias("b"),
+    ).collect()
+    assert all(r["a"] == r["b"] for r in got)
+    assert sum(r["a"] for r in got) > 100
