@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import packing, pieces, secrets, simhash
+from pricelens.llm import packing, pieces, secrets, simhash, toxicity
 from pricelens.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_outside_fold(docs, table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"),
+        toxicity.toxicity(docs, model).alias("found"),
+    ).select("doc_id", "held_out", "found.*")
