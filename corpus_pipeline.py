@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import packing, secrets, simhash
+from pricelens.llm import packing, secrets, simhash, toxicity
 from pricelens.llm.common import prepare, table, written
 
 ORACLE_SQL = None
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; the others stay as they are."""
+    prepare(spark)
+    model = toxicity.train_outside_fold(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(*docs.columns, toxicity.toxicity(docs, model).alias("toxicity_found"))
+    return scored.filter("toxicity_found.predicted = 0").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     prepare(spark)
@@ -32,6 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("near_dedup", near_dedup),
     ("secret_scan", secret_scan),
     ("packing", pack),
