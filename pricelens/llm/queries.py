@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import packing, pieces, secrets, simhash, toxicity
+from pricelens.llm import packing, pieces, ppm, secrets, simhash, toxicity
 from pricelens.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"),
         toxicity.toxicity(docs, model).alias("found"),
     ).select("doc_id", "held_out", "found.*")
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = toxicity.fold(F.col("doc_id"), 5)
+    counts = ppm.corpus_counts(docs.filter(remainder != 1))
+    scored = ppm.score_documents(docs, counts)
+    return scored.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
