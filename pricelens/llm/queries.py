@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import packing, pieces, ppm, secrets, simhash, toxicity
+from pricelens.llm import order_minhash, packing, pieces, ppm, secrets, simhash, toxicity
 from pricelens.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,17 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ppm.corpus_counts(docs.filter(remainder != 1))
     scored = ppm.score_documents(docs, counts)
     return scored.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text(F.col("print")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
