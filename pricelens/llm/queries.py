@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import order_minhash, packing, pieces, ppm, secrets, simhash, topk, toxicity
+from pricelens.llm import html_extract, order_minhash, packing, pieces, ppm, secrets, simhash, topk, toxicity
 from pricelens.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_extract.train(pages)
+    text = html_extract.main_text(pages, model)
+    found = pages.select("page_id", "url", text.alias("text"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
