@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import html_extract, order_minhash, packing, pieces, ppm, secrets, simhash, topk, toxicity
+from pricelens.llm import html_extract, order_minhash, packing, pieces, pii, ppm, secrets, simhash, topk, toxicity
 from pricelens.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,16 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_extract.main_text(pages, model)
     found = pages.select("page_id", "url", text.alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan_private(docs, pii.train(docs))
+    s = F.col("private")
+    return found.select(
+        "doc_id",
+        *[count_of(s, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(span_list(base_of(s, pii.KINDS)), 256).alias("base_sha256"),
+        span_list(s).alias("spans"),
+    )
