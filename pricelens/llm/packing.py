@@ -14,9 +14,10 @@ lengths are powers of two, which need no padding.  Sequence ids hold the task's
 in the high bits; a task that runs again after a lost executor makes the same sequences.
 
 Token ids come from a byte-level BPE of the ``tokenizers`` library.  Its first step never
-joins a character and the space after it, so a text is a sequence of chunks (a space and
-what follows, or white space) that it encodes independently; distinct chunks are encoded
-once per worker and ids joined back by position.
+joins a character and the space after it, nor a letter and a mark other than the apostrophe,
+so a text is a sequence of chunks (a space and what follows, marks behind a word, white
+space) that it encodes independently; distinct chunks are encoded once while a worker's
+bounded table holds them, and ids joined back by position.
 
 Defined cases: a null or empty text is the closing id alone; a text of any length is cut;
 ties go to the longer piece, then to the earlier one; repeated rows are packed each;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,15 +41,22 @@ from pyspark.sql import DataFrame
 
 from pricelens.llm.common import text_or_empty
 
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 600_000
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: white space as the tokenizer's pattern has it: without the separators U+001C to U+001F
-CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+#: letters and marks between which the tokenizer's first step always cuts, and white space
+#: as its pattern has it: without the separators U+001C to U+001F
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = r"!-&(-/:-@\[-`{-~"
+_SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+CHUNK = re.compile(rf" ?{_OTHER}+|{_SPACE}+(?!{_OTHER})|{_SPACE}+")
+PART = re.compile(rf" ?[{_LETTER}]+(?=[{_MARK}]|\Z)|[{_MARK}]+\Z| ?{_OTHER}+|{_SPACE}+")
 
 
 class ChunkIds:
-    """Distinct chunks -> token ids as little-endian unsigned 32-bit."""
+    """Distinct chunks and their parts -> token ids as little-endian unsigned 32-bit.
+    Entries live in two generations: a full one becomes the old one, from which what is met
+    again comes back."""
 
     def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,23 +66,31 @@ class ChunkIds:
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.table: dict[str, bytes] = {}
-
-    def add(self, chunks: list[str]) -> None:
-        missing = {c for c in chunks if c not in self.table}
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
-            missing = set(chunks)
-        todo = list(missing)
-        for chunk, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.table[chunk] = np.array(found.ids, "<u4").tobytes()
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the table lacks: from the old generation, from their parts, or
+        from the tokenizer."""
+        found = {c: self.old[c] for c in chunks if c in self.old}
+        parts = {c: PART.findall(c) for c in chunks if c not in found}
+        known = {p: ids for whole in parts.values() for p in whole if (ids := self.table.get(p) or self.old.get(p))}
+        todo = list({p for whole in parts.values() for p in whole if p not in known})
+        for part, got in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
+            known[part] = array("I", got.ids).tobytes()
+        found |= {c: b"".join([known[p] for p in whole]) for c, whole in parts.items()}
+        if len(self.table) + len(found) + len(todo) > self.limit:
+            self.table, self.old = {}, self.table
+        self.table |= found
+        self.table |= {p: known[p] for p in todo}
+        return found
 
     def encode(self, text: str) -> bytes:
         chunks = CHUNK.findall(text)
-        try:
-            return b"".join([self.table[c] for c in chunks])
-        except KeyError:
-            self.add(chunks)
-            return b"".join([self.table[c] for c in chunks])
+        ids = list(map(self.table.get, chunks))
+        if None in ids:
+            found = self._encoded({c for c, x in zip(chunks, ids, strict=True) if x is None})
+            ids = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
