@@ -34,10 +34,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import text_or_empty, utf8, written
+from pricelens.llm.common import free_name, text_or_empty, utf8, written
 from pricelens.llm.components import components
 
 BITS = 64
@@ -216,10 +216,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``df``, all columns, with one row of each component: that of the smallest
-    id (the least text, if several rows have that id).  Rows with a null id are not joined
-    to a component of known ids: one of each of their fingerprint classes stays if no known
-    id is in the component."""
+    id (the one with the least text, if several rows have that id).  Rows with a null id
+    can't be named and all stay."""
     found = near_duplicates(df, id_col, text_col, shingle_words, max_bits)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    stay = df.join(kept, df[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.dropDuplicates([id_col])
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    stay = df.join(kept, df[id_col] == kept["kept_id"], "left_semi")
+    nth = free_name(df, "nth_of_id")
+    stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    return stay.filter(F.col(nth) == 1).drop(nth).union(df.filter(df[id_col].isNull()))

@@ -202,8 +202,8 @@ def train(
     order = F.xxhash64("labelled_id"), F.col("labelled_id")
     picked = told.filter("label = 1").orderBy(*order).limit(sample_toxic).union(told.filter("label = 0").orderBy(*order).limit(sample_ordinary))
     # bounded: sample_toxic + sample_ordinary ids
-    rows = df.join(F.broadcast(picked), df[id_col] == picked["labelled_id"])
-    rows = rows.select("labelled_id", "label", F.substring(text_or_empty(df, text_col), 1, sample_chars).alias("sample")).distinct().collect()
+    texts = df.select(df[id_col].alias("labelled_id"), F.substring(text_or_empty(df, text_col), 1, sample_chars).alias("sample"))
+    rows = texts.join(F.broadcast(picked), "labelled_id").distinct().collect()
     rows.sort(key=lambda r: (r["labelled_id"], r["sample"]))
     return fit([r["sample"] for r in rows if r["label"] == 1], [r["sample"] for r in rows if r["label"] == 0], prior)
 
