@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import packing, secrets, simhash, toxicity
-from pricelens.llm.common import prepare, table, written
+from pricelens.llm.common import free_name, prepare, table, written
 
 ORACLE_SQL = None
 
@@ -16,8 +16,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier calls toxic go; the others stay as they are."""
     prepare(spark)
     model = toxicity.train_outside_fold(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select(*docs.columns, toxicity.toxicity(docs, model).alias("toxicity_found"))
-    return scored.filter("toxicity_found.predicted = 0").select(docs.columns)
+    found = free_name(docs, "toxicity_found")
+    return docs.withColumn(found, toxicity.toxicity(docs, model)).filter(F.col(found)["predicted"] == 0).drop(found)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by a mark."""
     prepare(spark)
     clean = docs.withColumn("text", secrets.redact_secrets(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
