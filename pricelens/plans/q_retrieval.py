@@ -1,10 +1,10 @@
 """Retrieval queries: text helpers, system inference, vector / lexical / fused lists,
 iterative validation, evidence selection and the per-estimate summaries.
 
-SQL oracles exist where DuckDB can reproduce the score: vector lists (cosine in double),
-and a lexical list weighted on trigram similarity only (``w_cover = 0``); the full
-lexical score with cover density is registered rows-only and checked by brute force in
-the tests.  External validation scores are a deterministic formula of the ids.
+Every list uses the production scores: vector lists (cosine in double) and lexical lists
+(0.7 cover density + 0.3 trigram similarity).  The DuckDB oracle finds minimal covers by a
+self-join over token positions, independently of the operator's sliding window.  External
+validation scores are a deterministic formula of the ids.
 """
 
 from __future__ import annotations
@@ -98,17 +98,35 @@ def _queries_sql(passes=(1, 2, 3)) -> str:
     return "q AS (" + " UNION ALL ".join(sel) + ")"
 
 
+TOK = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
 DOCT_SQL = (
     "dt AS (SELECT id, vehicle_model, system_category, symptom_embedding, " + TRIG.format(x="symptom_text") + " AS ts, "
-    + TRIG.format(x="evidence_text") + " AS te FROM repair_doc)"
+    + TRIG.format(x="evidence_text") + " AS te, "
+    + TOK.format(x="concat(coalesce(symptom_text, ''), ' ', coalesce(evidence_text, ''))") + " AS dtok FROM repair_doc)"
+)
+# minimal covers: for each query-token position, the latest position of every query token up
+# to it; the window from the earliest of those is minimal if its last token occurs once in it
+COVER_SQL = (
+    "full_pairs AS (SELECT q.qid, d.id AS doc_id, q.qterms, d.dtok FROM (SELECT *, list_distinct(" + TOK.format(x="query_text") + ") AS qterms FROM q) q "
+    "JOIN dt d ON d.vehicle_model = q.scope AND (len(q.systems) = 0 OR list_contains(q.systems, d.system_category)) "
+    "WHERE len(q.qterms) > 0 AND list_has_all(d.dtok, q.qterms)), "
+    "occ AS (SELECT qid, doc_id, len(qterms) AS n, term, pos FROM (SELECT qid, doc_id, qterms, unnest(dtok) AS term, generate_subscripts(dtok, 1) AS pos FROM full_pairs) "
+    "WHERE list_contains(qterms, term)), "
+    "num AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY pos) AS k, lag(pos) OVER (PARTITION BY qid, doc_id, term ORDER BY pos) AS prev FROM occ), "
+    "latest AS (SELECT a.qid, a.doc_id, a.n, a.pos, a.k, a.prev, b.term, max(b.pos) AS lp FROM num a JOIN num b ON b.qid = a.qid AND b.doc_id = a.doc_id AND b.pos <= a.pos "
+    "GROUP BY a.qid, a.doc_id, a.n, a.pos, a.k, a.prev, b.term), "
+    "win AS (SELECT qid, doc_id, n, pos, k, prev, min(lp) AS l, count(*) AS have FROM latest GROUP BY qid, doc_id, n, pos, k, prev), "
+    "cover AS (SELECT w.qid, w.doc_id, sum(0.1 / (1 + (w.pos - w.l) - (w.k - f.k))) AS density FROM win w "
+    "JOIN num f ON f.qid = w.qid AND f.doc_id = w.doc_id AND f.pos = w.l WHERE w.have = w.n AND (w.prev IS NULL OR w.prev < w.l) GROUP BY w.qid, w.doc_id)"
 )
 PAIRS_SQL = (
     "pairs AS (SELECT q.qid, q.estimate_id, q.symptom_no, q.pass, d.id AS doc_id, "
     "list_cosine_similarity(CAST(q.qvec AS DOUBLE[]), CAST(d.symptom_embedding AS DOUBLE[])) AS vscore, "
+    "0.7 * coalesce(cv.density, 0) + "
     "0.3 * greatest(CASE WHEN len(qt) + len(d.ts) > 0 THEN len(list_intersect(qt, d.ts)) / (len(qt) + len(d.ts) - len(list_intersect(qt, d.ts))) ELSE 0 END, "
     "CASE WHEN len(qt) + len(d.te) > 0 THEN len(list_intersect(qt, d.te)) / (len(qt) + len(d.te) - len(list_intersect(qt, d.te))) ELSE 0 END) AS lscore "
     "FROM (SELECT *, " + TRIG.format(x="query_text") + " AS qt FROM q) q JOIN dt d ON d.vehicle_model = q.scope "
-    "AND (len(q.systems) = 0 OR list_contains(q.systems, d.system_category)))"
+    "AND (len(q.systems) = 0 OR list_contains(q.systems, d.system_category)) LEFT JOIN cover cv ON cv.qid = q.qid AND cv.doc_id = d.id)"
 )
 LISTS_SQL = (
     "vl AS (SELECT * FROM (SELECT qid, doc_id, vscore AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY vscore DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= {fetch}), "
@@ -124,17 +142,17 @@ LISTS_SQL = (
 def retrieval_sql(passes=(1, 2, 3), top=20) -> str:
     fetch = max(top * 4, top)
     return (
-        shape_cte("repair_doc", "symptom_inputs", "quote_parts") + ", " + SYM_SQL + ", " + _queries_sql(passes) + ", " + DOCT_SQL + ", " + PAIRS_SQL
+        shape_cte("repair_doc", "symptom_inputs", "quote_parts") + ", " + SYM_SQL + ", " + _queries_sql(passes) + ", " + DOCT_SQL + ", " + COVER_SQL + ", " + PAIRS_SQL
         + ", " + LISTS_SQL.format(fetch=fetch, top=top) + " "
     )
 
 
-def _trigram_pipeline(spark, sf, passes=(1, 2, 3), top=20):
+def _hybrid_pipeline(spark, sf, passes=(1, 2, 3), top=20):
     cache: dict = {}
     docs = _docs(spark, sf, cache)
     queries = R.pass_queries(_symptoms(spark, sf, cache), passes)
     fetch = max(top * 4, top)
-    vec, lex = R.hybrid_lists(queries, docs, fetch, w_cover=0.0, w_trigram=R.LEX_W_TRIGRAM)
+    vec, lex = R.hybrid_lists(queries, docs, fetch)
     return queries, vec, lex, R.fuse_rankings(vec, lex, top, fetch)
 
 
@@ -410,21 +428,21 @@ def q_topk_vector(spark, sf):
 
 @register("rank_positions", retrieval_sql((1,)) + "SELECT qid, doc_id, rank FROM ll")
 def q_rank_positions(spark, sf):
-    _, _, lex, _ = _trigram_pipeline(spark, sf, (1,))
+    _, _, lex, _ = _hybrid_pipeline(spark, sf, (1,))
     return lex.select("qid", "doc_id", "rank")
 
 
-@register("topk_lexical")
+@register("topk_lexical", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM ll")
 def q_topk_lexical(spark, sf):
-    """K1 with the full lexical score (cover density + trigram); rows-only, brute-force tested."""
+    """K1 with the full lexical score (cover density + trigram)."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
     return R.lexical_list(queries, _docs(spark, sf, cache), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("lexical_score")
+@register("lexical_score", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score FROM ll WHERE rank <= 5")
 def q_lexical_score(spark, sf):
-    """R2: full lexical scores of the top 5 documents per symptom (rows-only)."""
+    """R2: full lexical scores of the top 5 documents per symptom."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
     return R.lexical_list(queries, _docs(spark, sf, cache), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
@@ -435,19 +453,19 @@ def q_lexical_score(spark, sf):
     retrieval_sql((1,)) + "SELECT qid, doc_id, round(vector_rrf, 9) AS vector_rrf, round(lexical_rrf, 9) AS lexical_rrf, round(score, 9) AS score FROM fu",
 )
 def q_rrf(spark, sf):
-    *_, fused = _trigram_pipeline(spark, sf, (1,))
+    *_, fused = _hybrid_pipeline(spark, sf, (1,))
     return fused.select("qid", "doc_id", F.round("vector_rrf", 9).alias("vector_rrf"), F.round("lexical_rrf", 9).alias("lexical_rrf"), F.round("score", 9).alias("score"))
 
 
 @register("fuse_rankings", retrieval_sql((1,)) + "SELECT qid, doc_id, vrank, lrank FROM fu")
 def q_fuse_rankings(spark, sf):
-    *_, fused = _trigram_pipeline(spark, sf, (1,))
+    *_, fused = _hybrid_pipeline(spark, sf, (1,))
     return fused.select("qid", "doc_id", "vrank", "lrank")
 
 
 @register("topk_fused", retrieval_sql((1,)) + "SELECT qid, doc_id, fused_rank FROM fu")
 def q_topk_fused(spark, sf):
-    *_, fused = _trigram_pipeline(spark, sf, (1,))
+    *_, fused = _hybrid_pipeline(spark, sf, (1,))
     return fused.select("qid", "doc_id", "fused_rank")
 
 
@@ -459,7 +477,7 @@ def q_topk_fused(spark, sf):
 )
 def q_keyword_boost(spark, sf):
     cache: dict = {}
-    queries, _, _, fused = _trigram_pipeline(spark, sf, (1,))
+    queries, _, _, fused = _hybrid_pipeline(spark, sf, (1,))
     docs = _docs(spark, sf, cache).select(F.col("id").alias("doc_id"), F.col("symptom_text").alias("doc_symptom_text"))
     return fused.join(queries.select("qid", "query_text"), "qid").join(docs, "doc_id").select(
         "qid", "doc_id", R.keyword_hits(F.col("query_text"), F.col("doc_symptom_text")).alias("keyword_hits")
@@ -483,7 +501,7 @@ VAL_SQL = (
 
 
 def _passes_pipeline(spark, sf):
-    queries, vec, lex, fused = _trigram_pipeline(spark, sf, (1, 2, 3))
+    queries, vec, lex, fused = _hybrid_pipeline(spark, sf, (1, 2, 3))
     val = _validation(queries)(fused)
     return queries, fused, val
 
@@ -544,12 +562,12 @@ def q_iterative_retrieval(spark, sf):
     retrieval_sql((1,)) + " SELECT qid, doc_id, fused_rank AS kept_rank FROM fu WHERE fused_rank <= 5",
 )
 def q_no_validator_path(spark, sf):
-    queries, vec, lex, fused = _trigram_pipeline(spark, sf, (1,))
+    queries, vec, lex, fused = _hybrid_pipeline(spark, sf, (1,))
     _, kept = R.select_pass(fused, queries, None)
     return kept.select("qid", "doc_id", "kept_rank")
 
 
-# --- per-symptom diagnosis (trigram-weighted lists so DuckDB can follow) -----------------------------------------
+# --- per-symptom diagnosis -----------------------------------------
 
 DIAG_SQL = (
     ", merged AS (SELECT k.estimate_id, k.symptom_no, k.doc_id, k.score, k.similarity_score, k.kept_rank, false AS is_fallback FROM kept k "
@@ -587,7 +605,7 @@ def _diagnosis(spark, sf):
     docs = _docs(spark, sf, cache)
     sym = _symptoms(spark, sf, cache)
     queries = R.pass_queries(sym, (1, 2, 3))
-    out = R.diagnose_symptoms(sym, docs, _validation(queries), w_cover=0.0)
+    out = R.diagnose_symptoms(sym, docs, _validation(queries))
     return out, cache
 
 
@@ -725,5 +743,5 @@ def q_evidence_prompt(spark, sf):
     "FROM fu f JOIN repair_doc d ON d.id = f.doc_id GROUP BY f.qid",
 )
 def q_validation_request(spark, sf):
-    queries, vec, lex, fused = _trigram_pipeline(spark, sf, (1,))
+    queries, vec, lex, fused = _hybrid_pipeline(spark, sf, (1,))
     return R.validation_request(fused, _docs(spark, sf, {}))
