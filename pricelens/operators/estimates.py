@@ -247,14 +247,14 @@ def effective_verdict(verdict: DataFrame, symptom_flags: DataFrame, report_issue
 
 
 def overcharge_report(priced_parts: DataFrame) -> DataFrame:
-    """Over-priced part lines with diff and pct, plus one total row per estimate
-    (charged, max, over) carrying ok_count = parts - over parts."""
+    """Over-priced part lines with diff and pct (null if the highest price is zero), plus
+    one total row per estimate (charged, max, over) carrying ok_count = parts - over parts."""
     over = F.col("max_price").isNotNull() & (F.col("unit_price") > F.col("max_price"))
     lines = priced_parts.where(over).select(
         "estimate_id", F.lit("line").alias("row_kind"), "no", "part_official_name",
         F.col("unit_price").cast("long").alias("charged"), F.col("max_price").cast("long").alias("max_price"),
         (F.col("unit_price") - F.col("max_price")).cast("long").alias("diff"),
-        ((F.col("unit_price") - F.col("max_price")) / F.col("max_price") * 100).alias("pct"),
+        (F.try_divide(F.col("unit_price") - F.col("max_price"), F.col("max_price")) * 100).alias("pct"),
         F.lit(None).cast("long").alias("ok_count"),
     )
     totals = (
@@ -277,13 +277,14 @@ def overcharge_report(priced_parts: DataFrame) -> DataFrame:
 
 
 def labor_overcharge_report(labor_checked: DataFrame) -> DataFrame:
-    """Labor lines over the standard with expected, diff, pct; one total row (excess, ok_count)."""
+    """Labor lines over the standard with expected, diff, pct (null if the standard is
+    zero); one total row (excess, ok_count)."""
     expected = F.col("standard_repair_time") * F.col("hour_labor_rate")
     over = F.col("standard_repair_time").isNotNull() & F.col("hour_labor_rate").isNotNull() & (F.col("tech_fee") > expected)
     lines = labor_checked.where(over).select(
         "estimate_id", F.lit("line").alias("row_kind"), "no", "repair_content",
         F.col("tech_fee").cast("double").alias("charged"), expected.alias("expected"),
-        (F.col("tech_fee") - expected).alias("diff"), ((F.col("tech_fee") - expected) / expected * 100).alias("pct"),
+        (F.col("tech_fee") - expected).alias("diff"), (F.try_divide(F.col("tech_fee") - expected, expected) * 100).alias("pct"),
         F.lit(None).cast("long").alias("ok_count"),
     )
     totals = (

@@ -225,7 +225,7 @@ def q_effective_verdict(spark, sf):
     "overcharge_report",
     ALL_SQL + "SELECT estimate_id, 'line' AS row_kind, no, part_official_name, CAST(unit_price AS BIGINT) AS charged, "
     "CAST(max_price AS BIGINT) AS max_price, CAST(unit_price - max_price AS BIGINT) AS diff, "
-    "round((unit_price - max_price) / max_price * 100, 6) AS pct, CAST(NULL AS BIGINT) AS ok_count FROM priced "
+    "CASE WHEN max_price <> 0 THEN round((unit_price - max_price) / max_price * 100, 6) END AS pct, CAST(NULL AS BIGINT) AS ok_count FROM priced "
     "WHERE max_price IS NOT NULL AND unit_price > max_price UNION ALL "
     "SELECT estimate_id, 'total', NULL, NULL, CAST(sum(unit_price) FILTER (WHERE unit_price > max_price) AS BIGINT), "
     "CAST(sum(max_price) FILTER (WHERE unit_price > max_price) AS BIGINT), "
@@ -241,7 +241,7 @@ def q_overcharge_report(spark, sf):
     "labor_overcharge_report",
     ALL_SQL + "SELECT estimate_id, 'line' AS row_kind, no, repair_content, CAST(tech_fee AS DOUBLE) AS charged, "
     "round(standard_repair_time * hour_labor_rate, 6) AS expected, round(tech_fee - standard_repair_time * hour_labor_rate, 6) AS diff, "
-    "round((tech_fee - standard_repair_time * hour_labor_rate) / (standard_repair_time * hour_labor_rate) * 100, 6) AS pct, "
+    "CASE WHEN standard_repair_time * hour_labor_rate <> 0 THEN round((tech_fee - standard_repair_time * hour_labor_rate) / (standard_repair_time * hour_labor_rate) * 100, 6) END AS pct, "
     "CAST(NULL AS BIGINT) AS ok_count FROM checked WHERE tech_fee > standard_repair_time * hour_labor_rate UNION ALL "
     "SELECT estimate_id, 'total', NULL, NULL, NULL, NULL, round(sum(tech_fee - standard_repair_time * hour_labor_rate) "
     "FILTER (WHERE tech_fee > standard_repair_time * hour_labor_rate), 6), NULL, "

@@ -73,7 +73,7 @@ SHAPES: dict[str, str] = {
     # windows, some years without a change cycle (a join, not a cross product)
     "labor_master": (
         "SELECT repair_content, car_type, make_date(y, 1, 1) AS start_date, "
-        "make_date(y, 12, 31) AS end_date, CAST(1.0 + (y % 3) * 0.5 AS DOUBLE) AS standard_repair_time, "
+        "make_date(y, 12, 31) AS end_date, CAST(CASE WHEN y % 6 = 5 THEN 0.0 ELSE 1.0 + (y % 3) * 0.5 END AS DOUBLE) AS standard_repair_time, "
         "20000 AS hour_labor_rate, CASE WHEN y % 2 = 0 THEN 20000 END AS change_cycle "
         "FROM (SELECT DISTINCT p_type AS repair_content, o_orderpriority AS car_type, CAST(year(o_orderdate) AS INT) AS y "
         "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey) t"
@@ -94,7 +94,7 @@ SHAPES: dict[str, str] = {
     ),
     # price mart with vehicle-specific rows partly missing and 'all'/'unknown' fallbacks
     "parts_master": (
-        "SELECT part_official_name, car_type, extracted_at, min_price, max_price - 25 AS max_price FROM {price_mart} "
+        "SELECT part_official_name, car_type, extracted_at, min_price, CASE WHEN min_price % 11 = 0 THEN 0 ELSE max_price - 25 END AS max_price FROM {price_mart} "
         "WHERE min_price % 3 <> 0 "
         "UNION ALL "
         "SELECT part_official_name, CASE length(part_official_name) % 4 WHEN 0 THEN 'all' ELSE 'unknown' END AS car_type, "
@@ -107,8 +107,7 @@ SHAPES: dict[str, str] = {
         "SELECT ep.part_official_name, e.car_type, e.service_finish_at AS extracted_at, "
         "ep.unit_price AS min_price, ep.unit_price + ep.no AS max_price, "
         "ep.estimate_id AS seq1, ep.no AS seq2 "
-        "FROM {est_parts} ep JOIN {estimates} e ON ep.estimate_id = e.id "
-        "WHERE e.service_finish_at >= DATE '1999-06-01'"
+        "FROM {est_parts} ep JOIN {estimates} e ON ep.estimate_id = e.id"
     ),
     # repair documents: prose documents with a model, a system, expected parts and a vector
     "repair_doc": (
