@@ -8,6 +8,9 @@ expressed as the equivalent patterns on the page markup.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +20,6 @@ from pricelens.functions.text import flat_text, let, py_strip
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------------
-# Named HTML entities decoded by the cleaner (a common subset; '&amp;' is applied last so
-# "&amp;lt;" becomes "&lt;", as a single left-to-right pass would).
-HTML_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&times;": "×", "&laquo;": "«", "&raquo;": "»",
-}
 # Category id -> label of the store-style site; unknown ids give ''.
 CATEGORY_LABELS = {177: "엔진", 178: "미션", 179: "샤시", 180: "바디", 181: "트림"}
 API_PATH = "/exec/front/Product/ApiProductNormal"
@@ -73,26 +68,65 @@ WON = "원"
 APPLICABLE_PREFIX = "[차종 및 연식]"
 PARTSRO_KEYS = ["상품명", "정식 부품명", "부품번호", "판매가", "적용차(생산연도)", "브랜드"]
 
+PARTSRO_COLUMNS = {"name": "상품명", "price": "판매가", "official_name": "정식 부품명", "part_no": "부품번호", "applicable": "적용차(생산연도)"}
+
 
 # --- text -----------------------------------------------------------------------------------
 
+def _named_references() -> Column:
+    """The HTML5 names of the standard library's table, by first letter: letter -> name -> text.
+    One constant, folded once per plan."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in sorted(html5.items()):
+        by_letter.setdefault(name[0], {})[name] = text
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
+def _numeric_reference(digits: Column) -> Column:
+    """The character of a decimal or x-hexadecimal number, as HTML5 maps it."""
+    hexadecimal = digits.rlike("^[xX]")
+    body = F.regexp_replace(digits, "^[xX]?0*", "")
+    # more digits than any character has: far beyond the last one
+    code = F.when(F.length(body) > 8, F.lit(1 << 40)).when(F.length(body) == 0, F.lit(0)).otherwise(
+        F.when(hexadecimal, F.conv(body, 16, 10)).otherwise(body).try_cast("bigint")
+    )
+    # C1 numbers mean Windows-1252 characters
+    c1 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    fixed = F.create_map(*[x for n, t in {0: "\ufffd", 0x0D: "\r", **c1}.items() for x in (F.lit(n).cast("bigint"), F.lit(t))])
+    beyond = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    no_character = (
+        code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF)
+        | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    )
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(fixed, code), F.when(beyond, F.lit("\ufffd")).when(no_character, F.lit("")).otherwise(char))
+
+
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: names that HTML5 knows without their semicolon, longest first
+BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def unescape_html(c: Column) -> Column:
-    """Named entities of the fixed table, numeric entities (&#n; &#xh;), then '&amp;'."""
-    t = c
-    for ent, ch in HTML_ENTITIES.items():
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    ents = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([0-9]+|[xX][0-9a-fA-F]+);"), 0))
+    """Character references decoded in one pass from left to right over the full HTML5 table
+    (what a reference decodes to is not decoded again); unknown ones stay."""
+    names = _named_references()
 
-    def code_of(e: Column) -> Column:
-        body = F.regexp_extract(e, r"&#([0-9]+|[xX][0-9a-fA-F]+);", 1)
-        return F.when(body.startswith("x") | body.startswith("X"), F.conv(F.substring(body, 2, 16), 16, 10)).otherwise(body).try_cast("long")
+    def decoded(piece: Column) -> Column:
+        s = F.substring(piece, 2, 64)
+        digits = F.regexp_extract(s, "^#([0-9]+|[xX][0-9a-fA-F]+);?$", 1)
+        whole = F.try_element_at(F.try_element_at(names, F.substring(s, 1, 1)), s)
+        bare = F.regexp_extract(s, f"^({BARE_NAMES})", 1)
+        start = F.try_element_at(F.try_element_at(names, F.substring(bare, 1, 1)), bare)
+        named = F.coalesce(whole, F.when(F.length(bare) > 1, F.concat(start, F.substr(s, F.length(bare) + 1))), piece)
+        return F.when(F.length(digits) > 0, _numeric_reference(digits)).when(F.length(piece) > 1, named).otherwise(piece)
 
-    def char_of(code: Column) -> Column:
-        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+    def read(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(f"(?s){REFERENCE}|&|[^&]+"), 0)
+        text = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("&"), decoded(p)).otherwise(p)), "")
+        return F.when(t.contains("&"), text).otherwise(t)
 
-    t = F.aggregate(ents, t, lambda acc, e: F.replace(acc, e, char_of(code_of(e))))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    return let(c, read)
 
 
 def html_clean_text(c: Column) -> Column:
@@ -136,7 +170,9 @@ def extract_product_fields(pages: DataFrame, site: str, html_col: str = "html")
         fields["name"] = F.when(F.length(stripped) > 0, stripped).otherwise(official)
         return pages.select("*", *[v.alias(k) for k, v in fields.items()])
     if site == "partsro":
-        return pages.select("*", partsro_detail(h).alias("detail"))
+        rows = pages.select("*", partsro_detail(h).alias("detail"))
+        columns = [F.coalesce(F.col("detail")[key], F.lit("")).alias(name) for name, key in PARTSRO_COLUMNS.items()]
+        return rows.select("*", *columns).drop("detail")
     raise ValueError(f"unknown site {site!r}")
 
 
@@ -181,8 +217,17 @@ def cate_no_required(list_url: Column) -> Column:
     return F.coalesce(F.when(F.length(q) > 0, q), F.when(F.length(p) > 0, p))
 
 
+REJECT_NO_CATEGORY = "list_url must include cate_no or /category/.../<id>/ path"
+
+
+def crawl_manifest_rejects(categories: DataFrame, url_col: str) -> DataFrame:
+    """The rows that :func:`crawl_manifest` can't turn into list URLs, with the reason."""
+    return categories.where(cate_no_required(F.col(url_col)).isNull()).withColumn("reject_reason", F.lit(REJECT_NO_CATEGORY))
+
+
 def crawl_manifest(categories: DataFrame, url_col: str, max_pages: int, count: int, supplier_code: str) -> DataFrame:
-    """One list-API URL per (category, page 1..max_pages) - a generator, not a join."""
+    """One list-API URL per (category, page 1..max_pages) - a generator, not a join.
+    Rows without a category number are in :func:`crawl_manifest_rejects`."""
     u = F.regexp_replace(F.col(url_col), r"(?U)\s+", "")
     cate = cate_no_required(F.col(url_col))
     proto = F.try_parse_url(u, F.lit("PROTOCOL"))
@@ -256,48 +301,117 @@ def parse_list_payload(payload: Column, base_url: Column) -> tuple[Column, Colum
 
 # --- forum pages --------------------------------------------------------------------------------
 
-def _selector_text(html: Column, pattern: str) -> Column:
-    return F.regexp_extract(html, "(?is)" + pattern, 1)
+def _class_of(tag: Column) -> Column:
+    """The class attribute of a start tag (either quote, or none), blank-padded."""
+    v = F.regexp_extract(tag, r"(?is)\sclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(v, r"(?is)^\sclass\s*=\s*", ""), "[\"'\\s]+", " "), F.lit(" "))
+
+
+def _has_classes(tag: Column, names: str) -> Column:
+    out = F.lit(True)
+    for name in names.split("."):
+        out = out & _class_of(tag).contains(f" {name} ")
+    return out
+
+
+def inner_html(html: Column, element: str, *path: str) -> Column:
+    """All inner markups of ``element`` tags that match the last class list of ``path`` and
+    lie within elements that match the earlier ones, in page order.
+
+    The page is cut at the element's tags; a fold counts the nesting depth, so an element
+    ends at its own end tag whatever is nested in it (an unclosed one, at the page's end)."""
+    parts = F.split(html, rf"(?i)(?=<{element}\b)|(?=</{element}\b)")
+    tag = F.regexp_extract
+    state = "struct<depth:int,found:array<string>,open:int,text:string,above:array<int>>"
+    zero = F.struct(
+        F.lit(0).alias("depth"), F.array().cast("array<string>").alias("found"), F.lit(-1).alias("open"), F.lit("").alias("text"),
+        F.array(*[F.lit(-1)] * (len(path) - 1)).cast("array<int>").alias("above"),
+    ).cast(state)
+
+    def step(s: Column, part: Column) -> Column:
+        start = part.rlike(rf"(?i)^<{element}\b")
+        end = part.rlike(rf"(?i)^</{element}\b")
+        head = tag(part, r"^(<[^>]*>?)", 1)
+        depth = s["depth"] + F.when(start, 1).when(end, -1).otherwise(0)
+        closes = (s["open"] >= 0) & end & (depth < s["open"])
+        # where each ancestor of the path is open: the depth of its element, or -1
+        above = []
+        inside = F.lit(True)
+        for k, names in enumerate(path[:-1]):
+            now = F.get(s["above"], F.lit(k))
+            above.append(F.when((now >= 0) & end & (depth < now), -1).when((now < 0) & start & inside & _has_classes(head, names), depth).otherwise(now))
+            inside = now >= 0
+        opens = (s["open"] < 0) & start & inside & _has_classes(head, path[-1])
+        rest = F.substr(part, F.length(head) + 1)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(closes, F.concat(s["found"], F.array(s["text"]))).otherwise(s["found"]).alias("found"),
+            F.when(opens, depth).when(closes, -1).otherwise(s["open"]).alias("open"),
+            F.when(opens, rest).when(closes, F.lit("")).when(s["open"] >= 0, F.concat(s["text"], part)).otherwise(F.lit("")).alias("text"),
+            F.array(*above).cast("array<int>").alias("above"),
+        ).cast(state)
+
+    return F.aggregate(parts, zero, step, lambda s: F.when(s["open"] >= 0, F.concat(s["found"], F.array(s["text"]))).otherwise(s["found"]))
 
 
 def _node_text(fragment: Column, sep: str = " ") -> Column:
-    t = F.regexp_replace(fragment, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", "")
-    t = F.regexp_replace(t, r"<[^>]+>", sep)
+    t = F.regexp_replace(fragment, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->|<[^>]+>", sep)
     return unescape_html(t)
 
 
+def _first_text(html: Column, element: str, *path: str, sep: str = " ") -> Column:
+    return flat_text(_node_text(F.coalesce(F.get(inner_html(html, element, *path), F.lit(0)), F.lit("")), sep))
+
+
 def parse_forum_post(html: Column) -> tuple[Column, Column, Column]:
-    """(title, body, comments joined ' || ') of a forum post page."""
-    subject = r"<div[^>]*class=\"[^\"]*subject[^\"]*\"[^>]*>(.*?)</div>"
-    t1 = flat_text(_node_text(_selector_text(html, r"<div[^>]*class=\"[^\"]*head[^\"]*pc-view[^\"]*\"[^>]*>.*?" + subject)))
-    t2 = flat_text(_node_text(_selector_text(html, r"<div[^>]*class=\"[^\"]*head[^\"]*mo-view[^\"]*\"[^>]*>.*?" + subject)))
-    t3 = flat_text(_node_text(_selector_text(html, r"<div[^>]*class=\"[^\"]*detail view[^\"]*\"[^>]*>.*?" + subject)))
-    t4 = flat_text(_node_text(_selector_text(html, r"<title[^>]*>(.*?)</title>")))
-    title = F.coalesce(*[F.when(F.length(t) > 0, t) for t in (t1, t2, t3, t4)], F.lit(""))
-    body = flat_text(_node_text(_selector_text(html, r"<div[^>]*class=\"[^\"]*\bcont\b[^\"]*\"[^>]*>(.*?)</div>\s*</div>"), "\n"))
-    comments = F.regexp_extract_all(html, F.lit(r"(?is)<div[^>]*class=\"[^\"]*commentCont[^\"]*\"[^>]*>(.*?)</div>"), 1)
-    joined = F.array_join(F.filter(F.transform(comments, lambda c: flat_text(_node_text(c, "\n"))), lambda c: F.length(c) > 0), " || ")
-    return title, body, joined
+    """(title, body, comments joined ' || ') of a forum post page; within the detail view
+    and the comment box only, nested markup included."""
+    heads = [("detail.view", "head.pc-view", "subject"), ("detail.view", "head.mo-view", "subject"), ("detail.view", "subject")]
+    page_title = flat_text(_node_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    titles = [*[_first_text(html, "div", *path) for path in heads], page_title]
+    title = F.coalesce(*[let(t, lambda x: F.when(F.length(x) > 0, x)) for t in titles], F.lit(""))
+    body = _first_text(html, "div", "detail.view", "cont", sep="\n")
+    box = F.regexp_extract(html, r"(?is)<[^>]*\bid\s*=\s*[\"']?commentSkinBox\b[^>]*>(.*)$", 1)
+    comments = F.transform(inner_html(box, "div", "commentCont"), lambda c: flat_text(_node_text(c, "\n")))
+    return title, body, F.array_join(F.filter(comments, lambda c: F.length(c) > 0), " || ")
+
+
+#: an href value: either quote, or none
+HREF = r"href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+
+
+def _href(tag: Column) -> Column:
+    return F.concat(*[F.regexp_extract(tag, "(?is)" + HREF, k) for k in (1, 2, 3)])
 
 
 def post_links(pages: DataFrame, html_col: str, url_col: str, include_notice: bool = False) -> DataFrame:
-    """(seq, absolute url) of post links in list rows; notice rows skipped unless asked."""
-    rows = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), 1)
+    """(seq, absolute url) of post links in the rows of table bodies; notice rows skipped
+    unless asked.  Attributes may stand in either quote or none."""
+    bodies = F.array_join(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|</table\s*>|$)"), 1), "\n")
+    rows = F.regexp_extract_all(bodies, F.lit(r"(?is)(<tr\b[^>]*>.*?)(?=<tr\b|</tr\s*>|$)"), 1)
     out = pages.select(F.col(url_col).alias("list_url"), F.posexplode(rows).alias("row_no", "row"))
     if not include_notice:
-        out = out.where(~F.regexp_extract(F.col("row"), r"(?is)^<tr[^>]*class=\"([^\"]*)\"", 1).contains("notice_bg"))
-    href = F.regexp_extract(
-        F.col("row"), r"(?is)<td[^>]*class=\"[^\"]*subject[^\"]*\"[^>]*>.*?<a[^>]*href=\"([^\"]*view\.php\?[^\"]*)\"", 1
-    )
-    out = out.withColumn("href", py_strip(unescape_html(href))).where(F.length("href") > 0)
+        out = out.where(~_class_of(F.regexp_extract("row", r"^(<[^>]*>)", 1)).contains("notice_bg"))
+    cells = F.regexp_extract_all(F.col("row"), F.lit(r"(?is)(<td\b[^>]*>.*?)(?=<td\b|</td\s*>|$)"), 1)
+    cells = F.filter(cells, lambda c: _has_classes(F.regexp_extract(c, r"^(<[^>]*>)", 1), "subject"))
+    anchors = F.flatten(F.transform(cells, lambda c: F.regexp_extract_all(c, F.lit(r"(?is)<a\b[^>]*>"), 0)))
+    hrefs = F.filter(F.transform(anchors, _href), lambda h: h.contains("view.php?"))
+    out = out.withColumn("href", py_strip(unescape_html(F.coalesce(F.get(hrefs, F.lit(0)), F.lit(""))))).where(F.length("href") > 0)
     out = out.withColumn("url", resolve_url(F.col("list_url"), F.col("href")))
     out = out.withColumn("seq", F.coalesce(F.try_parse_url(F.col("url"), F.lit("QUERY"), F.lit("seq")), F.lit("")))
     return out.where(F.length("seq") > 0).select("list_url", "row_no", "seq", "url")
 
 
 def paging_numbers(html: Column) -> Column:
-    """Page numbers > 0 linked from the paging block, distinct and sorted."""
-    block = F.regexp_extract(html, r"(?is)<[^>]*class=\"[^\"]*paging[^\"]*\"[^>]*>(.*?)</(?:div|ul|p)>", 1)
-    hrefs = F.regexp_extract_all(block, F.lit(r"(?is)<a[^>]*href=\"([^\"]*page=[^\"]*)\""), 1)
+    """Page numbers > 0 linked from the paging blocks, distinct and sorted."""
+    blocks = F.flatten(F.array(*[inner_html(html, element, "paging") for element in ("div", "ul", "p")]))
+    anchors = F.regexp_extract_all(F.array_join(blocks, "\n"), F.lit(r"(?is)<a\b[^>]*>"), 0)
+    hrefs = F.transform(anchors, lambda a: unescape_html(_href(a)))
     nums = F.transform(hrefs, lambda h: F.regexp_extract(h, r"[?&]page=([0-9]+)", 1).try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(nums, lambda n: n.isNotNull() & (n > 0))))
+
+
+def total_pages(html: Column) -> Column:
+    """The greatest linked page number, 0 without paging."""
+    return F.coalesce(F.array_max(paging_numbers(html)), F.lit(0))

@@ -8,24 +8,15 @@ from pyspark.sql import types as T
 from pricelens.functions.text import flat_text
 from pricelens.operators import pages as P
 from pricelens.plans.registry import register
-from pricelens.sources.tables import read_table
+from pricelens.sources.tables import read_table, shape
 
 # --- DuckDB helpers ---------------------------------------------------------------------------------
 
 
 
 def _unescape_sql(x: str) -> str:
-    t = x
-    for ent, ch in P.HTML_ENTITIES.items():
-        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    num = (
-        f"list_reduce(list_prepend({t}, list_distinct(regexp_extract_all({t}, '&#([0-9]+|[xX][0-9a-fA-F]+);', 0))), "
-        "lambda acc, e: replace(acc, e, CASE WHEN TRY_CAST(CASE WHEN lower(substr(e, 3, 1)) = 'x' THEN "
-        "('0x' || substr(e, 4, length(e) - 4)) ELSE substr(e, 3, length(e) - 3) END AS BIGINT) BETWEEN 1 AND 1114111 "
-        "AND NOT TRY_CAST(CASE WHEN lower(substr(e, 3, 1)) = 'x' THEN ('0x' || substr(e, 4, length(e) - 4)) ELSE substr(e, 3, length(e) - 3) END AS BIGINT) BETWEEN 55296 AND 57343 "
-        "THEN chr(CAST(CASE WHEN lower(substr(e, 3, 1)) = 'x' THEN ('0x' || substr(e, 4, length(e) - 4)) ELSE substr(e, 3, length(e) - 3) END AS INTEGER)) ELSE '�' END))"
-    )
-    return f"replace({num}, '&amp;', '&')"
+    """The named references that the given pages hold, '&amp;' last: a single pass."""
+    return f"regexp_replace(replace(replace(replace({x}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;?', '&', 'g')"
 
 
 def _clean_sql(x: str) -> str:
@@ -66,38 +57,38 @@ def q_first_match(spark, sf):
     return _pages(spark, sf).select("page_id", P.first_match(F.col("html"), TITLE_PATTERNS).alias("title"))
 
 
-def _fields_sql(patterns: dict, site: str) -> str:
-    cols = []
-    for k, ps in patterns.items():
-        e = _first_sql("html", ps)
-        if k == "price":
-            fb = (
-                "CASE WHEN regexp_matches(html, 'var\\s+product_price\\s*=\\s*''(\\d+)''') THEN "
-                "concat(format('{:,}', CAST(regexp_extract(html, 'var\\s+product_price\\s*=\\s*''(\\d+)''', 1) AS HUGEINT)), '원') ELSE '' END"
-            )
-            e = f"CASE WHEN length({e}) > 0 THEN {e} ELSE {fb} END"
-        if k == "applicable":
-            e = f"trim(replace({e}, '[차종 및 연식]', ''))"
-        cols.append(f"{e} AS {k}")
-    if site == "store":
-        on = _first_sql("html", patterns["official_name"])
-        st = f"trim(regexp_replace({on}, '\\s*\\([^)]*\\)\\s*$', ''))"
-        cols.append(f"CASE WHEN length({st}) > 0 THEN {st} ELSE {on} END AS name")
-    return "SELECT page_id, " + ", ".join(cols) + " FROM pages"
-
-
-@register("extract_product_fields", _fields_sql(P.STORE_PATTERNS, "store"))
+@register(
+    "extract_product_fields",
+    "SELECT p_partkey AS page_id, concat(p_name, ' & ', p_brand, ' (PN-', CAST(p_partkey AS VARCHAR), ')') AS official_name, "
+    "CASE WHEN p_partkey % 3 = 0 THEN concat(format('{:,}', CAST(p_partkey * 1000 + 500 AS BIGINT)), '원') ELSE concat(CAST(p_partkey AS VARCHAR), ' 원') END AS price, "
+    "concat('PN-', CAST(p_partkey AS VARCHAR)) AS part_no, concat(upper(p_name), ' ', CAST(p_size AS VARCHAR)) AS applicable, p_type AS category, "
+    "concat(p_name, ' & ', p_brand) AS name FROM part",
+)
 def q_extract_product_fields(spark, sf):
-    out = P.extract_product_fields(_pages(spark, sf), "store")
+    out = P.extract_product_fields(shape(spark, sf, "shop_pages"), "store", "store_html")
     return out.select("page_id", *P.STORE_PATTERNS.keys(), "name")
 
 
-@register("extract_market_fields", _fields_sql(P.MARKET_PATTERNS, "market"))
+@register(
+    "extract_market_fields",
+    "SELECT p_partkey AS page_id, concat(p_name, ' & ', p_brand, ' é€') AS name, concat(CAST(p_partkey AS VARCHAR), '원') AS price, "
+    "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE lower(p_brand) END AS part_no, concat(upper(p_name), ' ', p_type) AS car_type FROM part",
+)
 def q_extract_market_fields(spark, sf):
-    out = P.extract_product_fields(_pages(spark, sf), "market")
+    out = P.extract_product_fields(shape(spark, sf, "shop_pages"), "market", "market_html")
     return out.select("page_id", *P.MARKET_PATTERNS.keys())
 
 
+@register(
+    "extract_partsro_fields",
+    "SELECT p_partkey AS page_id, p_name AS name, concat(CAST(p_partkey AS VARCHAR), ' 원') AS price, concat(p_name, ' & ', p_brand) AS official_name, "
+    "concat('PN-', CAST(p_partkey AS VARCHAR)) AS part_no, CASE WHEN p_partkey % 5 = 0 THEN concat(lower(p_brand), ' ', p_type) ELSE concat(p_type, ' / ', upper(p_name)) END AS applicable FROM part",
+)
+def q_extract_partsro_fields(spark, sf):
+    out = P.extract_product_fields(shape(spark, sf, "shop_pages"), "partsro", "partsro_html")
+    return out.select("page_id", *P.PARTSRO_COLUMNS.keys())
+
+
 # URL variants per page: category path, cate_no query, both, neither
 def _query_param_sql(u: str, key: str) -> str:
     """Value of ``key`` in the query part (between '?' and '#') of ``u``; '' if absent."""
@@ -150,6 +141,15 @@ def q_crawl_manifest(spark, sf):
     return P.crawl_manifest(df, "u", 3, 500, "S0000000").select("page_id", "cate_no", "page", "api_url")
 
 
+@register(
+    "crawl_manifest_rejects",
+    f"SELECT page_id, u, 'list_url must include cate_no or /category/.../<id>/ path' AS reject_reason FROM (SELECT page_id, {_URL} AS u, regexp_replace({_URL}, '\\s+', '', 'g') AS v FROM pages) "
+    f"WHERE {_CATE_SQL} IS NULL",
+)
+def q_crawl_manifest_rejects(spark, sf):
+    return P.crawl_manifest_rejects(_pages(spark, sf).select("page_id", F.expr(_URL).alias("u")), "u")
+
+
 _PAYLOAD = (
     "CASE WHEN event_id % 7 = 0 THEN props WHEN event_id % 11 = 0 THEN 'not json' ELSE concat('{\"rtn_code\":\"1000\",\"rtn_data\":{\"data\":[', "
     "'{\"link_product_detail\":\"/product/detail.html?product_no=', CAST(event_id AS STRING), '\"},', "
@@ -201,32 +201,34 @@ def q_flatten_batch_items(spark, sf):
     return flatten_batch_items(ev, "payload").select("event_id", "url")
 
 
-_MANIFEST = "to_json(transform(sequence(0, CAST(event_id % 250 AS INT)), i -> concat('https://x.example.com/p', CAST(event_id AS STRING), '/', CAST(i AS STRING))))"
-_MANIFEST_DUCK = "to_json(list_transform(range(0, CAST(event_id % 250 AS INT) + 1), lambda i: concat('https://x.example.com/p', CAST(event_id AS VARCHAR), '/', CAST(i AS VARCHAR))))"
+# one manifest per event: most are short, one in ten may be longer than a batch
+_LAST = "CASE WHEN event_id % 10 = 3 THEN event_id % 250 ELSE event_id % 4 END"
+_MANIFEST = f"to_json(transform(sequence(0, CAST({_LAST} AS INT)), i -> concat('https://x.example.com/p', CAST(event_id AS STRING), '/', CAST(i AS STRING))))"
+_MANIFEST_DUCK = f"to_json(list_transform(range(0, CAST({_LAST} AS INT) + 1), lambda i: concat('https://x.example.com/p', CAST(event_id AS VARCHAR), '/', CAST(i AS VARCHAR))))"
 
 
 @register(
     "scan_url_manifest",
-    f"WITH m AS (SELECT event_id, {_MANIFEST_DUCK} AS manifest FROM events WHERE event_id % 10 = 3) "
+    f"WITH m AS (SELECT event_id, {_MANIFEST_DUCK} AS manifest FROM events) "
     "SELECT event_id, CAST(generate_subscripts(CAST(manifest AS VARCHAR[]), 1) - 1 AS INTEGER) AS pos, unnest(CAST(manifest AS VARCHAR[])) AS url FROM m",
 )
 def q_scan_url_manifest(spark, sf):
     from pricelens.sources.io import explode_manifest
 
-    ev = read_table(spark, sf, "events").where(F.col("event_id") % 10 == 3).select("event_id", F.expr(_MANIFEST).alias("manifest"))
+    ev = read_table(spark, sf, "events").select("event_id", F.expr(_MANIFEST).alias("manifest"))
     return explode_manifest(ev, "manifest").select("event_id", "pos", "url")
 
 
 @register(
     "assign_batches",
-    f"WITH m AS (SELECT event_id, {_MANIFEST_DUCK} AS manifest FROM events WHERE event_id % 10 = 3), "
+    f"WITH m AS (SELECT event_id, {_MANIFEST_DUCK} AS manifest FROM events), "
     "u AS (SELECT event_id, generate_subscripts(CAST(manifest AS VARCHAR[]), 1) - 1 AS pos, unnest(CAST(manifest AS VARCHAR[])) AS url FROM m) "
     "SELECT event_id, CAST(floor(pos / 100) * 100 AS INTEGER) AS batch_id, count(*) AS n_items, min(url) AS first_url FROM u GROUP BY 1, 2",
 )
 def q_assign_batches(spark, sf):
     from pricelens.sources.io import assign_batches, explode_manifest
 
-    ev = read_table(spark, sf, "events").where(F.col("event_id") % 10 == 3).select("event_id", F.expr(_MANIFEST).alias("manifest"))
+    ev = read_table(spark, sf, "events").select("event_id", F.expr(_MANIFEST).alias("manifest"))
     b = assign_batches(explode_manifest(ev, "manifest"))
     return b.groupBy("event_id", "batch_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("url").alias("first_url"))
 
@@ -240,17 +242,38 @@ def q_flat_text(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", flat_text(F.col("text")).alias("text"))
 
 
-@register("parse_forum_post")
+def _flat_sql(x: str) -> str:
+    t = f"trim(regexp_replace(replace(replace({x}, chr(160), ' '), chr(13), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+    return f"trim(regexp_replace(regexp_replace({t}, '\\s*\\n\\s*', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
+
+
+@register(
+    "parse_forum_post",
+    "SELECT doc_id AS page_id, concat('T', CAST(doc_id AS VARCHAR), ' ', source) AS title, "
+    + _flat_sql("concat(text, chr(10), 'n', CAST(doc_id AS VARCHAR), chr(10), 'end')")
+    + " AS body, concat('c ', lang, ' || second ', CAST(doc_id AS VARCHAR)) AS comments FROM documents",
+)
 def q_parse_forum_post(spark, sf):
-    title, body, comments = P.parse_forum_post(F.col("html"))
-    return _pages(spark, sf).select("page_id", title.alias("title"), body.alias("body"), comments.alias("comments"))
+    title, body, comments = P.parse_forum_post(F.col("post_html"))
+    return shape(spark, sf, "forum_pages").select("page_id", title.alias("title"), body.alias("body"), comments.alias("comments"))
 
 
-@register("post_links")
+@register(
+    "post_links",
+    "SELECT concat('https://forum.example.com/b/list.php?page=', CAST(doc_id % 3 AS VARCHAR)) AS list_url, 1 AS row_no, CAST(doc_id AS VARCHAR) AS seq, "
+    "concat('https://forum.example.com/b/view.php?a=1&seq=', CAST(doc_id AS VARCHAR)) AS url FROM documents",
+)
 def q_post_links(spark, sf):
-    return P.post_links(_pages(spark, sf), "html", "url", include_notice=True)
+    return P.post_links(shape(spark, sf, "forum_pages"), "list_html", "url")
 
 
-@register("paging_numbers")
+@register(
+    "paging_numbers",
+    "SELECT doc_id AS page_id, CASE WHEN doc_id % 7 IN (0, 5) THEN '5,12' WHEN doc_id % 7 < 5 THEN concat(CAST(doc_id % 7 AS VARCHAR), ',5,12') "
+    "ELSE concat('5,', CAST(doc_id % 7 AS VARCHAR), ',12') END AS pages, 12 AS n_pages FROM documents",
+)
 def q_paging_numbers(spark, sf):
-    return _pages(spark, sf).select("page_id", F.array_join(P.paging_numbers(F.col("html")).cast("array<string>"), ",").alias("pages"))
+    h = F.col("list_html")
+    return shape(spark, sf, "forum_pages").select(
+        "page_id", F.array_join(P.paging_numbers(h).cast("array<string>"), ",").alias("pages"), P.total_pages(h).alias("n_pages")
+    )

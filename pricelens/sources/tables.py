@@ -149,6 +149,39 @@ SHAPES: dict[str, str] = {
         "ELSE p_name END AS canonical_name, m AS idx, p_name AS source_name "
         "FROM (SELECT p_name, CAST(min(p_partkey) AS BIGINT) AS m FROM {part} GROUP BY p_name) t"
     ),
+    # detail pages of the three shop sites, one of each per part: names with a reference,
+    # prices as text or as a script variable, quotes of both kinds, nested markup
+    "shop_pages": (
+        "SELECT p_partkey AS page_id, "
+        "concat('<html><ul><li class=\"\"><a href=\"/category/c/', CAST(p_size AS STRING), '/\">', p_type, '</a></li> <li class=\"displaynone\"></li></ul>', "
+        "'<li><span class=\"tit\"><span>상품명</span> </span> <span class=\"con\"><span style=\"x\">', p_name, ' &amp; <b>', p_brand, '</b> (PN-', CAST(p_partkey AS STRING), ')</span></span></li>', "
+        "CASE WHEN p_partkey % 3 = 0 THEN concat('<script>var product_price = ', chr(39), CAST(p_partkey * 1000 + 500 AS STRING), chr(39), ';</script>') "
+        "ELSE concat('<strong id=\"span_product_price_text\">', CAST(p_partkey AS STRING), '&nbsp;원 </strong>') END, "
+        "'<span><span>부품번호</span></span><span class=\"con\"><span>PN-', CAST(p_partkey AS STRING), '</span></span>', "
+        "'<span><b>[차종 및 연식] </b><br> [차종 및 연식] ', upper(p_name), ' <i>', CAST(p_size AS STRING), '</i></span></html>') AS store_html, "
+        "concat('<table><tr><th><span>부품명</span></th><td><span class=\"v\">', p_name, ' &#38; ', p_brand, ' &eacute;&#x20AC;</span></td></tr>', "
+        "'<tr><th><span>판매가</span></th><td><span><strong class=\"p\">', CAST(p_partkey AS STRING), '원</strong></span></td></tr>', "
+        "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<tr><th><span>부품번호</span></th><td><span>', lower(p_brand), '</span></td></tr>') END, "
+        "'</table><div class=\"xans-element- xans-product xans-product-additional simple_desc_top\"> ', upper(p_name), '<br>', p_type, ' </div>') AS market_html, "
+        "concat('<div class=\"xans-element- xans-product-detaildesign\"><table><tr><th>상품명</th><td>', p_name, '</td></tr><tr><th> 판매가 </th><td><b>', "
+        "CAST(p_partkey AS STRING), '</b>원</td></tr><tr><th>정식 부품명</th><td>', p_name, ' &amp; ', p_brand, '</td></tr><tr><th>부품번호</th><td>PN-', CAST(p_partkey AS STRING), "
+        "'</td></tr><tr><th>무게</th><td>1kg</td></tr>', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('<tr><th>적용차(생산연도)</th><td>', p_type, '<br/>', upper(p_name), '</td></tr>') END, "
+        "'</table></div><script type=\"application/ld+json\">', chr(123), '\"description\": \"', lower(p_brand), ' ', p_type, '\"', chr(125), '</script>') AS partsro_html "
+        "FROM {part}"
+    ),
+    # forum pages: a post with nested divisions and comments, and a list with paging; the
+    # text of a document is the body of its post; attributes in either quote or none
+    "forum_pages": (
+        "SELECT doc_id AS page_id, concat('https://forum.example.com/b/list.php?page=', CAST(doc_id % 3 AS STRING)) AS url, "
+        "concat('<html><title>t</title><div class=', chr(39), 'detail view', chr(39), '><div class=\"head pc-view\"><div class=subject>T', CAST(doc_id AS STRING), ' <b>', source, '</b></div></div>', "
+        "'<div class=\"cont\">', replace(replace(text, '&', '&amp;'), '<', '&lt;'), '<div><div>n', CAST(doc_id AS STRING), '</div></div><script>x()</script>end</div></div>', "
+        "'<div id=\"commentSkinBox\"><ul><li><div class=', chr(39), 'commentCont', chr(39), '>c <div>', lang, '</div></div></li><li><div class=\"commentCont\"> </div></li>', "
+        "'<li><div class=commentCont>second ', CAST(doc_id AS STRING), '</div></li></ul></div></html>') AS post_html, "
+        "concat('<table><tbody><tr class=', chr(39), 'notice_bg', chr(39), '><td class=subject><a href=\"view.php?seq=0\">n</a></td></tr><tr><td class=\"no\">1</td>', "
+        "'<td class=\"subject left\"><a href=\"/else\">x</a><a href=', chr(39), 'view.php?a=1&amp;seq=', CAST(doc_id AS STRING), chr(39), '>', lang, '</a></td></tr></tbody></table>', "
+        "'<div class=', chr(39), 'paging', chr(39), '><a href=\"?page=', CAST(doc_id % 7 AS STRING), '\">a</a><div><a href=\"list.php?x=1&amp;page=12\">b</a></div><a href=?page=5>c</a></div>') AS list_html "
+        "FROM {documents}"
+    ),
     # a supplied mapping: raw spellings equal (any case) to a source name
     "vehicle_map": (
         "SELECT DISTINCT v.raw, c.canonical_name AS canonical FROM "

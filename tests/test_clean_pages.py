@@ -69,3 +69,45 @@ def test_part_no_present_equals_cascade_nonempty(spark):
     ).collect()
     assert all(r["a"] == r["b"] for r in got)
     assert sum(r["a"] for r in got) > 100
+
+
+FORUM = (
+    "<html><title>TT</title><body><div class='detail view'><div class=\"head pc-view\"><div class=subject>My <b>title</b></div></div>"
+    "<div class=\"cont\">a<div><div>b</div></div>c &amp; d</div></div><div class='cont'>elsewhere</div>"
+    "<div id=\"commentSkinBox\"><ul class=commentBox><li><div class='commentCont'>one<div>two</div></div></li>"
+    "<li><div class=\"commentCont\"> </div></li><li><div class=commentCont>three</div></ul></div>"
+    "<table><tbody><tr class='notice_bg'><td class='subject'><a href='view.php?seq=1'>n</a>"
+    "<tr><td class=\"subject left\"><a href=\"/x\">i</a><a href='/b/view.php?a=1&amp;seq=22'>p</a></td></tr></tbody></table>"
+    "<div class='paging'><a href='?page=3'>3</a><div><a href=\"list.php?x=1&amp;page=12\">12</a></div><a href=?page=0>0</a></div>"
+)
+
+
+def test_forum_rules_follow_nesting_and_either_quote(spark):
+    df = spark.createDataFrame([("http://h.com/d/list.php", FORUM), ("http://h.com/", ""), ("http://h.com/e", "<div class='detail view'><div class=cont>open")], "url string, html string")
+    title, body, comments = P.parse_forum_post(F.col("html"))
+    h = F.col("html")
+    rows = df.select(title.alias("t"), body.alias("b"), comments.alias("c"), P.paging_numbers(h).alias("p"), P.total_pages(h).alias("n")).collect()
+    assert tuple(rows[0]) == ("My title", "a b c & d", "one two || three", [3, 12], 12)
+    assert tuple(rows[1]) == ("", "", "", [], 0)
+    assert rows[2]["b"] == "open"
+    links = P.post_links(df, "html", "url").collect()
+    assert [(r["seq"], r["url"]) for r in links] == [("22", "http://h.com/b/view.php?a=1&seq=22")]
+    assert P.post_links(df, "html", "url", include_notice=True).count() == 2
+
+
+def test_references_decode_as_the_standard_library_does(spark):
+    import html
+    import random
+
+    r = random.Random(2)
+    parts = ["&", "amp;", "amp", "lt", "lt;", "notit;", "notin;", "eacute", "euro;", "#38", "#38;", "#X1F600;", "#0;", "#128;", "#x80", "#13;", "#55296;", "#1114112;", "#99999999999999999999;", "#65534;", "#1;", "NotEqualTilde;", "a", " ", ";", "#", "copyright"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 6))) for _ in range(2000)] + ["", "&#38;amp;", "&eacute;&euro;&Agrave;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x["i"]: x["u"] for x in df.select("i", P.unescape_html(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(texts))] == [html.unescape(t) for t in texts]
+
+
+def test_urls_without_category_are_rejected_not_lost(spark):
+    df = spark.createDataFrame([("https://s.com/list?cate_no=5",), ("https://s.com/other",), (None,)], "u string")
+    assert P.crawl_manifest(df, "u", 2, 10, "S").count() == 2
+    assert sorted(r["u"] or "" for r in P.crawl_manifest_rejects(df, "u").collect()) == ["", "https://s.com/other"]
