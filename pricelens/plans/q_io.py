@@ -135,7 +135,7 @@ def q_sink_mart_single_csv(spark, sf):
     """The mart as one CSV file (repartition(1) after the aggregate), read back."""
     root = scratch(spark, "mart")
     summary = mart.price_range(shape(spark, sf, "clean_rows"), TEST_PRIORITY, TEST_DT)
-    IO.write_mart(summary, root, "csv", single_file=True)
+    IO.write_mart(summary, root, "csv", n_files=1)
     back = spark.read.option("header", "true").option("escape", '"').csv(root)
     n_files = back.select(F.input_file_name()).distinct().count()  # a scalar, not data
     return back.select(
@@ -168,49 +168,50 @@ def q_scan_mart_for_load(spark, sf):
     return IO.read_mart_for_load(spark, root, "2026-03-16")
 
 
-_SKIP_CHOICE = "(event_id % 2 = 0 OR event_id % 20 = 1)"
-
-
 @register(
     "scan_skip_json",
     shape_cte("ledger") + "SELECT coalesce(CASE WHEN length(reason) > 0 THEN reason END, 'unknown') AS reason, count(*) AS n "
-    f"FROM ledger WHERE status = 'FAILED' AND {_SKIP_CHOICE} GROUP BY 1",
+    "FROM ledger WHERE status = 'FAILED' GROUP BY 1",
 )
 def q_scan_skip_json(spark, sf):
     """Skip files holding a JSON array (with a non-object element) or a single object."""
     root = scratch(spark, "skips")
     led = shape(spark, sf, "ledger").where(F.col("status") == LG.FAILED)
     rec = F.to_json(F.struct("url", F.lit(404).alias("status_code"), "reason", F.lit("2026-03-16T00:00:00").alias("skipped_at")))
-    arrays = (
-        led.where(F.col("event_id") % 2 == 0)
-        .groupBy((F.col("event_id") / 100).cast("long").alias("batch"))  # <= 100 records per file
-        .agg(F.concat(F.lit("["), F.array_join(F.collect_list(rec), ","), F.lit(",7]")).alias("value"))
+    # batches of at most 100 ids; a batch with one record is a file with a single object
+    one = F.count(F.lit(1)) == 1
+    files = led.groupBy((F.col("event_id") / 100).cast("long").alias("batch")).agg(
+        F.when(one, F.first(rec)).otherwise(F.concat(F.lit("["), F.array_join(F.collect_list(rec), ","), F.lit(",7]"))).alias("value")
     )
-    arrays.write.partitionBy("batch").text(f"{root}/arrays")
-    objects = led.where(F.col("event_id") % 20 == 1).select("event_id", rec.alias("value"))
-    objects.write.partitionBy("event_id").text(f"{root}/objects")
+    files.write.partitionBy("batch").text(root)
     skips = IO.read_skip_json(spark, root)
     return skips.groupBy(LG.reason_or_unknown(F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("gate_empty_output")
+@register(
+    "gate_empty_output",
+    f"SELECT CAST(1 AS BIGINT) AS files_with_data, CAST(1 AS BIGINT) AS files_deleted, true AS has_data FROM ({PRICE_RANGE_SQL}) HAVING count(*) > 0",
+)
 def q_gate_empty_output(spark, sf):
     """Files with data rows are kept, empty output files are deleted; has_data gate."""
     root = scratch(spark, "gate")
     summary = mart.price_range(shape(spark, sf, "clean_rows"), TEST_PRIORITY, TEST_DT)
-    IO.write_mart(summary, f"{root}/summary", "csv", single_file=True)
-    IO.write_mart(summary.limit(0), f"{root}/canonical", "csv", single_file=True)
+    IO.write_mart(summary, f"{root}/summary", "csv", n_files=1)
+    IO.write_mart(summary.limit(0), f"{root}/canonical", "csv", n_files=1)
     report = IO.gate_empty_output(spark, root)
     return spark.createDataFrame([report], "files_with_data long, files_deleted long, has_data boolean")
 
 
-@register("load_report")
+@register(
+    "load_report",
+    f"SELECT count(*) AS rows_read, CAST(1 AS BIGINT) AS files_deleted, count(*) > 0 AS has_data FROM ({PRICE_RANGE_SQL})",
+)
 def q_load_report(spark, sf):
     """Rows read, empty files deleted, has_data - for one load of the mart."""
     root = scratch(spark, "loadrep")
     summary = mart.price_range(shape(spark, sf, "clean_rows"), TEST_PRIORITY, TEST_DT)
-    IO.write_mart(summary, f"{root}/summary", "csv", single_file=True)
-    IO.write_mart(summary.limit(0), f"{root}/empty", "csv", single_file=True)
+    IO.write_mart(summary, f"{root}/summary", "csv", n_files=1)
+    IO.write_mart(summary.limit(0), f"{root}/empty", "csv", n_files=1)
     gate = IO.gate_empty_output(spark, root)
     rows = IO.read_mart_for_load(spark, root, TEST_DT)
     return rows.agg(F.count(F.lit(1)).alias("rows_read")).select(

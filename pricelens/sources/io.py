@@ -96,20 +96,10 @@ def write_set(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequ
         w.option("header", "true").option("escape", '"').csv(path)
 
 
-# largest mart written through a single task as one CSV file
-SINGLE_FILE_MAX_ROWS = 2_000_000
-
-
-def write_mart(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = True,
-               max_single_file_rows: int = SINGLE_FILE_MAX_ROWS) -> bool:
-    """A small mart as one CSV file (one writer after the aggregate), else multi-file.
-
-    The single file is behind a row-count check: a mart above ``max_single_file_rows``
-    is written by every task into the same folder (same schema, same readers) instead of
-    being funnelled through one task.  Returns whether one file was written."""
-    one = fmt == "csv" and single_file and df.limit(max_single_file_rows + 1).count() <= max_single_file_rows
-    write_set(df.repartition(1) if one else df, path, fmt)
-    return one
+def write_mart(df: DataFrame, path: str, fmt: str = "csv", n_files: int | None = None) -> None:
+    """The mart under ``path``.  Every task writes its own file unless the caller asks for
+    a number of files (1: one file, for marts known to be small); no row count decides."""
+    write_set(df if n_files is None else df.repartition(n_files), path, fmt)
 
 
 def read_skip_json(spark: SparkSession, path: str) -> DataFrame:
@@ -204,13 +194,14 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def compact_parts(spark: SparkSession, parts_dir: str, out_dir: str, columns: Sequence[str], n_files: int = 1) -> DataFrame:
-    """Headerless CSV parts of one run (``.csv`` only) -> ``n_files`` headered file(s).
-    No part at all is an error."""
+def compact_parts(spark: SparkSession, parts_dir: str, out_dir: str, columns: Sequence[str], n_files: int | None = None) -> DataFrame:
+    """Headerless CSV parts of one run (``.csv`` only) -> fewer headered files: as many as
+    the advisory partition size asks for, or ``n_files``.  No part at all is an error."""
     df = read_headerless_parts(spark, parts_dir, columns)
     if df.isEmpty():
         raise FileNotFoundError(f"no .csv parts under {parts_dir}")
-    df.coalesce(n_files).write.mode("overwrite").option("header", "true").option("escape", '"').csv(out_dir)
+    packed = df.hint("rebalance") if n_files is None else df.repartition(n_files)
+    packed.write.mode("overwrite").option("header", "true").option("escape", '"').csv(out_dir)
     return spark.read.option("header", "true").option("escape", '"').schema(all_string_schema(columns)).csv(out_dir)
 
 

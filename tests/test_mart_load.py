@@ -78,8 +78,8 @@ def test_min_not_above_max(spark):
     assert out.where(F.col("min_price") > F.col("max_price")).count() == 0
 
 
-def test_single_file_mart_is_size_checked(spark):
-    """One CSV file under the row bound; above it every task writes, nothing is lost."""
+def test_mart_layout_is_the_callers_choice(spark):
+    """Every task writes a file unless a number of files is asked for; nothing is lost."""
     import uuid
 
     from pricelens.session import ensure_checkpoint_dir
@@ -92,8 +92,8 @@ def test_single_file_mart_is_size_checked(spark):
         back = spark.read.option("header", "true").csv(path)
         return back.select(F.input_file_name()).distinct().count(), back.count()
 
-    assert IO.write_mart(df, f"{base}/small", "csv", single_file=True) is True
+    IO.write_mart(df, f"{base}/small", "csv", n_files=1)
     assert files_and_rows(f"{base}/small") == (1, 1000)
-    assert IO.write_mart(df, f"{base}/big", "csv", single_file=True, max_single_file_rows=100) is False
+    IO.write_mart(df, f"{base}/big", "csv")
     n_files, n_rows = files_and_rows(f"{base}/big")
     assert n_files > 1 and n_rows == 1000
