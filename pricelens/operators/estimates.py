@@ -8,9 +8,9 @@
                   hour_labor_rate, change_cycle
 
 Plan notes (scale):
-* price lookup (J3) is one left equi-join on (name, date): the mart side is first
-  folded to one row per (name, date) holding its few vehicle rows, so the part side is
-  shuffled once and never regrouped.  A hot part name is split by AQE's skew join.
+* price lookup (J3) is two left equi-joins: (name, date, vehicle) for the own vehicle's
+  row and (name, date) for the fallback row, each side one aggregated row per key.  A hot
+  part name is split by AQE's skew join.
 * labor standards (J4) are an equi-join on (content, vehicle) with the date range as a
   residual filter - never a cartesian product.
 * the previous visit (J5) comes from the top-2 visits per (customer, content), built by
@@ -56,33 +56,27 @@ def price_at_service(parts: DataFrame, estimates: DataFrame, price_mart: DataFra
     'unknown'); ranked own < 'unknown' < 'all' (the literal 'ALL' rank never matches a
     lower-case 'all' row).  Left join: a part without a candidate keeps null prices.
     """
-    cands = (
-        price_mart.where(F.col("part_official_name").isNotNull() & F.col("extracted_at").isNotNull())
-        .groupBy("part_official_name", F.col("extracted_at").alias("service_finish_at"))
-        .agg(F.collect_list(F.struct("car_type", "min_price", "max_price")).alias("cands"))
-    )
-    own = F.col("car_type")
-
-    def rank(x: Column) -> Column:
-        return (
-            F.when(x["car_type"] == own, F.lit(RANK_OWN))
-            .when(x["car_type"] == F.lit(FALLBACK_UNKNOWN), F.lit(RANK_UNKNOWN))
-            .when(x["car_type"] == F.lit(FALLBACK_ALL), F.lit(RANK_OTHER))
+    mart = price_mart.where(F.col("part_official_name").isNotNull() & F.col("extracted_at").isNotNull()).select(
+        "part_official_name", F.col("extracted_at").alias("service_finish_at"), "car_type", F.struct("min_price", "max_price").alias("price")
+    )
+    own = mart.groupBy("part_official_name", "service_finish_at", "car_type").agg(F.min("price").alias("own"))
+    fallback = (
+        mart.where(F.col("car_type").isin(FALLBACK_UNKNOWN, FALLBACK_ALL))
+        .groupBy("part_official_name", "service_finish_at")
+        .agg(
+            F.min(F.when(F.col("car_type") == FALLBACK_UNKNOWN, F.col("price"))).alias("unknown"),
+            F.min(F.when(F.col("car_type") == FALLBACK_ALL, F.col("price"))).alias("every"),
         )
-
-    ranked = F.filter(
-        F.transform(F.col("cands"), lambda x: F.struct(rank(x).alias("r"), x["min_price"].alias("min_price"), x["max_price"].alias("max_price"))),
-        lambda y: y["r"].isNotNull(),
     )
-    best = F.array_min(ranked)
+    best = F.coalesce("own", "unknown", "every")
     return (
         load_estimate(parts, estimates)
-        .join(cands, ["part_official_name", "service_finish_at"], "left")
-        .withColumn("best", best)
+        .join(own, ["part_official_name", "service_finish_at", "car_type"], "left")
+        .join(fallback, ["part_official_name", "service_finish_at"], "left")
         .select(
             "estimate_id", "no", "part_official_name", "unit_price", "customer_id", "car_type",
             "car_mileage", "service_finish_at",
-            F.col("best.min_price").alias("min_price"), F.col("best.max_price").alias("max_price"),
+            best["min_price"].alias("min_price"), best["max_price"].alias("max_price"),
         )
     )
 

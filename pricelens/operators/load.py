@@ -43,20 +43,18 @@ def retention(df: DataFrame, ds: str, date_col: str = "extracted_at") -> DataFra
     return df.where(F.col(date_col).cast("date") >= retention_cutoff(ds))
 
 
-def upsert_mart(existing: DataFrame, staged: DataFrame, ds: str, order: str | None = None,
-                key: Sequence[str] = MART_KEY) -> DataFrame:
-    """D1 + D2: retention on the existing table, then staged rows replace rows with the same key.
+def expired(df: DataFrame, ds: str, date_col: str = "extracted_at") -> DataFrame:
+    """The rows that :func:`retention` deletes - older ones and those without a date."""
+    return df.where(~F.coalesce(F.col(date_col).cast("date") >= retention_cutoff(ds), F.lit(False)))
 
-    ``staged`` is first reduced to one row per key (last by ``order`` when given, else
-    any deterministic choice: the greatest prices).
-    """
+
+def upsert_mart(existing: DataFrame, staged: DataFrame, ds: str, order: str | Sequence[str], key: Sequence[str] = MART_KEY) -> DataFrame:
+    """D1 + D2: retention on the existing table, then staged rows replace rows with the same
+    key; of several staged rows with a key the last by ``order`` (column or columns) wins."""
     cols = existing.columns
-    if order is not None:
-        ordered = staged.select(*cols, F.col(order).alias("_seq"))
-        staged_one = last_write_wins(ordered, key, "_seq").select(*cols)
-    else:
-        staged = staged.select(*cols)
-        staged_one = last_write_wins(staged, key, [c for c in cols if c not in key]).select(*cols)
+    order_cols = [order] if isinstance(order, str) else list(order)
+    ordered = staged.select(*cols, *[c for c in order_cols if c not in cols])
+    staged_one = last_write_wins(ordered, key, order_cols).select(*cols)
     kept = retention(existing, ds).join(staged_one.select(*key), list(key), "left_anti").select(*cols)
     return kept.unionByName(staged_one)
 

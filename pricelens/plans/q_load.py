@@ -40,7 +40,7 @@ UPSERT_SQL = (
 )
 def q_last_write_wins(spark, sf):
     st = _staged(spark, sf)
-    return _out(LD.last_write_wins(st, LD.MART_KEY, ["seq1", "seq2", "min_price", "max_price"]))
+    return _out(LD.last_write_wins(st, LD.MART_KEY, STAGED_ORDER))
 
 
 @register(
@@ -58,19 +58,20 @@ def q_retention(spark, sf):
     f"WHERE extracted_at < DATE '{RUN_DS}' - INTERVAL 1 MONTH GROUP BY extracted_at",
 )
 def q_retention_delete(spark, sf):
-    pm = shape(spark, sf, "parts_master")
-    deleted = pm.join(LD.retention(pm, RUN_DS), LD.MART_KEY, "left_anti")
+    deleted = LD.expired(shape(spark, sf, "parts_master"), RUN_DS)
     return deleted.groupBy(F.col("extracted_at").cast("string").alias("extracted_at")).agg(F.count(F.lit(1)).alias("n_deleted"))
 
 
+STAGED_ORDER = ["seq1", "seq2", "min_price", "max_price"]
+
+
 def _upsert(spark, sf, twice=False):
     cache: dict = {}
     existing = shape(spark, sf, "parts_master", cache).select(*MART_COLS)
     st = _staged(spark, sf, cache)
-    one = LD.last_write_wins(st, LD.MART_KEY, ["seq1", "seq2", "min_price", "max_price"]).select(*MART_COLS)
-    out = LD.upsert_mart(existing, one, RUN_DS)
+    out = LD.upsert_mart(existing, st, RUN_DS, STAGED_ORDER)
     if twice:
-        out = LD.upsert_mart(out, one, RUN_DS)
+        out = LD.upsert_mart(out, st, RUN_DS, STAGED_ORDER)
     return _out(out)
 
 

@@ -82,3 +82,11 @@ def test_estimate_json(spark):
     assert h.first()["car_mileage"] == 85000
     assert [(r["no"], r["unit_price"]) for r in p.orderBy("no").collect()] == [(1, 12000), (2, 0)]
     assert l.count() == 0
+
+
+def test_zero_prices_give_null_percentages(spark):
+    parts = spark.createDataFrame([(1, 1, "a", 10, 0), (1, 2, "b", 10, 5)], "estimate_id int, no int, part_official_name string, unit_price int, max_price int")
+    got = {r["no"]: (r["diff"], r["pct"]) for r in E.overcharge_report(parts).where("row_kind = 'line'").collect()}
+    assert got == {1: (10, None), 2: (5, 100.0)}
+    labor = spark.createDataFrame([(1, 1, "x", 10, 0.0, 20000)], "estimate_id int, no int, repair_content string, tech_fee int, standard_repair_time double, hour_labor_rate int")
+    assert [r["pct"] for r in E.labor_overcharge_report(labor).where("row_kind = 'line'").collect()] == [None]
