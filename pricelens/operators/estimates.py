@@ -19,7 +19,7 @@ Plan notes (scale):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------------
@@ -322,6 +322,11 @@ LABOR_QUESTION = (
     '"{content}" 작업의 표준 작업시간 {hours}h 기준 공임은 {expected}원이나, {fee}원이 청구되었습니다. '
     "초과 청구 ({diff}원)의 사유를 제시해 주십시오."
 )
+SYMPTOM_QUESTIONS = [
+    "이번 정비에서 교체된 부품이 고객이 호소한 증상과 어떤 직접적 연관이 있습니까?",
+    "증상 해결을 위해 해당 부품 교체가 반드시 필요하다는 기술적 근거를 제시해 주십시오.",
+    "사전에 고객 동의 없이 증상과 무관한 예방적 정비가 진행된 경우 그 사유를 설명해 주십시오.",
+]
 LABOR_CLOSING = "실제 작업시간 기록(작업지시서)을 확인할 수 있습니까?"
 CYCLE_QUESTION = (
     '"{content}"은 권장 주기 {cycle}km 대비 {gap}km 조기인 {usage}km 시점에 교체되었습니다. '
@@ -350,9 +355,10 @@ def _thousands(c: Column) -> Column:
     return F.format_number(c.cast("double"), 0)
 
 
-def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: DataFrame) -> DataFrame:
+def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: DataFrame, symptom_over: DataFrame | None = None) -> DataFrame:
     """One question per over-charged part, labor item and early replacement, plus
-    each section's closing question when the section has rows."""
+    each section's closing question when the section has rows; with ``symptom_over``
+    (estimate_id) the symptom section's questions as section 0."""
     p_over = priced_parts.where(F.col("max_price").isNotNull() & (F.col("unit_price") > F.col("max_price")))
     p_q = p_over.select(
         "estimate_id", F.lit(1).alias("section"), F.col("no").alias("item_no"),
@@ -375,17 +381,22 @@ def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: Data
         _fmt(CYCLE_QUESTION, content=F.col("repair_content"), cycle=_thousands(F.col("cycle")),
              gap=_thousands(F.col("cycle") - F.col("usage")), usage=_thousands(F.col("usage"))).alias("question"),
     )
-    closings = []
-    for sec, df, text in ((1, p_over, PART_CLOSING), (2, l_over, LABOR_CLOSING), (3, early, CYCLE_CLOSING)):
-        closings.append(
-            df.select("estimate_id").distinct().select(
-                "estimate_id", F.lit(sec).alias("section"), F.lit(None).cast("int").alias("item_no"), F.lit(text).alias("question")
-            )
-        )
-    out = p_q.unionByName(l_q).unionByName(c_q)
-    for c in closings:
-        out = out.unionByName(c)
-    return out
+    lines = p_q.unionByName(l_q).unionByName(c_q)
+    # the first line of a section brings the closing question along: each source is read once
+    nth = F.row_number().over(Window.partitionBy("estimate_id", "section").orderBy("item_no", "question"))
+    closing = F.when(F.col("section") == 1, PART_CLOSING).when(F.col("section") == 2, LABOR_CLOSING).otherwise(CYCLE_CLOSING)
+    line = F.struct("item_no", "question")
+    last = F.struct(F.lit(None).cast("int").alias("item_no"), closing.alias("question"))
+    out = lines.withColumn("nth", nth).select(
+        "estimate_id", "section", F.inline(F.when(F.col("nth") == 1, F.array(line, last)).otherwise(F.array(line)))
+    )
+    return out if symptom_over is None else symptom_inquiry(symptom_over).unionByName(out)
+
+
+def symptom_inquiry(symptom_over: DataFrame) -> DataFrame:
+    """The symptom section's fixed questions for each estimate that has the section."""
+    questions = F.array(*[F.struct(F.lit(n).alias("item_no"), F.lit(q).alias("question")) for n, q in enumerate(SYMPTOM_QUESTIONS, 1)])
+    return symptom_over.select("estimate_id").distinct().select("estimate_id", F.lit(0).alias("section"), F.inline(questions))
 
 
 # --- estimate JSON (P39, G4) -------------------------------------------------------------------

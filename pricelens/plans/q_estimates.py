@@ -288,6 +288,20 @@ def q_inquiry_text(spark, sf):
     return E.inquiry_text(_priced(spark, sf), checked, E.cycle_issues(checked))
 
 
+@register(
+    "inquiry_symptom",
+    ALL_SQL + ", d AS (SELECT id AS estimate_id, " + _DIAG + " AS t FROM estimates), "
+    "f AS (SELECT estimate_id FROM d WHERE starts_with(regexp_replace(trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g')), '^\\[[^\\]]+\\]\\s*', ''), '견적서는 다음 이유로 과잉정비입니다.')) "
+    "SELECT estimate_id, 0 AS section, CAST(n AS INTEGER) AS item_no, q AS question FROM f, (VALUES "
+    "(1, '이번 정비에서 교체된 부품이 고객이 호소한 증상과 어떤 직접적 연관이 있습니까?'), "
+    "(2, '증상 해결을 위해 해당 부품 교체가 반드시 필요하다는 기술적 근거를 제시해 주십시오.'), "
+    "(3, '사전에 고객 동의 없이 증상과 무관한 예방적 정비가 진행된 경우 그 사유를 설명해 주십시오.')) v(n, q)",
+)
+def q_inquiry_symptom(spark, sf):
+    diag = shape(spark, sf, "estimates").select(F.col("id").alias("estimate_id"), F.expr(_DIAG).alias("txt"))
+    return E.symptom_inquiry(diag.where(verdict_strict(F.col("txt"))))
+
+
 # --- estimate JSON -----------------------------------------------------------------------------------------
 
 _EST_JSON = (
