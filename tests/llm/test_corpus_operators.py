@@ -358,3 +358,45 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 def test_fold_is_crc32_of_the_id_as_text(spark):
     got = spark.range(50).select("id", toxicity.fold(F.col("id"), 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_pipeline_rows_equal_brute_force(spark):
+    """run() against the same decisions made row by row in plain Python (the classifier's
+    model is the same; its scores are held against labels elsewhere)."""
+    import corpus_pipeline
+    import public_tokenizers
+    from conftest import SF001
+    from test_text_operators import brute_secrets
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = toxicity.train_outside_fold(docs, spark.read.parquet(f"{SF001}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts = {i: t for i, t in texts.items() if toxicity.scores(model, [t.encode()])[0] < 0.5}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    kept, seen = {}, set()
+    for first in sorted(texts):
+        if first in seen:
+            continue
+        group, todo = {first}, [first]
+        while todo:  # everything that is reachable at three bits or fewer
+            a = todo.pop()
+            near = {b for b in texts if b not in group and (prints[a] ^ prints[b]).bit_count() <= 3}
+            group |= near
+            todo += near
+        seen |= group
+        kept[first] = texts[first]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = {}
+    for i, t in kept.items():
+        covered = [False] * len(t)
+        for _, a, b in brute_secrets(t):
+            covered[a:b] = [True] * (b - a)
+        clean = re.sub("\0+", "[SECRET]", "".join("\0" if c else x for x, c in zip(t, covered, strict=True)))
+        want[i] = [*tokenizer.encode(clean, add_special_tokens=False).ids, 1]
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, SF001).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(got.setdefault(r["doc_id"], [])) and r["doc_tokens"] == len(want[r["doc_id"]])
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert got == want
