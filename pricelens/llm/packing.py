@@ -77,10 +77,14 @@ class ChunkIds:
         todo = list({p for whole in parts.values() for p in whole if p not in known})
         for part, got in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
             known[part] = array("I", got.ids).tobytes()
-        found |= {c: b"".join([known[p] for p in whole]) for c, whole in parts.items()}
-        if len(self.table) + len(found) + len(todo) > self.limit:
+        # a chunk with a part that is new may never come again: its parts are kept, not itself
+        new = set(todo)
+        again = [c for c, whole in parts.items() if new.isdisjoint(whole)]
+        if len(self.table) + len(found) + len(again) + len(todo) > self.limit:
             self.table, self.old = {}, self.table
         self.table |= found
+        found |= {c: b"".join([known[p] for p in whole]) for c, whole in parts.items()}
+        self.table |= {c: found[c] for c in again}
         self.table |= {p: known[p] for p in todo}
         return found
 
