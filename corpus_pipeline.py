@@ -37,7 +37,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences out of the documents that are left, by the piece."""
     prepare(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # half the table of the query on its own: the workers hold what earlier stages left, too
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), table_limit=300_000)
 
 
 STAGES = [
