@@ -63,3 +63,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def text_sample(texts: DataFrame, column: str, rows: int, chars: int) -> list[str]:
+    """At most ``rows`` distinct texts, the smallest by a hash, up to ``chars`` of each.  Only
+    hashes compete for a place; texts reach the driver once the places are known."""
+    hashed = texts.select(F.xxhash64(column).alias("h"), F.substring(column, 1, chars).alias("t"))
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    found = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
+    return [r["t"] for r in sorted(found, key=lambda r: r["h"])]

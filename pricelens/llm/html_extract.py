@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import text_or_empty
+from pricelens.llm.common import text_or_empty, text_sample
 from pricelens.llm.dom import RAW, Node, parse
 from pricelens.llm.gbt import Boosted, boost
 
@@ -428,9 +428,8 @@ def fit(sample: list[str], train_pages: int = 500) -> Boosted:
 
 def train(df: DataFrame, html_col: str = "html", sample_pages: int = 60, sample_chars: int = 20_000, train_pages: int = 500) -> Boosted:
     """Trees for the pages of ``df``; reads at most ``sample_chars`` of ``sample_pages``."""
-    page = text_or_empty(df, html_col)
-    sample = df.select(F.xxhash64(page).alias("h"), F.substring(page, 1, sample_chars).alias("page")).orderBy("h", "page").limit(sample_pages)
-    return fit([r["page"] for r in sample.collect()], train_pages)
+    sample = text_sample(df.select(text_or_empty(df, html_col).alias("t")), "t", sample_pages, sample_chars)
+    return fit(sample, train_pages)
 
 
 def main_text(df: DataFrame, model: Boosted, html_col: str = "html") -> Column:

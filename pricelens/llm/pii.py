@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import text_or_empty
+from pricelens.llm.common import text_or_empty, text_sample
 from pricelens.llm.gbt import Boosted, boost
 
 KINDS = ("email", "ip", "card", "phone")
@@ -253,9 +253,7 @@ def fit(sample: list[str], sentences: int = 1500, precision: float = 0.95) -> Mo
 
 def train(df: DataFrame, text_col: str = "text", sample_texts: int = 100, sample_chars: int = 10_000) -> Model:
     """A model for the texts of ``df``; reads at most ``sample_chars`` of ``sample_texts``."""
-    body = text_or_empty(df, text_col)
-    sample = df.select(F.xxhash64(body).alias("h"), F.substring(body, 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_texts)
-    return fit([r["t"] for r in sample.collect()])
+    return fit(text_sample(df.select(text_or_empty(df, text_col).alias("t")), "t", sample_texts, sample_chars))
 
 
 def _meets(span: tuple[str, int, int], others: list[tuple[str, int, int]]) -> bool:
