@@ -8,12 +8,12 @@ from pricelens.operators import ledger as LG
 from pricelens.operators import load as LD
 from pricelens.operators import mart
 
-PRIO = {"partsro": 1, "hyunki_store": 2, "hyunki_market": 3}
+PRIO = {"partsro": 1, "shop_b": 2, "shop_c": 3}
 
 
 def _rows(spark):
     data = [("p1", "v", "partsro", "A", 10), ("p1", "v", "partsro", "B", 20), ("p1", "v", "partsro", "B", 30)]
-    data += [("p1", "v", "hyunki_store", "C", 5)] * 3 + [("p2", "v", "hyunki_store", "B", 40)]
+    data += [("p1", "v", "shop_b", "C", 5)] * 3 + [("p2", "v", "shop_b", "B", 40)]
     return spark.createDataFrame(data, "part_no string, car_type string, source string, name string, price int")
 
 
