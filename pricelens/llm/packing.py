@@ -63,7 +63,12 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"added tokens of {path} are not plain literals")
+        self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
+        # the longest first, as the library takes them; no added tokens: a pattern that never matches
+        self.literals = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")" if added else r"((?!))")
         self.limit = limit
         self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -89,6 +94,10 @@ class ChunkIds:
         return found
 
     def encode(self, text: str) -> bytes:
+        return b"".join([self.added[part] if k % 2 else self._between(part) for k, part in enumerate(self.literals.split(text))])
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         chunks = CHUNK.findall(text)
         ids = list(map(self.table.get, chunks))
         if None in ids:

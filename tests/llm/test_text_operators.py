@@ -132,6 +132,24 @@ def test_chunks_equal_the_tokenizer():
         assert np.frombuffer(table.encode(text), "<u4").tolist() == ids, repr(text)
 
 
+def test_added_tokens_equal_the_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(BPE)
+    assert untouched.encode("end of page <|endoftext|> next", add_special_tokens=False).ids == [437, 286, 2443, 220, 50256, 1306]
+    r = random.Random(9)
+    letters = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "page", " next", "'s", "é", "日本", "."]
+    texts = ["end of page <|endoftext|> next", "<|endoftext|>", *("".join(r.choices(letters, k=r.randint(0, 20))) for _ in range(3000))]
+    table = packing.ChunkIds(BPE, 500)
+    want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(table.encode(t), "<u4").tolist() for t in texts] == want
+    got = {}
+    for p in sorted(packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect(), key=lambda p: (p["doc_id"], p["start"])):
+        assert p["start"] == len(got.setdefault(p["doc_id"], [])) and p["doc_tokens"] == len(want[p["doc_id"]]) + 1
+        got[p["doc_id"]] += np.frombuffer(p["ids"], "<u4").tolist()
+    assert [got[k] for k in range(len(texts))] == [[*ids, 1] for ids in want]
+
+
 def test_packing_of_odd_rows(odd):
     rows = packing.pack_documents(odd, BPE, limits=packing.Limits(tokens=64, segments=8, loss_tokens=64)).collect()
     tokenizer = packing.chunk_ids(BPE, 1000).tokenizer
