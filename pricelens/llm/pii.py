@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting.
 
 High-recall generators propose spans, which may overlap: the base patterns and looser ones
-(numbers with separators, spelled-out addresses, account numbers, long IP addresses).  A
-span that a base rule accepts (e-mail; IPv4 address with parts up to 255; card number of 13
+(numbers with separators, spelled-out addresses, account numbers, long IP addresses).  Of
+digit groups that follow each other every run of whole groups is proposed, of an address and
+an account number every end, so neighbours never hide each other; the trees choose.  A span that a base rule accepts (e-mail; IPv4 address with parts up to 255; card number of 13
 to 19 digits passing Luhn's sum; international phone number of 9 to 15 digits) always
 stays.  Boosted trees give every other proposal a probability from features of its format
 (digits, groups, separators, checksums, letters around it) and of its context (words that
@@ -25,6 +26,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-NUMBER = re.compile(r"(?<![0-9A-Za-z])[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
-ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\bat\b|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\bdot\b|\.)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: digit groups with one or two separators between; numbers are runs of whole groups
+GROUPS = re.compile(r"[0-9]++(?:[\x20().\-/]{1,2}[0-9]++)*+")
+NUMBER_DIGITS = range(7, 20)
+AT = re.compile(r"\[at\]|\(at\)|\bat\b|@", re.I)
+HOST = re.compile(r"\s?[A-Za-z0-9-]{1,63}")
+JOINT = re.compile(r"\s?(\[dot\]|\(dot\)|\bdot\b|\.)(\s?)([A-Za-z0-9-]{1,63})", re.I)
+#: a place where an account number begins, and the longest that may be one
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))")
 IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 HINTS = re.compile(r"[0-9@]|\bat\b", re.I)
 
@@ -91,18 +98,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def proposals(text: str) -> list[tuple[str, int, int]]:
-    """Spans that may be personal data beyond the base rules; they may overlap."""
-    found = [("number", *m.span()) for m in NUMBER.finditer(text)]
-    for at in re.finditer(r"\[at\]|\(at\)|\bat\b|@", text, re.I):
-        # the pattern is tried only around what may separate an address
-        m = ADDRESS.search(text, max(0, at.start() - 66), at.end() + 330)
-        if m and m.start() < at.start() < m.end():
-            found.append(("address", *m.span()))
-    found += [("account", *m.span()) for m in ACCOUNT.finditer(text)]
+def _alnum(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """Every run of whole digit groups with 7 to 19 digits."""
+    for m in GROUPS.finditer(text):
+        if m.end() - m.start() < NUMBER_DIGITS[0]:
+            continue
+        groups = [g.span() for g in re.finditer("[0-9]+", m[0])]
+        groups = [(a + m.start(), b + m.start()) for a, b in groups]
+        for i, (start, _) in enumerate(groups):
+            if _alnum(text, start - 1):
+                continue
+            begin = start - 1 if text[start - 1 : start] in ("(", "+") and not _alnum(text, start - 2) else start
+            digits = 0
+            for a, b in groups[i : i + NUMBER_DIGITS[-1]]:
+                digits += b - a
+                if digits > NUMBER_DIGITS[-1]:
+                    break
+                if digits in NUMBER_DIGITS and not _alnum(text, b):
+                    yield ("number", begin, b)
+
+
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    """From each separator the local part backwards and one to four joints of the domain
+    forwards."""
+    for at in AT.finditer(text):
+        end = at.start() - (at.start() > 0 and text[at.start() - 1].isspace())
+        start = end
+        while start > max(0, end - 64) and text[start - 1] in LOCAL:
+            start -= 1
+        m = HOST.match(text, at.end()) if start < end else None
+        for _ in range(4 if m else 0):
+            m = JOINT.match(text, m.end())
+            if not m:
+                break
+            yield ("address", start, m.end())
+
+
+def _accounts(text: str) -> Iterator[tuple[str, int, int]]:
+    """From each place where an account number may begin, every end behind a whole group."""
+    for m in ACCOUNT.finditer(text):
+        start, end = m.span(1)
+        for at in [*(k for k in range(start + 12, end) if text[k] == " "), end]:
+            if 12 <= at - start - text.count(" ", start, at) <= 35:
+                yield ("account", start, at)
+
+
+def proposals(text: str) -> Iterator[tuple[str, int, int]]:
+    """Spans that may be personal data beyond the base rules; they may overlap, and of
+    neighbours each is proposed on its own."""
+    yield from _numbers(text)
+    yield from _addresses(text)
+    yield from _accounts(text)
     if ":" in text:
-        found += [("ip6", *m.span()) for m in IP6.finditer(text)]
-    return found
+        for m in IP6.finditer(text):
+            yield ("ip6", *m.span())
 
 
 #: what words near a span tell
@@ -122,7 +175,8 @@ for _k, _group in enumerate(CONTEXT):
     for _word in _group.split():
         CONTEXT_GROUP.setdefault(_word, []).append(_k)
 NEAR = re.compile(r"[^\W\d_]+")
-WIDTH = len(ADDED_KINDS) + 2 * len(CONTEXT) + 24
+WIDTH = len(ADDED_KINDS) + 2 * len(CONTEXT) + 36
+SCORED = 4096
 
 
 def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -142,16 +196,28 @@ def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
         at += 2 * len(CONTEXT)
         before, behind = text[start - 1 : start], text[end : end + 1]
         sizes = [len(g) for g in groups]
+        # what a neighbour looks like that is joined to the span, and how the parts of a domain are joined
+        left, right = text[max(0, start - 2) : start], text[end : end + 2]
+        joints = [j for j in JOINT.finditer(s, AT.search(s).end())] if kind == "address" else []
+        kinds = {j[1].lower() for j in joints}
         row[at:] = (
             len(s), len(digits), len(groups), max(sizes, default=0), min(sizes, default=0), sizes[0] if sizes else 0, sizes[-1] if sizes else 0,
             len(separators), " " in separators, "-" in separators, "." in separators, "/" in separators, "(" in s, s.startswith("+"), ":" in s,
             luhn(digits) if digits else 0, kind == "account" and mod97(s), len(set(digits)),
             sizes == [3, 2, 4], sizes in ([3, 3, 4], [3, 4], [2, 2, 2, 2, 2]), any(w in s.lower() for w in ("[at]", "(at)")), any(w in s.lower() for w in ("dot", "(dot)")),
             before in (":", "#", "$", "€", "v", "=", '"'), behind in ("%", "$", "€", ":", '"', "/"),
+            _joined(left[::-1], " "), _joined(left[::-1], "-./()"), _joined(right, " "), _joined(right, "-./("),
+            sizes[1] if len(sizes) > 1 else 0, s.count(" "), s.count("-"),
+            len(joints), len(kinds), any(j[1] == "." and j[2] for j in joints), len(joints[-1][3]) if joints else 0, JOINT.match(text, end) is not None,
         )
     return x
 
 
+def _joined(beside: str, by: str) -> bool:
+    """A separator stands beside the span and a digit or a further separator behind it."""
+    return len(beside) == 2 and beside[0] in by and (beside[1].isdigit() or beside[1] in "()")
+
+
 class Sentences:
     """Generated texts with the spans of the personal data in them."""
 
@@ -210,12 +276,14 @@ class Sentences:
         text, spans = "", []
         for _ in range(r.randint(1, 4)):
             text += " ".join(r.choices(self.words, k=r.randint(2, 9))) + " "
-            mine = r.random() < 0.5
-            lead, found = self.private() if mine else self.alike()
-            text += f"{lead} " if lead else ""
-            if mine:
-                spans.append((len(text), len(text) + len(found)))
-            text += found + r.choice([" ", ", ", ". ", ".\n"])
+            beside = r.choice([1, 1, 1, 2, 3])  # neighbours with nothing between them
+            for left in range(beside, 0, -1):
+                mine = r.random() < 0.5 or beside > 1
+                lead, found = self.private() if mine else self.alike()
+                text += f"{lead} " if lead and left == beside else ""
+                if mine:
+                    spans.append((len(text), len(text) + len(found)))
+                text += found + r.choice([" ", ", ", ". ", ".\n"] if left == 1 else [" ", " ", ", ", "; ", "\n"])
         return text + " ".join(r.choices(self.words, k=3)), spans
 
 
@@ -232,7 +300,8 @@ def fit(sample: list[str], sentences: int = 1500, precision: float = 0.95) -> Mo
     rows, labels, kinds, tests = [], [], [], []
     for k in range(sentences):
         text, mine = made.sentence()
-        found = [s for s in proposals(text) if not _meets(s, base_spans(text))]
+        base = base_spans(text)
+        found = [s for s in proposals(text) if not _meets(s, base)]
         rows.append(features(text, found))
         # personal if it covers the same stretch but for a character at either end
         labels += [any(abs(s[1] - a) <= 1 and abs(s[2] - b) <= 1 for a, b in mine) for s in found]
@@ -272,16 +341,17 @@ def find_private(model: Model, text: str) -> list[tuple[str, int, int]]:
         k = int(np.searchsorted(covered[:, 0], span[2], "left"))
         return k == 0 or reach[k - 1] <= span[1]
 
-    found = [s for s in proposals(text) if free(s)] if base else proposals(text)
+    found = (s for s in proposals(text) if free(s))
     taken: list[tuple[str, int, int]] = []
-    if found:
-        p = model.trees.probability(features(text, found))
-        picked = [(q, s) for q, s in zip(p, found, strict=True) if q >= model.thresholds[ORDER[s[0]] - len(KINDS)]]
-        starts: dict[int, bool] = {}
-        for _, s in sorted(picked, key=lambda x: (-x[0], x[1][1], -x[1][2])):
-            if not any(at in starts for at in range(s[1], s[2])):
-                starts.update(dict.fromkeys(range(s[1], s[2]), True))
-                taken.append(s)
+    picked = []
+    while part := list(islice(found, SCORED)):  # memory is bounded for a text that is all digits
+        p = model.trees.probability(features(text, part))
+        picked += [(q, s) for q, s in zip(p, part, strict=True) if q >= model.thresholds[ORDER[s[0]] - len(KINDS)]]
+    starts: dict[int, bool] = {}
+    for _, s in sorted(picked, key=lambda x: (-x[0], x[1][1], -x[1][2])):
+        if not any(at in starts for at in range(s[1], s[2])):
+            starts.update(dict.fromkeys(range(s[1], s[2]), True))
+            taken.append(s)
     return sorted(base + taken, key=lambda s: (ORDER[s[0]], s[1]))
 
 

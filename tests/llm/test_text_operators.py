@@ -116,6 +116,41 @@ def test_private_added_spans_on_held_out_sentences(private_model):
     assert right / (right + missed) > 0.7 and wrong / (right + wrong) < 0.15
 
 
+NEIGHBOURS = [
+    ("address", ["anna[at]home[dot]org", "bob[at]work[dot]com", "eve[at]site[dot]net"], ", "),
+    ("address", ["anna at home dot org", "bob at work dot com"], ". "),
+    ("number", ["555-123-4567", "555-987-6543"], " "),
+    ("number", ["(555) 123-4567", "(555) 987-6543", "(555) 123-9876"], " "),
+    ("account", ["AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"], " "),
+]
+
+
+@pytest.mark.parametrize("kind,items,between", NEIGHBOURS)
+def test_private_neighbours_are_all_proposed_and_found(private_model, kind, items, between):
+    text = "write to " + between.join(items) + " now"
+    want = [(kind, text.index(x), text.index(x) + len(x)) for x in items]
+    assert set(want) <= set(pii.proposals(text))
+    assert pii.find_private(private_model, text) == want
+
+
+def test_private_address_behind_an_earlier_at(private_model):
+    text = "We met at noon. Write to bob(at)example(dot)com"
+    assert pii.find_private(private_model, text) == [("address", 25, 47)]
+
+
+def test_private_numbers_equal_brute_force():
+    r = random.Random(8)
+    for _ in range(4000):
+        text = "".join(r.choices([*"0123456789", "12", "345", "6789", " ", "-", ".", "(", ") ", "/", "+", "a", ","], k=r.randint(0, 30)))
+        want = set()
+        for a, b in ((a, b) for a in range(len(text)) for b in range(a + 7, len(text) + 1)):
+            whole = re.fullmatch(r"[0-9]+(?:[ ().\-/]{1,2}[0-9]+)*", text[a:b]) and not re.match("[0-9A-Za-z]", text[b : b + 1]) and not re.match("[0-9A-Za-z]", text[max(0, a - 1) : a])
+            if whole and 7 <= sum(c.isdigit() for c in text[a:b]) <= 19:
+                sign = a > 0 and text[a - 1] in "(+" and not re.match("[0-9A-Za-z]", text[max(0, a - 2) : a - 1])
+                want.add(("number", a - sign, b))
+        assert {s for s in pii.proposals(text) if s[0] == "number"} == want, repr(text)
+
+
 def test_private_scan_of_odd_rows(odd, private_model):
     rows = pii.scan_private(odd, private_model).collect()
     assert len(rows) == 8
