@@ -2,11 +2,17 @@
 
 A text's k-mers are runs of ``k`` words, each numbered by its occurrence (the second "of
 the" differs from the first), hashed to 40 bits and kept with its place in the text.  The
-hash orders them; its top six bits deal them into 64 bins, each a minimum of its own (one
-permutation instead of 64).  From each bin the ``TUPLE`` minimal k-mers are taken, put back
-into text order and hashed as a tuple: a bin agrees in two texts only if the same k-mers
-are minimal and stand in the same order, so the share of agreeing bins follows the edit
-distance and not the bag of words alone.  Bins that are empty in both texts do not count.
+hash orders them.  ``rotated``: a permutation is that order begun at one of 64 evenly spaced
+places and closed to a ring; of each the ``TUPLE`` (two) minimal k-mers of the whole text are
+taken, put back into text order and hashed as a tuple.  Two texts agree in it only if the
+same k-mers are minimal and stand in the same order, so the share of agreement follows the
+edit distance and not the bag of words, for short texts, too.  The rotations share one hash:
+the expected share is that of independent permutations, its variance is greater for texts of
+few k-mers, where neighbouring rotations take the same tuple.
+
+Otherwise the hash's top six bits deal the k-mers into 64 bins, each with its own two minimal
+ones.  A bin with one k-mer knows no order, so short texts keep little of theirs; bins that
+are empty in both texts do not count.
 
 Each step is one projection over the row's own arrays: nothing is exploded, and a text's
 work grows as n log n.  Equal texts have equal fingerprints.
@@ -93,9 +99,38 @@ def _tuples(numbered: Column) -> Column:
     return _with(numbered, pick)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = WORDS) -> DataFrame:
+def _rotations(numbered: Column) -> Column:
+    """For each of the 64 rotations: its number and the 32-bit hash of the two k-mers that come
+    first from its start on, in text order; behind the last k-mer the first ones follow."""
+
+    def pick(t: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
+
+        def hashed(at: Column) -> Column:
+            a, b = F.get(t, at), F.get(t, F.when(at + 1 < F.size(t), at + 1).otherwise(0))
+            ha, hb = F.shiftright(a, PLACE), F.shiftright(b, PLACE)
+            in_order = F.when(place(a) <= place(b), F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
+            return F.shiftrightunsigned(F.when(F.size(t) < 2, F.xxhash64(ha)).otherwise(in_order), 32)
+
+        def filled(at: Column, first: Column, last: Column) -> Column:
+            return _with(hashed(at), lambda m: F.transform(F.sequence(first, last), lambda r: F.shiftleft(r, 32).bitwiseOR(m)))
+
+        def rotations(starts: Column) -> Column:
+            number = lambda j: F.shiftright(F.get(t, F.get(starts, j)), BIN)
+            least, most = F.lit(-32).cast("bigint"), F.lit(31).cast("bigint")
+            own = F.transform(starts, lambda at, j: filled(at, F.when(j == 0, least).otherwise(number(j - 1) + 1), number(j)))
+            last = number(F.size(starts) - 1)
+            around = F.when(last < most, filled(F.lit(0), last + 1, most)).otherwise(F.array().cast("array<bigint>"))
+            return F.concat(F.flatten(own), around)
+
+        return _with(_borders(t, BIN), rotations)
+
+    return _with(numbered, pick)
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str, k: int = WORDS, rotated: bool = False) -> DataFrame:
     """``df`` and the fingerprint of its non-null string column ``text``: an array of
-    bigint, one per bin with k-mers.  Helper columns are named after ``name`` and dropped."""
+    bigint, one per bin with k-mers, or one per rotation.  Helper columns are named after ``name`` and dropped."""
     kept = df.columns
     h, s, u = f"{name}_words", f"{name}_kmers", f"{name}_numbered"
     empty = F.array().cast("array<bigint>")
@@ -111,7 +146,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = WORDS) -> Dat
     # an array that two expressions read is computed in a projection of its own
     df = df.select(*kept, F.when(F.size(h) > 0, F.sort_array(kmers)).otherwise(empty).alias(s))
     df = df.select(*kept, F.when(F.size(s) > 0, F.sort_array(_numbered(F.col(s)))).otherwise(empty).alias(u))
-    return df.select(*kept, F.when(F.size(u) > 0, _tuples(F.col(u))).otherwise(empty).alias(name))
+    return df.select(*kept, F.when(F.size(u) > 0, (_rotations if rotated else _tuples)(F.col(u))).otherwise(empty).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -145,17 +180,17 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return placed.filter("copy.lent = 0").drop("copy")
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, rotated: bool = False) -> DataFrame:
     """One row per row of ``df``: its id, ``n_chars``, the ``edited`` text (its last quarter
     replaced by the beginning of the next document), the fingerprints ``print`` and
     ``edited_print``, and their likeness ``near_edited`` and ``near_next``."""
     docs = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("body"))
-    docs = with_next(with_fingerprint(docs, "body", "print", k), "id", ["body", "print"])
+    docs = with_next(with_fingerprint(docs, "body", "print", k, rotated), "id", ["body", "print"])
     n = F.length("body")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("body").substr(F.lit(1), n - quarter), F.col("next_body").substr(F.lit(1), quarter))
     docs = docs.select("id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "print", "next_print")
-    docs = with_fingerprint(docs, "edited", "edited_print", k)
+    docs = with_fingerprint(docs, "edited", "edited_print", k, rotated)
     return docs.select(
         F.col("id").alias(id_col),
         "n_chars",

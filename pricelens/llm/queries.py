@@ -90,7 +90,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+    found = order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"), rotated=True)
     return found.select(
         "doc_id",
         "n_chars",

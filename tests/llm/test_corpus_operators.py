@@ -146,6 +146,50 @@ def test_fingerprints_equal_brute_force(docs):
             assert near == pytest.approx(len(set(mine) & set(other)) / len(bins) if bins else 1.0)
 
 
+def brute_rotations(text, k=order_minhash.WORDS):
+    """For each of 64 places on the ring of hashes the next two k-mers, in text order."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def of(*values):
+        seed = 42
+        for x in values:
+            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else (x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    h = [of(w.encode()) for w in re.split(r"[ \t\n\x0B\f\r]+", text or "") if w]
+    seen, numbered = Counter(), []
+    for place in range(max(1, len(h) - k + 1) if h else 0):
+        short = of(*h[place : place + k]) >> 24
+        numbered.append((of(short, seen[short].to_bytes(4, "little")) >> 24, place))
+        seen[short] += 1
+    found = []
+    for r in range(-32, 32) if numbered else ():
+        ring = sorted(numbered, key=lambda x: ((x[0] - (r << 34)) % (1 << 40), x[1]))
+        found.append((r << 32) | ((of(*[u for u, _ in sorted(ring[:2], key=lambda x: x[1])]) & (1 << 64) - 1) >> 32))
+    return found
+
+
+def test_rotations_equal_brute_force(docs):
+    some = docs.selectExpr("coalesce(substring(text, 1, 2000), '') AS t").distinct().limit(150)
+    some = some.unionByName(some.selectExpr("substring(t, 1, length(t) % 150) AS t"))
+    for r in order_minhash.with_fingerprint(some, "t", "p", rotated=True).collect():
+        assert sorted(r["p"]) == sorted(brute_rotations(r["t"])), r["t"]
+
+
+@pytest.mark.parametrize("blocks", [5, 8, 12, 20, 30])
+def test_reordered_short_texts_are_unlike(spark, tmp_path, blocks):
+    """Through the query: a text is its own likeness 1, but not that of its parts reordered."""
+    from pricelens.llm import queries
+
+    parts = [" ".join(f"w{blocks}x{i}y{j}" for j in range(4)) for i in range(blocks)]
+    rows = [(1, " ".join(parts)), (2, " ".join(parts[::-1])), (3, " ".join(parts[::-1]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_order_minhash"](spark, str(tmp_path)).collect()}
+    assert got[2]["near_next"] == 1.0
+    assert got[1]["near_next"] <= 0.2
+    assert all(r["fingerprint"].count(".") == 63 for r in got.values())
+
+
 def test_fingerprints_of_repeated_and_null_ids(docs):
     got = order_minhash.fingerprint_documents(docs)
     assert got.count() == docs.count()
