@@ -104,7 +104,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"), rotated=True)
+    found = order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         "n_chars",
@@ -176,7 +176,7 @@ def op13_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda n, c: n + c["words"])
     first = F.get("copies", F.lit(0))["position"]
     rows = mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("position"))
-    return rows.orderBy(F.col("position").asc_nulls_last())
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE["op5_topk_search"] = """
