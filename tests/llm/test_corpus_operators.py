@@ -99,33 +99,27 @@ def test_keep_one_keeps_one_of_each_group(docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for _, c in found})
 
 
-def brute_order_minhash(text, k=order_minhash.WORDS):
-    """The same definition in plain Python (hashes as Spark's xxhash64 of longs)."""
+def brute_rotations(text, k=order_minhash.WORDS):
+    """For each of 64 places on the ring of hashes the next two k-mers, in text order."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    def of(*longs):  # Spark chains the seed from column to column
+    def of(*values):
         seed = 42
-        for x in longs:
-            seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        for x in values:
+            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else (x & (1 << 64) - 1).to_bytes(8, "little"), seed)
         return signed(seed)
 
-    def of_nth(value, nth):
-        first = xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), 42)
-        return signed(xxhash.xxh64_intdigest((nth & (1 << 32) - 1).to_bytes(4, "little"), first))
-
-    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[ \t\n\x0B\f\r]+", text or "") if w]
-    if not h:
-        return []
+    h = [of(w.encode()) for w in re.split(r"[ \t\n\x0B\f\r]+", text or "") if w]
     seen, numbered = Counter(), []
-    for place in range(max(1, len(h) - k + 1)):
+    for place in range(max(1, len(h) - k + 1) if h else 0):
         short = of(*h[place : place + k]) >> 24
-        numbered.append((of_nth(short, seen[short]) >> 24, place))
+        numbered.append((of(short, seen[short].to_bytes(4, "little")) >> 24, place))
         seen[short] += 1
-    bins = {}
-    for u, place in sorted(numbered):
-        if len(bins.setdefault(u >> 34, [])) < 2:
-            bins[u >> 34].append((place, u))
-    return sorted((b << 32) | ((of(*[u for _, u in sorted(got)]) & (1 << 64) - 1) >> 32) for b, got in bins.items())
+    found = []
+    for r in range(-32, 32) if numbered else ():
+        ring = sorted(numbered, key=lambda x: ((x[0] - (r << 34)) % (1 << 40), x[1]))
+        found.append((r << 32) | ((of(*[u for u, _ in sorted(ring[:2], key=lambda x: x[1])]) & (1 << 64) - 1) >> 32))
+    return found
 
 
 def test_fingerprints_equal_brute_force(docs):
@@ -139,40 +133,17 @@ def test_fingerprints_equal_brute_force(docs):
         quarter = len(text) // 4
         assert r["n_chars"] == len(text)
         assert r["edited"] == text[: len(text) - quarter] + after[:quarter]
-        mine, next_one, edited = (brute_order_minhash(t) for t in (text, after, r["edited"]))
+        mine, next_one, edited = (sorted(brute_rotations(t)) for t in (text, after, r["edited"]))
         assert sorted(r["print"]) == mine and sorted(r["edited_print"]) == edited
         for other, near in ((edited, r["near_edited"]), (next_one, r["near_next"])):
             bins = {x >> 32 for x in mine + other}
             assert near == pytest.approx(len(set(mine) & set(other)) / len(bins) if bins else 1.0)
 
 
-def brute_rotations(text, k=order_minhash.WORDS):
-    """For each of 64 places on the ring of hashes the next two k-mers, in text order."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-    def of(*values):
-        seed = 42
-        for x in values:
-            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else (x & (1 << 64) - 1).to_bytes(8, "little"), seed)
-        return signed(seed)
-
-    h = [of(w.encode()) for w in re.split(r"[ \t\n\x0B\f\r]+", text or "") if w]
-    seen, numbered = Counter(), []
-    for place in range(max(1, len(h) - k + 1) if h else 0):
-        short = of(*h[place : place + k]) >> 24
-        numbered.append((of(short, seen[short].to_bytes(4, "little")) >> 24, place))
-        seen[short] += 1
-    found = []
-    for r in range(-32, 32) if numbered else ():
-        ring = sorted(numbered, key=lambda x: ((x[0] - (r << 34)) % (1 << 40), x[1]))
-        found.append((r << 32) | ((of(*[u for u, _ in sorted(ring[:2], key=lambda x: x[1])]) & (1 << 64) - 1) >> 32))
-    return found
-
-
 def test_rotations_equal_brute_force(docs):
     some = docs.selectExpr("coalesce(substring(text, 1, 2000), '') AS t").distinct().limit(150)
     some = some.unionByName(some.selectExpr("substring(t, 1, length(t) % 150) AS t"))
-    for r in order_minhash.with_fingerprint(some, "t", "p", rotated=True).collect():
+    for r in order_minhash.with_fingerprint(some, "t", "p").collect():
         assert sorted(r["p"]) == sorted(brute_rotations(r["t"])), r["t"]
 
 
@@ -198,6 +169,21 @@ def test_fingerprints_of_repeated_and_null_ids(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_successors_of_large_repeated_and_null_ids(spark):
+    ids = [2**62 + 1000003 * i for i in range(200)] + [7] * 60 + [None] * 60 + [-(2**63), 2**63 - 1]
+    rows = [(i, f"text {n % 50} " + "z" * n, 1, "x") for n, i in enumerate(ids)] + [(7, "text 1 z", 1, "x")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int, key string").repartition(5)
+    got = order_minhash.fingerprint_documents(df).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = Counter()
+    for (i, text, *_), (_, after, *_) in zip(order, order[1:] + order[:1]):
+        want[(i, len(text), text[: len(text) - len(text) // 4] + after[: len(text) // 4])] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == want
+    alone = order_minhash.fingerprint_documents(df.limit(1)).collect()
+    assert [r["near_next"] for r in alone] == [1.0]
+
+
 @pytest.mark.parametrize("slices", [1, 2, 4])
 def test_search_equals_brute_force(spark, slices):
     r = np.random.default_rng(1)
