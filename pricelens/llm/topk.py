@@ -58,7 +58,12 @@ def _classes(rows: DataFrame, keep: int) -> DataFrame:
     w = Window.partitionBy("v", "salt").orderBy("id")
     part = part.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep)
     few = part.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, keep).alias("ids"))
-    return few.select(F.xxhash64("v").alias("hash"), F.element_at("ids", 1).alias("class"), "v", "ids")
+    return few.select("v", "ids")
+
+
+def _numbered(vectors: DataFrame) -> DataFrame:
+    """Distinct vectors with a number of their own, ``class``; an id may have several vectors."""
+    return written(vectors.withColumn("class", F.monotonically_increasing_id()))
 
 
 def _blocks(df: DataFrame, rows: int) -> int:
@@ -104,11 +109,9 @@ def search(
     if float(largest) ** 2 * length >= EXACT:
         raise ValueError(f"components up to {largest} make scores that double precision can't hold exactly")
     keep = k + 1
-    classes = written(_classes(rows, keep)).select("class", "v", "ids")
-    # a query's class is named by its smallest id among the queries
-    members = asked.withColumn("class", F.min("id").over(Window.partitionBy("v")))
-    members = written(members.select("id", "class", "v"))
-    wanted = members.select("class", "v").distinct()
+    classes = _numbered(_classes(rows, keep)).select("class", "v", "ids")
+    wanted = _numbered(asked.select("v").distinct()).select("class", "v")
+    members = written(asked.join(wanted, "v").select("id", "class"))
     vectors = classes.select(F.col("class").alias("row"), F.col("v").alias("rv"), F.size("ids").alias("copies"))
 
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
