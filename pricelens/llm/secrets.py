@@ -41,6 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -128,6 +129,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             covered[kind] = m.end()
             if holds(m):
                 spans.append((kind, start, m.end()))
+        elif kind == "jwt" and (run := JWT_RUN.match(text, start)):
+            # what follows the run decided: a start further on in the run fails likewise
+            covered[kind] = run.end()
     return sorted(spans, key=lambda s: (s[1], ORDER[s[0]]))
 
 

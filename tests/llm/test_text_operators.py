@@ -246,3 +246,11 @@ def test_pieces_of_odd_rows(odd):
     assert hashlib.sha256(by_id[3]["decoded"].encode()).digest() == hashlib.sha256(b" \t\n ").digest()
     assert pieces.encode_documents(odd.limit(0), PIECES).collect() == []
     assert zlib.crc32(by_id[2]["ids"]) == zlib.crc32(np.array([1, 2], "<u4").tobytes())
+
+
+def test_token_rule_reads_a_run_once():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    for text in ("eyJaa" * 20000, "eyJaa." * 20000, "EYJ" * 30000, "eyJaa.eyJ" * 20000):
+        assert secrets.find_secrets(text) == []
+        assert secrets.find_secrets(text + " " + token) == [("jwt", len(text) + 1, len(text) + 1 + len(token))]
+    assert secrets.find_secrets("EYJ" + token) == [("jwt", 3, 3 + len(token))]
