@@ -37,8 +37,9 @@ from pricelens.llm.common import text_or_empty, text_sample
 from pricelens.llm.dom import RAW, Node, parse
 from pricelens.llm.gbt import Boosted, boost
 
-NEVER = RAW | {"head", "template", "noscript", "svg", "math", "object", "canvas", "map", "datalist"}
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source audio video track".split())
+#: never main text, wherever they stand; of all other elements the trees judge
+NEVER = (RAW - {"xmp", "plaintext"}) | {"head", "template", "datalist"}
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source audio video track math svg object canvas map noscript".split())
 CONTROLS = frozenset("input button select textarea option label fieldset form".split())
 
 TAGS = [

@@ -4,6 +4,7 @@ search, classification, language model, extraction, and the pipeline."""
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -202,6 +203,18 @@ def test_search_equals_brute_force(spark, slices):
     assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("rows", [
+    [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.25])],
+    [(0, [1.0, 1.0]), (1, [1.0, 0.5]), (2, [0.0, 0.5]), (3, [0.0, 1.0]), (3, [0.9, 1.0]), (4, [0.1, 0.2])],
+])
+def test_search_with_ids_that_have_several_vectors(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, df.filter("vec_id = 0"), k=3).collect()]
+    dot = lambda a, b: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b))
+    pairs = sorted((-dot(q, v), i) for x, q in rows if x == 0 for i, v in rows if i != 0)
+    assert sorted(got) == [(0, n, i, -s) for n, (s, i) in enumerate(pairs[:3], 1)]
+
+
 def test_search_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
@@ -430,3 +443,24 @@ def test_pipeline_rows_equal_brute_force(spark):
         assert r["start"] == len(got.setdefault(r["doc_id"], [])) and r["doc_tokens"] == len(want[r["doc_id"]])
         got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
     assert got == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 100000, "<div>" * 20000 + "<p>x" * 2000 + "</b>" * 20000, "<table><tr><td><table>" + "<div>" * 20000 + "<td>x</td>" * 20000, '<a =">">' * 50000])
+def test_broken_pages_are_read_in_linear_time(page):
+    from pricelens.llm import dom
+
+    started = time.process_time()
+    dom.parse(page)
+    assert time.process_time() - started < 5
+
+
+def test_quotes_count_only_where_a_value_begins():
+    from pricelens.llm import dom
+
+    def texts(page):
+        return [c for n in dom.parse(page) for c in n.content if isinstance(c, str)]
+
+    assert texts("<p title=it's>First, we don't lose</p><p>next</p>") == ["First, we don't lose", "next"]
+    assert texts("<p title = 'a>b' x=\"c>d\">one</p><p \">two</p>") == ["one", "two"]
+    assert texts("<xmp><b>raw</b></xmp><math><mi>x</mi></math>") == ["<b>raw</b>", "x"]
+    assert not {"xmp", "math", "svg", "object", "canvas", "map", "noscript", "plaintext"} & html_extract.NEVER
