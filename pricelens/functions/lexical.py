@@ -36,33 +36,39 @@ def trigram_set(text: str | None) -> set[str]:
     return set().union(*map(_word_trigrams, set(tokens(text))))
 
 
-def cover_density(doc_tokens: list[str], query_terms: list[str]) -> float:
-    """Sum over minimal covers of 0.1 / (1 + noise); 0 when a term is missing."""
-    terms = {t: i for i, t in enumerate(dict.fromkeys(query_terms))}
-    n = len(terms)
-    if n == 0:
-        return 0.0
-    occ = [(pos, terms[t]) for pos, t in enumerate(doc_tokens) if t in terms]
+@lru_cache(maxsize=1 << 17)
+def _word_codes(word: str) -> tuple[int, ...]:
+    return tuple(ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in _word_trigrams(word))
+
+
+def trigram_codes(text: str | None) -> np.ndarray:
+    """The distinct trigrams of a text as sorted whole numbers, three code points each."""
+    return np.array(sorted(set().union(*map(_word_codes, set(tokens(text))))), np.int64)
+
+
+def covers(occurrences: list[tuple[int, int]], n: int) -> float:
+    """Sum over minimal covers of 0.1 / (1 + noise), out of the places of ``n`` query terms in a
+    document as (place, term), in order of place."""
     count = [0] * n
-    have = 0
-    left = 0
+    have = left = 0
     total = 0.0
-    for right, (qpos, t) in enumerate(occ):
-        if count[t] == 0:
-            have += 1
-        count[t] += 1
-        while count[occ[left][1]] > 1:
-            count[occ[left][1]] -= 1
+    for right, (place, term) in enumerate(occurrences):
+        have += count[term] == 0
+        count[term] += 1
+        while count[occurrences[left][1]] > 1:
+            count[occurrences[left][1]] -= 1
             left += 1
-        if have == n and count[t] == 1:
-            ppos = occ[left][0]
-            noise = (qpos - ppos) - (right - left)
-            if noise < 0:
-                noise = (right - left) // 2
-            total += COVER_WEIGHT / (1 + noise)
+        if have == n and count[term] == 1:
+            total += COVER_WEIGHT / (1 + (place - occurrences[left][0]) - (right - left))
     return total
 
 
+def cover_density(doc_tokens: list[str], query_terms: list[str]) -> float:
+    """Sum over minimal covers of 0.1 / (1 + noise); 0 when a term is missing."""
+    terms = {t: i for i, t in enumerate(dict.fromkeys(query_terms))}
+    return covers([(pos, terms[t]) for pos, t in enumerate(doc_tokens) if t in terms], len(terms)) if terms else 0.0
+
+
 def trigram_jaccard_matrix(q_sets: list[set[str]], d_sets: list[set[str]], chunk: int = 512) -> np.ndarray:
     """|Q_i n D_j| / |Q_i u D_j| for all pairs of one block, via a vocabulary of the
     query trigrams (document trigrams outside it only count towards |D_j|).  Documents are

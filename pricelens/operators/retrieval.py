@@ -7,25 +7,26 @@ Inputs
 * ``validation`` (optional external scores): qid, doc_id, similarity_score, keep
 
 Plan
-* vector (R1/K2) and lexical (R2/K1) lists are exact per-query top-k computed by
-  :func:`pricelens.operators.topk.blocked_topk` - scoped by vehicle model, salted blocks,
-  only top-k rows leave a task.  All three retrieval passes of every symptom run in the
-  same two jobs (queries carry a pass number).
+* vector (R1/K2) and lexical (R2/K1) lists are exact per-query top-k over block indexes
+  (:mod:`pricelens.operators.blocks`), keyed by vehicle model and system; an index is built
+  once and read by every pass; blocks that can't hold a result are not scored.
+* R6 runs its passes over a frontier: pass n retrieves only for symptoms that pass n-1 left
+  unsatisfied, each pass with its own text and vector.
 * fusion (R4/J8) is a full outer join of the two lists per (query, doc), ranks from
   ``row_number``; every later step is joins and aggregates keyed by symptom.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions import lexical as LX
 from pricelens.functions.text import compact_query, consumable_flag, extract_keywords, norm_part, norm_space, split_parts
-from pricelens.operators.topk import blocked_topk
-from pricelens.session import cut_lineage
+from pricelens.operators.blocks import DOCS_PER_BLOCK, bounded_topk, build_index
+from pricelens.operators.postings import LexicalBlocks, VectorBlocks
+from pricelens.session import cut_lineage, stored
 
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -90,96 +91,34 @@ def in_scope(doc_model: Column, doc_system: Column, model: Column, systems: Colu
     return (doc_model == model) & ((F.size(systems) == 0) | F.array_contains(systems, doc_system))
 
 
-# --- in-task scorers ----------------------------------------------------------------------
-
-def _scope_mask(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> np.ndarray:
-    cats = dpdf["system_category"].to_numpy(dtype=object)
-    mask = np.ones((len(qpdf), len(dpdf)), dtype=bool)
-    for i, systems in enumerate(qpdf["systems"]):
-        if systems is not None and len(systems) > 0:
-            mask[i] = np.isin(cats, np.asarray(list(systems), dtype=object))
-    return mask
-
-
-def _stack(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    present = np.array([v is not None and len(v) > 0 for v in col], dtype=bool)
-    dim = next((len(v) for v in col if v is not None and len(v) > 0), 1)
-    m = np.zeros((len(col), dim), dtype=np.float64)
-    for i, v in enumerate(col):
-        if present[i] and len(v) == dim:
-            m[i] = np.asarray(v, dtype=np.float64)
-    return m, present
-
-
-def vector_scores(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> np.ndarray:
-    """R1 for a block: cosine similarity (1 - cosine distance); NaN for null vectors."""
-    q, qp = _stack(qpdf["qvec"])
-    d, dp = _stack(dpdf["embedding"])
-    if q.shape[1] != d.shape[1]:
-        s = np.full((len(qpdf), len(dpdf)), np.nan)
-    else:
-        qn = np.linalg.norm(q, axis=1)
-        dn = np.linalg.norm(d, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (q @ d.T) / (qn[:, None] * dn[None, :])
-        ok = (qp & (qn > 0))[:, None] & (dp & (dn > 0))[None, :]
-        s = np.where(ok, s, np.nan)
-    return np.where(_scope_mask(qpdf, dpdf), s, -np.inf)
-
-
-def lexical_scorer(w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM):
-    """R2 for a block: w_cover * cover density(symptom + evidence) + w_trigram * max(trigram
-    similarity to the document symptom, to the evidence)."""
-
-    def score(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> np.ndarray:
-        qtexts = list(qpdf["query_text"])
-        q_tris = [LX.trigram_set(t) for t in qtexts]
-        s_sim = LX.trigram_jaccard_matrix(q_tris, [LX.trigram_set(t) for t in dpdf["symptom_text"]])
-        e_sim = LX.trigram_jaccard_matrix(q_tris, [LX.trigram_set(t) for t in dpdf["evidence_text"]])
-        out = w_trigram * np.maximum(s_sim, e_sim)
-        if w_cover:
-            q_terms = [list(dict.fromkeys(LX.tokens(t))) for t in qtexts]
-            vocab = {t for terms in q_terms for t in terms}
-            doc_tokens = []
-            doc_sets = []
-            for s_t, e_t in zip(dpdf["symptom_text"], dpdf["evidence_text"]):
-                toks = LX.tokens(f"{s_t or ''} {e_t or ''}")
-                doc_tokens.append(toks)
-                doc_sets.append(vocab.intersection(toks))
-            for i, terms in enumerate(q_terms):
-                if not terms:
-                    continue
-                need = set(terms)
-                for j, have in enumerate(doc_sets):
-                    if need <= have:
-                        out[i, j] += w_cover * LX.cover_density(doc_tokens[j], terms)
-        return np.where(_scope_mask(qpdf, dpdf), out, -np.inf)
-
-    return score
+# --- lists ------------------------------------------------------------------------------------
 
+def lexical_index(docs: DataFrame, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """Postings of the documents' trigrams and tokens by block, stored."""
+    rows = docs.select(
+        F.col("id").cast("long").alias("doc_id"), F.col("vehicle_model").alias("scope"), F.col("system_category").alias("system"),
+        F.coalesce("symptom_text", F.lit("")).alias("symptom_text"), F.coalesce("evidence_text", F.lit("")).alias("evidence_text"),
+    )
+    return build_index(rows, LexicalBlocks(w_cover, w_trigram), docs_per_block)
 
-# --- lists ------------------------------------------------------------------------------------
 
-def _doc_cols(docs: DataFrame, with_text: bool, with_vec: bool) -> DataFrame:
-    cols = [F.col("id").cast("long").alias("doc_id"), F.col("vehicle_model").alias("scope"), "system_category"]
-    if with_text:
-        cols += [F.coalesce("symptom_text", F.lit("")).alias("symptom_text"), F.coalesce("evidence_text", F.lit("")).alias("evidence_text")]
-    if with_vec:
-        cols += [F.col("symptom_embedding").alias("embedding")]
-    return docs.select(*cols)
+def vector_index(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """The documents' vectors in blocks of near ones, stored."""
+    rows = docs.select(
+        F.col("id").cast("long").alias("doc_id"), F.col("vehicle_model").alias("scope"), F.col("system_category").alias("system"),
+        F.col("symptom_embedding").alias("embedding"),
+    )
+    return build_index(rows, VectorBlocks(), docs_per_block)
 
 
-def vector_list(queries: DataFrame, docs: DataFrame, k: int, doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
+def vector_list(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """K2: top-k documents by cosine similarity, null scores last, id tie-break."""
-    q = queries.select("qid", "scope", "systems", "qvec")
-    return blocked_topk(q, _doc_cols(docs, False, True), "scope", k, vector_scores, doc_blocks, query_blocks)
+    return bounded_topk(queries, index, VectorBlocks(), k)
 
 
-def lexical_list(queries: DataFrame, docs: DataFrame, k: int, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM,
-                 doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
+def lexical_list(queries: DataFrame, index: DataFrame, k: int, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM) -> DataFrame:
     """K1: top-k documents by lexical score (zero scores admitted), id tie-break."""
-    q = queries.select("qid", "scope", "systems", "query_text")
-    return blocked_topk(q, _doc_cols(docs, True, False), "scope", k, lexical_scorer(w_cover, w_trigram), doc_blocks, query_blocks)
+    return bounded_topk(queries, index, LexicalBlocks(w_cover, w_trigram), k)
 
 
 def fuse_rankings(vec: DataFrame, lex: DataFrame, top_k: int, fetch_k: int) -> DataFrame:
@@ -200,16 +139,20 @@ def fuse_rankings(vec: DataFrame, lex: DataFrame, top_k: int, fetch_k: int) -> D
 
 def pass_queries(symptoms: DataFrame, passes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """One query row per (symptom, pass): pass 1 model + symptom, pass 2 model + compacted
-    query, pass 3 common documents + symptom.  ``qid`` = '<estimate>|<symptom>|<pass>'."""
+    query, pass 3 common documents + symptom.  ``qid`` = '<estimate>|<symptom>|<pass>'.  Each
+    pass has the vector of its own text: ``qvec`` of the symptom, ``compact_qvec`` (if that
+    column is given) of the compacted one."""
+    compact_vector = "compact_qvec" if "compact_qvec" in symptoms.columns else "qvec"
     base = symptoms.select(
-        "estimate_id", "symptom_no", "vehicle_model", "qvec",
+        "estimate_id", "symptom_no", "vehicle_model", "qvec", F.col(compact_vector).alias("compact_qvec"),
         norm_space(F.col("symptom_text")).alias("symptom_text"),
     ).withColumn("systems", infer_systems(F.col("symptom_text")))
     rows = []
     for p in passes:
         text = compact_query(F.col("symptom_text")) if p == 2 else F.col("symptom_text")
         scope = F.lit(COMMON_MODEL) if p > MODEL_PHASE_PASSES else F.col("vehicle_model")
-        rows.append(base.select("estimate_id", "symptom_no", "systems", "qvec", F.lit(p).alias("pass"),
+        vector = F.col("compact_qvec") if p == 2 else F.col("qvec")
+        rows.append(base.select("estimate_id", "symptom_no", "systems", vector.alias("qvec"), F.lit(p).alias("pass"),
                                 scope.alias("scope"), text.alias("query_text"), F.col("symptom_text")))
     out = rows[0]
     for r in rows[1:]:
@@ -220,19 +163,17 @@ def pass_queries(symptoms: DataFrame, passes: tuple[int, ...] = (1, 2, 3)) -> Da
 
 
 def hybrid_lists(queries: DataFrame, docs: DataFrame, fetch_k: int, w_cover: float = LEX_W_COVER,
-                 w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int | None = None, query_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 w_trigram: float = LEX_W_TRIGRAM) -> tuple[DataFrame, DataFrame]:
     """The vector and lexical top-``fetch_k`` lists for every query row."""
-    vec = vector_list(queries, docs, fetch_k, doc_blocks, query_blocks)
-    lex = lexical_list(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
-    return vec, lex
+    vec = vector_list(queries, vector_index(docs), fetch_k)
+    return vec, lexical_list(queries, lexical_index(docs, w_cover, w_trigram), fetch_k, w_cover, w_trigram)
 
 
 def hybrid_candidates(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K, w_cover: float = LEX_W_COVER,
-                      w_trigram: float = LEX_W_TRIGRAM, doc_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
+                      w_trigram: float = LEX_W_TRIGRAM) -> DataFrame:
     """Hybrid retrieval (vector + lexical, fused) for every query row: (qid, doc_id, score, fused_rank, ...)."""
     fetch_k = max(top_k * FETCH_FACTOR, top_k)
-    vec, lex = hybrid_lists(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
-    return fuse_rankings(vec, lex, top_k, fetch_k)
+    return fuse_rankings(*hybrid_lists(queries, docs, fetch_k, w_cover, w_trigram), top_k, fetch_k)
 
 
 def attach_validation(cands: DataFrame, validation: DataFrame, keep_cutoff: float = KEEP_CUTOFF) -> DataFrame:
@@ -299,8 +240,43 @@ def symptom_rows(inputs: DataFrame, text_col: str = "symptom_text_raw") -> DataF
     ).withColumn("symptom_no", F.col("symptom_no") + 1)
 
 
-def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, doc_blocks: int | None = None, query_blocks: int | None = None,
-                      w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
+def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w_cover: float = LEX_W_COVER,
+                     w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
+    """The retrieval passes, each over the frontier that the pass before left.
+
+    Pass 1 retrieves for every symptom; pass n + 1 only for those without enough kept documents
+    after pass n.  Both indexes are built once.  Returns ``queries`` (of executed passes only),
+    ``candidates``, ``passes`` (statistics per executed pass), ``kept`` (documents of the chosen
+    pass) and the first pass's ``vector`` and ``lexical`` lists."""
+    fetch_k = max(TOP_K * FETCH_FACTOR, TOP_K)
+    vectors, postings = vector_index(docs), lexical_index(docs, w_cover, w_trigram)
+    key = ["estimate_id", "symptom_no"]
+    frontier = symptoms
+    found: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = []
+    first = None
+    for p in (1,) if validation_fn is None else (1, 2, 3):
+        queries = cut_lineage(pass_queries(frontier, (p,)))
+        vec = vector_list(queries, vectors, fetch_k)
+        lex = lexical_list(queries, postings, fetch_k, w_cover, w_trigram)
+        if p == 1:  # the fallback reads the first lists again
+            vec, lex = stored(vec), stored(lex)
+            first = vec, lex
+        # at most 20, 1 and 5 small rows per query, each with several readers
+        cands = cut_lineage(fuse_rankings(vec, lex, TOP_K, fetch_k))
+        stats, kept = select_pass(cands, queries, None if validation_fn is None else validation_fn(cands))
+        stats, kept = cut_lineage(stats), cut_lineage(kept)
+        found.append((queries, cands, stats, kept))
+        frontier = frontier.join(stats.where("satisfied").select(*key), key, "left_anti")
+    queries, cands, stats, kept = (reduce(DataFrame.unionByName, x) for x in zip(*found))
+    # the chosen pass is the last that ran: the first that is satisfied, or the last of all
+    chosen = stats.groupBy(*key).agg(F.max("pass").alias("chosen_pass"), F.max("satisfied").alias("satisfied"))
+    stats = cut_lineage(stats.drop("chosen_pass", "satisfied").join(chosen, key))
+    kept = kept.drop("chosen_pass", "satisfied").join(chosen, key).where(F.col("pass") == F.col("chosen_pass"))
+    return {"queries": queries, "candidates": cands, "passes": stats, "kept": kept, "vector": first[0], "lexical": first[1]}
+
+
+def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w_cover: float = LEX_W_COVER,
+                      w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
     """The per-symptom retrieval diagnosis for all symptoms.
 
     ``validation_fn(cands) -> DataFrame(qid, doc_id, similarity_score, keep)`` supplies the
@@ -308,21 +284,9 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
     ``candidates``, ``passes``, ``symptoms`` (status, counters, direct matches, evidence
     count), ``match_docs``, ``evidence``.
     """
-    passes = (1,) if validation_fn is None else (1, 2, 3)
-    queries = pass_queries(symptoms, passes)
-    fetch_k = max(TOP_K * FETCH_FACTOR, TOP_K)
-    vec, lex = hybrid_lists(queries, docs, fetch_k, w_cover, w_trigram, doc_blocks, query_blocks)
-    # the scored lists feed several consumers (fusion, fallback, counters): score once and
-    # cut the lineage into the shared checkpoint folder instead of re-running the scorers
-    lists = cut_lineage(vec.withColumn("list", F.lit("v")).unionByName(lex.withColumn("list", F.lit("l"))))
-    vec = lists.where(F.col("list") == "v").drop("list")
-    lex = lists.where(F.col("list") == "l").drop("list")
-    # the fused candidates, the pass statistics and the kept documents are small (<= 20,
-    # 3 and 5 rows per query) and each feeds several consumers: cut lineage once each
-    cands = cut_lineage(fuse_rankings(vec, lex, TOP_K, fetch_k))
-    validation = None if validation_fn is None else validation_fn(cands)
-    stats, kept = select_pass(cands, queries, validation)
-    stats, kept = cut_lineage(stats), cut_lineage(kept)
+    run = iterative_passes(symptoms, docs, validation_fn, w_cover, w_trigram)
+    queries, cands, stats, kept = (run[x] for x in ("queries", "candidates", "passes", "kept"))
+    vec, lex = run["vector"], run["lexical"]
 
     doc_fields = docs.select(
         F.col("id").cast("long").alias("doc_id"), "document_source", "vehicle_model", F.col("symptom_text").alias("doc_symptom_text"),

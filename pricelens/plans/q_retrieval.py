@@ -415,14 +415,14 @@ def q_retrieval_scope(spark, sf):
 def q_cosine_topk(spark, sf):
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.vector_list(queries, _docs(spark, sf, cache), 3).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.vector_list(queries, R.vector_index(_docs(spark, sf, cache)), 3).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register("topk_vector", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM vl")
 def q_topk_vector(spark, sf):
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    v = R.vector_list(queries, _docs(spark, sf, cache), 80)
+    v = R.vector_list(queries, R.vector_index(_docs(spark, sf, cache)), 80)
     return v.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -437,7 +437,7 @@ def q_topk_lexical(spark, sf):
     """K1 with the full lexical score (cover density + trigram)."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, _docs(spark, sf, cache), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.lexical_list(queries, R.lexical_index(_docs(spark, sf, cache)), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("lexical_score", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score FROM ll WHERE rank <= 5")
@@ -445,7 +445,7 @@ def q_lexical_score(spark, sf):
     """R2: full lexical scores of the top 5 documents per symptom."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, _docs(spark, sf, cache), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.lexical_list(queries, R.lexical_index(_docs(spark, sf, cache)), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(
@@ -500,6 +500,12 @@ VAL_SQL = (
 )
 
 
+def _iterated(spark, sf):
+    cache: dict = {}
+    sym = _symptoms(spark, sf, cache)
+    return R.iterative_passes(sym, _docs(spark, sf, cache), _validation(R.pass_queries(sym)))
+
+
 def _passes_pipeline(spark, sf):
     queries, vec, lex, fused = _hybrid_pipeline(spark, sf, (1, 2, 3))
     val = _validation(queries)(fused)
@@ -552,9 +558,21 @@ def q_validation_stats(spark, sf):
     retrieval_sql() + ", " + VAL_SQL + " SELECT estimate_id, symptom_no, chosen_pass, satisfied FROM ch",
 )
 def q_iterative_retrieval(spark, sf):
-    queries, fused, val = _passes_pipeline(spark, sf)
-    stats, _ = R.select_pass(fused, queries, val)
-    return stats.select("estimate_id", "symptom_no", "chosen_pass", "satisfied").distinct()
+    """R6 over its frontier: a pass runs only for symptoms that the one before left open."""
+    passes = _iterated(spark, sf)["passes"]
+    return passes.where("pass = chosen_pass").select("estimate_id", "symptom_no", "chosen_pass", "satisfied")
+
+
+@register(
+    "pass_frontier",
+    retrieval_sql() + ", " + VAL_SQL + " SELECT p.pass, count(*) AS n_symptoms, count(*) FILTER (WHERE ch.chosen_pass = p.pass AND ch.satisfied) AS n_satisfied "
+    "FROM ch JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS pass) p ON p.pass <= ch.chosen_pass GROUP BY p.pass",
+)
+def q_pass_frontier(spark, sf):
+    """How many symptoms each pass retrieved for, and how many it satisfied."""
+    return _iterated(spark, sf)["passes"].groupBy("pass").agg(
+        F.count(F.lit(1)).alias("n_symptoms"), F.count(F.when(F.col("satisfied") & (F.col("pass") == F.col("chosen_pass")), 1)).alias("n_satisfied")
+    )
 
 
 @register(

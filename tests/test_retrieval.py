@@ -85,7 +85,7 @@ def _docs_and_queries(spark, n_docs=60, n_q=5):
 def test_blocked_vector_topk_equals_brute_force(spark):
     docs, qs, ddf, qdf = _docs_and_queries(spark)
     got = {}
-    for r in R.vector_list(qdf, ddf, 7, doc_blocks=3, query_blocks=2).collect():
+    for r in R.vector_list(qdf, R.vector_index(ddf, docs_per_block=9), 7).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
     for qid, scope, _, _, qv in qs:
         cand = []
@@ -102,7 +102,7 @@ def test_blocked_vector_topk_equals_brute_force(spark):
 def test_blocked_lexical_topk_equals_brute_force(spark):
     docs, qs, ddf, qdf = _docs_and_queries(spark)
     got = {}
-    for r in R.lexical_list(qdf, ddf, 5, doc_blocks=4).collect():
+    for r in R.lexical_list(qdf, R.lexical_index(ddf, docs_per_block=8), 5).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"], r["score"]))
     for qid, scope, _, text, _ in qs:
         qt = LX.trigram_set(text)
@@ -119,18 +119,6 @@ def test_blocked_lexical_topk_equals_brute_force(spark):
         assert [d for _, d, _ in sorted(got[qid])] == want
 
 
-def test_data_sized_blocks_equal_fixed_blocks(spark):
-    from pricelens.operators.topk import blocked_topk
-
-    docs, qs, ddf, qdf = _docs_and_queries(spark, n_docs=90, n_q=7)
-    d = ddf.select(F.col("id").alias("doc_id"), F.col("vehicle_model").alias("scope"), "system_category", F.col("symptom_embedding").alias("embedding"))
-    q = qdf.select("qid", "scope", "systems", "qvec")
-    small = blocked_topk(q, d, "scope", 6, R.vector_scores, docs_per_block=7, queries_per_block=2)
-    fixed = blocked_topk(q, d, "scope", 6, R.vector_scores, doc_blocks=1, query_blocks=1)
-    key = lambda rows: sorted((r["qid"], r["rank"], r["doc_id"]) for r in rows)
-    assert key(small.collect()) == key(fixed.collect())
-
-
 def test_unrelated_parts_substring_join_matches_pairwise(spark):
     """The equi-join on substrings equals the pairwise containment test (either way)."""
     rng = random.Random(7)
