@@ -36,14 +36,20 @@ def trigram_set(text: str | None) -> set[str]:
     return set().union(*map(_word_trigrams, set(tokens(text))))
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_codes(word: str) -> tuple[int, ...]:
-    return tuple(ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in _word_trigrams(word))
+def word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of words as whole numbers, three code points each, one word's after the
+    other, and how many each word has."""
+    points = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
+    count = np.array([len(w) + 1 for w in words], np.int64)
+    first = np.cumsum(count + 2) - count - 2
+    at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+    return points[at] << 42 | points[at + 1] << 21 | points[at + 2], count
 
 
+@lru_cache(maxsize=1 << 12)
 def trigram_codes(text: str | None) -> np.ndarray:
-    """The distinct trigrams of a text as sorted whole numbers, three code points each."""
-    return np.array(sorted(set().union(*map(_word_codes, set(tokens(text))))), np.int64)
+    """The distinct trigrams of a query text as sorted whole numbers."""
+    return np.unique(word_codes(list(set(tokens(text))))[0])
 
 
 def covers(occurrences: list[tuple[int, int]], n: int) -> float:

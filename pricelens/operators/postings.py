@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from pricelens.functions import lexical as LX
 from pricelens.operators.blocks import Arrays, BlockKind
 
 #: bounds are raised by this much, more than sums of doubles can be off
 SLACK = 1e-9
-PIVOTS = 64
 
 
-def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, offsets, documents): for each distinct code the documents that hold it."""
-    docs = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    order = np.argsort(flat, kind="stable")
-    codes, first = np.unique(flat[order], return_index=True)
-    return codes, np.append(first, len(flat)), docs[order]
+def _postings(docs: np.ndarray, words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, offsets, documents, sizes) out of (document, word) rows and the words' trigram
+    codes, ``lengths`` of each word: for each distinct code the documents that hold it, and how many each document has."""
+    pair = np.unique(docs * len(lengths) + words)
+    docs, words = np.divmod(pair, max(len(lengths), 1))
+    known, number = np.unique(codes, return_inverse=True)
+    ends = np.cumsum(lengths)
+    size = lengths[words]
+    # the codes of each pair's word, one after the other
+    at = np.arange(size.sum()) + np.repeat((ends - lengths)[words] - np.cumsum(size) + size, size)
+    held = np.unique(number[at] * n + np.repeat(docs, size))
+    code, docs = np.divmod(held, max(n, 1))
+    used, first = np.unique(code, return_index=True)
+    return known[used], np.append(first, len(code)), docs, np.bincount(docs, minlength=n)
 
 
 def _held(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -43,82 +46,80 @@ class LexicalBlocks(BlockKind):
     then at most one ends at each occurrence.  Documents of like size share a block, so long
     ones, which can't be similar to a short query, are bounded low."""
 
-    summary = {"s_codes": "<i8", "e_codes": "<i8", "least": "<i4", "words": "u1", "most": "<i4"}
-    payload = {
+    arrays = {
+        "s_codes": "<i8", "e_codes": "<i8", "least": "<i4", "words": "u1", "most": "<i4",
         "s_from": "<i4", "s_docs": "<i4", "s_size": "<i4", "e_from": "<i4", "e_docs": "<i4", "e_size": "<i4",
         "w_from": "<i4", "w_place": "<i4", "d_from": "<i4",
     }
     doc_columns = ["symptom_text", "evidence_text"]
-    query_columns = ["query_text"]
+    query_column = "query_text"
 
     def __init__(self, w_cover: float, w_trigram: float):
         self.w_cover, self.w_trigram = w_cover, w_trigram
 
-    def likeness_class(self, docs: DataFrame, parts: Column) -> Column:
-        size = F.least(F.length("symptom_text"), F.length("evidence_text"))
-        return F.floor(F.log2(size + 1)).cast("int")
+    def arranged(self, docs: dict[str, list], size: int) -> list[np.ndarray]:
+        lengths = [min(len(s), len(e)) for s, e in zip(docs["symptom_text"], docs["evidence_text"])]
+        order = np.argsort(lengths, kind="stable")
+        return [np.sort(order[k : k + size]) for k in range(0, len(order), size)]
 
     def build(self, docs: dict[str, list]) -> Arrays:
-        found: Arrays = {}
-        least = []
+        n = len(docs["symptom_text"])
+        met: dict[str, int] = {}
+        rows = {}
         for side, column in (("s", "symptom_text"), ("e", "evidence_text")):
-            sets = [LX.trigram_codes(t) for t in docs[column]]
-            found[f"{side}_codes"], found[f"{side}_from"], found[f"{side}_docs"] = _postings(sets)
-            found[f"{side}_size"] = np.array([len(s) for s in sets])
-            least.append(min(map(len, sets)))
-        texts = [LX.tokens(f"{s} {e}") for s, e in zip(docs["symptom_text"], docs["evidence_text"])]
-        words = sorted(set().union(*texts))
-        number = {w: k for k, w in enumerate(words)}
-        flat = np.array([number[w] for t in texts for w in t], np.int64)
-        d_from = np.append(0, np.cumsum([len(t) for t in texts]))
+            texts = [[met.setdefault(w, len(met)) for w in LX.tokens(t)] for t in docs[column]]
+            rows[side] = np.repeat(np.arange(n), [len(t) for t in texts]), np.array([w for t in texts for w in t], np.int64)
+        words = sorted(met)
+        sorted_number = np.empty(len(met), np.int64)
+        sorted_number[[met[w] for w in words]] = np.arange(len(met))
+        codes, lengths = LX.word_codes(list(met))
+        found: Arrays = {}
+        for side, (doc, word) in rows.items():
+            found[f"{side}_codes"], found[f"{side}_from"], found[f"{side}_docs"], found[f"{side}_size"] = _postings(doc, word, codes, lengths, n)
+        # a document's tokens: the symptom's, then the evidence's
+        doc_of = np.concatenate([rows["s"][0], rows["e"][0]])
+        by_doc = np.argsort(doc_of, kind="stable")
+        doc_of, flat = doc_of[by_doc], sorted_number[np.concatenate([rows["s"][1], rows["e"][1]])[by_doc]]
+        d_from = np.append(0, np.cumsum(np.bincount(doc_of, minlength=n)))
         order = np.argsort(flat, kind="stable")
         w_from = np.searchsorted(flat[order], np.arange(len(words) + 1))
         # the most often that one document holds a word
-        doc_of = np.repeat(np.arange(len(texts)), np.diff(d_from))
-        pair, times = np.unique(flat * len(texts) + doc_of, return_counts=True)
+        pair, times = np.unique(flat * n + doc_of, return_counts=True)
         most = np.zeros(len(words), np.int64)
-        np.maximum.at(most, pair // max(len(texts), 1), times)
+        np.maximum.at(most, pair // max(n, 1), times)
+        least = [found["s_size"].min(), found["e_size"].min()]
         joined = np.frombuffer("\n".join(words).encode(), np.uint8)
         return found | {"least": np.array(least), "words": joined, "most": most, "w_from": w_from, "w_place": order, "d_from": d_from}
 
-    @staticmethod
-    def _numbers(block: Arrays) -> dict[str, int]:
+    def opened(self, block: Arrays) -> Arrays:
         words = block["words"].tobytes().decode()
-        return {w: k for k, w in enumerate(words.split("\n"))} if words else {}
-
-    def bounds(self, queries: dict[str, list], blocks: list[Arrays]) -> np.ndarray:
-        asked = [(LX.trigram_codes(t), list(dict.fromkeys(LX.tokens(t)))) for t in queries["query_text"]]
-        found = np.zeros((len(asked), len(blocks)))
-        for b, block in enumerate(blocks):
-            numbers = self._numbers(block)
-            for q, (codes, terms) in enumerate(asked):
-                similar = 0.0
-                for side, least in zip("se", block["least"]):
-                    shared = len(_held(block[f"{side}_codes"], codes))
-                    if shared:
-                        similar = max(similar, shared / (len(codes) + max(int(least) - shared, 0)))
-                found[q, b] = self.w_trigram * similar + SLACK * (similar > 0)
-                if self.w_cover and terms and all(t in numbers for t in terms):
-                    ends = sum(int(block["most"][numbers[t]]) for t in terms)
-                    found[q, b] += self.w_cover * LX.COVER_WEIGHT * ends + SLACK
+        return block | {"numbers": {w: k for k, w in enumerate(words.split("\n"))} if words else {}}
+
+    def bound(self, query: str, block: Arrays) -> float:
+        codes, terms = LX.trigram_codes(query), list(dict.fromkeys(LX.tokens(query)))
+        similar = 0.0
+        for side, least in zip("se", block["least"]):
+            shared = len(_held(block[f"{side}_codes"], codes))
+            if shared:
+                similar = max(similar, shared / (len(codes) + max(int(least) - shared, 0)))
+        found = self.w_trigram * similar + SLACK * (similar > 0)
+        if self.w_cover and terms and all(t in block["numbers"] for t in terms):
+            found += self.w_cover * LX.COVER_WEIGHT * sum(int(block["most"][block["numbers"][t]]) for t in terms) + SLACK
         return found
 
-    def scores(self, queries: dict[str, list], block: Arrays, n: int) -> np.ndarray:
-        numbers = self._numbers(block)
-        found = np.zeros((len(queries["query_text"]), n))
-        for q, text in enumerate(queries["query_text"]):
-            codes = LX.trigram_codes(text)
-            similar = np.zeros(n)
-            for side in "se":
-                starts = block[f"{side}_from"]
-                lists = [block[f"{side}_docs"][starts[k] : starts[k + 1]] for k in _held(block[f"{side}_codes"], codes)]
-                if lists:
-                    shared = np.bincount(np.concatenate(lists), minlength=n).astype(np.float64)
-                    similar = np.maximum(similar, shared / (len(codes) + block[f"{side}_size"] - shared))
-            found[q] = self.w_trigram * similar
-            terms = list(dict.fromkeys(LX.tokens(text)))
-            if self.w_cover and terms and all(t in numbers for t in terms):
-                self._add_covers(found[q], [numbers[t] for t in terms], block)
+    def scores(self, query: str, block: Arrays, n: int) -> np.ndarray:
+        codes = LX.trigram_codes(query)
+        similar = np.zeros(n)
+        for side in "se":
+            starts = block[f"{side}_from"]
+            lists = [block[f"{side}_docs"][starts[k] : starts[k + 1]] for k in _held(block[f"{side}_codes"], codes)]
+            if lists:
+                shared = np.bincount(np.concatenate(lists), minlength=n).astype(np.float64)
+                similar = np.maximum(similar, shared / (len(codes) + block[f"{side}_size"] - shared))
+        found = self.w_trigram * similar
+        terms = list(dict.fromkeys(LX.tokens(query)))
+        if self.w_cover and terms and all(t in block["numbers"] for t in terms):
+            self._add_covers(found, [block["numbers"][t] for t in terms], block)
         return found
 
     def _add_covers(self, scores: np.ndarray, terms: list[int], block: Arrays) -> None:
@@ -135,29 +136,32 @@ class LexicalBlocks(BlockKind):
 class VectorBlocks(BlockKind):
     """Score: cosine similarity; null where either vector is null, zero, or of another length.
 
-    Vectors of a scope that fills several blocks are dealt to the nearest of as many pivots
-    (vectors of at most PIVOTS documents, the first by a hash), so a block is a narrow cone:
-    with the angle between query and the block's mean direction, less the widest angle in the
-    block, no document's angle is smaller."""
+    A group's vectors are dealt to the nearest of some of them, taken far from one another, so
+    a block is a narrow cone: with the angle between query and the block's mean direction, less
+    the widest angle in the block, no document's angle is smaller."""
 
-    summary = {"centre": "<f8", "radius": "<f8"}
-    payload = {"lengths": "<i4", "values": "<f8"}
+    arrays = {"centre": "<f8", "radius": "<f8", "lengths": "<i4", "values": "<f8"}
     doc_columns = ["embedding"]
-    query_columns = ["qvec"]
-
-    def likeness_class(self, docs: DataFrame, parts: Column) -> Column:
-        some = docs.where(F.size("embedding") > 0).select(F.xxhash64("doc_id").alias("h"), "embedding").orderBy("h").limit(PIVOTS)
-        pivots = [p / n if (n := np.linalg.norm(p)) else p for p in (np.array(r["embedding"], np.float64) for r in some.collect())]
-
-        @F.arrow_udf("int")
-        def nearest(vectors: pa.Array, parts: pa.Array) -> pa.Array:
-            found = []
-            for vector, some in zip(vectors.to_pylist(), parts.to_pylist()):
-                near = [(float(p @ np.array(vector)), -k) for k, p in enumerate(pivots[:some]) if vector and len(vector) == len(p)]
-                found.append(1 - max(near)[1] if near else 0)
-            return pa.array(found, pa.int32())
+    query_column = "qvec"
 
-        return nearest(F.col("embedding").cast("array<double>"), parts)
+    def arranged(self, docs: dict[str, list], size: int) -> list[np.ndarray]:
+        vectors = [np.array(v or (), np.float64) for v in docs["embedding"]]
+        alike = np.zeros(len(vectors), np.int64)  # null and zero vectors: class 0
+        lengths = np.array([len(v) if np.linalg.norm(v) > 0 else 0 for v in vectors])
+        for length in np.unique(lengths[lengths > 0]):
+            rows = np.flatnonzero(lengths == length)
+            units = np.stack([vectors[r] for r in rows])
+            units /= np.linalg.norm(units, axis=1)[:, None]
+            pivot, nearest, at = 0, np.full(len(rows), -2.0), np.zeros(len(rows), np.int64)
+            for p in range(-(-len(rows) // size)):
+                near = units @ units[pivot]
+                at[near > nearest] = p
+                nearest = np.maximum(nearest, near)
+                pivot = int(nearest.argmin())
+            alike[rows] = alike.max() + 1 + at
+        order = np.argsort(alike, kind="stable")
+        runs = np.split(order, np.flatnonzero(np.diff(alike[order])) + 1)
+        return [np.sort(run[k : k + size]) for run in runs for k in range(0, len(run), size)]
 
     def build(self, docs: dict[str, list]) -> Arrays:
         vectors = [np.array(v or (), np.float64) for v in docs["embedding"]]
@@ -173,31 +177,27 @@ class VectorBlocks(BlockKind):
             radius = np.array([np.nan])  # null scores only
         return {"centre": centre, "radius": radius, "lengths": lengths, "values": np.concatenate(vectors) if vectors else np.zeros(0)}
 
-    def bounds(self, queries: dict[str, list], blocks: list[Arrays]) -> np.ndarray:
-        found = np.full((len(queries["qvec"]), len(blocks)), np.nan)
-        for q, vector in enumerate(queries["qvec"]):
-            unit = np.array(vector or (), np.float64)
-            if not (n := np.linalg.norm(unit)) > 0:
-                continue
-            for b, block in enumerate(blocks):
-                centre, radius = block["centre"], block["radius"][0]
-                if np.isnan(radius) or (len(centre) and len(centre) != len(unit)):
-                    continue
-                angle = np.arccos(np.clip(centre @ unit / n, -1, 1)) if len(centre) else 0.0
-                found[q, b] = np.cos(max(angle - radius, 0.0)) + SLACK
-        return found
-
-    def scores(self, queries: dict[str, list], block: Arrays, n: int) -> np.ndarray:
-        found = np.full((len(queries["qvec"]), n), np.nan)
-        ends = np.cumsum(block["lengths"])
-        for length in np.unique(block["lengths"][block["lengths"] > 0]):
-            rows = np.flatnonzero(block["lengths"] == length)
-            matrix = np.stack([block["values"][ends[r] - length : ends[r]] for r in rows])
+    def bound(self, query: list | None, block: Arrays) -> float:
+        vector = np.array(query or (), np.float64)
+        centre, radius = block["centre"], block["radius"][0]
+        norm = np.linalg.norm(vector)
+        if not norm > 0 or np.isnan(radius) or (len(centre) and len(centre) != len(vector)):
+            return np.nan
+        angle = np.arccos(np.clip(centre @ vector / norm, -1, 1)) if len(centre) else 0.0
+        return np.cos(max(angle - radius, 0.0)) + SLACK
+
+    def scores(self, query: list | None, block: Arrays, n: int) -> np.ndarray:
+        found = np.full(n, np.nan)
+        vector = np.array(query or (), np.float64)
+        if not (own := np.linalg.norm(vector)) > 0:
+            return found
+        lengths = block["lengths"]
+        rows = np.flatnonzero(lengths == len(vector))
+        if len(rows):
+            at = (np.cumsum(lengths) - lengths)[rows][:, None] + np.arange(len(vector))
+            matrix = block["values"][at]
             norms = np.linalg.norm(matrix, axis=1)
-            for q, vector in enumerate(queries["qvec"]):
-                v = np.array(vector or (), np.float64)
-                if len(v) == length and (own := np.linalg.norm(v)) > 0:
-                    # row by row, so that equal vectors score equal in any block
-                    products = (matrix * v).sum(axis=1)
-                    found[q, rows] = np.divide(products, own * norms, out=np.full(len(rows), np.nan), where=norms > 0)
+            # row by row, so that equal vectors score equal in any block
+            products = (matrix * vector).sum(axis=1)
+            found[rows] = np.divide(products, own * norms, out=np.full(len(rows), np.nan), where=norms > 0)
         return found

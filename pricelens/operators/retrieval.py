@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import compact_query, consumable_flag, extract_keywords, norm_part, norm_space, split_parts
-from pricelens.operators.blocks import DOCS_PER_BLOCK, bounded_topk, build_index
+from pricelens.operators.blocks import DOCS_PER_BLOCK, DOCS_PER_GROUP, BlockIndex, bounded_topk, build_index
 from pricelens.operators.postings import LexicalBlocks, VectorBlocks
 from pricelens.session import cut_lineage, stored
 
@@ -93,32 +93,33 @@ def in_scope(doc_model: Column, doc_system: Column, model: Column, systems: Colu
 
 # --- lists ------------------------------------------------------------------------------------
 
-def lexical_index(docs: DataFrame, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def lexical_index(docs: DataFrame, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM,
+                  docs_per_group: int = DOCS_PER_GROUP, docs_per_block: int = DOCS_PER_BLOCK) -> BlockIndex:
     """Postings of the documents' trigrams and tokens by block, stored."""
     rows = docs.select(
         F.col("id").cast("long").alias("doc_id"), F.col("vehicle_model").alias("scope"), F.col("system_category").alias("system"),
         F.coalesce("symptom_text", F.lit("")).alias("symptom_text"), F.coalesce("evidence_text", F.lit("")).alias("evidence_text"),
     )
-    return build_index(rows, LexicalBlocks(w_cover, w_trigram), docs_per_block)
+    return build_index(rows, LexicalBlocks(w_cover, w_trigram), docs_per_group, docs_per_block)
 
 
-def vector_index(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def vector_index(docs: DataFrame, docs_per_group: int = DOCS_PER_GROUP, docs_per_block: int = DOCS_PER_BLOCK) -> BlockIndex:
     """The documents' vectors in blocks of near ones, stored."""
     rows = docs.select(
         F.col("id").cast("long").alias("doc_id"), F.col("vehicle_model").alias("scope"), F.col("system_category").alias("system"),
         F.col("symptom_embedding").alias("embedding"),
     )
-    return build_index(rows, VectorBlocks(), docs_per_block)
+    return build_index(rows, VectorBlocks(), docs_per_group, docs_per_block)
 
 
-def vector_list(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def vector_list(queries: DataFrame, index: BlockIndex, k: int) -> DataFrame:
     """K2: top-k documents by cosine similarity, null scores last, id tie-break."""
-    return bounded_topk(queries, index, VectorBlocks(), k)
+    return bounded_topk(queries, index, k)
 
 
-def lexical_list(queries: DataFrame, index: DataFrame, k: int, w_cover: float = LEX_W_COVER, w_trigram: float = LEX_W_TRIGRAM) -> DataFrame:
+def lexical_list(queries: DataFrame, index: BlockIndex, k: int) -> DataFrame:
     """K1: top-k documents by lexical score (zero scores admitted), id tie-break."""
-    return bounded_topk(queries, index, LexicalBlocks(w_cover, w_trigram), k)
+    return bounded_topk(queries, index, k)
 
 
 def fuse_rankings(vec: DataFrame, lex: DataFrame, top_k: int, fetch_k: int) -> DataFrame:
@@ -166,7 +167,7 @@ def hybrid_lists(queries: DataFrame, docs: DataFrame, fetch_k: int, w_cover: flo
                  w_trigram: float = LEX_W_TRIGRAM) -> tuple[DataFrame, DataFrame]:
     """The vector and lexical top-``fetch_k`` lists for every query row."""
     vec = vector_list(queries, vector_index(docs), fetch_k)
-    return vec, lexical_list(queries, lexical_index(docs, w_cover, w_trigram), fetch_k, w_cover, w_trigram)
+    return vec, lexical_list(queries, lexical_index(docs, w_cover, w_trigram), fetch_k)
 
 
 def hybrid_candidates(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K, w_cover: float = LEX_W_COVER,
@@ -257,7 +258,7 @@ def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w
     for p in (1,) if validation_fn is None else (1, 2, 3):
         queries = cut_lineage(pass_queries(frontier, (p,)))
         vec = vector_list(queries, vectors, fetch_k)
-        lex = lexical_list(queries, postings, fetch_k, w_cover, w_trigram)
+        lex = lexical_list(queries, postings, fetch_k)
         if p == 1:  # the fallback reads the first lists again
             vec, lex = stored(vec), stored(lex)
             first = vec, lex

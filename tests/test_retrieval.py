@@ -85,7 +85,7 @@ def _docs_and_queries(spark, n_docs=60, n_q=5):
 def test_blocked_vector_topk_equals_brute_force(spark):
     docs, qs, ddf, qdf = _docs_and_queries(spark)
     got = {}
-    for r in R.vector_list(qdf, R.vector_index(ddf, docs_per_block=9), 7).collect():
+    for r in R.vector_list(qdf, R.vector_index(ddf, docs_per_group=15, docs_per_block=4), 7).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
     for qid, scope, _, _, qv in qs:
         cand = []
@@ -102,7 +102,7 @@ def test_blocked_vector_topk_equals_brute_force(spark):
 def test_blocked_lexical_topk_equals_brute_force(spark):
     docs, qs, ddf, qdf = _docs_and_queries(spark)
     got = {}
-    for r in R.lexical_list(qdf, R.lexical_index(ddf, docs_per_block=8), 5).collect():
+    for r in R.lexical_list(qdf, R.lexical_index(ddf, docs_per_group=15, docs_per_block=4), 5).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"], r["score"]))
     for qid, scope, _, text, _ in qs:
         qt = LX.trigram_set(text)
