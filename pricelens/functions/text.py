@@ -178,11 +178,11 @@ def split_parts(c: Column) -> Column:
         F.transform(F.split(F.coalesce(c, F.lit("")), r"[,/|\n]+"), lambda x: norm_space(x)),
         lambda x: F.length(x) > 0,
     )
-    keys = F.transform(items, lambda x: norm_part(x))
-    return F.filter(
-        items,
-        lambda x, i: ~F.exists(F.slice(keys, F.lit(1), i), lambda k: k == norm_part(x)),
-    )
+    # sorted by key and place, the first of each run of equal keys stays; work grows as n log n
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(norm_part(x).alias("k"), i.alias("i"), x.alias("x"))))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    firsts = once(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (e["k"] != F.get(s, j - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"], e["x"].alias("x")))), lambda e: e["x"])
 
 
 def split_symptoms(c: Column) -> Column:

@@ -109,15 +109,18 @@ SHAPES: dict[str, str] = {
         "ep.estimate_id AS seq1, ep.no AS seq2 "
         "FROM {est_parts} ep JOIN {estimates} e ON ep.estimate_id = e.id"
     ),
-    # repair documents: prose documents with a model, a system, expected parts and a vector
+    # repair documents: prose documents with a model, a system, expected parts and a vector.  The
+    # symptom is the whole text in another spelling; the expected parts are the text's second to
+    # fourth word, then the whole text's phrases between common words
     "repair_doc": (
         "SELECT d.doc_id AS id, CASE d.doc_id % 3 WHEN 0 THEN 'hyundai_model_pdf' WHEN 1 THEN 'common' ELSE 'common_guideline' END AS document_source, "
         "CASE WHEN d.doc_id % 4 = 0 THEN 'common' ELSE concat('M', CAST(d.doc_id % 5 AS STRING)) END AS vehicle_model, "
-        "split_part(d.text, '.', 1) AS symptom_text, "
+        "replace(replace(replace(d.text, 'th', 't'), 'ción', 'sion'), 'eau', 'o') AS symptom_text, "
         "CASE d.doc_id % 13 WHEN 0 THEN '엔진' WHEN 1 THEN '점화' WHEN 2 THEN '연료' WHEN 3 THEN '냉각' WHEN 4 THEN '배기' "
         "WHEN 5 THEN '제동' WHEN 6 THEN '공조' WHEN 7 THEN '변속기' WHEN 8 THEN '전기충전' WHEN 9 THEN '조향현가' "
         "WHEN 10 THEN '시동 시스템' WHEN 11 THEN '바디전장' ELSE '' END AS system_category, "
-        "concat(split_part(d.text, ' ', 2), ', ', split_part(d.text, ' ', 3), '/', split_part(d.text, ' ', 4), ' | ', split_part(d.text, ' ', 2)) AS repair_parts, "
+        "concat(split_part(d.text, ' ', 2), ', ', split_part(d.text, ' ', 3), '/', split_part(d.text, ' ', 4), ' | ', split_part(d.text, ' ', 2), ' | ', "
+        "replace(replace(replace(replace(d.text, ' the ', ', '), ' of ', '/'), ' de ', ' | '), ' und ', ', ')) AS repair_parts, "
         "'' AS pre_replace_check_rule, d.text AS evidence_text, e.embedding AS symptom_embedding "
         "FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id"
     ),
