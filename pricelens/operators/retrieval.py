@@ -392,24 +392,41 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
         .withColumn("qk", norm_part(F.col("part")))
         .where(F.length("qk") > 0)
     )
-    # containment either way as two equi-joins on (estimate, substring): no quoted x
-    # expected pairs per estimate, however many parts one estimate holds
-    qkeys = q.select("estimate_id", "part", F.col("qk").alias("s"))
+    qkeys = q.select("estimate_id", F.col("qk").alias("s")).distinct()
     ekeys = expected.select("estimate_id", F.col("ek").alias("s"))
-    ek_in_qk = _substrings_of_lengths(qkeys, ekeys).join(ekeys, ["estimate_id", "s"], "left_semi").select("estimate_id", "part")
-    qk_in_ek = qkeys.join(_substrings_of_lengths(ekeys, qkeys).select("estimate_id", "s").distinct(), ["estimate_id", "s"], "left_semi")
-    hit = ek_in_qk.unionByName(qk_in_ek.select("estimate_id", "part"))
-    return q.join(hit, ["estimate_id", "part"], "left_anti").select("estimate_id", "part", "first_no")
-
-
-def _substrings_of_lengths(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """Every substring of ``rows.s`` whose length is a length of some ``other.s`` in the same
-    estimate (replacing ``s``).  The lengths of one estimate are at most the longest key, so
-    the join with them is bounded by a constant per row, never by the group size."""
-    lens = other.select("estimate_id", F.length("s").alias("_n")).distinct()
-    r = rows.join(lens, "estimate_id").where(F.col("_n") <= F.length("s"))
-    starts = F.sequence(F.lit(1), F.length("s") - F.col("_n") + 1)
-    return r.withColumn("s", F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.col("_n"))))).drop("_n")
+    hit = contained_pairs(ekeys, qkeys).select("estimate_id", F.col("hay").alias("qk"))
+    hit = hit.unionByName(contained_pairs(qkeys, ekeys).select("estimate_id", F.col("needle").alias("qk")))
+    return q.join(hit, ["estimate_id", "qk"], "left_anti").select("estimate_id", "part", "first_no")
+
+
+GRAM = 3
+
+
+def _grams(s: Column, q: Column) -> Column:
+    """The distinct ``q``-grams of a text of at least ``q`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - q + 1), lambda i: F.substring(s, i, q)))
+
+
+def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(estimate_id, needle, hay) for distinct keys (estimate_id, s) of which the first lies in
+    the second, in the same estimate.
+
+    Every needle is anchored at the one of its grams (of GRAM characters, or the whole of a
+    shorter needle) that the fewest hays of the estimate hold; a needle with a gram that no hay
+    holds is in none.  Only hays that hold the anchor are compared.  A hay gives as many rows as
+    it has grams, a needle one."""
+    needles = needles.select("estimate_id", F.col("s").alias("needle"), F.least(F.length("s"), F.lit(GRAM)).alias("q"))
+    sizes = needles.select("estimate_id", "q").distinct()
+    held = hays.join(sizes, "estimate_id").where(F.col("q") <= F.length("s"))
+    held = held.select("estimate_id", F.col("s").alias("hay"), F.explode(_grams(F.col("s"), F.col("q"))).alias("gram"))
+    common = held.groupBy("estimate_id", "gram").agg(F.count(F.lit(1)).alias("hays"))
+    own = needles.select("estimate_id", "needle", F.explode(_grams(F.col("needle"), F.col("q"))).alias("gram"))
+    own = own.join(common, ["estimate_id", "gram"], "left")
+    anchors = own.groupBy("estimate_id", "needle").agg(
+        F.min_by("gram", F.struct("hays", "gram")).alias("gram"), F.count(F.when(F.col("hays").isNull(), 1)).alias("missing")
+    )
+    pairs = anchors.where(F.col("missing") == 0).join(held, ["estimate_id", "gram"])
+    return pairs.where(F.contains("hay", "needle")).select("estimate_id", "needle", "hay")
 
 
 # --- evidence texts ------------------------------------------------------------------------------

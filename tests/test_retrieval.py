@@ -156,3 +156,51 @@ def test_unrelated_parts_substring_join_matches_pairwise(spark):
         if not any(e in q or q in e for e in eks):
             want.add((est, part))
     assert got == want
+
+
+def test_contained_pairs_equal_pairwise(spark):
+    rng = random.Random(11)
+    word = lambda top: "".join(rng.choice("abcd") for _ in range(rng.randint(1, top)))
+    needles = {(e, word(7)) for e in range(6) for _ in range(30)} | {(9, "abc")}
+    hays = {(e, word(40 if e == 0 else 12)) for e in range(6) for _ in range(40)} | {(8, "abc")}
+    schema = "estimate_id long, s string"
+    got = R.contained_pairs(spark.createDataFrame(sorted(needles), schema), spark.createDataFrame(sorted(hays), schema)).collect()
+    want = {(e, n, h) for e, n in needles for f, h in hays if e == f and n in h}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_block_search_reads_few_documents_and_loses_none():
+    """Clustered vectors and texts of unlike size: bounds skip most blocks, results are whole."""
+    from pricelens.operators import blocks as B
+    from pricelens.operators.postings import LexicalBlocks, VectorBlocks
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    vectors = [list(centres[k % 20] + 0.05 * rng.normal(size=16)) for k in range(2000)] + [None, [0.0] * 16, [1.0]]
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words, size=int(rng.choice([4, 12, 200])))) for _ in range(1500)] + ["", "w1"]
+    cases = [
+        (VectorBlocks(), {"embedding": vectors}, [list(centres[k] + 0.05 * rng.normal(size=16)) for k in range(20)], 0.3),
+        (LexicalBlocks(0.7, 0.3), {"symptom_text": [t + " x" for t in texts], "evidence_text": texts}, [" ".join(rng.choice(words, size=4)) for _ in range(20)], 0.8),
+    ]
+    for kind, docs, queries, most in cases:
+        n = len(next(iter(docs.values())))
+        places = kind.arranged(docs, 50)
+        assert sorted(np.concatenate(places)) == list(range(n)) and max(map(len, places)) <= 50
+        blocks = []
+        for some in places:
+            block = kind.build({c: [v[k] for k in some] for c, v in docs.items()})
+            blocks.append((np.array(some), kind.opened({c: block[c].astype(t) for c, t in kind.arrays.items()})))
+        read = 0
+        for query in queries:
+            whole = np.full(n, np.nan)
+            for ids, block in blocks:
+                whole[ids] = kind.scores(query, block, len(ids))
+                assert not np.nanmax(whole[ids], initial=-1) > kind.bound(query, block)
+            want = B._best(whole, np.arange(n), 10)
+            ids, scores, scored = B.search_group(query, blocks, kind, 10)
+            assert list(ids) == list(want) and list(scores) == list(whole[want])
+            floored, _, fewer = B.search_group(query, blocks, kind, 10, floor=float(scores[4]))
+            assert list(floored[:5]) == list(want[:5]) and fewer <= scored
+            read += scored
+        assert read / (n * len(queries)) < most, read / (n * len(queries))
