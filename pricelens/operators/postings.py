@@ -42,12 +42,12 @@ class LexicalBlocks(BlockKind):
     A block has, per text, postings from trigrams to documents and the documents' numbers of
     trigrams, and postings from tokens to their places in the documents.  Its bound: a document
     shares at most the query trigrams that the block knows, and has at least as many trigrams
-    as the block's smallest; covers are possible only if the block knows every query token, and
-    then at most one ends at each occurrence.  Documents of like size share a block, so long
-    ones, which can't be similar to a short query, are bounded low."""
+    as the block's smallest; the covers of the few documents that hold every query token, found
+    through the token postings, are exact.  Documents of like size share a block, so long ones,
+    which can't be similar to a short query, are bounded low."""
 
     arrays = {
-        "s_codes": "<i8", "e_codes": "<i8", "least": "<i4", "words": "u1", "most": "<i4",
+        "s_codes": "<i8", "e_codes": "<i8", "least": "<i4", "words": "u1",
         "s_from": "<i4", "s_docs": "<i4", "s_size": "<i4", "e_from": "<i4", "e_docs": "<i4", "e_size": "<i4",
         "w_from": "<i4", "w_place": "<i4", "d_from": "<i4",
     }
@@ -83,29 +83,22 @@ class LexicalBlocks(BlockKind):
         d_from = np.append(0, np.cumsum(np.bincount(doc_of, minlength=n)))
         order = np.argsort(flat, kind="stable")
         w_from = np.searchsorted(flat[order], np.arange(len(words) + 1))
-        # the most often that one document holds a word
-        pair, times = np.unique(flat * n + doc_of, return_counts=True)
-        most = np.zeros(len(words), np.int64)
-        np.maximum.at(most, pair // max(n, 1), times)
         least = [found["s_size"].min(), found["e_size"].min()]
         joined = np.frombuffer("\n".join(words).encode(), np.uint8)
-        return found | {"least": np.array(least), "words": joined, "most": most, "w_from": w_from, "w_place": order, "d_from": d_from}
+        return found | {"least": np.array(least), "words": joined, "w_from": w_from, "w_place": order, "d_from": d_from}
 
     def opened(self, block: Arrays) -> Arrays:
         words = block["words"].tobytes().decode()
         return block | {"numbers": {w: k for k, w in enumerate(words.split("\n"))} if words else {}}
 
     def bound(self, query: str, block: Arrays) -> float:
-        codes, terms = LX.trigram_codes(query), list(dict.fromkeys(LX.tokens(query)))
+        codes = LX.trigram_codes(query)
         similar = 0.0
         for side, least in zip("se", block["least"]):
             shared = len(_held(block[f"{side}_codes"], codes))
             if shared:
                 similar = max(similar, shared / (len(codes) + max(int(least) - shared, 0)))
-        found = self.w_trigram * similar + SLACK * (similar > 0)
-        if self.w_cover and terms and all(t in block["numbers"] for t in terms):
-            found += self.w_cover * LX.COVER_WEIGHT * sum(int(block["most"][block["numbers"][t]]) for t in terms) + SLACK
-        return found
+        return self.w_trigram * similar + SLACK * (similar > 0) + max(self._covers(query, block).values(), default=0.0)
 
     def scores(self, query: str, block: Arrays, n: int) -> np.ndarray:
         codes = LX.trigram_codes(query)
@@ -117,20 +110,25 @@ class LexicalBlocks(BlockKind):
                 shared = np.bincount(np.concatenate(lists), minlength=n).astype(np.float64)
                 similar = np.maximum(similar, shared / (len(codes) + block[f"{side}_size"] - shared))
         found = self.w_trigram * similar
-        terms = list(dict.fromkeys(LX.tokens(query)))
-        if self.w_cover and terms and all(t in block["numbers"] for t in terms):
-            self._add_covers(found, [block["numbers"][t] for t in terms], block)
+        for d, cover in self._covers(query, block).items():
+            found[d] += cover
         return found
 
-    def _add_covers(self, scores: np.ndarray, terms: list[int], block: Arrays) -> None:
+    def _covers(self, query: str, block: Arrays) -> dict[int, float]:
+        """The weighted cover density of the documents that hold every token of the query."""
+        terms = [block["numbers"].get(t) for t in dict.fromkeys(LX.tokens(query))]
+        if not self.w_cover or not terms or None in terms:
+            return {}
         places = [block["w_place"][block["w_from"][t] : block["w_from"][t + 1]] for t in terms]
         docs = [np.searchsorted(block["d_from"], p, "right") - 1 for p in places]
         everywhere = np.unique(min(docs, key=len))
         for held in docs:
             everywhere = everywhere[np.isin(everywhere, held)]
+        found = {}
         for d in everywhere:
             occurrences = sorted((int(p), k) for k in range(len(terms)) for p in places[k][docs[k] == d])
-            scores[d] += self.w_cover * LX.covers(occurrences, len(terms))
+            found[int(d)] = self.w_cover * LX.covers(occurrences, len(terms))
+        return found
 
 
 class VectorBlocks(BlockKind):
