@@ -80,7 +80,7 @@ class ChunkIds:
         parts = {c: PART.findall(c) for c in chunks if c not in found}
         known = {p: ids for whole in parts.values() for p in whole if (ids := self.table.get(p) or self.old.get(p))}
         todo = list({p for whole in parts.values() for p in whole if p not in known})
-        for part, got in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
+        for part, got in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             known[part] = array("I", got.ids).tobytes()
         # a chunk with a part that is new may never come again: its parts are kept, not itself
         new = set(todo)
@@ -100,7 +100,7 @@ class ChunkIds:
         """Ids of a text without added tokens."""
         chunks = CHUNK.findall(text)
         ids = list(map(self.table.get, chunks))
-        if None in ids:
+        if not all(ids):
             found = self._encoded({c for c, x in zip(chunks, ids, strict=True) if x is None})
             ids = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
         return b"".join(ids)
