@@ -51,6 +51,10 @@ _MARK = r"!-&(-/:-@\[-`{-~"
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{_OTHER}+|{_SPACE}+(?!{_OTHER})|{_SPACE}+")
 PART = re.compile(rf" ?[{_LETTER}]+(?=[{_MARK}]|\Z)|[{_MARK}]+\Z| ?{_OTHER}+|{_SPACE}+")
+#: a part that is cut off from one like it before it, so that many are encoded as one text
+LED = re.compile(rf" {_OTHER}")
+LETTERS = frozenset(re.findall(f"[{_LETTER}]", "".join(map(chr, range(256)))))
+MARKS = re.findall(f"[{_MARK}]", "".join(map(chr, range(128))))
 
 
 class ChunkIds:
@@ -69,30 +73,60 @@ class ChunkIds:
         self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
         # the longest first, as the library takes them; no added tokens: a pattern that never matches
         self.literals = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")" if added else r"((?!))")
+        # a byte-level token is spelled with a character for each byte; an added one never meets a chunk
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.n_bytes[n] = len(token)
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
         self.limit = limit
         self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the table lacks: from the old generation, from their parts, or
-        from the tokenizer."""
-        found = {c: self.old[c] for c in chunks if c in self.old}
-        parts = {c: PART.findall(c) for c in chunks if c not in found}
-        known = {p: ids for whole in parts.values() for p in whole if (ids := self.table.get(p) or self.old.get(p))}
+        """Ids of chunks that the table lacks: from the old generation, from a known word and
+        the mark behind it, from their parts, or from the tokenizer."""
+        table, old, marks = self.table, self.old, self.marks
+        found, parts = {}, {}
+        for c in chunks:
+            if c in old:
+                found[c] = old[c]
+            elif c[-1] in marks and c[-2:-1] in LETTERS and (word := table.get(c[:-1])):
+                found[c] = word + marks[c[-1]]
+            else:
+                parts[c] = PART.findall(c)
+        known = {p: ids for whole in parts.values() for p in whole if (ids := table.get(p) or old.get(p))}
         todo = list({p for whole in parts.values() for p in whole if p not in known})
-        for part, got in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            known[part] = array("I", got.ids).tobytes()
+        new = self._tokenized(todo)
+        known |= new
         # a chunk with a part that is new may never come again: its parts are kept, not itself
-        new = set(todo)
-        again = [c for c, whole in parts.items() if new.isdisjoint(whole)]
-        if len(self.table) + len(found) + len(again) + len(todo) > self.limit:
-            self.table, self.old = {}, self.table
+        again = [c for c, whole in parts.items() if new.keys().isdisjoint(whole)]
+        if len(table) + len(found) + len(again) + len(todo) > self.limit:
+            self.table, self.old = {}, table
         self.table |= found
         found |= {c: b"".join([known[p] for p in whole]) for c, whole in parts.items()}
         self.table |= {c: found[c] for c in again}
-        self.table |= {p: known[p] for p in todo}
+        self.table |= new
         return found
 
+    def _tokenized(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts from the tokenizer.  Those that begin with a space go in as one text:
+        a token spells its bytes, so the ids of a part end where its bytes do."""
+        led = [p for p in parts if LED.match(p)]
+        rest = [p for p in parts if not LED.match(p)]
+        texts = ["".join(led)] if led else []
+        got = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts + rest, add_special_tokens=False)]
+        new = {p: ids.tobytes() for p, ids in zip(rest, got[len(texts) :], strict=True)}
+        if led:
+            ids = np.frombuffer(got[0], np.uint32)
+            ends = np.cumsum(self.n_bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in led])
+            last = np.searchsorted(ends, wanted)
+            if last[-1] >= len(ends) or (ends[last] != wanted).any():
+                raise ValueError("a token crosses the space before a part")
+            bounds, raw = [0, *(4 * (last + 1)).tolist()], ids.tobytes()
+            new |= {p: raw[a:b] for p, a, b in zip(led, bounds, bounds[1:])}
+        return new
+
     def encode(self, text: str) -> bytes:
         return b"".join([self.added[part] if k % 2 else self._between(part) for k, part in enumerate(self.literals.split(text))])
 
