@@ -73,10 +73,12 @@ class ChunkIds:
         self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
         # the longest first, as the library takes them; no added tokens: a pattern that never matches
         self.literals = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")" if added else r"((?!))")
-        # a byte-level token is spelled with a character for each byte; an added one never meets a chunk
+        # a byte-level token is spelled with a character for each byte, an added one by itself
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, n in self.tokenizer.get_vocab().items():
             self.n_bytes[n] = len(token)
+        for n, token in added.items():
+            self.n_bytes[n] = len(token.content.encode())
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
         self.limit = limit
         self.table: dict[str, bytes] = {}
@@ -130,6 +132,28 @@ class ChunkIds:
     def encode(self, text: str) -> bytes:
         return b"".join([self.added[part] if k % 2 else self._between(part) for k, part in enumerate(self.literals.split(text))])
 
+    def bearing(self, text: str, ids: bytes, spans: list[dict] | None) -> bytes | None:
+        """A byte for each id and one for the closing id: 1 if the token holds a byte of one of
+        the spans of code points, for the closing id if the text's last byte is in one."""
+        if spans is None:
+            return None
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        step = np.zeros(int(byte_at[-1]) + 1, np.int64)
+        for span in spans:
+            if span is None or span["start"] is None or span["end"] is None:
+                continue
+            a, b = (min(max(span[k], 0), len(points)) for k in ("start", "end"))
+            if a < b:
+                step[byte_at[a]] += 1
+                step[byte_at[b]] -= 1
+        inside = np.cumsum(step[:-1]) > 0
+        before = np.concatenate([[0], np.cumsum(inside)])
+        width = self.n_bytes[np.frombuffer(ids, np.uint32)]
+        ends = np.cumsum(width)
+        bears = (before[ends] > before[ends - width]).astype(np.uint8)
+        return bears.tobytes() + bytes([len(inside) > 0 and bool(inside[-1])])
+
     def _between(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
         chunks = CHUNK.findall(text)
@@ -289,10 +313,19 @@ def pack_documents(
     closing_id: int = 1,
     window_pieces: int = 2048,
     table_limit: int = TABLE_LIMIT,
+    loss_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: the id of its row, ``start`` (ids of the document before it),
     ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and
-    ``offset`` in that sequence.  Every token of a document bears loss."""
+    ``offset`` in that sequence.
+
+    ``loss_col`` names an array of structs (``start``, ``end``): spans of code points of the
+    text, end exclusive, whose tokens bear loss, as the answers of instruction data.  Spans may
+    overlap, run past the text or be empty; a null array means that every token bears loss.
+    Pieces then have ``loss`` too, a byte for each id.  Without the column every token bears
+    loss.  A sequence that the loss limit closes is padded."""
+    if limits.tokens < 1 or limits.segments < 1 or limits.loss_tokens < 1:
+        raise ValueError("every limit is one or more")
     closing = np.array([closing_id], "<u4").tobytes()
     id_type = df.schema[id_col].dataType
     rows_per_batch = 4096
@@ -305,19 +338,24 @@ def pack_documents(
             nonlocal kind
             for batch in batches:
                 kind = batch.column(0).type
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = table.encode(text) + closing
-                    yield Piece(row, 0, ids, len(ids) // 4)
+                every = [None] * batch.num_rows if loss_col is None else batch.column(2).to_pylist()
+                for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, strict=True):
+                    ids = table.encode(text)
+                    yield Piece(row, 0, ids + closing, len(ids) // 4 + 1, table.bearing(text, ids, spans))
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            row, start, length, ids, total, sequence, offset = map(list, zip(*rows, strict=True))
+            row, start, length, ids, total, sequence, offset, loss = map(list, zip(*rows, strict=True))
             longs = [pa.array(x, pa.int64()) for x in (start, length, total, sequence, offset)]
             columns = [pa.array(row, kind), longs[0], longs[1], pa.array(ids, pa.binary()), *longs[2:]]
-            return pa.RecordBatch.from_arrays(columns, [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            if loss_col is not None:
+                columns.append(pa.array([b"\1" * n if x is None else x for x, n in zip(loss, length, strict=True)], pa.binary()))
+                names.append("loss")
+            return pa.RecordBatch.from_arrays(columns, names)
 
         sequence_id, rows = TaskContext.get().partitionId() << 40, []
         for placed in sequences(documents(), limits, window_pieces):
-            rows += [(p.row, p.start, p.length, p.ids, p.total, sequence_id, offset) for p, offset in placed]
+            rows += [(p.row, p.start, p.length, p.ids, p.total, sequence_id, offset, p.loss) for p, offset in placed]
             sequence_id += 1
             if len(rows) >= rows_per_batch:
                 yield emit(rows)
@@ -325,4 +363,8 @@ def pack_documents(
         if rows:
             yield emit(rows)
 
-    return df.select(df[id_col], text_or_empty(df, text_col).alias("packed_text")).mapInArrow(pack, f"`{id_col}` {id_type.simpleString()}, {PIECES}")
+    columns, schema = [df[id_col], text_or_empty(df, text_col).alias("packed_text")], f"`{id_col}` {id_type.simpleString()}, {PIECES}"
+    if loss_col is not None:
+        columns.append(df[loss_col].cast("array<struct<start: bigint, end: bigint>>").alias("packed_loss"))
+        schema += ", loss binary"
+    return df.select(*columns).mapInArrow(pack, schema)

@@ -208,6 +208,42 @@ def test_packing_of_odd_rows(odd):
     assert packing.pack_documents(odd.limit(0), BPE).collect() == []
 
 
+def test_packing_keeps_the_loss_limit_of_given_spans(spark):
+    r = random.Random(13)
+    words = ["ask", "answer", "straße", "日本", "x,", "and", "\n", "<|endoftext|>", "'s", "🙂🙂"]
+    rows = []
+    for k in range(300):
+        text = " ".join(r.choices(words, k=r.randint(0, 60)))
+        a = r.randint(0, len(text))
+        rows.append((k, text, [(a, len(text) + r.choice([0, 0, 5])), (r.randint(-3, a), a)] if r.random() < 0.7 else [(9, 2), None, (None, 4)]))
+    rows += [(300, None, None), (301, "all of it", None), (302, "none of it", []), (303, "", [(0, 9)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start: int, end: int>>")
+    limits = packing.Limits(tokens=64, segments=16, loss_tokens=20)
+    packed = [p.asDict() for p in packing.pack_documents(df, BPE, limits=limits, loss_col="spans").collect()]
+    tokenizer = packing.chunk_ids(BPE, 1000).tokenizer
+    got: dict[int, bytes] = {}
+    for p in sorted(packed, key=lambda p: (p["doc_id"], p["start"])):
+        assert len(p["loss"]) == p["length"] and p["start"] == len(got.setdefault(p["doc_id"], b""))
+        got[p["doc_id"]] += bytes(p["loss"])
+    for k, text, spans in rows:
+        data = text or ""
+        inside = [spans is None or any(s and None not in s and s[0] <= c < s[1] for s in spans) for c in range(len(data))]
+        encoded = tokenizer.encode(data, add_special_tokens=False)
+        want = [any(inside[a:b]) for a, b in encoded.offsets] + [spans is None or (data != "" and inside[-1])]
+        assert list(got[k]) == [int(x) for x in want], (k, data, spans)
+    sequences: dict[int, list] = {}
+    for p in packed:
+        sequences.setdefault(p["sequence_id"], []).append(p)
+    bound = 0
+    for placed in sequences.values():
+        loss = sum(sum(p["loss"]) for p in placed)
+        assert loss <= 20 and len(placed) <= 16 and sum(p["length"] for p in placed) <= 64
+        bound += loss == 20 and sum(p["length"] for p in placed) < 64
+    assert bound > 3  # the loss limit closed sequences that had room for tokens
+    with pytest.raises(ValueError):
+        packing.pack_documents(df, BPE, limits=packing.Limits(loss_tokens=0))
+
+
 def test_packing_keeps_every_limit():
     limits = packing.Limits(tokens=100, segments=4, loss_tokens=30)
     r = random.Random(2)
