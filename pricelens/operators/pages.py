@@ -139,36 +139,47 @@ def html_clean_text(c: Column) -> Column:
 def first_match(html: Column, patterns: list[str], clean=html_clean_text) -> Column:
     """Cleaned group 1 of the first pattern that matches (case-insensitive, dot-all);
     a match with an empty group still wins; no match anywhere -> ''."""
-    out = F.lit("")
-    for p in reversed(patterns):
-        rx = "(?is)" + p
-        out = F.when(html.rlike(rx), clean(F.regexp_extract(html, rx, 1))).otherwise(out)
-    return out
+    return clean(F.coalesce(*[_group(html, "(?is)", p) for p in patterns], F.lit("")))
+
+
+def _group(text: Column, flags: str, pattern: str) -> Column:
+    """Group 1 of the pattern's first match, null without a match: one pass over the text, as
+    the match takes all that follows and so is the only one."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(f"{flags}(?:{pattern})(?s:.*)"), 1), F.lit(1))
 
 
 def _price_fallback(html: Column) -> Column:
-    digits = F.regexp_extract(html, PRICE_VAR, 1)
-    return F.when(html.rlike(PRICE_VAR), F.concat(F.format_number(digits.cast("decimal(38,0)"), 0), F.lit(WON)))
+    return F.concat(F.format_number(_group(html, "", PRICE_VAR).cast("decimal(38,0)"), 0), F.lit(WON))
+
+
+def _staged_name(df: DataFrame, field: str) -> str:
+    name = f"_{field}"
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def extract_product_fields(pages: DataFrame, site: str, html_col: str = "html") -> DataFrame:
     """One listing row per detail page, per-site patterns; price falls back to the
     JS variable with a thousands format."""
     h = F.col(html_col)
-    if site == "market":
-        fields = {k: first_match(h, v) for k, v in MARKET_PATTERNS.items()}
-        price = fields["price"]
-        fields["price"] = F.when(F.length(price) > 0, price).otherwise(F.coalesce(_price_fallback(h), F.lit("")))
-        return pages.select("*", *[v.alias(k) for k, v in fields.items()])
-    if site == "store":
-        fields = {k: first_match(h, v) for k, v in STORE_PATTERNS.items()}
+    if site in ("market", "store"):
+        patterns = MARKET_PATTERNS if site == "market" else STORE_PATTERNS
+        # every field is matched and cleaned in a projection of its own, so what reads it twice
+        # below doesn't match again
+        staged = {k: _staged_name(pages, k) for k in patterns}
+        rows = pages.select("*", *[first_match(h, v).alias(staged[k]) for k, v in patterns.items()])
+        fields = {k: F.col(name) for k, name in staged.items()}
         price = fields["price"]
         fields["price"] = F.when(F.length(price) > 0, price).otherwise(F.coalesce(_price_fallback(h), F.lit("")))
-        fields["applicable"] = py_strip(F.replace(fields["applicable"], F.lit(APPLICABLE_PREFIX), F.lit("")))
-        official = fields["official_name"]
-        stripped = py_strip(F.regexp_replace(official, r"(?U)\s*\([^)]*\)\s*$", ""))
-        fields["name"] = F.when(F.length(stripped) > 0, stripped).otherwise(official)
-        return pages.select("*", *[v.alias(k) for k, v in fields.items()])
+        if site == "store":
+            fields["applicable"] = py_strip(F.replace(fields["applicable"], F.lit(APPLICABLE_PREFIX), F.lit("")))
+            official = fields["official_name"]
+            fields["name"] = let(
+                py_strip(F.regexp_replace(official, r"(?U)\s*\([^)]*\)\s*$", "")),
+                lambda stripped: F.when(F.length(stripped) > 0, stripped).otherwise(official),
+            )
+        return rows.select(*[F.col(f"`{c}`") for c in pages.columns], *[v.alias(k) for k, v in fields.items()])
     if site == "partsro":
         rows = pages.select("*", partsro_detail(h).alias("detail"))
         columns = [F.coalesce(F.col("detail")[key], F.lit("")).alias(name) for name, key in PARTSRO_COLUMNS.items()]

@@ -111,3 +111,28 @@ def test_urls_without_category_are_rejected_not_lost(spark):
     df = spark.createDataFrame([("https://s.com/list?cate_no=5",), ("https://s.com/other",), (None,)], "u string")
     assert P.crawl_manifest(df, "u", 2, 10, "S").count() == 2
     assert sorted(r["u"] or "" for r in P.crawl_manifest_rejects(df, "u").collect()) == ["", "https://s.com/other"]
+
+
+def test_first_match_takes_the_first_pattern_once(spark):
+    texts = ["<H1>\n</H1><title>t</title><h1>later</h1>", "<title>a &amp; b</title><h2>x</h2><h2>y</h2>", "nothing", "", None, "<h2>p|q</h2>tail\nand more"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, h string")
+    patterns = [r"<h1>(.*?)</h1>", r"<title>(.*?)</title>", r"nope|<h2>(.*?)</h2>(?=tail|<h2>)"]
+    got = [r["v"] for r in df.select("k", P.first_match(F.col("h"), patterns).alias("v")).orderBy("k").collect()]
+    assert got == ["", "a & b", "", "", "", "p|q"]
+
+
+def test_product_fields_are_matched_once_and_keep_clashing_columns(spark):
+    page = (
+        "<div class=\"product_title big\">Filter (X)<span class=\"delivery\"></span>"
+        "<script>var product_price = '1234567'</script><b>[차종 및 연식]</b><br> [차종 및 연식] Bongo </span>"
+    )
+    df = spark.createDataFrame([(1, page, "kept"), (2, None, None), (3, "<p>" * 2000, "x")], "id int, html string, _price string")
+    out = P.extract_product_fields(df, "store")
+    rows = {r["id"]: r for r in out.collect()}
+    assert (rows[1]["official_name"], rows[1]["name"], rows[1]["price"], rows[1]["applicable"], rows[1]["_price"]) == (
+        "Filter (X)", "Filter", "1,234,567원", "Bongo", "kept")
+    for k in (2, 3):
+        assert [rows[k][c] for c in ("official_name", "name", "price", "part_no", "applicable", "category")] == [""] * 6
+    # the optimizer leaves the fields staged: each pattern stands in the plan once
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("var\\s+product_name") == 1 and plan.count("span_product_price_text") == 1
