@@ -7,6 +7,8 @@ default ASCII classes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fill_template(template: str, **cols: Column) -> Column:
+    """Fill a ``{name}`` template with columns via ``concat`` (no string formatting per row);
+    null if a column is null."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    parts = [cols[piece] if k % 2 else F.lit(piece) for k, piece in enumerate(pieces) if piece]
+    return F.concat(*parts)
+
+
 def lit_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 

@@ -22,10 +22,7 @@ from pricelens.functions.text import let, py_strip
 # ---------------------------------------------------------------------------------
 ALL_VEHICLES = "All"
 # Words that mark a token as a part rather than a vehicle (substring, any case).
-PART_WORDS = [
-    "ASSY", "BRACKET", "BOLT", "NUT", "SCREW", "GASKET", "SEAL", "HOSE",
-    "DUCT", "COVER", "REINF", "CHECKER", "CLIP", "GROMMET", "LATCH", "GUARD",
-]
+PART_WORDS = r"(?i)(ASSY|BRACKET|BOLT|NUT|SCREW|GASKET|SEAL|HOSE|DUCT|COVER|REINF|CHECKER|CLIP|GROMMET|LATCH|GUARD)"
 MARKET_CELL_PREFIX = r"(?U)^\[차종\s*및\s*연식\]\s*"
 MARKET_ALL_WORDS = ["전차종", "전 차종"]
 MARKET_ALL_ONLY = r"(?U)^전\s*차종$"
@@ -42,8 +39,6 @@ FULLWIDTH_COMMA = "，"
 # a character that never occurs in a cell, used to protect "16,19년식" from the comma split
 _PROTECTED_COMMA = ""
 
-PART_WORD_RE = "(?i)(?:" + "|".join(PART_WORDS) + ")"
-
 
 def _collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
@@ -56,7 +51,7 @@ def _strip_chars(c: Column, chars: str) -> Column:
 
 def valid_vehicle_token(t: Column) -> Column:
     """non-empty, longer than one char, no ``_``, no part word anywhere."""
-    return (F.length(t) > 1) & ~t.contains("_") & ~t.rlike(PART_WORD_RE)
+    return (F.length(t) > 1) & ~t.contains("_") & ~t.rlike(PART_WORDS)
 
 
 def _norm_market(t: Column) -> Column:

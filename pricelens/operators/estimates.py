@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.functions.text import fill_template
+
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------------
@@ -335,22 +337,6 @@ CYCLE_QUESTION = (
 CYCLE_CLOSING = "소모품 상태 점검 기록(사진 또는 측정값 포함)을 제공해 주실 수 있습니까?"
 
 
-def _fmt(template: str, **cols: Column) -> Column:
-    """Fill a ``{name}`` template with columns via ``concat`` (no string formatting per row)."""
-    import re
-
-    parts: list[Column] = []
-    pos = 0
-    for m in re.finditer(r"\{(\w+)\}", template):
-        if m.start() > pos:
-            parts.append(F.lit(template[pos : m.start()]))
-        parts.append(cols[m.group(1)])
-        pos = m.end()
-    if pos < len(template):
-        parts.append(F.lit(template[pos:]))
-    return F.concat(*parts)
-
-
 def _thousands(c: Column) -> Column:
     return F.format_number(c.cast("double"), 0)
 
@@ -362,7 +348,7 @@ def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: Data
     p_over = priced_parts.where(F.col("max_price").isNotNull() & (F.col("unit_price") > F.col("max_price")))
     p_q = p_over.select(
         "estimate_id", F.lit(1).alias("section"), F.col("no").alias("item_no"),
-        _fmt(PART_QUESTION, name=F.col("part_official_name"), max=_thousands(F.col("max_price")),
+        fill_template(PART_QUESTION, name=F.col("part_official_name"), max=_thousands(F.col("max_price")),
              diff=_thousands(F.col("unit_price") - F.col("max_price"))).alias("question"),
     )
     expected = F.col("standard_repair_time") * F.col("hour_labor_rate")
@@ -371,14 +357,14 @@ def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: Data
     )
     l_q = l_over.select(
         "estimate_id", F.lit(2).alias("section"), F.col("no").alias("item_no"),
-        _fmt(LABOR_QUESTION, content=F.col("repair_content"), hours=F.col("standard_repair_time").cast("string"),
+        fill_template(LABOR_QUESTION, content=F.col("repair_content"), hours=F.col("standard_repair_time").cast("string"),
              expected=_thousands(expected), fee=_thousands(F.col("tech_fee")),
              diff=_thousands(F.col("tech_fee") - expected)).alias("question"),
     )
     early = cycles.where(F.col("verdict") == CYCLE_EARLY)
     c_q = early.select(
         "estimate_id", F.lit(3).alias("section"), F.col("no").alias("item_no"),
-        _fmt(CYCLE_QUESTION, content=F.col("repair_content"), cycle=_thousands(F.col("cycle")),
+        fill_template(CYCLE_QUESTION, content=F.col("repair_content"), cycle=_thousands(F.col("cycle")),
              gap=_thousands(F.col("cycle") - F.col("usage")), usage=_thousands(F.col("usage"))).alias("question"),
     )
     lines = p_q.unionByName(l_q).unionByName(c_q)

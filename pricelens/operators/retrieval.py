@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.text import compact_query, consumable_flag, extract_keywords, norm_part, norm_space, split_parts
+from pricelens.functions.text import compact_query, consumable_flag, extract_keywords, fill_template, norm_part, norm_space, split_parts
 from pricelens.operators.blocks import DOCS_PER_BLOCK, DOCS_PER_GROUP, BlockIndex, bounded_topk, build_index
 from pricelens.operators.postings import LexicalBlocks, VectorBlocks
 from pricelens.session import cut_lineage, stored
@@ -441,21 +441,6 @@ PROMPT_EMPTY = "(없음)"
 PROMPT_LINE = "[{i}] source={src} ({label}) score={score} | system={system} | expected={parts} | evidence={evidence}"
 
 
-def _fill(template: str, **cols: Column) -> Column:
-    import re
-
-    parts: list[Column] = []
-    pos = 0
-    for m in re.finditer(r"\{(\w+)\}", template):
-        if m.start() > pos:
-            parts.append(F.lit(template[pos : m.start()]))
-        parts.append(cols[m.group(1)])
-        pos = m.end()
-    if pos < len(template):
-        parts.append(F.lit(template[pos:]))
-    return F.concat(*parts)
-
-
 def evidence_rows(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
     """One numbered explanation row per (symptom i, evidence j)."""
     from pricelens.functions.text import source_label, summarize_text
@@ -469,16 +454,16 @@ def evidence_rows(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
     hint = F.when(F.length(cat) > 0, F.concat(F.lit(" ("), cat, F.lit(")"))).otherwise(F.lit(""))
     desc = F.concat(
         F.when(F.length(excerpt) > 0, excerpt).otherwise(F.lit(NO_SUMMARY)),
-        F.when(F.length(parts) > 0, _fill(EXPECTED_PARTS, parts=parts)).otherwise(F.lit("")),
+        F.when(F.length(parts) > 0, fill_template(EXPECTED_PARTS, parts=parts)).otherwise(F.lit("")),
     )
     return e.select(
         "estimate_id", "symptom_no", "evidence_no",
-        _fill(EVIDENCE_TAG, s=F.col("symptom_no").cast("string"), e=F.col("evidence_no").cast("string")).alias("tag"),
+        fill_template(EVIDENCE_TAG, s=F.col("symptom_no").cast("string"), e=F.col("evidence_no").cast("string")).alias("tag"),
         norm_space(F.col("related_symptom")).alias("related_symptom"),
         code.alias("source_code"), label.alias("source_label"), cat.alias("system_category"),
         F.col("doc_id"), norm_space(F.col("doc_symptom_text")).alias("document_symptom_text"),
         parts.alias("repair_parts"), excerpt.alias("evidence_excerpt"), desc.alias("description"),
-        _fill(WHY_USED, symptom=norm_space(F.col("related_symptom")), label=label, hint=hint).alias("why_used"),
+        fill_template(WHY_USED, symptom=norm_space(F.col("related_symptom")), label=label, hint=hint).alias("why_used"),
     )
 
 
@@ -501,7 +486,7 @@ def evidence_prompt(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
     at most three evidence lines and an estimate a handful of symptoms."""
     from pricelens.functions.text import source_label
 
-    line = _fill(
+    line = fill_template(
         PROMPT_LINE, i=F.col("evidence_no").cast("string"), src=F.coalesce("document_source", F.lit("")),
         label=source_label(F.col("document_source")), score=F.format_string("%.4f", F.col("score")),
         system=F.coalesce("system_category", F.lit("")), parts=F.coalesce("repair_parts", F.lit("")),
@@ -513,7 +498,7 @@ def evidence_prompt(evidence: DataFrame, per_symptom: DataFrame) -> DataFrame:
     blocks = per_symptom.join(lines, ["estimate_id", "symptom_no"], "left").select(
         "estimate_id", "symptom_no",
         F.concat(
-            _fill(PROMPT_HEAD, s=F.col("symptom_no").cast("string"), symptom=F.col("symptom_text"), direct=F.col("direct_match_count").cast("string")),
+            fill_template(PROMPT_HEAD, s=F.col("symptom_no").cast("string"), symptom=F.col("symptom_text"), direct=F.col("direct_match_count").cast("string")),
             F.coalesce(F.col("lines"), F.lit(PROMPT_EMPTY)),
         ).alias("block"),
     )
