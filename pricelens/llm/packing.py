@@ -13,11 +13,12 @@ left of a task's last window is shorter than a sequence: it is cut into sequence
 lengths are powers of two, which need no padding.  Sequence ids hold the task's partition
 in the high bits; a task that runs again after a lost executor makes the same sequences.
 
-Token ids come from a byte-level BPE of the ``tokenizers`` library.  Its first step never
-joins a character and the space after it, nor a letter and a mark other than the apostrophe,
-so a text is a sequence of chunks (a space and what follows, marks behind a word, white
-space) that it encodes independently; distinct chunks are encoded once while a worker's
-bounded table holds them, and ids joined back by position.
+Token ids are those of a byte-level BPE file of the ``tokenizers`` library.  Where the file
+cuts texts by the usual pattern and every token is reached from its own bytes by the merges
+(both are checked when it is read), merging the adjacent pair whose joined bytes have the
+lowest id gives the same ids: a pair of tokens is never crossed by an earlier merge, so what
+is between their ends was merged as if it stood alone.  Texts are then encoded whole by
+``tiktoken`` with that file's own vocabulary; any other file is left to its own library.
 
 Defined cases: a null or empty text is the closing id alone; a text of any length is cut;
 ties go to the longer piece, then to the earlier one; repeated rows are packed each;
@@ -26,6 +27,7 @@ an empty table has no sequences.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -41,24 +43,26 @@ from pyspark.sql import DataFrame
 
 from pricelens.llm.common import text_or_empty
 
-TABLE_LIMIT = 600_000
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: letters and marks between which the tokenizer's first step always cuts, and white space
-#: as its pattern has it: without the separators U+001C to U+001F
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARK = r"!-&(-/:-@\[-`{-~"
-_SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-CHUNK = re.compile(rf" ?{_OTHER}+|{_SPACE}+(?!{_OTHER})|{_SPACE}+")
-PART = re.compile(rf" ?[{_LETTER}]+(?=[{_MARK}]|\Z)|[{_MARK}]+\Z| ?{_OTHER}+|{_SPACE}+")
+#: fixed values: how a byte-level tokenizer cuts a text before it merges
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_CUT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
 
-class ChunkIds:
-    """Distinct chunks and their parts -> token ids as little-endian unsigned 32-bit.
-    Entries live in two generations: a full one becomes the old one, from which what is met
-    again comes back."""
+def spelled_bytes() -> dict[str, int]:
+    """The character that spells a byte in a byte-level vocabulary -> that byte: printable
+    Latin-1 stands for itself, the other bytes follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
-    def __init__(self, path: str, limit: int):
+
+class TokenIds:
+    """Texts -> token ids as little-endian unsigned 32-bit."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,29 +79,25 @@ class ChunkIds:
             self.n_bytes[n] = len(token)
         for n, token in added.items():
             self.n_bytes[n] = len(token.content.encode())
-        self.limit = limit
-        self.table: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the table lacks: from the old generation, from their parts, or
-        from the tokenizer."""
-        found = {c: self.old[c] for c in chunks if c in self.old}
-        parts = {c: PART.findall(c) for c in chunks if c not in found}
-        known = {p: ids for whole in parts.values() for p in whole if (ids := self.table.get(p) or self.old.get(p))}
-        todo = list({p for whole in parts.values() for p in whole if p not in known})
-        for part, got in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            known[part] = array("I", got.ids).tobytes()
-        # a chunk with a part that is new may never come again: its parts are kept, not itself
-        new = set(todo)
-        again = [c for c, whole in parts.items() if new.isdisjoint(whole)]
-        if len(self.table) + len(found) + len(again) + len(todo) > self.limit:
-            self.table, self.old = {}, self.table
-        self.table |= found
-        found |= {c: b"".join([known[p] for p in whole]) for c, whole in parts.items()}
-        self.table |= {c: found[c] for c in again}
-        self.table |= {p: known[p] for p in todo}
-        return found
+        self.ranked = self._ranked()
+
+    def _ranked(self):
+        """The same vocabulary as ranks, or None where equal ids aren't certain."""
+        import tiktoken
+
+        rules = json.loads(self.tokenizer.to_str())
+        if any((rules["pre_tokenizer"] or {}).get(k) != v for k, v in PLAIN_CUT.items()) or any(rules["model"].get(k) != v for k, v in PLAIN_MODEL.items()):
+            return None
+        byte, model = spelled_bytes(), self.tokenizer.model
+        vocab = rules["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in rules["model"]["merges"]]
+        order = [vocab[a + b] for a, b in merges]
+        reached = all(set(t) <= byte.keys() and [x.id for x in model.tokenize(t)] == [n] for t, n in vocab.items())
+        # ids rank the merges, and what no merge makes is a single byte; all bytes are there
+        ranks = {bytes(map(byte.get, t)): n for t, n in vocab.items()} if reached else {}
+        if not reached or order != sorted(set(order)) or sum(len(t) == 1 for t in vocab) != 256 or len(vocab) != 256 + len(order):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         return b"".join([self.added[part] if k % 2 else self._between(part) for k, part in enumerate(self.literals.split(text))])
@@ -126,17 +126,16 @@ class ChunkIds:
 
     def _between(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
-        chunks = CHUNK.findall(text)
-        ids = list(map(self.table.get, chunks))
-        if not all(ids):
-            found = self._encoded({c for c, x in zip(chunks, ids, strict=True) if x is None})
-            ids = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-        return b"".join(ids)
+        if not text:
+            return b""
+        if self.ranked is not None:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str, limit: int) -> ChunkIds:
-    return ChunkIds(path, limit)
+def token_ids(path: str) -> TokenIds:
+    return TokenIds(path)
 
 
 @dataclass(frozen=True)
@@ -282,7 +281,6 @@ def pack_documents(
     limits: Limits = Limits(),
     closing_id: int = 1,
     window_pieces: int = 2048,
-    table_limit: int = TABLE_LIMIT,
     loss_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: the id of its row, ``start`` (ids of the document before it),
@@ -301,7 +299,7 @@ def pack_documents(
     rows_per_batch = 4096
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_ids(tokenizer_path, table_limit)
+        tokens = token_ids(tokenizer_path)
         kind = None
 
         def documents() -> Iterator[Piece]:
@@ -310,8 +308,8 @@ def pack_documents(
                 kind = batch.column(0).type
                 every = [None] * batch.num_rows if loss_col is None else batch.column(2).to_pylist()
                 for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, strict=True):
-                    ids = table.encode(text)
-                    yield Piece(row, 0, ids + closing, len(ids) // 4 + 1, table.bearing(text, ids, spans))
+                    ids = tokens.encode(text)
+                    yield Piece(row, 0, ids + closing, len(ids) // 4 + 1, tokens.bearing(text, ids, spans))
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             row, start, length, ids, total, sequence, offset, loss = map(list, zip(*rows, strict=True))

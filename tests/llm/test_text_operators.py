@@ -157,8 +157,9 @@ def test_private_scan_of_odd_rows(odd, private_model):
     assert [[tuple(s) for s in r["private"]] for r in rows if r["doc_id"] == 5][0] == [("email", 5, 20)]
 
 
-def test_chunks_equal_the_tokenizer():
-    table = packing.ChunkIds(BPE, 500)  # a small table starts anew often
+def test_ids_equal_the_tokenizer():
+    table = packing.TokenIds(BPE)
+    assert table.ranked is not None
     r = random.Random(5)
     letters = [*"ab'sretvmld  \n\t.,!?-_|9²½é\x1c\x85日本Ⅷß\"()#$\r\x0b", "'s", "'re", " '", "<|endoftext|>", "​", "…", "’", " "]
     for _ in range(6000):
@@ -167,6 +168,33 @@ def test_chunks_equal_the_tokenizer():
         assert np.frombuffer(table.encode(text), "<u4").tolist() == ids, repr(text)
 
 
+def test_every_code_point_is_cut_as_by_the_tokenizer():
+    table = packing.TokenIds(BPE)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]]
+    texts = [f"a{c}1{c}.{c}{c} {c}  {c}" for c in points]
+    got = table.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [c for c, t, x in zip(points, texts, got, strict=True) if np.frombuffer(table.encode(t), "<u4").tolist() != x.ids] == []
+
+
+def test_long_runs_equal_the_tokenizer():
+    table = packing.TokenIds(BPE)
+    for text in ["a" * 20001, "ab" * 9000, " " * 20000, "\n \n" * 5000 + "x", "日本" * 5000, "<" * 5001 + "|endoftext|>", "1" * 7000]:
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_left_to_their_library(tmp_path):
+    """A vocabulary whose ids don't rank its merges is not encoded by ranks."""
+    import json
+
+    rules = json.loads(packing.TokenIds(BPE).tokenizer.to_str())
+    rules["model"]["merges"][0], rules["model"]["merges"][1] = rules["model"]["merges"][1], rules["model"]["merges"][0]
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    table = packing.TokenIds(str(tmp_path / "other.json"))
+    assert table.ranked is None
+    for text in ["the  cat's <|endoftext|>\n there", "", "日本 é"]:
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_equal_the_untouched_tokenizer(spark):
     from tokenizers import Tokenizer
 
@@ -175,7 +203,7 @@ def test_added_tokens_equal_the_untouched_tokenizer(spark):
     r = random.Random(9)
     letters = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "page", " next", "'s", "é", "日本", "."]
     texts = ["end of page <|endoftext|> next", "<|endoftext|>", *("".join(r.choices(letters, k=r.randint(0, 20))) for _ in range(3000))]
-    table = packing.ChunkIds(BPE, 500)
+    table = packing.TokenIds(BPE)
     want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(table.encode(t), "<u4").tolist() for t in texts] == want
     got = {}
@@ -187,7 +215,7 @@ def test_added_tokens_equal_the_untouched_tokenizer(spark):
 
 def test_packing_of_odd_rows(odd):
     rows = packing.pack_documents(odd, BPE, limits=packing.Limits(tokens=64, segments=8, loss_tokens=64)).collect()
-    tokenizer = packing.chunk_ids(BPE, 1000).tokenizer
+    tokenizer = packing.token_ids(BPE).tokenizer
     texts = [r["text"] or "" for r in odd.collect()]
     assert sum(r["length"] for r in rows) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
     long = sorted((r for r in rows if r["doc_id"] == 4), key=lambda r: r["start"])
@@ -220,7 +248,7 @@ def test_packing_keeps_the_loss_limit_of_given_spans(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start: int, end: int>>")
     limits = packing.Limits(tokens=64, segments=16, loss_tokens=20)
     packed = [p.asDict() for p in packing.pack_documents(df, BPE, limits=limits, loss_col="spans").collect()]
-    tokenizer = packing.chunk_ids(BPE, 1000).tokenizer
+    tokenizer = packing.token_ids(BPE).tokenizer
     got: dict[int, bytes] = {}
     for p in sorted(packed, key=lambda p: (p["doc_id"], p["start"])):
         assert len(p["loss"]) == p["length"] and p["start"] == len(got.setdefault(p["doc_id"], b""))
