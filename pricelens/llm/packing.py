@@ -45,8 +45,10 @@ from pricelens.llm.common import text_or_empty
 
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: fixed values: how a byte-level tokenizer cuts a text before it merges
-CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: how a byte-level tokenizer cuts a text before it merges (fixed values: its classes and
+#: endings), written so that a run of any length is matched without going back: of white space
+#: each character that has more of it, or the text's end, behind it; the last one stands alone
+CUT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|(?:\s(?!\S))++|\s"
 PLAIN_CUT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 

@@ -178,7 +178,7 @@ def test_every_code_point_is_cut_as_by_the_tokenizer():
 
 def test_long_runs_equal_the_tokenizer():
     table = packing.TokenIds(BPE)
-    for text in ["a" * 20001, "ab" * 9000, " " * 20000, "\n \n" * 5000 + "x", "日本" * 5000, "<" * 5001 + "|endoftext|>", "1" * 7000]:
+    for text in ["a" * 20001, "ab" * 9000, " " * 20000, "\n \n" * 5000 + "x", "日本" * 5000, "<" * 5001 + "|endoftext|>", "1" * 7000, " " * 3_000_000 + "x", "\n" * 3_000_000]:
         assert np.frombuffer(table.encode(text), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
 
 
