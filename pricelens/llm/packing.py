@@ -45,10 +45,9 @@ from pricelens.llm.common import text_or_empty
 
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: how a byte-level tokenizer cuts a text before it merges (fixed values: its classes and
-#: endings), written so that a run of any length is matched without going back: of white space
-#: each character that has more of it, or the text's end, behind it; the last one stands alone
-CUT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|(?:\s(?!\S))++|\s"
+#: how a byte-level tokenizer cuts a text before it merges (fixed values), written so that
+#: only a run of white space with a word behind it is matched going back
+CUT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 PLAIN_CUT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
@@ -131,7 +130,10 @@ class TokenIds:
         if not text:
             return b""
         if self.ranked is not None:
-            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            try:
+                return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a run of white space too long for its pattern's steps back
+                pass
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
