@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricelens.operators import load as LD
 from pricelens.plans.registry import register
+from pricelens.session import ensure_checkpoint_dir
+from pricelens.sources import versions as V
 from pricelens.sources.tables import shape, shape_cte
 
 RUN_DS = "2000-01-16"
@@ -90,3 +94,18 @@ def q_upsert_mart(spark, sf):
 def q_write_idempotent(spark, sf):
     """A rerun of the same date on the already-upserted table gives the same table."""
     return _upsert(spark, sf, twice=True)
+
+
+@register(
+    "sink_mart_versions",
+    CTE + ", " + UPSERT_SQL + " SELECT part_official_name, car_type, CAST(extracted_at AS VARCHAR) AS extracted_at, min_price, max_price FROM up",
+)
+def q_sink_mart_versions(spark, sf):
+    """The mart on storage: imported, loaded, loaded again, read back by its latest version."""
+    cache: dict = {}
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pricelens-io/versions-{uuid.uuid4().hex}"
+    existing = shape(spark, sf, "parts_master", cache).select(*MART_COLS)
+    V.import_version(spark, root, existing)
+    for _ in range(2):
+        V.load_version(spark, root, _staged(spark, sf, cache), RUN_DS, STAGED_ORDER, existing.schema)
+    return _out(V.read_days(spark, root, V.read_version(spark, root), existing.schema))
