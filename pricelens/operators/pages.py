@@ -318,51 +318,95 @@ def _class_of(tag: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(v, r"(?is)^\sclass\s*=\s*", ""), "[\"'\\s]+", " "), F.lit(" "))
 
 
-def _has_classes(tag: Column, names: str) -> Column:
+def _holds(classes: Column, names: str) -> Column:
     out = F.lit(True)
     for name in names.split("."):
-        out = out & _class_of(tag).contains(f" {name} ")
+        out = out & classes.contains(f" {name} ")
     return out
 
 
-def inner_html(html: Column, element: str, *path: str) -> Column:
-    """All inner markups of ``element`` tags that match the last class list of ``path`` and
-    lie within elements that match the earlier ones, in page order.
+def _has_classes(tag: Column, names: str) -> Column:
+    return _holds(_class_of(tag), names)
+
+
+def _tags(parts: Column, element: str) -> Column:
+    """What the fold needs of each part of a page cut at the element's tags, read once: whether
+    a start tag (1), an end tag (-1) or neither (0) leads it, and the start tag's classes."""
+    start, end = (parts_re.format(element) for parts_re in (r"(?i)^<{}\b", r"(?i)^</{}\b"))
+    return F.transform(
+        parts,
+        lambda part: F.when(part.rlike(start), F.struct(F.lit(1).alias("step"), _class_of(F.regexp_extract(part, r"^(<[^>]*>?)", 1)).alias("classes")))
+        .when(part.rlike(end), F.struct(F.lit(-1).alias("step"), F.lit("").alias("classes")))
+        .otherwise(F.struct(F.lit(0).alias("step"), F.lit("").alias("classes"))),
+    )
 
-    The page is cut at the element's tags; a fold counts the nesting depth, so an element
-    ends at its own end tag whatever is nested in it (an unclosed one, at the page's end)."""
-    parts = F.split(html, rf"(?i)(?=<{element}\b)|(?=</{element}\b)")
-    tag = F.regexp_extract
-    state = "struct<depth:int,found:array<string>,open:int,text:string,above:array<int>>"
+
+def _spans(tags: Column, paths: list[tuple[str, ...]]) -> Column:
+    """The elements that the paths name, as (path, part of the start tag, part of the end tag),
+    by one fold over the tags.  Its state is numbers only: the depth, and per path the depth at
+    which each element on it is open (-1: none) and the part where the last one began."""
+    state = "struct<part:int,depth:int,at:array<int>,found:array<struct<path:int,first:int,last:int>>>"
+    width = [len(path) + 1 for path in paths]
+    base = [sum(width[:k]) for k in range(len(paths))]
     zero = F.struct(
-        F.lit(0).alias("depth"), F.array().cast("array<string>").alias("found"), F.lit(-1).alias("open"), F.lit("").alias("text"),
-        F.array(*[F.lit(-1)] * (len(path) - 1)).cast("array<int>").alias("above"),
+        F.lit(0).alias("part"), F.lit(0).alias("depth"), F.array(*[F.lit(-1)] * sum(width)).alias("at"), F.array().alias("found")
     ).cast(state)
 
-    def step(s: Column, part: Column) -> Column:
-        start = part.rlike(rf"(?i)^<{element}\b")
-        end = part.rlike(rf"(?i)^</{element}\b")
-        head = tag(part, r"^(<[^>]*>?)", 1)
-        depth = s["depth"] + F.when(start, 1).when(end, -1).otherwise(0)
-        closes = (s["open"] >= 0) & end & (depth < s["open"])
-        # where each ancestor of the path is open: the depth of its element, or -1
-        above = []
-        inside = F.lit(True)
-        for k, names in enumerate(path[:-1]):
-            now = F.get(s["above"], F.lit(k))
-            above.append(F.when((now >= 0) & end & (depth < now), -1).when((now < 0) & start & inside & _has_classes(head, names), depth).otherwise(now))
-            inside = now >= 0
-        opens = (s["open"] < 0) & start & inside & _has_classes(head, path[-1])
-        rest = F.substr(part, F.length(head) + 1)
+    def span(k: int, s: Column) -> Column:
+        return F.struct(F.lit(k).alias("path"), F.get(s["at"], F.lit(base[k] + len(paths[k]))).alias("first"), s["part"].alias("last"))
+
+    def step(s: Column, tag: Column) -> Column:
+        start, end = tag["step"] == 1, tag["step"] == -1
+        depth = F.greatest(s["depth"] + tag["step"], F.lit(0))  # an end tag of nothing counts for nothing
+        at, closed = [], []
+        for k, path in enumerate(paths):
+            inside = F.lit(True)
+            for j, names in enumerate(path):
+                now = F.get(s["at"], F.lit(base[k] + j))
+                opens = (now < 0) & start & inside & _holds(tag["classes"], names)
+                closes = (now >= 0) & end & (depth < now)
+                at.append(F.when(opens, depth).when(closes, -1).otherwise(now))
+                inside = now >= 0
+            at.append(F.when(opens, s["part"]).otherwise(F.get(s["at"], F.lit(base[k] + len(path)))))
+            closed.append(F.when(closes, span(k, s)))
+        ended = F.filter(F.array(*closed), lambda x: x.isNotNull())
         return F.struct(
+            (s["part"] + 1).alias("part"),
             depth.alias("depth"),
-            F.when(closes, F.concat(s["found"], F.array(s["text"]))).otherwise(s["found"]).alias("found"),
-            F.when(opens, depth).when(closes, -1).otherwise(s["open"]).alias("open"),
-            F.when(opens, rest).when(closes, F.lit("")).when(s["open"] >= 0, F.concat(s["text"], part)).otherwise(F.lit("")).alias("text"),
-            F.array(*above).cast("array<int>").alias("above"),
+            F.when(tag["step"] == 0, s["at"]).otherwise(F.array(*at)).alias("at"),
+            F.when(end & (F.size(ended) > 0), F.concat(s["found"], ended)).otherwise(s["found"]).alias("found"),
         ).cast(state)
 
-    return F.aggregate(parts, zero, step, lambda s: F.when(s["open"] >= 0, F.concat(s["found"], F.array(s["text"]))).otherwise(s["found"]))
+    def finish(s: Column) -> Column:
+        unclosed = [F.when(F.get(s["at"], F.lit(base[k] + len(path) - 1)) >= 0, span(k, s)) for k, path in enumerate(paths)]
+        return F.concat(s["found"], F.filter(F.array(*unclosed), lambda x: x.isNotNull()))
+
+    return F.aggregate(tags, zero, step, finish)
+
+
+def inner_htmls(html: Column, element: str, paths: list[tuple[str, ...]]) -> Column:
+    """For each path, all inner markups of ``element`` tags that match the path's last class
+    list and lie within elements that match the earlier ones, in page order.
+
+    The page is cut at the element's tags and folded once for all paths, counting the nesting
+    depth, so an element ends at its own end tag whatever is nested in it (an unclosed one, at
+    the page's end).  Markup is put together once per element that was found."""
+    parts = F.split(html, rf"(?i)(?=<{element}\b)|(?=</{element}\b)")
+
+    def markup(parts: Column, span: Column) -> Column:
+        head = F.get(parts, span["first"])
+        rest = F.array_join(F.slice(parts, span["first"] + 2, span["last"] - span["first"] - 1), "")
+        return F.concat(F.regexp_replace(head, r"^<[^>]*>?", ""), rest)
+
+    def of_path(k: int, parts: Column, spans: Column) -> Column:
+        return F.transform(F.filter(spans, lambda x: x["path"] == k), lambda x: markup(parts, x))
+
+    return let(parts, lambda p: let(_spans(_tags(p, element), paths), lambda spans: F.array(*[of_path(k, p, spans) for k in range(len(paths))])))
+
+
+def inner_html(html: Column, element: str, *path: str) -> Column:
+    """:func:`inner_htmls` of one path."""
+    return F.get(inner_htmls(html, element, [path]), F.lit(0))
 
 
 def _node_text(fragment: Column, sep: str = " ") -> Column:
@@ -371,21 +415,42 @@ def _node_text(fragment: Column, sep: str = " ") -> Column:
     return unescape_html(t)
 
 
-def _first_text(html: Column, element: str, *path: str, sep: str = " ") -> Column:
-    return flat_text(_node_text(F.coalesce(F.get(inner_html(html, element, *path), F.lit(0)), F.lit("")), sep))
+def _first_text(found: Column, path: int, sep: str = " ") -> Column:
+    return flat_text(_node_text(F.coalesce(F.get(F.get(found, F.lit(path)), F.lit(0)), F.lit("")), sep))
 
 
-def parse_forum_post(html: Column) -> tuple[Column, Column, Column]:
-    """(title, body, comments joined ' || ') of a forum post page; within the detail view
-    and the comment box only, nested markup included."""
-    heads = [("detail.view", "head.pc-view", "subject"), ("detail.view", "head.mo-view", "subject"), ("detail.view", "subject")]
-    page_title = flat_text(_node_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    titles = [*[_first_text(html, "div", *path) for path in heads], page_title]
-    title = F.coalesce(*[let(t, lambda x: F.when(F.length(x) > 0, x)) for t in titles], F.lit(""))
-    body = _first_text(html, "div", "detail.view", "cont", sep="\n")
+#: where a post page holds its title (the first that has a text counts) and its body
+TITLE_PATHS = [("detail.view", "head.pc-view", "subject"), ("detail.view", "head.mo-view", "subject"), ("detail.view", "subject")]
+BODY_PATH = ("detail.view", "cont")
+
+
+def forum_post(html: Column) -> Column:
+    """A struct (title, body, comments joined ' || ') of a forum post page; within the
+    detail view and the comment box only, nested markup included."""
+
+    def fields(found: Column) -> Column:
+        page_title = flat_text(_node_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+        titles = [*[_first_text(found, k) for k in range(len(TITLE_PATHS))], page_title]
+        title = F.coalesce(*[let(t, lambda x: F.when(F.length(x) > 0, x)) for t in titles], F.lit(""))
+        return F.struct(title.alias("title"), _first_text(found, len(TITLE_PATHS), sep="\n").alias("body"), F.array_join(F.filter(comments, lambda c: F.length(c) > 0), " || ").alias("comments"))
+
     box = F.regexp_extract(html, r"(?is)<[^>]*\bid\s*=\s*[\"']?commentSkinBox\b[^>]*>(.*)$", 1)
     comments = F.transform(inner_html(box, "div", "commentCont"), lambda c: flat_text(_node_text(c, "\n")))
-    return title, body, F.array_join(F.filter(comments, lambda c: F.length(c) > 0), " || ")
+    return let(inner_htmls(html, "div", [*TITLE_PATHS, BODY_PATH]), fields)
+
+
+def parse_forum_post(html: Column) -> tuple[Column, Column, Column]:
+    """P21 as three columns; :func:`parse_forum_posts` reads each page once for all three."""
+    post = forum_post(html)
+    return post["title"], post["body"], post["comments"]
+
+
+def parse_forum_posts(pages: DataFrame, html_col: str) -> DataFrame:
+    """The pages with ``title``, ``body`` and ``comments`` in place of their markup.  The
+    post is a staged struct, so its fields are not parsed anew one by one."""
+    others = [c for c in pages.columns if c not in (html_col, "title", "body", "comments")]
+    staged = pages.select(*others, forum_post(F.col(html_col)).alias("_post"))
+    return staged.select(*others, *[F.col(f"_post.{c}").alias(c) for c in ("title", "body", "comments")])
 
 
 #: an href value: either quote, or none

@@ -254,8 +254,7 @@ def _flat_sql(x: str) -> str:
     + " AS body, concat('c ', lang, ' || second ', CAST(doc_id AS VARCHAR)) AS comments FROM documents",
 )
 def q_parse_forum_post(spark, sf):
-    title, body, comments = P.parse_forum_post(F.col("post_html"))
-    return shape(spark, sf, "forum_pages").select("page_id", title.alias("title"), body.alias("body"), comments.alias("comments"))
+    return P.parse_forum_posts(shape(spark, sf, "forum_pages").select("page_id", "post_html"), "post_html")
 
 
 @register(

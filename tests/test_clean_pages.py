@@ -95,6 +95,57 @@ def test_forum_rules_follow_nesting_and_either_quote(spark):
     assert P.post_links(df, "html", "url", include_notice=True).count() == 2
 
 
+def _inner(html, path):
+    """The element rule in plain Python: a walk over the tags with the open elements."""
+    import re
+
+    tags = list(re.finditer(r"(?i)<(/?)div\b([^>]*)>?", html))
+    depth, opened, found = 0, [None] * len(path), []
+    for m in tags:
+        if m[1]:
+            depth -= 1
+            if opened[-1] is not None and depth < opened[-1][0]:
+                found.append(html[opened[-1][1] : m.start()])
+            opened = [None if o is not None and depth < o[0] else o for o in opened]
+        else:
+            depth += 1
+            has = re.search(r"class='([^']*)'", m[2])
+            classes = set(has[1].split()) if has else set()
+            before = list(opened)
+            for j, names in enumerate(path):
+                if before[j] is None and (j == 0 or before[j - 1] is not None) and set(names.split(".")) <= classes:
+                    opened[j] = (depth, m.end())
+    if opened[-1] is not None:
+        found.append(html[opened[-1][1] :])
+    return found
+
+
+def test_elements_of_many_paths_equal_a_walk_over_the_tags(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["<div class='a'>", "<div class='b c'>", "<div class='c'>", "<div>", "</div>", "</div>", "</div>", "x", "<b>y</b>", "<DIV class='a b'>", "<divider>", " "]
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    paths = [("a",), ("a", "c"), ("b.c",), ("a", "b", "c")]
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string")
+    for r in df.select("id", P.inner_htmls(F.col("html"), "div", paths).alias("found")).collect():
+        assert [list(x) for x in r["found"]] == [_inner(pages[r["id"]], path) for path in paths], pages[r["id"]]
+
+
+def test_forum_pages_of_many_tags_are_read_in_linear_time(spark):
+    """200,000 tags in one post; each page is parsed by one projection, its fields are not."""
+    import time
+
+    body = "<div>x</div>" * 100_000
+    df = spark.createDataFrame([(1, f"<div class='detail view'><div class='cont'>{body}</div></div>", "kept"), (2, None, "none")], "id int, html string, title string")
+    start = time.monotonic()
+    rows = P.parse_forum_posts(df, "html").collect()
+    assert rows[0]["body"].count("x") == 100_000 and time.monotonic() - start < 60
+    assert rows[0].asDict().keys() == {"id", "title", "body", "comments"}
+    plan = P.parse_forum_posts(df, "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 2
+
+
 def test_references_decode_as_the_standard_library_does(spark):
     import html
     import random
