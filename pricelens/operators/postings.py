@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from pricelens.functions import lexical as LX
 from pricelens.operators.blocks import Arrays, BlockKind
 
 #: bounds are raised by this much, more than sums of doubles can be off
 SLACK = 1e-9
+#: a block of texts holds at most about this many characters (or one document), so what building
+#: it takes doesn't grow with the documents that happen to be the longest of their group
+BLOCK_CHARS = 1 << 20
+#: numbers of a block's documents fit one byte
+MOST_DOCS = 256
 
 
 def _postings(docs: np.ndarray, words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +47,8 @@ class LexicalBlocks(BlockKind):
     ``w_trigram`` x the greater trigram similarity to either text.
 
     A block has, per text, postings from trigrams to documents and the documents' numbers of
-    trigrams, and postings from tokens to their places in the documents.  Its bound: a document
+    trigrams, and the documents' tokens as numbers (two low bytes and two high ones apart, for the
+    latter are mostly zero), from which a task makes postings to their places.  Its bound: a document
     shares at most the query trigrams that the block knows, and has at least as many trigrams
     as the block's smallest; the covers of the few documents that hold every query token, found
     through the token postings, are exact.  Documents of like size share a block, so long ones,
@@ -48,8 +56,8 @@ class LexicalBlocks(BlockKind):
 
     arrays = {
         "s_codes": "<i8", "e_codes": "<i8", "least": "<i4", "words": "u1",
-        "s_from": "<i4", "s_docs": "<i4", "s_size": "<i4", "e_from": "<i4", "e_docs": "<i4", "e_size": "<i4",
-        "w_from": "<i4", "w_place": "<i4", "d_from": "<i4",
+        "s_from": "<i4", "s_docs": "u1", "s_size": "<i4", "e_from": "<i4", "e_docs": "u1", "e_size": "<i4",
+        "t_low": "<u2", "t_high": "<u2", "d_from": "<i4",
     }
     doc_columns = ["symptom_text", "evidence_text"]
     query_column = "query_text"
@@ -57,10 +65,20 @@ class LexicalBlocks(BlockKind):
     def __init__(self, w_cover: float, w_trigram: float):
         self.w_cover, self.w_trigram = w_cover, w_trigram
 
+    def weight(self, content: Column) -> Column:
+        return F.octet_length(content)
+
     def arranged(self, docs: dict[str, list], size: int) -> list[np.ndarray]:
-        lengths = [min(len(s), len(e)) for s, e in zip(docs["symptom_text"], docs["evidence_text"])]
-        order = np.argsort(lengths, kind="stable")
-        return [np.sort(order[k : k + size]) for k in range(0, len(order), size)]
+        texts = list(zip(docs["symptom_text"], docs["evidence_text"]))
+        order = np.argsort([min(len(s), len(e)) for s, e in texts], kind="stable")
+        blocks, first, held = [], 0, 0
+        for at, d in enumerate(order):
+            chars = len(texts[d][0]) + len(texts[d][1])
+            if at > first and (at - first == min(size, MOST_DOCS) or held + chars > BLOCK_CHARS):
+                blocks.append(np.sort(order[first:at]))
+                first, held = at, 0
+            held += chars
+        return [*blocks, np.sort(order[first:])] if len(order) else []
 
     def build(self, docs: dict[str, list]) -> Arrays:
         n = len(docs["symptom_text"])
@@ -81,15 +99,17 @@ class LexicalBlocks(BlockKind):
         by_doc = np.argsort(doc_of, kind="stable")
         doc_of, flat = doc_of[by_doc], sorted_number[np.concatenate([rows["s"][1], rows["e"][1]])[by_doc]]
         d_from = np.append(0, np.cumsum(np.bincount(doc_of, minlength=n)))
-        order = np.argsort(flat, kind="stable")
-        w_from = np.searchsorted(flat[order], np.arange(len(words) + 1))
         least = [found["s_size"].min(), found["e_size"].min()]
         joined = np.frombuffer("\n".join(words).encode(), np.uint8)
-        return found | {"least": np.array(least), "words": joined, "w_from": w_from, "w_place": order, "d_from": d_from}
+        return found | {"least": np.array(least), "words": joined, "t_low": flat & 0xFFFF, "t_high": flat >> 16, "d_from": d_from}
 
     def opened(self, block: Arrays) -> Arrays:
         words = block["words"].tobytes().decode()
-        return block | {"numbers": {w: k for k, w in enumerate(words.split("\n"))} if words else {}}
+        numbers = {w: k for k, w in enumerate(words.split("\n"))} if words else {}
+        tokens = block["t_low"].astype(np.int32) | block["t_high"].astype(np.int32) << 16
+        places = np.argsort(tokens, kind="stable").astype(np.int32)
+        starts = np.searchsorted(tokens[places], np.arange(len(numbers) + 1))
+        return block | {"numbers": numbers, "w_from": starts, "w_place": places}
 
     def bound(self, query: str, block: Arrays) -> float:
         codes = LX.trigram_codes(query)
@@ -142,6 +162,9 @@ class VectorBlocks(BlockKind):
     doc_columns = ["embedding"]
     query_column = "qvec"
 
+    def weight(self, content: Column) -> Column:
+        return F.when(content.isNotNull(), 8 * F.size(content))
+
     def arranged(self, docs: dict[str, list], size: int) -> list[np.ndarray]:
         vectors = [np.array(v or (), np.float64) for v in docs["embedding"]]
         alike = np.zeros(len(vectors), np.int64)  # null and zero vectors: class 0

@@ -260,7 +260,6 @@ def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w
         vec = vector_list(queries, vectors, fetch_k)
         lex = lexical_list(queries, postings, fetch_k)
         if p == 1:  # the fallback reads the first lists again
-            vec, lex = stored(vec), stored(lex)
             first = vec, lex
         # at most 20, 1 and 5 small rows per query, each with several readers
         cands = cut_lineage(fuse_rankings(vec, lex, TOP_K, fetch_k))
@@ -309,6 +308,8 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
         "estimate_id", "symptom_no", "doc_id", "score", F.lit(0.0).alias("similarity_score"), F.col("fused_rank").alias("kept_rank")
     )
     match = merged.withColumn("is_fallback", F.lit(False)).unionByName(fb.withColumn("is_fallback", F.lit(True)))
+    match = stored(match)  # a few rows per symptom, so only their documents are shuffled to them
+    doc_fields = doc_fields.join(match.select("doc_id"), "doc_id", "left_semi")
     match = cut_lineage(match.join(doc_fields, "doc_id", "left"))
     ev_w = Window.partitionBy("estimate_id", "symptom_no").orderBy("kept_rank")
     evidence = (

@@ -16,6 +16,7 @@ from pricelens.functions.similarity import trigram_similarity
 from pricelens.operators import retrieval as R
 from pricelens.operators.load import unique_docs
 from pricelens.plans.registry import register
+from pricelens.session import stored
 from pricelens.sources.tables import read_table, shape, shape_cte
 
 CTE = shape_cte("repair_doc", "symptom_inputs")
@@ -153,7 +154,8 @@ def _hybrid_pipeline(spark, sf, passes=(1, 2, 3), top=20):
     queries = R.pass_queries(_symptoms(spark, sf, cache), passes)
     fetch = max(top * 4, top)
     vec, lex = R.hybrid_lists(queries, docs, fetch)
-    return queries, vec, lex, R.fuse_rankings(vec, lex, top, fetch)
+    # a few rows per query with several readers: searched once, and small beside the documents
+    return queries, vec, lex, stored(R.fuse_rankings(vec, lex, top, fetch))
 
 
 # --- text helpers ------------------------------------------------------------------------------------------
