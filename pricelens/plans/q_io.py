@@ -54,7 +54,7 @@ def q_compact_parts(spark, sf):
     """Headerless parts (plus a non-CSV file that must be ignored) -> one headered file."""
     root = scratch(spark, "parts")
     cols = IO.RAW_STORE_COLUMNS
-    _raw_listing(spark, sf).select(*cols).repartition(4).write.option("header", "false").option("escape", '"').csv(f"{root}/parts")
+    _raw_listing(spark, sf).select(*cols).write.option("header", "false").option("escape", '"').csv(f"{root}/parts")
     spark.range(3).write.json(f"{root}/parts/meta")
     return IO.compact_parts(spark, f"{root}/parts", f"{root}/final", cols)
 
