@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricelens.operators import load as LD
 from pricelens.plans.registry import register
-from pricelens.session import ensure_checkpoint_dir
+from pricelens.session import ensure_checkpoint_dir, stored
 from pricelens.sources import versions as V
 from pricelens.sources.tables import shape, shape_cte
 
@@ -104,8 +104,12 @@ def q_sink_mart_versions(spark, sf):
     """The mart on storage: imported, loaded, loaded again, read back by its latest version."""
     cache: dict = {}
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pricelens-io/versions-{uuid.uuid4().hex}"
+    # the inputs that several of the shapes below read, each made once
+    for name in ("est_parts", "price_mart"):
+        cache[name] = stored(shape(spark, sf, name, cache))
     existing = shape(spark, sf, "parts_master", cache).select(*MART_COLS)
     V.import_version(spark, root, existing)
+    staged = stored(_staged(spark, sf, cache))
     for _ in range(2):
-        V.load_version(spark, root, _staged(spark, sf, cache), RUN_DS, STAGED_ORDER, existing.schema)
+        V.load_version(spark, root, staged, RUN_DS, STAGED_ORDER, existing.schema)
     return _out(V.read_days(spark, root, V.read_version(spark, root), existing.schema))

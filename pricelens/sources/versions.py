@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelens.operators.load import MART_KEY, retention_cutoff, upsert_mart
+from pricelens.operators.load import MART_KEY, last_write_wins, retention_cutoff, upsert_mart
+from pricelens.session import stored
 from pricelens.sources.io import _hadoop_fs
 
 DAY = "extracted_at"
@@ -114,12 +115,17 @@ def load_version(
     n_files: int | None = None,
 ) -> Version:
     """D1 to D3 on storage: retention, last write wins, staged rows replace rows with their
-    key; the result is published as the next version.  The key holds the day."""
+    key; the result is published as the next version.  The key holds the day.  Staged rows are
+    read once: their days, the rows that they replace and the new rows come from the last write
+    of each key, stored."""
     if DAY not in key:
         raise ValueError(f"the key must hold {DAY}: a load rewrites the staged days only")
     before = read_version(spark, root)
     cutoff = spark.range(1).select(retention_cutoff(ds).cast("string")).first()[0]
     kept = {day: folder for day, folder in before.days.items() if day != NO_DAY and day >= cutoff}
+    order = [order] if isinstance(order, str) else list(order)
+    columns = [*schema.names, *[c for c in order if c not in schema.names]]
+    staged = stored(last_write_wins(staged.select(*columns), key, order))
     staged_days = [r[0] or NO_DAY for r in staged.select(F.col(DAY).cast("date").cast("string")).distinct().collect()]
     days = dict(kept)
     if staged_days:
