@@ -164,10 +164,11 @@ def pass_queries(symptoms: DataFrame, passes: tuple[int, ...] = (1, 2, 3)) -> Da
 
 
 def hybrid_lists(queries: DataFrame, docs: DataFrame, fetch_k: int, w_cover: float = LEX_W_COVER,
-                 w_trigram: float = LEX_W_TRIGRAM) -> tuple[DataFrame, DataFrame]:
-    """The vector and lexical top-``fetch_k`` lists for every query row."""
+                 w_trigram: float = LEX_W_TRIGRAM, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vector and lexical top-``fetch_k`` lists for every query row.  ``texts``: the same
+    documents, if they can be had at less cost where no vector is read."""
     vec = vector_list(queries, vector_index(docs), fetch_k)
-    return vec, lexical_list(queries, lexical_index(docs, w_cover, w_trigram), fetch_k)
+    return vec, lexical_list(queries, lexical_index(docs if texts is None else texts, w_cover, w_trigram), fetch_k)
 
 
 def hybrid_candidates(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K, w_cover: float = LEX_W_COVER,
@@ -242,15 +243,16 @@ def symptom_rows(inputs: DataFrame, text_col: str = "symptom_text_raw") -> DataF
 
 
 def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w_cover: float = LEX_W_COVER,
-                     w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
+                     w_trigram: float = LEX_W_TRIGRAM, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """The retrieval passes, each over the frontier that the pass before left.
 
     Pass 1 retrieves for every symptom; pass n + 1 only for those without enough kept documents
     after pass n.  Both indexes are built once.  Returns ``queries`` (of executed passes only),
     ``candidates``, ``passes`` (statistics per executed pass), ``kept`` (documents of the chosen
-    pass) and the first pass's ``vector`` and ``lexical`` lists."""
+    pass) and the first pass's ``vector`` and ``lexical`` lists.  ``texts``: as for
+    :func:`hybrid_lists`."""
     fetch_k = max(TOP_K * FETCH_FACTOR, TOP_K)
-    vectors, postings = vector_index(docs), lexical_index(docs, w_cover, w_trigram)
+    vectors, postings = vector_index(docs), lexical_index(docs if texts is None else texts, w_cover, w_trigram)
     key = ["estimate_id", "symptom_no"]
     frontier = symptoms
     found: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = []
@@ -276,19 +278,19 @@ def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w
 
 
 def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w_cover: float = LEX_W_COVER,
-                      w_trigram: float = LEX_W_TRIGRAM) -> dict[str, DataFrame]:
+                      w_trigram: float = LEX_W_TRIGRAM, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """The per-symptom retrieval diagnosis for all symptoms.
 
     ``validation_fn(cands) -> DataFrame(qid, doc_id, similarity_score, keep)`` supplies the
     external scores (None = no validator: pass 1 only).  Returns DataFrames:
     ``candidates``, ``passes``, ``symptoms`` (status, counters, direct matches, evidence
-    count), ``match_docs``, ``evidence``.
+    count), ``match_docs``, ``evidence``.  ``texts``: as for :func:`hybrid_lists`.
     """
-    run = iterative_passes(symptoms, docs, validation_fn, w_cover, w_trigram)
+    run = iterative_passes(symptoms, docs, validation_fn, w_cover, w_trigram, texts)
     queries, cands, stats, kept = (run[x] for x in ("queries", "candidates", "passes", "kept"))
     vec, lex = run["vector"], run["lexical"]
 
-    doc_fields = docs.select(
+    doc_fields = (docs if texts is None else texts).select(
         F.col("id").cast("long").alias("doc_id"), "document_source", "vehicle_model", F.col("symptom_text").alias("doc_symptom_text"),
         "system_category", "repair_parts", "evidence_text",
     )

@@ -17,7 +17,7 @@ from pricelens.operators import retrieval as R
 from pricelens.operators.load import unique_docs
 from pricelens.plans.registry import register
 from pricelens.session import stored
-from pricelens.sources.tables import read_table, shape, shape_cte
+from pricelens.sources.tables import SHAPES, read_table, shape, shape_cte
 
 CTE = shape_cte("repair_doc", "symptom_inputs")
 QP_CTE = shape_cte("repair_doc", "symptom_inputs", "quote_parts")
@@ -29,6 +29,21 @@ def _docs(spark, sf, cache):
     return shape(spark, sf, "repair_doc", cache)
 
 
+def _texts(spark, sf, cache):
+    """The rows of ``_docs`` without their vectors: a document has one for each vector of its id, and
+    one if there is none.  Only ids that several vectors share can make more rows than documents, so
+    no text is shuffled to the others."""
+    if "repair_doc_texts" not in cache:
+        vectors = read_table(spark, sf, "embeddings")
+        shared = vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("vec_id IS NOT NULL AND n > 1")
+        shared = stored(shared.select("vec_id", F.explode(F.expr("sequence(1, n)"))).select("vec_id"))
+        none = F.lit(None).cast(vectors.schema["embedding"].dataType)
+        cache["repair_doc_texts"] = spark.sql(
+            SHAPES["repair_doc"], documents=read_table(spark, sf, "documents"), embeddings=shared.withColumn("embedding", none)
+        )
+    return cache["repair_doc_texts"]
+
+
 def _symptoms(spark, sf, cache):
     rows = R.symptom_rows(shape(spark, sf, "symptom_inputs", cache))
     emb = read_table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("qvec"))
@@ -153,7 +168,7 @@ def _hybrid_pipeline(spark, sf, passes=(1, 2, 3), top=20):
     docs = _docs(spark, sf, cache)
     queries = R.pass_queries(_symptoms(spark, sf, cache), passes)
     fetch = max(top * 4, top)
-    vec, lex = R.hybrid_lists(queries, docs, fetch)
+    vec, lex = R.hybrid_lists(queries, docs, fetch, texts=_texts(spark, sf, cache))
     # a few rows per query with several readers: searched once, and small beside the documents
     return queries, vec, lex, stored(R.fuse_rankings(vec, lex, top, fetch))
 
@@ -439,7 +454,7 @@ def q_topk_lexical(spark, sf):
     """K1 with the full lexical score (cover density + trigram)."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, R.lexical_index(_docs(spark, sf, cache)), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.lexical_list(queries, R.lexical_index(_texts(spark, sf, cache)), 80).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("lexical_score", retrieval_sql((1,)) + "SELECT qid, doc_id, round(score, 6) AS score FROM ll WHERE rank <= 5")
@@ -447,7 +462,7 @@ def q_lexical_score(spark, sf):
     """R2: full lexical scores of the top 5 documents per symptom."""
     cache: dict = {}
     queries = R.pass_queries(_symptoms(spark, sf, cache), (1,))
-    return R.lexical_list(queries, R.lexical_index(_docs(spark, sf, cache)), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.lexical_list(queries, R.lexical_index(_texts(spark, sf, cache)), 5).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(
@@ -480,7 +495,7 @@ def q_topk_fused(spark, sf):
 def q_keyword_boost(spark, sf):
     cache: dict = {}
     queries, _, _, fused = _hybrid_pipeline(spark, sf, (1,))
-    docs = _docs(spark, sf, cache).select(F.col("id").alias("doc_id"), F.col("symptom_text").alias("doc_symptom_text"))
+    docs = _texts(spark, sf, cache).select(F.col("id").alias("doc_id"), F.col("symptom_text").alias("doc_symptom_text"))
     return fused.join(queries.select("qid", "query_text"), "qid").join(docs, "doc_id").select(
         "qid", "doc_id", R.keyword_hits(F.col("query_text"), F.col("doc_symptom_text")).alias("keyword_hits")
     )
@@ -505,7 +520,7 @@ VAL_SQL = (
 def _iterated(spark, sf):
     cache: dict = {}
     sym = _symptoms(spark, sf, cache)
-    return R.iterative_passes(sym, _docs(spark, sf, cache), _validation(R.pass_queries(sym)))
+    return R.iterative_passes(sym, _docs(spark, sf, cache), _validation(R.pass_queries(sym)), texts=_texts(spark, sf, cache))
 
 
 def _passes_pipeline(spark, sf):
@@ -625,7 +640,7 @@ def _diagnosis(spark, sf):
     docs = _docs(spark, sf, cache)
     sym = _symptoms(spark, sf, cache)
     queries = R.pass_queries(sym, (1, 2, 3))
-    out = R.diagnose_symptoms(sym, docs, _validation(queries))
+    out = R.diagnose_symptoms(sym, docs, _validation(queries), texts=_texts(spark, sf, cache))
     return out, cache
 
 
@@ -764,4 +779,4 @@ def q_evidence_prompt(spark, sf):
 )
 def q_validation_request(spark, sf):
     queries, vec, lex, fused = _hybrid_pipeline(spark, sf, (1,))
-    return R.validation_request(fused, _docs(spark, sf, {}))
+    return R.validation_request(fused, _texts(spark, sf, {}))

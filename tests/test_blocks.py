@@ -70,3 +70,46 @@ def test_a_search_shuffles_no_block(spark):
     found = R.lexical_list(queries, R.lexical_index(docs), 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" not in plan and "w_place" not in plan and "s_docs" not in plan
+
+
+def test_a_part_is_cut_by_content_in_one_pass(spark, monkeypatch):
+    docs, _ = _tables(spark)
+    monkeypatch.setattr(B, "GROUP_BYTES", 100)
+    kind = LexicalBlocks(0.7, 0.3)
+    rows = R.lexical_index(docs, docs_per_group=1000).rows.collect()
+    assert len({(r["scope"], r["system"], r["group"]) for r in rows}) > 8  # by number alone: one each of 5
+    assert sum(r["n"] for r in rows) == docs.where("vehicle_model IS NOT NULL").count()
+    content = docs.selectExpr("id", "octet_length(symptom_text) + coalesce(octet_length(evidence_text), 0) AS size").collect()
+    sizes = {r["id"]: r["size"] for r in content}
+    held = {}
+    for r in rows:
+        held.setdefault((r["scope"], r["system"], r["group"]), []).extend(np.frombuffer(r["doc_ids"], "<i8").tolist())
+    assert all(len(ids) == 1 or sum(sizes[k] for k in ids) <= 100 for ids in held.values())
+    assert set(kind.arrays) < set(rows[0].asDict())
+
+
+def test_groups_run_on_over_batches():
+    import pyarrow as pa
+
+    def batch(rows):
+        scopes, systems, groups, ids, weights = zip(*rows)
+        return pa.RecordBatch.from_pydict({"scope": scopes, "system": systems, "group": groups, "doc_id": ids, "weight": weights})
+
+    first = batch([("a", "x", 0, 1, 4), ("a", "x", 0, 2, 4)])
+    second = batch([("a", "x", 0, 3, 1), ("a", "x", 0, 4, 99), ("a", "x", 1, 5, 0), ("b", "x", 0, 6, 5)])
+    made = [(place, docs["doc_id"].to_pylist()) for docs, place in B._groups(iter([first, second]), 2, 9)]
+    assert made == [(("a", "x", 0), [1, 2, 3]), (("a", "x", 2), [4]), (("a", "x", 1), [5]), (("b", "x", 0), [6])]
+    assert not list(B._groups(iter([]), 1, 9))
+
+
+def test_documents_without_vectors_have_equal_rows(spark, tmp_path):
+    from pricelens.plans import q_retrieval as Q
+
+    spark.createDataFrame([(k, f"a b{k} c d", "en") for k in (1, 2, 3, 3)] + [(None, "x", "en"), (4, None, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(1, [1.0]), (2, [1.0]), (2, None), (3, [2.0]), (3, [2.0]), (3, [2.0]), (None, [1.0]), (None, [1.0]), (9, [1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole, texts = Q._docs(spark, str(tmp_path), {}), Q._texts(spark, str(tmp_path), {})
+    assert texts.schema == whole.schema
+    assert _rows(texts.drop("symptom_embedding")) == _rows(whole.drop("symptom_embedding")) and texts.count() == 11
+    plan = texts.drop("symptom_embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
