@@ -381,7 +381,8 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
     (containment either way on normalized names); nothing when an estimate has a
     symptom without evidence."""
     blocked = per_symptom.where(F.col("n_evidence") == 0).select("estimate_id").distinct()
-    have = per_symptom.select("estimate_id").distinct()
+    # few beside the quoted parts and stored, so that their size is known before these are grouped
+    have = stored(per_symptom.select("estimate_id").distinct().join(blocked, "estimate_id", "left_anti"))
     expected = (
         match_docs.select("estimate_id", F.explode(split_parts(F.col("repair_parts"))).alias("ep"))
         .select("estimate_id", norm_part(F.col("ep")).alias("ek"))
@@ -390,7 +391,7 @@ def unrelated_parts(quote_parts: DataFrame, per_symptom: DataFrame, match_docs:
     )
     # the filtered quoted parts feed four branches below: compute them once
     q = cut_lineage(
-        quote_parts.join(have, "estimate_id", "left_semi").join(blocked, "estimate_id", "left_anti")
+        quote_parts.join(have, "estimate_id", "left_semi")
         .where(~consumable_flag(F.col("part")))
         .withColumn("qk", norm_part(F.col("part")))
         .where(F.length("qk") > 0)

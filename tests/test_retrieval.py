@@ -204,3 +204,22 @@ def test_block_search_reads_few_documents_and_loses_none():
             assert list(floored[:5]) == list(want[:5]) and fewer <= scored
             read += scored
         assert read / (n * len(queries)) < most, read / (n * len(queries))
+
+
+def test_only_quotes_of_diagnosed_estimates_are_grouped(spark, monkeypatch):
+    """The quoted parts of other estimates are left out before the lines are shuffled."""
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(R, "cut_lineage", cut)
+    lines = spark.createDataFrame(
+        [(e, n, p) for e in (1, 2, 3, None) for n, p in ((2, "brake pad"), (1, "door"), (3, "door"))], "estimate_id long, no int, part_official_name string"
+    )
+    per = spark.createDataFrame([(1, 1, 2), (2, 1, 0), (2, 2, 3), (None, 1, 1)], "estimate_id long, symptom_no int, n_evidence long")
+    match = spark.createDataFrame([(1, "pad, x"), (2, "door")], "estimate_id long, repair_parts string")
+    found = R.unrelated_parts(R.quote_part_list(lines), per, match).collect()
+    assert [tuple(r) for r in found] == [(1, "door", 1)]
+    assert plans[0].index("Aggregate") < plans[0].index("LeftSemi"), plans[0]
