@@ -4,16 +4,23 @@ One pass over the training texts counts words and byte contexts: a task counts i
 and dictionaries and sends on distinct keys, so what is shuffled is the vocabulary and the
 contexts that the corpus has, not its tokens.
 
-Model.  Bytes are symbols: the ``SYMBOLS`` - 1 most frequent training bytes each are one,
-the others share the last and are told apart by their frequency, so the trie of contexts of
-up to three symbols has at most 64^4 leaves whatever the corpus (a proven bound for what is
-broadcast).  A symbol's probability starts in the longest context: a symbol seen there has
-(2c - 1) / 2n, the escape has d / 2n (n: count of what is left, d: distinct symbols), and an
-escape goes on in the next shorter context without the symbols that were seen before
-(symbol exclusion), at last to the uniform distribution.  The trie is pretrained, so the
-distribution of every context is computed once and a text is scored by table look-ups.  A
-text (A-Z lower-cased, as for the base) is preceded by line ends and followed by an end
-symbol, whose code length counts too: probabilities of all texts sum to one.
+Model.  Contexts of five and four bytes, over all bytes, lie in a table that grows with the
+corpus: after a context that was seen n times, before d distinct bytes, a byte has (2c - 1) / 2n
+if it was seen there c > 0 times, and d / 2n of its probability in the next shorter context; an
+unseen context leaves it to the shorter one.  Below are contexts of up to three symbols: the
+``SYMBOLS`` - 1 most frequent training bytes each are one, the others share the last and are told
+apart by their frequency, so this trie has at most 64^4 leaves whatever the corpus (a proven
+bound for what is broadcast).  There a symbol's probability starts in the longest context: a
+symbol seen there has (2c - 1) / 2n, the escape has d / 2n (n: count of what is left, d: distinct
+symbols), and an escape goes on in the next shorter context without the symbols that were seen
+before (symbol exclusion), at last to the uniform distribution.  A text (A-Z lower-cased, as for
+the base) is preceded by line ends and followed by an end symbol, whose code length counts too.
+
+What the long contexts give a window (a context of five bytes and the byte after it) is linear in
+the trie's probability of the byte.  The two numbers of the ``frequent_windows`` most frequent
+windows are broadcast; a document's other windows travel once each, with the trie's probability
+and their frequency in it, to the numbers of the distinct ones, seen in training or not: any
+window gets the same score by either way.
 
 Base.  Sum over words and one end of log10((c + 0.5) / (N + 0.5 (V + 1))).  Counts of the
 ``frequent`` most frequent words are broadcast (a bound in rows and in bytes: such words
@@ -33,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import struct_array, text_or_empty, utf8, written
@@ -41,21 +48,23 @@ from pricelens.llm.common import struct_array, text_or_empty, utf8, written
 BITS = 6
 SYMBOLS = 1 << BITS
 ORDER = 3
+LONG = 5
 START = b"\n" * ORDER
 END = b"\0"
 SLICE = 1 << 20
 FLUSH_WORDS = 400_000
-FLUSH_GRAMS = 4_000_000
+FLUSH_GRAMS = 2_000_000
+SCORED_AT_ONCE = 4 << 20
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """Runs of at most about SLICE bytes that each begin with ORDER bytes of context: bytes,
+def slices(texts: list[bytes], back: int = ORDER) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Runs of at most about SLICE bytes that each begin with ``back`` bytes of context: bytes,
     which text each stretch belongs to, and where its symbols begin in the run."""
     run, of, at, size = [], [], [], 0
     for k, text in enumerate(texts):
-        whole = START + text + END
-        for begin in range(0, len(whole) - ORDER, SLICE):
-            part = whole[begin : begin + SLICE + ORDER]
+        whole = START[:1] * back + text + END
+        for begin in range(0, len(whole) - back, SLICE):
+            part = whole[begin : begin + SLICE + back]
             of.append(k)
             at.append(size)
             run.append(part)
@@ -67,38 +76,47 @@ def slices(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
         yield b"".join(run), of, at
 
 
-def _inner(size: int, at: list[int]) -> np.ndarray:
-    """Mask of the windows of ORDER + 1 bytes that lie within one stretch."""
-    keep = np.ones(size - ORDER, bool)
+def _inner(size: int, at: list[int], back: int = ORDER) -> np.ndarray:
+    """Mask of the windows of ``back`` + 1 bytes that lie within one stretch."""
+    keep = np.ones(size - back, bool)
     starts = np.array(at[1:], np.int64)
-    for back in range(1, ORDER + 1):
-        keep[starts - back] = False
+    for k in range(1, back + 1):
+        keep[starts - k] = False
     return keep
 
 
+def _windows(b: np.ndarray) -> np.ndarray:
+    """The windows of LONG + 1 bytes, as numbers."""
+    codes = np.zeros(len(b) - LONG, np.uint64)
+    for k in range(LONG + 1):
+        codes <<= np.uint64(8)
+        codes |= b[k : len(b) - LONG + k]
+    return codes
+
+
 def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of four bytes of the texts, as numbers, and their counts."""
-    found = []
-    for run, _, at in slices(texts):
+    """Distinct windows of LONG + 1 bytes of the texts, as numbers, and their counts."""
+    found, held = [], 0
+    for run, _, at in slices(texts, LONG):
         b = np.frombuffer(run, np.uint8)
-        codes = np.zeros(len(b) - ORDER, np.uint32 if ORDER < 4 else np.uint64)
-        for k in range(ORDER + 1):
-            codes <<= 8
-            codes |= b[k : len(b) - ORDER + k]
-        found.append(np.unique(codes[_inner(len(b), at)], return_counts=True))
+        found.append(np.unique(_windows(b)[_inner(len(b), at, LONG)], return_counts=True))
+        held += len(found[-1][0])
+        if held > FLUSH_GRAMS:
+            found = [_merged(found)]
+            held = 0
     return _merged(found)
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
     return codes, np.bincount(back, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
 
 
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, gram, n): counts of words (gram null), of windows of four bytes (word null)
-    and of texts (both null) over all rows of ``docs``."""
+    """(word, gram, n): counts of words (gram null), of windows of LONG + 1 bytes (word
+    null) and of texts (both null) over all rows of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -176,23 +194,62 @@ class Trie:
     row: np.ndarray  # context of three symbols -> row of ``logs``
     logs: np.ndarray
 
+    def symbol_logs(self, b: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte after the first ORDER ones."""
+        s = self.symbol[b]
+        context = np.zeros(len(b) - ORDER, np.int32)
+        for k in range(ORDER):
+            context <<= BITS
+            context |= s[k : len(b) - ORDER + k]
+        return self.logs[self.row[context] + s[ORDER:]].astype(np.float64) + self.within[b[ORDER:]]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+        """log10 probability of each text by contexts of symbols alone."""
         out = np.zeros(len(texts))
         for run, of, at in slices(texts):
             b = np.frombuffer(run, np.uint8)
-            s = self.symbol[b]
-            context = np.zeros(len(b) - ORDER, np.int32)
-            for k in range(ORDER):
-                context <<= BITS
-                context |= s[k : len(b) - ORDER + k]
-            got = self.logs[self.row[context] + s[ORDER:]].astype(np.float64)
-            got += self.within[b[ORDER:]]
+            got = self.symbol_logs(b)
             got[~_inner(len(b), at)] = 0
             np.add.at(out, of, np.add.reduceat(got, np.minimum(at, len(got) - 1)))
         return out
 
 
+@dataclass(frozen=True)
+class Windows:
+    """The most frequent windows, sorted: a byte's probability is ``own`` + ``passed`` x that in
+    the trie."""
+
+    codes: np.ndarray
+    own: np.ndarray
+    passed: np.ndarray
+
+    def score(self, model: Trie, texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """log10 probability of each text without its windows that are not here, and those: text,
+        window, how often it is in the text, the trie's probability of its byte."""
+        out = np.zeros(len(texts))
+        others: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for run, of, at in slices(texts, LONG):
+            b = np.frombuffer(run, np.uint8)
+            inner = _inner(len(b), at, LONG)
+            text = np.repeat(of, np.diff([*at, len(b)]))[:-LONG][inner]
+            p = 10 ** model.symbol_logs(b[LONG - ORDER :])[inner]
+            distinct, back = np.unique(_windows(b)[inner], return_inverse=True)
+            place = np.searchsorted(self.codes, distinct)
+            here = place < len(self.codes)
+            here[here] = self.codes[place[here]] == distinct[here]
+            own, passed = np.zeros(len(distinct)), np.zeros(len(distinct))
+            own[here], passed[here] = self.own[place[here]], self.passed[place[here]]
+            met = here[back]
+            out += np.bincount(text[met], np.log10(own[back[met]] + passed[back[met]] * p[met]), len(texts))
+            others.append((text[~met], distinct[back[~met]], p[~met]))
+        text, window, p = (np.concatenate(x) for x in zip(*others)) if others else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
+        order = np.lexsort((window, text))
+        text, window, p = text[order], window[order], p[order]
+        first = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(window) != 0))[: len(text)])
+        times = np.diff(np.append(first, len(text)))
+        return out, {"text": text[first], "window": window[first].astype(np.int64), "times": times, "p": p[first]}
+
+
 def trie(counts: DataFrame) -> Trie:
     """The model of the counted corpus.  What reaches the driver: 256 byte counts, then
     counts of at most 64^4 windows of symbols."""
@@ -242,24 +299,72 @@ class Unigrams:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
+def _step() -> Column:
+    """Counts fall into a few hundred steps; whole steps are taken while they fit."""
+    return F.floor(F.log2(F.col("n")) * 8)
+
+
+def _most_frequent(rows: DataFrame, most: int, usable: Column) -> tuple[list[Row], int | None]:
+    """The steps that counts fall into, and the least of which all usable rows are taken, while
+    no more than ``most`` rows are."""
+    steps = rows.groupBy(_step().alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.count(F.when(usable, 1)).alias("usable")).collect()
+    least, held = None, 0
+    for s in sorted(steps, key=lambda s: -s["step"]):
+        held += s["usable"]
+        if held > most:
+            break
+        least = s["step"]
+    return steps, least
+
+
 def unigrams(counts: DataFrame, frequent: int, frequent_bytes: int) -> Unigrams:
     """Totals, and the counts of at most ``frequent`` most frequent words."""
     words = counts.filter("word is not null")
-    # counts fall into a few hundred steps; whole steps are taken while they fit
-    step = F.floor(F.log2(F.col("n")) * 8)
     short = F.length("word") <= frequent_bytes
-    steps = words.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.count(F.when(short, 1)).alias("short")).collect()
     ends = counts.filter("word is null and gram is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least, held = None, 0
-    for s in sorted(steps, key=lambda s: -s["step"]):
-        held += s["short"]
-        if held > frequent:
-            break
-        least = s["step"]
+    steps, least = _most_frequent(words, frequent, short)
     table = {}
     if least is not None:
-        table = {bytes(r["word"]): r["n"] for r in words.filter(short & (step >= least)).select("word", "n").collect()}
-    return Unigrams(sum(s["n"] for s in steps) + ends, sum(s["words"] for s in steps) + (ends > 0), ends, table)
+        table = {bytes(r["word"]): r["n"] for r in words.filter(short & (_step() >= least)).select("word", "n").collect()}
+    return Unigrams(sum(s["n"] for s in steps) + ends, sum(s["rows"] for s in steps) + (ends > 0), ends, table)
+
+
+def long_contexts(counts: DataFrame) -> list[DataFrame]:
+    """The counted windows of LONG + 1 and of LONG bytes, each with the table of their contexts:
+    (code, n) and (code, n, d)."""
+    found = []
+    windows = counts.filter("gram is not null").select(F.col("gram").alias("code"), "n")
+    for size in (LONG + 1, LONG):
+        if size <= LONG:
+            last = F.col("code").bitwiseAND(F.lit((1 << 8 * size) - 1))
+            windows = written(windows.groupBy(last.alias("code")).agg(F.sum("n").alias("n")))
+        contexts = windows.groupBy(F.shiftright("code", 8).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+        found += [windows, written(contexts)]
+    return found
+
+
+def window_numbers(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(window, own, passed) for distinct windows, counted or not."""
+    rows, own, passed = asked.select("window"), F.lit(0.0), F.lit(1.0)
+    for k, (windows, contexts) in enumerate(zip(tables[::2], tables[1::2])):
+        code = F.col("window").bitwiseAND(F.lit((1 << 8 * (LONG + 1 - k)) - 1))
+        rows = rows.withColumn("code", code).join(windows.select("code", F.col("n").alias(f"c{k}")), "code", "left")
+        rows = rows.withColumn("code", F.shiftright(code, 8)).join(contexts.select("code", F.col("n").alias(f"n{k}"), F.col("d").alias(f"d{k}")), "code", "left")
+        own = own + passed * F.coalesce((2 * F.col(f"c{k}") - 1) / (2 * F.col(f"n{k}")), F.lit(0.0))
+        passed = passed * F.coalesce(F.col(f"d{k}") / (2 * F.col(f"n{k}")), F.lit(1.0))
+    return rows.select("window", own.alias("own"), passed.alias("passed"))
+
+
+def frequent_table(counts: DataFrame, tables: list[DataFrame], most: int) -> Windows:
+    """At most ``most`` most frequent windows."""
+    grams = counts.filter("gram is not null").select(F.col("gram").alias("window"), "n")
+    _, least = _most_frequent(grams, most, F.lit(True))
+    kept = grams.filter(_step() >= least) if least is not None else grams.limit(0)
+    own = [F.col(c).cast("float").alias(c) for c in ("own", "passed")]
+    rows = window_numbers(kept, tables).select("window", *own).toArrow()
+    codes = rows["window"].to_numpy().astype(np.uint64)
+    order = np.argsort(codes)
+    return Windows(codes[order], rows["own"].to_numpy()[order], rows["passed"].to_numpy()[order])
 
 
 def score_documents(
@@ -269,20 +374,24 @@ def score_documents(
     text_col: str = "text",
     frequent: int = 200_000,
     frequent_bytes: int = 64,
+    frequent_windows: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``df``: its id, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score``."""
     base = unigrams(counts, frequent, frequent_bytes)
-    shared = df.sparkSession.sparkContext.broadcast((trie(counts), base))
+    tables = long_contexts(counts)
+    shared = df.sparkSession.sparkContext.broadcast((trie(counts), base, frequent_table(counts, tables, frequent_windows)))
 
-    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rare:array<struct<word:binary,times:bigint>>>")
+    @F.arrow_udf(
+        "struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rare:array<struct<word:binary,times:bigint>>,"
+        "windows:array<struct<window:bigint,times:bigint,p:double>>>"
+    )
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, uni = shared.value
+        model, uni, frequent_ones = shared.value
         logs = _frequent_logs(uni)
         end = np.log10((uni.ends + 0.5) / uni.floor)
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-        for batch in batches:
-            texts = [t.lower() for t in utf8(batch)]
+        for texts in _some(batches):
             tokens, known, sums, rare = [], [], [], []
             for text in texts:
                 words = text.split()
@@ -298,29 +407,40 @@ def score_documents(
                 known.append(sure)
                 sums.append(total)
                 rare.append(others)
+            scores, left = frequent_ones.score(model, texts)
+            starts = np.searchsorted(left["text"], np.arange(len(texts) + 1)).astype(np.int32)
+            windows = struct_array({"window": (pa.int64(), left["window"]), "times": (pa.int64(), left["times"]), "p": (pa.float64(), left["p"])})
             yield struct_array({
                 "n_tokens": (pa.int64(), tokens),
                 "n_known": (pa.int64(), known),
                 "base": (pa.float64(), sums),
-                "score": (pa.float64(), model.score(texts).tolist()),
+                "score": (pa.float64(), scores),
                 "rare": (rare_type, rare),
+                "windows": (pa.list_(windows.type), pa.ListArray.from_arrays(pa.array(starts), windows)),
             })
 
     row = F.monotonically_increasing_id()
     found = df.select(df[id_col].alias("id"), look_up(text_or_empty(df, text_col)).alias("f"), row.alias("row"))
+    found = written(found.select("row", "id", "f.*"))
     # the document itself travels as a word that no text has: its key holds a space
     own = F.struct(F.encode(F.concat(F.lit(" "), F.col("row").cast("string")), "UTF-8").alias("word"), F.lit(0).cast("bigint").alias("times"))
-    parts = found.select("row", "id", "f.n_tokens", "f.n_known", "f.base", "f.score", F.posexplode(F.concat(F.array(own), F.col("f.rare"))).alias("at", "part"))
+    parts = found.select("row", "id", "n_tokens", "n_known", "base", "score", F.posexplode(F.concat(F.array(own), F.col("rare"))).alias("at", "part"))
     first = F.col("at") == 0
     carried = [F.when(first, F.col(c)).alias(c) for c in ("id", "n_tokens", "n_known", "base", "score")]
     parts = parts.select("row", *carried, F.col("part.word").alias("word"), F.col("part.times").alias("times"))
     words = counts.filter("word is not null").select("word", "n")
     met = parts.join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(base.floor))
-    gathered = met.groupBy("row").agg(
+    met = met.select("row", "id", "n_tokens", "n_known", "base", "score", (F.col("times") * log).alias("rare_base"), F.when(F.col("n") > 0, F.col("times")).alias("rare_known"))
+    rare = found.select("row", F.inline("windows"))
+    numbers = window_numbers(rare.select("window").distinct(), tables)
+    log = F.log10(F.col("own") + F.col("passed") * F.col("p"))
+    rare = rare.join(numbers, "window").select("row", (F.col("times") * log).alias("rare_score"))
+    gathered = met.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(
         *[F.max(c).alias(c) for c in ("id", "n_tokens", "n_known", "base", "score")],
-        F.sum(F.col("times") * log).alias("rare_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum("rare_base").alias("rare_base"),
+        F.coalesce(F.sum("rare_known"), F.lit(0)).alias("rare_known"),
+        F.coalesce(F.sum("rare_score"), F.lit(0.0)).alias("rare_score"),
     )
     return gathered.select(
         F.col("id").alias(id_col),
@@ -328,10 +448,23 @@ def score_documents(
         (F.col("n_known") + F.col("rare_known")).alias("n_known"),
         F.lit(base.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("rare_base")).alias("base_score"),
-        "score",
+        (F.col("score") + F.col("rare_score")).alias("score"),
     )
 
 
+def _some(batches: Iterator[pa.Array]) -> Iterator[list[bytes]]:
+    """The lower-cased texts, at most about SCORED_AT_ONCE bytes (or one text) at a time."""
+    for batch in batches:
+        texts, held = [], 0
+        for text in utf8(batch):
+            if texts and held + len(text) > SCORED_AT_ONCE:
+                yield texts
+                texts, held = [], 0
+            texts.append(text.lower())
+            held += len(text)
+        yield texts
+
+
 _LOGS: dict[int, dict[bytes, float]] = {}
 
 

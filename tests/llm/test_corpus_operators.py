@@ -331,6 +331,46 @@ def test_ppm_slices_do_not_change_scores(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(ppm.gram_counts(texts), grams, strict=True))
 
 
+def test_long_contexts_know_every_byte_and_window(spark):
+    """Texts of more than 64 byte values: contexts of four and five bytes equal brute force, whether
+    windows are broadcast or joined, and bytes that share the trie's last symbol are told apart."""
+    plain = "".join(map(chr, range(33, 127))) * 40
+    train = [plain, "жук и жаба " * 3, "日本語の文 " * 2, "banana bandana", "", "жук жук"]
+    texts = ["жук и жук", "жба и нук", "日本語", "本日語", "banana", "", None, "ÿ\n" * 9, "жук" * 50, plain + "ж"]
+    counted = ppm.corpus_counts(spark.createDataFrame([(k, t) for k, t in enumerate(train)], "doc_id long, text string"))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    scores = {}
+    for most in (0, 20, 1_000_000):
+        rows = ppm.score_documents(df, counted, frequent_windows=most).collect()
+        scores[most] = [r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    start, model = b"\n" * ppm.LONG, ppm.trie(counted)
+    raw = [t.encode().lower() for t in train]
+    seen = {4: Counter(), 5: Counter()}
+    for t in raw:
+        b = start + t + ppm.END
+        for k in seen:
+            seen[k].update((b[i - k : i], b[i]) for i in range(ppm.LONG, len(b)))
+
+    def brute(text):
+        b = start + (text or "").encode().lower() + ppm.END
+        logs = model.symbol_logs(np.frombuffer(b, np.uint8))[ppm.LONG - ppm.ORDER :]
+        total = 0.0
+        for i, log in zip(range(ppm.LONG, len(b)), logs, strict=True):
+            p = 10**log
+            for k in seen:
+                after = [n for (context, _), n in seen[k].items() if context == b[i - k : i]]
+                if after:
+                    c = seen[k][b[i - k : i], b[i]]
+                    p = max(2 * c - 1, 0) / (2 * sum(after)) + len(after) / (2 * sum(after)) * p
+            total += math.log10(p)
+        return total
+
+    want = [brute(t) for t in texts]
+    for got in scores.values():
+        assert got == pytest.approx(want, rel=1e-5)
+    assert want[0] > want[1] + 2 and want[2] > want[3] + 2
+
+
 def test_language_model_without_training_texts(docs):
     got = ppm.score_documents(docs, ppm.corpus_counts(docs.limit(0))).collect()
     assert len(got) == docs.count() and {r["n_known"] for r in got} == {0} and {r["train_tokens"] for r in got} == {0}
