@@ -277,6 +277,12 @@ def iterative_passes(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w
     return {"queries": queries, "candidates": cands, "passes": stats, "kept": kept, "vector": first[0], "lexical": first[1]}
 
 
+def named_docs(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` a row of ``hits`` has.  Hits (stored, so that their size
+    is known) are a few rows per query: only their documents' texts are shuffled to them."""
+    return docs.join(hits.select("doc_id"), "doc_id", "left_semi")
+
+
 def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None, w_cover: float = LEX_W_COVER,
                       w_trigram: float = LEX_W_TRIGRAM, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """The per-symptom retrieval diagnosis for all symptoms.
@@ -310,9 +316,8 @@ def diagnose_symptoms(symptoms: DataFrame, docs: DataFrame, validation_fn=None,
         "estimate_id", "symptom_no", "doc_id", "score", F.lit(0.0).alias("similarity_score"), F.col("fused_rank").alias("kept_rank")
     )
     match = merged.withColumn("is_fallback", F.lit(False)).unionByName(fb.withColumn("is_fallback", F.lit(True)))
-    match = stored(match)  # a few rows per symptom, so only their documents are shuffled to them
-    doc_fields = doc_fields.join(match.select("doc_id"), "doc_id", "left_semi")
-    match = cut_lineage(match.join(doc_fields, "doc_id", "left"))
+    match = stored(match)
+    match = cut_lineage(match.join(named_docs(doc_fields, match), "doc_id", "left"))
     ev_w = Window.partitionBy("estimate_id", "symptom_no").orderBy("kept_rank")
     evidence = (
         match.where(F.col("score") >= MIN_EVIDENCE_SCORE)
@@ -520,7 +525,7 @@ def validation_request(cands: DataFrame, docs: DataFrame) -> DataFrame:
         norm_space(F.col("system_category")).alias("system_category"),
         norm_space(F.col("document_source")).alias("document_source"),
     )
-    items = cands.join(d, "doc_id").select(
+    items = cands.join(named_docs(d, cands), "doc_id").select(
         "qid", "fused_rank",
         F.struct(F.col("doc_id").alias("id"), "candidate_symptom_text", "evidence_text", "system_category", "document_source").alias("item"),
     )

@@ -496,7 +496,7 @@ def q_keyword_boost(spark, sf):
     cache: dict = {}
     queries, _, _, fused = _hybrid_pipeline(spark, sf, (1,))
     docs = _texts(spark, sf, cache).select(F.col("id").alias("doc_id"), F.col("symptom_text").alias("doc_symptom_text"))
-    return fused.join(queries.select("qid", "query_text"), "qid").join(docs, "doc_id").select(
+    return fused.join(queries.select("qid", "query_text"), "qid").join(R.named_docs(docs, fused), "doc_id").select(
         "qid", "doc_id", R.keyword_hits(F.col("query_text"), F.col("doc_symptom_text")).alias("keyword_hits")
     )
 

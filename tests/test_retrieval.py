@@ -223,3 +223,15 @@ def test_only_quotes_of_diagnosed_estimates_are_grouped(spark, monkeypatch):
     found = R.unrelated_parts(R.quote_part_list(lines), per, match).collect()
     assert [tuple(r) for r in found] == [(1, "door", 1)]
     assert plans[0].index("Aggregate") < plans[0].index("LeftSemi"), plans[0]
+
+
+def test_only_named_documents_meet_their_hits(spark):
+    import __spark_entry__ as E
+    from conftest import SF001
+
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "doc_id long, t string")
+    hits = spark.createDataFrame([(1,), (1,), (7,), (None,)], "doc_id long")
+    assert [tuple(r) for r in R.named_docs(docs, hits).collect()] == [(1, "a"), (1, "a")]
+    for key in ("keyword_boost", "validation_request"):
+        plan = E.queries()[key](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan, key
