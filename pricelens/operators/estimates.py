@@ -13,8 +13,8 @@ Plan notes (scale):
   part name is split by AQE's skew join.
 * labor standards (J4) are an equi-join on (content, vehicle) with the date range as a
   residual filter - never a cartesian product.
-* the previous visit (J5) comes from the top-2 visits per (customer, content), built by
-  aggregates; no pairs of visits are ever formed.
+* the previous visit (J5) comes from the top-2 visits per (customer, content), found by one
+  window over the rows; no pairs of visits are ever formed.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import fill_template
+from pricelens.operators.broadcast import checked_broadcast
 
 # ---------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -43,20 +44,29 @@ ISSUES_FOR_OVER = 2
 
 # --- joins --------------------------------------------------------------------------
 
-def load_estimate(items: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Item rows with their estimate header (inner join)."""
+def load_estimate(items: DataFrame, estimates: DataFrame | None) -> DataFrame:
+    """Item rows with their estimate header (inner join); without ``estimates`` the rows
+    carry it already (loaded before, so that several checks share one join)."""
+    if estimates is None:
+        return items
     head = estimates.select(
         F.col("id").alias("estimate_id"), "customer_id", "car_type", "car_mileage", "service_finish_at"
     )
     return items.join(head, "estimate_id", "inner")
 
 
-def price_at_service(parts: DataFrame, estimates: DataFrame, price_mart: DataFrame) -> DataFrame:
+def _dimension(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    return checked_broadcast(df, broadcast_rows) if broadcast_rows else df
+
+
+def price_at_service(parts: DataFrame, estimates: DataFrame | None, price_mart: DataFrame, broadcast_rows: int = 0) -> DataFrame:
     """Each part row with min/max price of the best mart row on the service date.
 
     Candidates: same name, ``extracted_at = service date``, vehicle in (own, 'all',
     'unknown'); ranked own < 'unknown' < 'all' (the literal 'ALL' rank never matches a
     lower-case 'all' row).  Left join: a part without a candidate keeps null prices.
+    Prices of at most ``broadcast_rows`` keys are broadcast once their size is checked, so
+    the parts aren't shuffled; more are joined by a shuffle.
     """
     mart = price_mart.where(F.col("part_official_name").isNotNull() & F.col("extracted_at").isNotNull()).select(
         "part_official_name", F.col("extracted_at").alias("service_finish_at"), "car_type", F.struct("min_price", "max_price").alias("price")
@@ -73,8 +83,8 @@ def price_at_service(parts: DataFrame, estimates: DataFrame, price_mart: DataFra
     best = F.coalesce("own", "unknown", "every")
     return (
         load_estimate(parts, estimates)
-        .join(own, ["part_official_name", "service_finish_at", "car_type"], "left")
-        .join(fallback, ["part_official_name", "service_finish_at"], "left")
+        .join(_dimension(own, broadcast_rows), ["part_official_name", "service_finish_at", "car_type"], "left")
+        .join(_dimension(fallback, broadcast_rows), ["part_official_name", "service_finish_at"], "left")
         .select(
             "estimate_id", "no", "part_official_name", "unit_price", "customer_id", "car_type",
             "car_mileage", "service_finish_at",
@@ -83,9 +93,10 @@ def price_at_service(parts: DataFrame, estimates: DataFrame, price_mart: DataFra
     )
 
 
-def labor_at_service(labor: DataFrame, estimates: DataFrame, labor_master: DataFrame) -> DataFrame:
-    """Labor rows with every standard in force on the service date (left; several multiply)."""
-    lm = labor_master.select(
+def labor_at_service(labor: DataFrame, estimates: DataFrame | None, labor_master: DataFrame, broadcast_rows: int = 0) -> DataFrame:
+    """Labor rows with every standard in force on the service date (left; several multiply);
+    ``broadcast_rows`` as in :func:`price_at_service`."""
+    lm = _dimension(labor_master, broadcast_rows).select(
         F.col("repair_content").alias("lm_content"), F.col("car_type").alias("lm_car_type"),
         "start_date", "end_date", "standard_repair_time", "hour_labor_rate", "change_cycle",
     )
@@ -98,33 +109,26 @@ def labor_at_service(labor: DataFrame, estimates: DataFrame, labor_master: DataF
     return rows.join(lm, cond, "left").drop("lm_content", "lm_car_type", "start_date", "end_date")
 
 
-def _visit_key(date: Column, eid: Column) -> Column:
-    # latest first with PostgreSQL DESC semantics: null dates rank above every date
-    return F.struct(date.isNull().alias("n"), date.alias("d"), eid.alias("i"))
-
-
-def latest_two_visits(labor: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Per (customer, content): the latest visit ``t1`` and the latest visit of another
-    estimate ``t2`` (both struct(estimate_id, car_mileage)); two aggregates, no pairs."""
-    visits = load_estimate(labor, estimates).select(
-        "customer_id", "repair_content", "estimate_id", "service_finish_at", "car_mileage"
-    )
-    key = _visit_key(F.col("service_finish_at"), F.col("estimate_id"))
-    top1 = visits.groupBy("customer_id", "repair_content").agg(
-        F.max_by(F.struct("estimate_id", "car_mileage"), key).alias("t1")
-    )
-    top2 = (
-        visits.join(top1, ["customer_id", "repair_content"])
-        .where(F.col("estimate_id") != F.col("t1.estimate_id"))
-        .groupBy("customer_id", "repair_content")
-        .agg(F.max_by(F.struct("estimate_id", "car_mileage"), key).alias("t2"))
+def latest_two_visits(rows: DataFrame) -> DataFrame:
+    """Add per (customer, content) of the rows: the latest visit ``t1`` and the latest visit of
+    another estimate ``t2`` (both struct(estimate_id, car_mileage)), null without a customer or
+    a content.  One shuffle and one sort of the rows; no pairs of visits are ever formed."""
+    keyed = F.col("customer_id").isNotNull() & F.col("repair_content").isNotNull()
+    # rows without a key belong to no group: each estimate's are dealt out by themselves
+    rows = rows.withColumn("alone", F.when(~keyed, F.col("estimate_id")))
+    visits = Window.partitionBy("customer_id", "repair_content", "alone").orderBy(
+        # latest first with PostgreSQL DESC semantics: null dates rank above every date
+        F.col("service_finish_at").desc_nulls_first(), F.col("estimate_id").desc(), F.col("car_mileage").desc()
     )
-    return top1.join(top2, ["customer_id", "repair_content"], "left")
+    visit = F.struct("estimate_id", "car_mileage")
+    latest = rows.withColumn("t1", F.first(F.when(keyed, visit)).over(visits.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    other = F.when(F.col("estimate_id") != F.col("t1.estimate_id"), visit)
+    return latest.withColumn("t2", F.first(other, ignorenulls=True).over(visits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
-def attach_previous(rows: DataFrame, best: DataFrame) -> DataFrame:
-    """Add ``prev_mileage`` to rows carrying customer_id, repair_content, estimate_id."""
-    return rows.join(best, ["customer_id", "repair_content"], "left").select(
+def attach_previous(rows: DataFrame) -> DataFrame:
+    """Add ``prev_mileage`` to rows carrying their estimate's header and repair_content."""
+    return latest_two_visits(rows).select(
         *rows.columns,
         F.when(F.col("t1.estimate_id") != F.col("estimate_id"), F.col("t1.car_mileage"))
         .otherwise(F.col("t2.car_mileage"))
@@ -132,11 +136,11 @@ def attach_previous(rows: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
-def previous_service(labor: DataFrame, estimates: DataFrame) -> DataFrame:
+def previous_service(labor: DataFrame, estimates: DataFrame | None) -> DataFrame:
     """Per labor row, mileage of the latest *other* visit of the same customer with
     the same repair content (even if later than this one); ties -> highest estimate id.
     """
-    return attach_previous(load_estimate(labor, estimates), latest_two_visits(labor, estimates))
+    return attach_previous(load_estimate(labor, estimates))
 
 
 # --- per-row verdicts ------------------------------------------------------------------
@@ -180,9 +184,11 @@ def cycle_verdict(usage: Column, cycle: Column) -> Column:
     )
 
 
-def labor_checks(labor: DataFrame, estimates: DataFrame, labor_master: DataFrame) -> DataFrame:
-    """Labor rows with standards (J4) and the previous visit (J5) side by side."""
-    return attach_previous(labor_at_service(labor, estimates, labor_master), latest_two_visits(labor, estimates))
+def labor_checks(labor: DataFrame, estimates: DataFrame | None, labor_master: DataFrame, broadcast_rows: int = 0) -> DataFrame:
+    """Labor rows with standards (J4) and the previous visit (J5) side by side.  The previous
+    visit comes first: its shuffle then carries no standards."""
+    rows = labor_at_service(previous_service(labor, estimates), None, labor_master, broadcast_rows)
+    return rows.select(*[c for c in rows.columns if c != "prev_mileage"], "prev_mileage")
 
 
 def cycle_issues(labor_checked: DataFrame) -> DataFrame:
@@ -368,14 +374,12 @@ def inquiry_text(priced_parts: DataFrame, labor_checked: DataFrame, cycles: Data
              gap=_thousands(F.col("cycle") - F.col("usage")), usage=_thousands(F.col("usage"))).alias("question"),
     )
     lines = p_q.unionByName(l_q).unionByName(c_q)
-    # the first line of a section brings the closing question along: each source is read once
-    nth = F.row_number().over(Window.partitionBy("estimate_id", "section").orderBy("item_no", "question"))
+    # only which sections an estimate has is shuffled, never a question
     closing = F.when(F.col("section") == 1, PART_CLOSING).when(F.col("section") == 2, LABOR_CLOSING).otherwise(CYCLE_CLOSING)
-    line = F.struct("item_no", "question")
-    last = F.struct(F.lit(None).cast("int").alias("item_no"), closing.alias("question"))
-    out = lines.withColumn("nth", nth).select(
-        "estimate_id", "section", F.inline(F.when(F.col("nth") == 1, F.array(line, last)).otherwise(F.array(line)))
+    closings = lines.select("estimate_id", "section").distinct().select(
+        "estimate_id", "section", F.lit(None).cast("int").alias("item_no"), closing.alias("question")
     )
+    out = lines.unionByName(closings)
     return out if symptom_over is None else symptom_inquiry(symptom_over).unionByName(out)
 
 

@@ -13,8 +13,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "pricelens") -> SparkSession:
@@ -94,10 +96,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Spark's own setting: the shuffle files of a query go when it has ended, not when the driver
+#: happens to collect its garbage
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, rounds: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint dir, read with fresh lineage: like
-    :func:`cut_lineage`, and readers fetch only the columns they need."""
+    :func:`cut_lineage`, and readers fetch only the columns they need.  With ``rounds`` the rows
+    are computed in so many rounds, dealt by a hash of the columns ``by``, and the shuffles of
+    each round leave the disk as soon as it is written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not rounds:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    given = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        for i in range(rounds):
+            dealt = df if rounds == 1 else df.where(F.pmod(F.xxhash64(*by), F.lit(rounds)) == i)
+            dealt.write.mode("append").parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if given is None else spark.conf.set(FREE_SHUFFLES, given)
     return spark.read.schema(df.schema).parquet(path)

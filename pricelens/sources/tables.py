@@ -27,6 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- shape texts -----------------------------------------------------------------
 # Fixed fixture texts (FIXTURES.md section 10) plus a few of our own.
 
+_STANDARDS = (
+    "SELECT repair_content, car_type, make_date(y, 1, 1) AS start_date, "
+    "make_date(y, 12, 31) AS end_date, CAST(CASE WHEN y % 6 = 5 THEN 0.0 ELSE 1.0 + (y % 3) * 0.5 END AS DOUBLE) AS standard_repair_time, "
+    "20000 AS hour_labor_rate, CASE WHEN y % 2 = 0 THEN 20000 END AS change_cycle "
+)
+
 SHAPES: dict[str, str] = {
     # scraped listing rows, store-style columns
     "listing": (
@@ -69,15 +75,33 @@ SHAPES: dict[str, str] = {
         "CAST(floor(l_extendedprice) AS INT) AS tech_fee "
         "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
     ),
+    # one row per line item, as part (est_parts) and as labor (est_labor) at once
+    "est_items": (
+        "SELECT l_orderkey AS estimate_id, l_linenumber AS no, p_name AS part_official_name, "
+        "CAST(floor(l_extendedprice / l_quantity) AS INT) AS unit_price, p_type AS repair_content, "
+        "CAST(floor(l_extendedprice) AS INT) AS tech_fee "
+        "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+    ),
     # labor standards per (work type, vehicle, year) that occur in the line items: yearly
     # windows, some years without a change cycle (a join, not a cross product)
     "labor_master": (
-        "SELECT repair_content, car_type, make_date(y, 1, 1) AS start_date, "
-        "make_date(y, 12, 31) AS end_date, CAST(CASE WHEN y % 6 = 5 THEN 0.0 ELSE 1.0 + (y % 3) * 0.5 END AS DOUBLE) AS standard_repair_time, "
-        "20000 AS hour_labor_rate, CASE WHEN y % 2 = 0 THEN 20000 END AS change_cycle "
-        "FROM (SELECT DISTINCT p_type AS repair_content, o_orderpriority AS car_type, CAST(year(o_orderdate) AS INT) AS y "
+        _STANDARDS + "FROM (SELECT DISTINCT p_type AS repair_content, o_orderpriority AS car_type, CAST(year(o_orderdate) AS INT) AS y "
         "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey) t"
     ),
+    # line items that carry their estimate's header, and out of them the rows of labor_master
+    # and of price_mart
+    "loaded_items": (
+        "SELECT i.*, e.customer_id, e.car_type, e.car_mileage, e.service_finish_at "
+        "FROM {est_items} i JOIN {estimates} e ON i.estimate_id = e.id"
+    ),
+    "loaded_labor_master": (
+        _STANDARDS + "FROM (SELECT DISTINCT repair_content, car_type, CAST(year(service_finish_at) AS INT) AS y FROM {loaded_items}) t"
+    ),
+    "loaded_price_mart": (
+        "SELECT part_official_name, car_type, service_finish_at AS extracted_at, "
+        "min(unit_price) AS min_price, max(unit_price) AS max_price "
+        "FROM {loaded_items} GROUP BY part_official_name, car_type, service_finish_at"
+    ),
     "ledger": (
         "SELECT concat('src', CAST(user_id % 3 AS STRING)) AS source, CAST(ts AS DATE) AS dt, "
         "sha1(concat('u', CAST(user_id AS STRING))) AS sk, concat('u', CAST(user_id AS STRING)) AS url, "
